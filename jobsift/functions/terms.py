@@ -93,19 +93,26 @@ def _regex_for(term: str, edge: str) -> str:
     return r"(?U)\b" + quoted + r"\b"
 
 
-def match_terms(runs: Column, lower_text: Column, dic: TermDictionary) -> Column:
-    """Distinct lower-case dictionary entries found in the text.
-
-    ``runs`` must be ``text_runs(text)`` (materialise it as a column first so
-    it is computed once); ``lower_text`` is used only by regex entries."""
+def match_terms(text: Column, dic: TermDictionary) -> Column:
+    """Sorted distinct lower-case dictionary entries found in ``text``.
+
+    The runs array is bound once as a lambda variable
+    (``transform(array(runs), r -> ...)``): referencing a computed column
+    inside the n-gram lambda would let the optimizer inline the regex split
+    into every element access."""
+    low = F.lower(text)
     parts = []
     if dic.ngram_terms:
-        cands = [run_ngrams(runs, n) for n in sorted(dic.ngram_terms)]
-        cand = cands[0] if len(cands) == 1 else F.concat(*cands)
         lit = F.array(*[F.lit(t) for n in sorted(dic.ngram_terms) for t in dic.ngram_terms[n]])
-        parts.append(F.array_intersect(cand, lit))
+
+        def body(r):
+            cands = [run_ngrams(r, n) for n in sorted(dic.ngram_terms)]
+            cand = cands[0] if len(cands) == 1 else F.concat(*cands)
+            return F.array_intersect(cand, lit)
+
+        parts.append(F.get(F.transform(F.array(text_runs(text)), body), 0))
     if dic.regex_terms:
-        hits = [F.when(F.coalesce(lower_text.rlike(_regex_for(t, dic.edge)), F.lit(False)), F.lit(t))
+        hits = [F.when(F.coalesce(low.rlike(_regex_for(t, dic.edge)), F.lit(False)), F.lit(t))
                 for t in dic.regex_terms]
         parts.append(F.array_compact(F.array(*hits)))
     if not parts:

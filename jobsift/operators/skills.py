@@ -6,8 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.functions.terms import (TermDictionary, match_terms, original_terms,
-                                     text_runs)
+from jobsift.functions.terms import TermDictionary, match_terms, original_terms
 
 
 def as_dictionary(terms, edge: str = "word") -> TermDictionary:
@@ -21,10 +20,7 @@ def with_skills(df: DataFrame, text_col: str, terms, out_col: str = "skills",
     """Add ``out_col``: sorted distinct lower-case dictionary hits of
     ``text_col`` (canonical form used for scoring).  NULL text -> []."""
     dic = as_dictionary(terms, edge)
-    runs_col = f"__runs_{out_col}"
-    return (df.withColumn(runs_col, text_runs(F.col(text_col)))
-              .withColumn(out_col, match_terms(F.col(runs_col), F.lower(F.col(text_col)), dic))
-              .drop(runs_col))
+    return df.withColumn(out_col, match_terms(F.col(text_col), dic))
 
 
 def skill_pairs(df: DataFrame, key_cols: list[str], text_col: str, terms,

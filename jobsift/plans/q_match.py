@@ -9,8 +9,7 @@ from jobsift.functions import scores as S
 from jobsift.operators import match as M
 from jobsift.operators.skills import with_skills
 from jobsift.plans.catalog import register
-from jobsift.plans.sqlkit import (build, dot_sql, hits_cte, level_idx_sql, norm_sql,
-                                  sround, terms_cte)
+from jobsift.plans.sqlkit import build, dot_sql, hits_sql, level_idx_sql, norm_sql, sround
 from jobsift.sources.fixtures import SKILLS_FX, cvs_fx, jobs_fx
 
 # ---------------------------------------------------------------------------
@@ -86,9 +85,8 @@ def q_score_band(spark, sf):
 
 def _pairs_ctes() -> tuple[str, ...]:
     return (
-        terms_cte(SKILLS_FX),
-        hits_cte("job_sk", "jobs", "seq", "description_text"),
-        hits_cte("cv_sk", "cvs", "cv_id", "text"),
+        f"job_sk AS (SELECT seq, {hits_sql('description_text', SKILLS_FX)} AS skills FROM jobs)",
+        f"cv_sk AS (SELECT cv_id, {hits_sql('text', SKILLS_FX)} AS skills FROM cvs)",
         f"""cv AS (
   SELECT c.cv_id,
          CASE WHEN c.main_category = '{D.BYPASS_CATEGORY}' THEN '*' ELSE '=' || c.main_category END AS jkey,

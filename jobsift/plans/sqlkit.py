@@ -25,28 +25,33 @@ def re2_escape(term: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", term)
 
 
-def terms_cte(terms, name: str = "terms") -> str:
-    """CTE of (term, lower_term, pat): RE2 whole-word pattern of each entry.
-    RE2 has an ASCII \\b, so the boundary is spelled as a class."""
+def _dedup(terms):
     seen = []
     for t in terms:
         if t and t not in seen:
             seen.append(t)
-    rows = ", ".join(
-        f"({sql_str(t)}, {sql_str(t.lower())}, "
-        f"{sql_str('(^|' + WORD_CLASS + ')' + re2_escape(t.lower()) + '($|' + WORD_CLASS + ')')})"
-        for t in seen)
-    return f"{name}(term, lower_term, pat) AS (VALUES {rows})"
-
-
-def hits_cte(name: str, source: str, key: str, text: str, terms: str = "terms") -> str:
-    """Per row of ``source``: sorted distinct lower-case entry hits."""
-    return f"""{name} AS (
-  SELECT s.{key} AS {key},
-         coalesce(list_sort(list_distinct(list(t.lower_term) FILTER (WHERE t.lower_term IS NOT NULL))),
-                  []::VARCHAR[]) AS skills
-  FROM {source} s LEFT JOIN {terms} t ON regexp_matches(lower(s.{text}), t.pat)
-  GROUP BY s.{key})"""
+    return seen
+
+
+def term_pattern(term: str) -> str:
+    """RE2 whole-word pattern of an entry (RE2's \\b is ASCII-only, so the
+    boundary is spelled as a Unicode class)."""
+    return "(^|" + WORD_CLASS + ")" + re2_escape(term.lower()) + "($|" + WORD_CLASS + ")"
+
+
+def hit_list_sql(text: str, terms, original_case: bool = False) -> str:
+    """List of entries whose pattern matches lower(text).  One constant
+    pattern per entry, so DuckDB compiles each regex once."""
+    items = ", ".join(
+        f"CASE WHEN regexp_matches(lower({text}), {sql_str(term_pattern(t))}) "
+        f"THEN {sql_str(t if original_case else t.lower())} END"
+        for t in _dedup(terms))
+    return f"list_filter([{items}]::VARCHAR[], lambda x: x IS NOT NULL)"
+
+
+def hits_sql(text: str, terms) -> str:
+    """Sorted distinct lower-case hits (NULL text -> [])."""
+    return f"coalesce(list_sort(list_distinct({hit_list_sql(text, terms)})), []::VARCHAR[])"
 
 
 def norm_sql(v: str) -> str:
