@@ -1 +1,163 @@
-"""Registered queries."""
+"""Text and HTML queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from jobsift import dictionaries as D
+from jobsift.functions import text as TX
+from jobsift.plans.catalog import register
+from jobsift.plans.sqlkit import build, sql_str
+from jobsift.sources import html as H
+from jobsift.sources.fixtures import cv_pages_fx, jobs_fx, req_fx, responses_status
+from jobsift.sources.tables import read_table
+
+# Unicode whitespace (Java's (?U)\s) as an RE2 class
+WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def unescape_sql(x: str) -> str:
+    for ent, ch in H.ENTITIES:
+        x = f"replace({x}, {sql_str(ent)}, {sql_str(ch)})"
+    return x
+
+
+def _pages(spark, sf):
+    return read_table(spark, sf, "pages")
+
+
+# --- page fields and text ---------------------------------------------------
+
+def q_html_fields(spark, sf):
+    return H.html_fields(_pages(spark, sf), keep=["page_id", "url"])
+
+
+def o_html_fields():
+    cols = []
+    for name, pat in H.PAGE_FIELDS.items():
+        v = strip_sql(unescape_sql(f"regexp_extract(html, {sql_str(pat)}, 1)"))
+        cols.append(f"CASE WHEN regexp_matches(html, {sql_str(pat)}) THEN {v} END AS {name}")
+    return build(f"SELECT page_id, url, {', '.join(cols)} FROM pages")
+
+
+def q_html_text(spark, sf):
+    return H.html_text(_pages(spark, sf), keep=["page_id"])
+
+
+def o_html_text():
+    body = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+    cleaned = (f"regexp_replace({body}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g')")
+    nodes = f"list_transform(regexp_split_to_array({cleaned}, '<[^>]*>'), lambda t: {strip_sql(unescape_sql('t'))})"
+    text = f"array_to_string(list_filter({nodes}, lambda t: t <> ''), chr(10))"
+    return build(f"SELECT page_id, CASE WHEN regexp_matches(html, '(?s)<article>(.*?)</article>') "
+                 f"THEN {text} END AS text FROM pages")
+
+
+def q_listing_ids(spark, sf):
+    pages = _pages(spark, sf).select((F.col("page_id") * D.LISTING_PAGE_SIZE).alias("start"), "html")
+    return H.listing_ids(pages)
+
+
+def o_listing_ids():
+    pat = '<a href="/([^"]*)"'
+    return build(f"""SELECT start, CAST(i AS INTEGER) AS pos, regexp_extract(kept[i + 1], {sql_str(pat)}, 1) AS job_id
+FROM (SELECT start, kept, unnest(range(0, len(kept))) AS i FROM (
+  SELECT start, CASE WHEN bad IS NULL OR bad = 0 THEN cards ELSE cards[1:bad - 1] END AS kept
+  FROM (SELECT start, cards,
+               list_position(list_transform(cards, lambda c: regexp_matches(c, {sql_str(pat)})), false) AS bad
+        FROM (SELECT page_id * {D.LISTING_PAGE_SIZE} AS start,
+                     regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS cards FROM pages))
+  WHERE (SELECT min(page_id * {D.LISTING_PAGE_SIZE}) FROM pages
+         WHERE len(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) = 0) IS NULL
+     OR start < (SELECT min(page_id * {D.LISTING_PAGE_SIZE}) FROM pages
+                 WHERE len(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) = 0)))""")
+
+
+def q_response_status(spark, sf):
+    return H.response_status(responses_status(spark, sf))
+
+
+def o_response_status():
+    return build("SELECT status, count(*) AS responses FROM detail_responses GROUP BY status",
+                 ("detail_responses",))
+
+
+# --- CV text ------------------------------------------------------------------
+
+def q_ordered_text_concat(spark, sf):
+    return H.ordered_text_concat(cv_pages_fx(spark, sf))
+
+
+def _concat_sql() -> str:
+    return """cv_text AS (
+  SELECT cv_id, coalesce(string_agg(text, chr(10) ORDER BY page) FILTER (WHERE coalesce(text, '') <> ''), '')
+         AS text
+  FROM cv_pages GROUP BY cv_id)"""
+
+
+def o_ordered_text_concat():
+    return build("SELECT * FROM cv_text", ("cv_pages",), (_concat_sql(),))
+
+
+def q_clean_text(spark, sf):
+    return H.ordered_text_concat(cv_pages_fx(spark, sf)).select(
+        "cv_id", TX.clean_text(F.col("text")).alias("text"))
+
+
+def o_clean_text():
+    lines = (f"list_transform(string_split(coalesce(text, ''), chr(10)), "
+             f"lambda l: {strip_sql(f'regexp_replace(l, {chr(39)}{WS}+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})")
+    return build(f"SELECT cv_id, array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10)) AS text "
+                 "FROM cv_text", ("cv_pages",), (_concat_sql(),))
+
+
+# --- descriptions -----------------------------------------------------------------
+
+def q_requirements_section(spark, sf):
+    return req_fx(spark, sf).select(
+        "doc_id", TX.requirements_section(F.col("description_text")).alias("requirements"))
+
+
+def q_preview_split(spark, sf):
+    d = F.col("description_text")
+    return jobs_fx(spark, sf).select("seq", TX.preview(d).alias("preview"), TX.remainder(d).alias("rest"))
+
+
+def o_preview_split():
+    n = D.PREVIEW_CHARS
+    return build(f"""SELECT seq, substring(coalesce(description_text, ''), 1, {n}) AS preview,
+  CASE WHEN length(coalesce(description_text, '')) > {n} THEN substring(description_text, {n + 1})
+       ELSE '' END AS rest FROM jobs""", ("jobs",))
+
+
+def q_vector_blob_roundtrip(spark, sf):
+    emb = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    enc = emb.withColumn("blob", H.vector_to_blob("embedding"))
+    # every 13th stored buffer is damaged (two bytes short)
+    enc = enc.withColumn("blob", F.when(F.col("vec_id") % 13 == 0,
+                                        F.substring("blob", 1, F.length("blob") - 2)).otherwise(F.col("blob")))
+    dec = enc.withColumn("decoded", H.blob_to_vector("blob"))
+    return dec.select("vec_id", F.length("blob").cast("bigint").alias("n_bytes"),
+                      F.col("decoded").isNotNull().alias("decoded_ok"),
+                      F.coalesce(F.col("decoded") == F.col("embedding"), F.lit(False)).alias("same"))
+
+
+def o_vector_blob_roundtrip():
+    return build("""SELECT vec_id,
+  CAST(CASE WHEN vec_id % 13 = 0 THEN 4 * len(embedding) - 2 ELSE 4 * len(embedding) END AS BIGINT) AS n_bytes,
+  vec_id % 13 <> 0 AS decoded_ok, vec_id % 13 <> 0 AS same FROM embeddings""")
+
+
+register("html_fields", o_html_fields)(q_html_fields)
+register("html_text", o_html_text)(q_html_text)
+register("listing_ids", o_listing_ids)(q_listing_ids)
+register("response_status", o_response_status)(q_response_status)
+register("ordered_text_concat", o_ordered_text_concat)(q_ordered_text_concat)
+register("clean_text", o_clean_text)(q_clean_text)
+register("requirements_section")(q_requirements_section)
+register("preview_split", o_preview_split)(q_preview_split)
+register("vector_blob_roundtrip", o_vector_blob_roundtrip)(q_vector_blob_roundtrip)
