@@ -51,18 +51,37 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def norm(a: Column) -> Column:
+def dot_unrolled(a: Column, b: Column, dims: int) -> Column:
+    """a[0]*b[0] + ... + a[dims-1]*b[dims-1] as one flat expression: no
+    lambda, so it compiles into the whole-stage code (the lambda form is
+    interpreted per element).  Same left-to-right double sum as ``dot``."""
+    acc = None
+    for i in range(dims):
+        term = F.get(a, i).cast("double") * F.get(b, i).cast("double")
+        acc = term if acc is None else acc + term
+    return acc if acc is not None else F.lit(0.0)
+
+
+def fast_dot(a: Column, b: Column, dims: int | None) -> Column:
+    """Unrolled dot when both sizes equal the expected width, else the
+    general form."""
+    if not dims or dims > 1024:
+        return dot(a, b)
+    return F.when((F.size(a) == dims) & (F.size(b) == dims), dot_unrolled(a, b, dims)).otherwise(dot(a, b))
+
+
+def norm(a: Column, dims: int | None = None) -> Column:
     """Euclidean norm in double (computed once per row, not per pair)."""
-    sq = F.transform(a, lambda x: x.cast("double") * x.cast("double"))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
+    return F.sqrt(fast_dot(a, a, dims))
 
 
-def semantic_score(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+def semantic_score(a: Column, b: Column, norm_a: Column, norm_b: Column,
+                   dims: int | None = None) -> Column:
     """Cosine x 100.  A missing vector, a zero vector or vectors of
     different length give 0 (no signal)."""
     bad = (a.isNull() | b.isNull() | (F.size(a) != F.size(b))
            | (norm_a == 0) | (norm_b == 0))
-    return F.when(bad, F.lit(0.0)).otherwise(dot(a, b) / (norm_a * norm_b) * F.lit(100.0))
+    return F.when(bad, F.lit(0.0)).otherwise(fast_dot(a, b, dims) / (norm_a * norm_b) * F.lit(100.0))
 
 
 def combined_score(cat: Column, skill: Column, sen: Column, sem: Column) -> Column:

@@ -4,14 +4,15 @@ Semantics (the original's): an entry hits a text when ``\\b<entry>\\b``
 matches the lower-cased text, both lower-cased; the original-case entry is
 reported.  ``\\b`` is Unicode-aware here (``(?U)``).
 
-Plan: the lower-cased text is cut once into alternating runs of word and
+Plan: think of the lower-cased text as alternating runs of word and
 non-word characters (``(?U)\\w+|\\W+``).  An entry that starts and ends with
 a word character matches exactly when some window of consecutive runs
 concatenates to it: its boundaries fall on run edges, and its inner runs
-must be equal whole runs.  So the hits are ``array_intersect`` of the
-run n-grams (for the run counts the dictionary needs, always odd) with the
-dictionary literal - hash lookups inside one projection, no join, no
-shuffle, no Python.  Entries whose first or last character is not a word
+must be equal whole runs.  One-run entries are therefore an
+``array_intersect`` of the word tokens with the dictionary literal (hash
+lookups); longer entries are found with one look-ahead alternation per run
+count.  Everything runs inside one projection: no join, no shuffle, no
+Python, no lambda.  Entries whose first or last character is not a word
 character (e.g. ``c++``) keep the regex form, one ``rlike`` each.
 """
 
@@ -71,21 +72,6 @@ class TermDictionary:
         return len(self.terms)
 
 
-def text_runs(text: Column) -> Column:
-    """Alternating word / non-word runs of lower(text); NULL text -> []."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(RUN_PATTERN), 0),
-                      F.array().cast("array<string>"))
-
-
-def run_ngrams(runs: Column, n: int) -> Column:
-    """All windows of n consecutive runs, concatenated."""
-    if n == 1:
-        return runs
-    windows = F.transform(F.sequence(F.lit(0), F.size(runs) - n),
-                          lambda i: F.concat(*[F.get(runs, i + j) for j in range(n)]))
-    return F.when(F.size(runs) >= n, windows).otherwise(F.array().cast("array<string>"))
-
-
 def _regex_for(term: str, edge: str) -> str:
     quoted = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", term)
     if edge == "lookaround":
@@ -93,32 +79,45 @@ def _regex_for(term: str, edge: str) -> str:
     return r"(?U)\b" + quoted + r"\b"
 
 
+def _quote(term: str) -> str:
+    return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", term)
+
+
+def multi_run_pattern(entries: list[str]) -> str:
+    """Zero-width matches at every word start followed by one of the
+    entries and a word boundary.  Captured in a lookahead, so overlapping
+    hits are all found; entries of one run count cannot both match at the
+    same start, so one pattern per run count is exact."""
+    alts = "|".join(_quote(e) for e in sorted(entries, key=lambda e: (-len(e), e)))
+    return r"(?U)\b(?=(" + alts + r")\b)"
+
+
 def match_terms(text: Column, dic: TermDictionary) -> Column:
     """Sorted distinct lower-case dictionary entries found in ``text``.
 
-    The runs array is bound once as a lambda variable
-    (``transform(array(runs), r -> ...)``): referencing a computed column
-    inside the n-gram lambda would let the optimizer inline the regex split
-    into every element access."""
+    No lambda functions: single-run entries are an ``array_intersect`` of
+    the text's word tokens with the dictionary literal (hash lookups);
+    entries spanning several runs use one look-ahead pattern per run count;
+    entries with a non-word first or last character use their own regex.
+    All of it compiles into the whole-stage code."""
     low = F.lower(text)
+    empty = F.array().cast("array<string>")
     parts = []
-    if dic.ngram_terms:
-        lit = F.array(*[F.lit(t) for n in sorted(dic.ngram_terms) for t in dic.ngram_terms[n]])
-
-        def body(r):
-            cands = [run_ngrams(r, n) for n in sorted(dic.ngram_terms)]
-            cand = cands[0] if len(cands) == 1 else F.concat(*cands)
-            return F.array_intersect(cand, lit)
-
-        parts.append(F.get(F.transform(F.array(text_runs(text)), body), 0))
+    singles = dic.ngram_terms.get(1, [])
+    if singles:
+        words = F.coalesce(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), 0), empty)
+        parts.append(F.array_intersect(words, F.array(*[F.lit(t) for t in singles])))
+    for n in sorted(k for k in dic.ngram_terms if k > 1):
+        hits = F.regexp_extract_all(low, F.lit(multi_run_pattern(dic.ngram_terms[n])), 1)
+        parts.append(F.coalesce(hits, empty))
     if dic.regex_terms:
         hits = [F.when(F.coalesce(low.rlike(_regex_for(t, dic.edge)), F.lit(False)), F.lit(t))
                 for t in dic.regex_terms]
         parts.append(F.array_compact(F.array(*hits)))
     if not parts:
-        return F.array().cast("array<string>")
-    out = parts[0] if len(parts) == 1 else F.array_distinct(F.concat(*parts))
-    return F.array_sort(out)
+        return empty
+    out = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return F.array_sort(F.array_distinct(out))
 
 
 def original_terms(lower_hits: Column, dic: TermDictionary) -> Column:

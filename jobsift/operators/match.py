@@ -35,7 +35,7 @@ DEFAULT_SALT_BUCKETS = 64
 ALL_KEY = "*"
 
 
-def prepare_cvs(cvs: DataFrame, bypass: bool = True) -> DataFrame:
+def prepare_cvs(cvs: DataFrame, bypass: bool = True, dims: int | None = None) -> DataFrame:
     """cvs: cv_id, main_category, sub_category, level, vector, skills."""
     main = F.col("main_category")
     key = F.concat(F.lit("="), main)
@@ -48,12 +48,12 @@ def prepare_cvs(cvs: DataFrame, bypass: bool = True) -> DataFrame:
         F.col("sub_category").alias("cv_sub"),
         S.level_index(F.col("level"), case_sensitive=True).alias("cv_level_idx"),
         F.col("vector").alias("cv_vec"),
-        S.norm(F.col("vector")).alias("cv_norm"),
+        S.norm(F.col("vector"), dims).alias("cv_norm"),
         F.coalesce(F.col("skills"), F.array().cast("array<string>")).alias("cv_skills"),
     )
 
 
-def prepare_jobs(jobs: DataFrame, bypass: bool = True) -> DataFrame:
+def prepare_jobs(jobs: DataFrame, bypass: bool = True, dims: int | None = None) -> DataFrame:
     """jobs: seq, url, main_category, sub_category, level, bert_vector, skills."""
     keys = [F.concat(F.lit("="), F.col("main_category"))]
     if bypass:
@@ -65,23 +65,23 @@ def prepare_jobs(jobs: DataFrame, bypass: bool = True) -> DataFrame:
         F.col("sub_category").alias("job_sub"),
         S.level_index(F.col("level"), case_sensitive=False).alias("job_level_idx"),
         F.col("bert_vector").alias("job_vec"),
-        S.norm(F.col("bert_vector")).alias("job_norm"),
+        S.norm(F.col("bert_vector"), dims).alias("job_norm"),
         F.coalesce(F.col("skills"), F.array().cast("array<string>")).alias("job_skills"),
     )
 
 
-def estimate_cv_bytes(cvs: DataFrame, n_terms: int = 64) -> tuple[int, int]:
-    """(rows, estimated bytes) of the prepared CV side: one small
-    aggregate over the CV input (only the vector column is read)."""
+def estimate_cv_bytes(cvs: DataFrame, n_terms: int = 64) -> tuple[int, int, int]:
+    """(rows, estimated bytes, vector width) of the prepared CV side: one
+    small aggregate over the CV input (only the vector column is read)."""
     row = cvs.agg(F.count(F.lit(1)).alias("n"),
                   F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dims")).first()
     n, dims = int(row["n"]), int(row["dims"])
     per_row = 96 + 4 * max(dims, 0) + 24 * n_terms
-    return n, n * per_row
+    return n, n * per_row, dims
 
 
 def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool,
-                salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+                salt_buckets: int = DEFAULT_SALT_BUCKETS, dims: int | None = None) -> DataFrame:
     """All candidate (CV, job) pairs with the score components."""
     if broadcast_cvs:
         pairs = jobs_p.join(F.broadcast(cvs_p), "jkey")
@@ -92,7 +92,7 @@ def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool,
     matched, missing = skill_overlap("cv_skills", "job_skills")
     cat = S.category_score(F.col("cv_main"), F.col("cv_sub"), F.col("job_main"), F.col("job_sub"))
     sen = S.seniority_score(F.col("cv_level_idx"), F.col("job_level_idx"))
-    sem = S.semantic_score(F.col("cv_vec"), F.col("job_vec"), F.col("cv_norm"), F.col("job_norm"))
+    sem = S.semantic_score(F.col("cv_vec"), F.col("job_vec"), F.col("cv_norm"), F.col("job_norm"), dims)
     return (pairs
             .withColumn("matched_skills", matched)
             .withColumn("missing_skills", missing)
@@ -110,18 +110,14 @@ def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool,
                     F.round("sem", 1).alias("score_semantic")))
 
 
-def choose_broadcast(cvs: DataFrame, max_broadcast_bytes: int, n_terms: int) -> bool:
-    _, est = estimate_cv_bytes(cvs, n_terms)
-    return est <= max_broadcast_bytes
-
-
 def all_pair_scores(cvs: DataFrame, jobs: DataFrame, bypass: bool = True,
                     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
                     n_terms: int = 64) -> DataFrame:
     """Every candidate pair with its components (for aggregates over the
     score distribution; never collected)."""
-    bc = choose_broadcast(cvs, max_broadcast_bytes, n_terms)
-    return score_pairs(prepare_cvs(cvs, bypass), prepare_jobs(jobs, bypass), bc)
+    _, est, dims = estimate_cv_bytes(cvs, n_terms)
+    return score_pairs(prepare_cvs(cvs, bypass, dims), prepare_jobs(jobs, bypass, dims),
+                       est <= max_broadcast_bytes, dims=dims)
 
 
 def top_k(pairs: DataFrame, k: int = D.TOP_K) -> DataFrame:
@@ -157,9 +153,9 @@ def match_topk(cvs: DataFrame, jobs: DataFrame, k: int = D.TOP_K, bypass: bool =
     ``n_terms``: upper bound of skills per CV (the dictionary size) for the
     broadcast size estimate.
     """
-    n_cv, est = estimate_cv_bytes(cvs, n_terms)
-    pairs = score_pairs(prepare_cvs(cvs, bypass), prepare_jobs(jobs, bypass),
-                        broadcast_cvs=est <= max_broadcast_bytes)
+    n_cv, est, dims = estimate_cv_bytes(cvs, n_terms)
+    pairs = score_pairs(prepare_cvs(cvs, bypass, dims), prepare_jobs(jobs, bypass, dims),
+                        broadcast_cvs=est <= max_broadcast_bytes, dims=dims)
     top = top_k(pairs, k).select(
         "cv_id", "rank", "seq", "match_score", "score_category", "score_skills",
         "score_seniority", "score_semantic", "matched_skills", "missing_skills")

@@ -18,5 +18,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+# Row id of each input table: the hash key used when a table has to be
+# spread over more tasks.
+ID_COLUMNS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
+              "conversations": "conv_id", "labels": "doc_id", "benchmark": "item_id",
+              "events": "event_id"}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet scan of one table.  When the scan has fewer partitions than
+    the cluster has cores (a few large files, e.g. one row group), the rows
+    are hash-spread by the table's id so the per-row text work is parallel;
+    with many input splits (the normal case at scale) this is a no-op."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    key = ID_COLUMNS.get(name)
+    if spread and key:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target, key)
+    return df
