@@ -4,8 +4,9 @@ and keep the top K per CV.
 Plan (one job for N CVs x M jobs; the original scores one CV at a time):
 
 * Both sides are reduced first to the columns the score needs (ids,
-  category, level index, vector + its norm, skill array); descriptions are
-  joined back only for the K survivors.
+  category, level index, vector + its norm, skill set as 64-bit masks over
+  the dictionary); descriptions and the matched / missing skill names are
+  produced only for the K survivors.
 * Candidate rule as an equi-join: a CV's key is ``'=' || main``; a CV whose
   main category is 'Other' (bypass) gets key ``'*'``.  Each job carries two
   keys, ``'=' || main`` and ``'*'``.  So the bypass needs no cross join and
@@ -23,19 +24,47 @@ Plan (one job for N CVs x M jobs; the original scores one CV at a time):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsift import dictionaries as D
 from jobsift.functions import scores as S
-from jobsift.operators.skills import skill_overlap
 
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_SALT_BUCKETS = 64
 ALL_KEY = "*"
 
 
-def prepare_cvs(cvs: DataFrame, bypass: bool = True, dims: int | None = None) -> DataFrame:
+def _sql_lit(t: str) -> str:
+    return "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def skill_ids(skills: Column, terms: list[str]) -> Column:
+    """Dictionary positions of a skill array (unknown entries dropped)."""
+    index = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])
+    return F.filter(F.transform(F.coalesce(skills, F.array().cast("array<string>")),
+                                lambda t: F.try_element_at(index, t)), lambda i: i.isNotNull())
+
+
+def skill_masks(ids_col: str, n_words: int, prefix: str) -> list[Column]:
+    """A skill set as 64-bit masks over the dictionary (bit i = entry i),
+    computed once per row, so the per-pair overlap is
+    ``bit_count(cv_mask & job_mask)`` - no per-pair hash sets."""
+    return [F.expr(f"aggregate({ids_col}, 0L, (acc, i) -> IF(i >= {64 * w} AND i < {64 * w + 64}, "
+                   f"acc | shiftleft(1L, i - {64 * w}), acc))").alias(f"{prefix}{w}")
+            for w in range(n_words)]
+
+
+def decode_mask(words: list[str], terms: list[str]) -> Column:
+    """Sorted entry names of the set bits of mask columns ``words``."""
+    arr = "array(" + ", ".join(words) + ")"
+    names = "array(" + ", ".join(_sql_lit(t) for t in terms) + ")"
+    return F.expr(f"array_sort(filter({names}, (e, i) -> "
+                  f"(shiftright(get({arr}, CAST(i div 64 AS INT)), i % 64) & 1L) = 1L))")
+
+
+def prepare_cvs(cvs: DataFrame, terms: list[str], bypass: bool = True,
+                dims: int | None = None) -> DataFrame:
     """cvs: cv_id, main_category, sub_category, level, vector, skills."""
     main = F.col("main_category")
     key = F.concat(F.lit("="), main)
@@ -49,11 +78,12 @@ def prepare_cvs(cvs: DataFrame, bypass: bool = True, dims: int | None = None) ->
         S.level_index(F.col("level"), case_sensitive=True).alias("cv_level_idx"),
         F.col("vector").alias("cv_vec"),
         S.norm(F.col("vector"), dims).alias("cv_norm"),
-        F.coalesce(F.col("skills"), F.array().cast("array<string>")).alias("cv_skills"),
-    )
+        skill_ids(F.col("skills"), terms).alias("__ids"),
+    ).select("*", *skill_masks("__ids", _n_words(terms), "cv_m")).drop("__ids")
 
 
-def prepare_jobs(jobs: DataFrame, bypass: bool = True, dims: int | None = None) -> DataFrame:
+def prepare_jobs(jobs: DataFrame, terms: list[str], bypass: bool = True,
+                 dims: int | None = None) -> DataFrame:
     """jobs: seq, url, main_category, sub_category, level, bert_vector, skills."""
     keys = [F.concat(F.lit("="), F.col("main_category"))]
     if bypass:
@@ -66,42 +96,48 @@ def prepare_jobs(jobs: DataFrame, bypass: bool = True, dims: int | None = None)
         S.level_index(F.col("level"), case_sensitive=False).alias("job_level_idx"),
         F.col("bert_vector").alias("job_vec"),
         S.norm(F.col("bert_vector"), dims).alias("job_norm"),
-        F.coalesce(F.col("skills"), F.array().cast("array<string>")).alias("job_skills"),
-    )
+        F.size(F.array_distinct(F.coalesce(F.col("skills"), F.array().cast("array<string>"))))
+         .alias("job_nreq"),
+        skill_ids(F.col("skills"), terms).alias("__ids"),
+    ).select("*", *skill_masks("__ids", _n_words(terms), "job_m")).drop("__ids")
 
 
-def estimate_cv_bytes(cvs: DataFrame, n_terms: int = 64) -> tuple[int, int, int]:
+def estimate_cv_bytes(cvs: DataFrame, n_words: int = 1) -> tuple[int, int, int]:
     """(rows, estimated bytes, vector width) of the prepared CV side: one
     small aggregate over the CV input (only the vector column is read)."""
     row = cvs.agg(F.count(F.lit(1)).alias("n"),
                   F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dims")).first()
     n, dims = int(row["n"]), int(row["dims"])
-    per_row = 96 + 4 * max(dims, 0) + 24 * n_terms
+    per_row = 96 + 4 * max(dims, 0) + 8 * n_words
     return n, n * per_row, dims
 
 
-def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool,
+def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool, n_words: int,
                 salt_buckets: int = DEFAULT_SALT_BUCKETS, dims: int | None = None) -> DataFrame:
-    """All candidate (CV, job) pairs with the score components."""
+    """All candidate (CV, job) pairs with the score components; skill sets
+    stay as masks (decode with ``decode_mask`` after top-K)."""
     if broadcast_cvs:
         pairs = jobs_p.join(F.broadcast(cvs_p), "jkey")
     else:
         salted_jobs = jobs_p.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salt_buckets)))
         salted_cvs = cvs_p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         pairs = salted_jobs.join(salted_cvs, ["jkey", "salt"]).drop("salt")
-    matched, missing = skill_overlap("cv_skills", "job_skills")
+    n_matched = None
+    for w in range(n_words):
+        c = F.bit_count(F.col(f"cv_m{w}").bitwiseAND(F.col(f"job_m{w}")))
+        n_matched = c if n_matched is None else n_matched + c
     cat = S.category_score(F.col("cv_main"), F.col("cv_sub"), F.col("job_main"), F.col("job_sub"))
     sen = S.seniority_score(F.col("cv_level_idx"), F.col("job_level_idx"))
     sem = S.semantic_score(F.col("cv_vec"), F.col("job_vec"), F.col("cv_norm"), F.col("job_norm"), dims)
+    masks = [f"cv_m{w}" for w in range(n_words)] + [f"job_m{w}" for w in range(n_words)]
     return (pairs
-            .withColumn("matched_skills", matched)
-            .withColumn("missing_skills", missing)
+            .withColumn("n_matched", n_matched)
             .withColumn("cat", cat)
-            .withColumn("skill", S.skill_score(F.size("matched_skills"), F.size("job_skills")))
+            .withColumn("skill", S.skill_score(F.col("n_matched"), F.col("job_nreq")))
             .withColumn("sen", sen)
             .withColumn("sem", sem)
             .select("cv_id", "seq", "url", "cv_main", "cv_level_idx", "job_main", "job_level_idx",
-                    "matched_skills", "missing_skills",
+                    "n_matched", "job_nreq", *masks,
                     S.match_score(S.combined_score(F.col("cat"), F.col("skill"), F.col("sen"),
                                                    F.col("sem"))).alias("match_score"),
                     F.round("cat", 1).alias("score_category"),
@@ -110,14 +146,37 @@ def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool,
                     F.round("sem", 1).alias("score_semantic")))
 
 
-def all_pair_scores(cvs: DataFrame, jobs: DataFrame, bypass: bool = True,
-                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-                    n_terms: int = 64) -> DataFrame:
-    """Every candidate pair with its components (for aggregates over the
-    score distribution; never collected)."""
-    _, est, dims = estimate_cv_bytes(cvs, n_terms)
-    return score_pairs(prepare_cvs(cvs, bypass, dims), prepare_jobs(jobs, bypass, dims),
-                       est <= max_broadcast_bytes, dims=dims)
+def with_skill_names(pairs: DataFrame, terms: list[str], n_words: int) -> DataFrame:
+    """matched = cv & job, missing = job & ~cv, as sorted name arrays."""
+    matched = [f"(cv_m{w} & job_m{w})" for w in range(n_words)]
+    missing = [f"(job_m{w} & ~cv_m{w})" for w in range(n_words)]
+    return (pairs.withColumn("matched_skills", decode_mask(matched, terms))
+                 .withColumn("missing_skills", decode_mask(missing, terms)))
+
+
+def _n_words(terms: list[str]) -> int:
+    return max(1, (len(terms) + 63) // 64)
+
+
+def _terms(terms) -> list[str]:
+    """Canonical lower-case dictionary in first-seen order."""
+    out: dict[str, None] = {}
+    for t in terms:
+        if t:
+            out.setdefault(t.lower(), None)
+    return list(out)
+
+
+def all_pair_scores(cvs: DataFrame, jobs: DataFrame, terms, bypass: bool = True,
+                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Every candidate pair with its components, matched/missing decoded
+    (for aggregates over the score distribution; never collected)."""
+    terms = _terms(terms)
+    n_words = max(1, (len(terms) + 63) // 64)
+    _, est, dims = estimate_cv_bytes(cvs, n_words)
+    pairs = score_pairs(prepare_cvs(cvs, terms, bypass, dims), prepare_jobs(jobs, terms, bypass, dims),
+                        est <= max_broadcast_bytes, n_words, dims=dims)
+    return with_skill_names(pairs, terms, n_words)
 
 
 def top_k(pairs: DataFrame, k: int = D.TOP_K) -> DataFrame:
@@ -141,22 +200,22 @@ SCORE_RECORD = ["cv_id", "rank", "seq", "job_title", "company", "url", "date", "
                 "search_date", "main_category"]
 
 
-def match_topk(cvs: DataFrame, jobs: DataFrame, k: int = D.TOP_K, bypass: bool = True,
-               max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-               n_terms: int = 64) -> DataFrame:
+def match_topk(cvs: DataFrame, jobs: DataFrame, terms, k: int = D.TOP_K, bypass: bool = True,
+               max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Top-K jobs per CV with the full score record.
 
     cvs:  cv_id, main_category, sub_category, level, vector, skills
     jobs: seq, url, job_title, company_name, location, search_date,
           description_text, main_category, sub_category, level,
           bert_vector, skills
-    ``n_terms``: upper bound of skills per CV (the dictionary size) for the
-    broadcast size estimate.
+    ``terms``: the skill dictionary the ``skills`` arrays were built with.
     """
-    n_cv, est, dims = estimate_cv_bytes(cvs, n_terms)
-    pairs = score_pairs(prepare_cvs(cvs, bypass, dims), prepare_jobs(jobs, bypass, dims),
-                        broadcast_cvs=est <= max_broadcast_bytes, dims=dims)
-    top = top_k(pairs, k).select(
+    terms = _terms(terms)
+    n_words = max(1, (len(terms) + 63) // 64)
+    n_cv, est, dims = estimate_cv_bytes(cvs, n_words)
+    pairs = score_pairs(prepare_cvs(cvs, terms, bypass, dims), prepare_jobs(jobs, terms, bypass, dims),
+                        broadcast_cvs=est <= max_broadcast_bytes, n_words=n_words, dims=dims)
+    top = with_skill_names(top_k(pairs, k), terms, n_words).select(
         "cv_id", "rank", "seq", "match_score", "score_category", "score_skills",
         "score_seniority", "score_semantic", "matched_skills", "missing_skills")
     display = jobs.select(
@@ -166,10 +225,10 @@ def match_topk(cvs: DataFrame, jobs: DataFrame, k: int = D.TOP_K, bypass: bool =
     return attach_job_details(top, display, n_cv * k).select(*SCORE_RECORD)
 
 
-def single_cv_top(cv: DataFrame, jobs: DataFrame, k: int = D.TOP_K, **kw) -> DataFrame:
+def single_cv_top(cv: DataFrame, jobs: DataFrame, terms, k: int = D.TOP_K, **kw) -> DataFrame:
     """The original page flow for one CV: score its candidates, sort by
     score (ties: url, seq) and keep the first K (TakeOrderedAndProject)."""
-    return match_topk(cv, jobs, k=k, **kw).orderBy(
+    return match_topk(cv, jobs, terms, k=k, **kw).orderBy(
         F.col("match_score").desc(), F.col("url"), F.col("seq")).limit(k)
 
 

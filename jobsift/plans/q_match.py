@@ -26,13 +26,13 @@ def scored_inputs(spark, sf):
 
 def q_match_topk(spark, sf):
     cvs, jobs = scored_inputs(spark, sf)
-    return M.match_topk(cvs, jobs, n_terms=len(SKILLS_FX))
+    return M.match_topk(cvs, jobs, SKILLS_FX)
 
 
 def q_top50_single_cv(spark, sf):
     cvs, jobs = scored_inputs(spark, sf)
     first = cvs.where(F.col("cv_id") == cvs.select(F.min("cv_id")).scalar())
-    return M.single_cv_top(first, jobs, n_terms=len(SKILLS_FX))
+    return M.single_cv_top(first, jobs, SKILLS_FX)
 
 
 def q_match_cards(spark, sf):
@@ -41,7 +41,7 @@ def q_match_cards(spark, sf):
 
 def _pairs(spark, sf):
     cvs, jobs = scored_inputs(spark, sf)
-    return M.all_pair_scores(cvs, jobs, n_terms=len(SKILLS_FX))
+    return M.all_pair_scores(cvs, jobs, SKILLS_FX)
 
 
 def q_category_score(spark, sf):
