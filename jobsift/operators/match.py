@@ -169,14 +169,14 @@ def _terms(terms) -> list[str]:
 
 def all_pair_scores(cvs: DataFrame, jobs: DataFrame, terms, bypass: bool = True,
                     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """Every candidate pair with its components, matched/missing decoded
-    (for aggregates over the score distribution; never collected)."""
+    """Every candidate pair with its components and matched / required
+    skill counts (for aggregates over the score distribution; never
+    collected).  Names can be added with ``with_skill_names``."""
     terms = _terms(terms)
-    n_words = max(1, (len(terms) + 63) // 64)
+    n_words = _n_words(terms)
     _, est, dims = estimate_cv_bytes(cvs, n_words)
-    pairs = score_pairs(prepare_cvs(cvs, terms, bypass, dims), prepare_jobs(jobs, terms, bypass, dims),
-                        est <= max_broadcast_bytes, n_words, dims=dims)
-    return with_skill_names(pairs, terms, n_words)
+    return score_pairs(prepare_cvs(cvs, terms, bypass, dims), prepare_jobs(jobs, terms, bypass, dims),
+                       est <= max_broadcast_bytes, n_words, dims=dims)
 
 
 def top_k(pairs: DataFrame, k: int = D.TOP_K) -> DataFrame:

@@ -56,8 +56,8 @@ def q_seniority_score(spark, sf):
 def q_skill_score(spark, sf):
     return (_pairs(spark, sf).groupBy("score_skills")
             .agg(F.count(F.lit(1)).alias("pairs"),
-                 F.sum(F.size("matched_skills")).alias("matched"),
-                 F.sum(F.size("missing_skills")).alias("missing")))
+                 F.sum("n_matched").alias("matched"),
+                 F.sum(F.col("job_nreq") - F.col("n_matched")).alias("missing")))
 
 
 def q_semantic_score(spark, sf):
