@@ -45,43 +45,43 @@ def skill_score(n_matched: Column, n_required: Column) -> Column:
              .otherwise(n_matched.cast("double") / n_required.cast("double") * F.lit(100.0)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Sequential double dot product of two float arrays."""
-    prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)
+def dot_sql(a: str, b: str) -> str:
+    """Sequential double dot product of two float array columns (SQL)."""
+    return (f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), "
+            f"0D, (acc, x) -> acc + x)")
 
 
-def dot_unrolled(a: Column, b: Column, dims: int) -> Column:
+def dot_unrolled_sql(a: str, b: str, dims: int) -> str:
     """a[0]*b[0] + ... + a[dims-1]*b[dims-1] as one flat expression: no
     lambda, so it compiles into the whole-stage code (the lambda form is
-    interpreted per element).  Same left-to-right double sum as ``dot``."""
-    acc = None
-    for i in range(dims):
-        term = F.get(a, i).cast("double") * F.get(b, i).cast("double")
-        acc = term if acc is None else acc + term
-    return acc if acc is not None else F.lit(0.0)
+    interpreted per element).  Same left-to-right double sum as ``dot_sql``.
+    Built as one SQL string (one call to the JVM, not one per term)."""
+    return " + ".join(f"CAST(get({a}, {i}) AS DOUBLE) * CAST(get({b}, {i}) AS DOUBLE)"
+                      for i in range(dims)) or "0D"
 
 
-def fast_dot(a: Column, b: Column, dims: int | None) -> Column:
+def fast_dot_sql(a: str, b: str, dims: int | None) -> str:
     """Unrolled dot when both sizes equal the expected width, else the
     general form."""
     if not dims or dims > 1024:
-        return dot(a, b)
-    return F.when((F.size(a) == dims) & (F.size(b) == dims), dot_unrolled(a, b, dims)).otherwise(dot(a, b))
+        return dot_sql(a, b)
+    return (f"CASE WHEN size({a}) = {dims} AND size({b}) = {dims} "
+            f"THEN {dot_unrolled_sql(a, b, dims)} ELSE {dot_sql(a, b)} END")
 
 
-def norm(a: Column, dims: int | None = None) -> Column:
-    """Euclidean norm in double (computed once per row, not per pair)."""
-    return F.sqrt(fast_dot(a, a, dims))
+def norm(a: str, dims: int | None = None) -> Column:
+    """Euclidean norm in double of array column ``a`` (computed once per
+    row, not per pair)."""
+    return F.expr(f"sqrt({fast_dot_sql(a, a, dims)})")
 
 
-def semantic_score(a: Column, b: Column, norm_a: Column, norm_b: Column,
-                   dims: int | None = None) -> Column:
-    """Cosine x 100.  A missing vector, a zero vector or vectors of
-    different length give 0 (no signal)."""
-    bad = (a.isNull() | b.isNull() | (F.size(a) != F.size(b))
-           | (norm_a == 0) | (norm_b == 0))
-    return F.when(bad, F.lit(0.0)).otherwise(fast_dot(a, b, dims) / (norm_a * norm_b) * F.lit(100.0))
+def semantic_score(a: str, b: str, norm_a: str, norm_b: str, dims: int | None = None) -> Column:
+    """Cosine x 100 of array columns ``a`` and ``b`` with precomputed
+    norms.  A missing vector, a zero vector or vectors of different length
+    give 0 (no signal)."""
+    return F.expr(f"CASE WHEN {a} IS NULL OR {b} IS NULL OR size({a}) <> size({b}) "
+                  f"OR {norm_a} = 0 OR {norm_b} = 0 THEN 0D "
+                  f"ELSE ({fast_dot_sql(a, b, dims)}) / ({norm_a} * {norm_b}) * 100D END")
 
 
 def combined_score(cat: Column, skill: Column, sen: Column, sem: Column) -> Column:

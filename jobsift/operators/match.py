@@ -77,7 +77,7 @@ def prepare_cvs(cvs: DataFrame, terms: list[str], bypass: bool = True,
         F.col("sub_category").alias("cv_sub"),
         S.level_index(F.col("level"), case_sensitive=True).alias("cv_level_idx"),
         F.col("vector").alias("cv_vec"),
-        S.norm(F.col("vector"), dims).alias("cv_norm"),
+        S.norm("vector", dims).alias("cv_norm"),
         skill_ids(F.col("skills"), terms).alias("__ids"),
     ).select("*", *skill_masks("__ids", _n_words(terms), "cv_m")).drop("__ids")
 
@@ -95,7 +95,7 @@ def prepare_jobs(jobs: DataFrame, terms: list[str], bypass: bool = True,
         F.col("sub_category").alias("job_sub"),
         S.level_index(F.col("level"), case_sensitive=False).alias("job_level_idx"),
         F.col("bert_vector").alias("job_vec"),
-        S.norm(F.col("bert_vector"), dims).alias("job_norm"),
+        S.norm("bert_vector", dims).alias("job_norm"),
         F.size(F.array_distinct(F.coalesce(F.col("skills"), F.array().cast("array<string>"))))
          .alias("job_nreq"),
         skill_ids(F.col("skills"), terms).alias("__ids"),
@@ -128,22 +128,21 @@ def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool, n_word
         n_matched = c if n_matched is None else n_matched + c
     cat = S.category_score(F.col("cv_main"), F.col("cv_sub"), F.col("job_main"), F.col("job_sub"))
     sen = S.seniority_score(F.col("cv_level_idx"), F.col("job_level_idx"))
-    sem = S.semantic_score(F.col("cv_vec"), F.col("job_vec"), F.col("cv_norm"), F.col("job_norm"), dims)
+    sem = S.semantic_score("cv_vec", "job_vec", "cv_norm", "job_norm", dims)
     masks = [f"cv_m{w}" for w in range(n_words)] + [f"job_m{w}" for w in range(n_words)]
-    return (pairs
-            .withColumn("n_matched", n_matched)
-            .withColumn("cat", cat)
-            .withColumn("skill", S.skill_score(F.col("n_matched"), F.col("job_nreq")))
-            .withColumn("sen", sen)
-            .withColumn("sem", sem)
-            .select("cv_id", "seq", "url", "cv_main", "cv_level_idx", "job_main", "job_level_idx",
-                    "n_matched", "job_nreq", *masks,
-                    S.match_score(S.combined_score(F.col("cat"), F.col("skill"), F.col("sen"),
-                                                   F.col("sem"))).alias("match_score"),
-                    F.round("cat", 1).alias("score_category"),
-                    F.round("skill", 1).alias("score_skills"),
-                    F.round("sen", 1).alias("score_seniority"),
-                    F.round("sem", 1).alias("score_semantic")))
+    keep = ["cv_id", "seq", "url", "cv_main", "cv_level_idx", "job_main", "job_level_idx", "job_nreq", *masks]
+    # two projections (not a chain of withColumn): each step re-analyses
+    # the plan, and the unrolled dot product makes it large
+    parts = pairs.select(*keep, n_matched.alias("n_matched"), cat.alias("cat"), sen.alias("sen"),
+                         sem.alias("sem"))
+    return parts.select(
+        *keep[:7], "n_matched", "job_nreq", *masks,
+        S.match_score(S.combined_score(F.col("cat"), S.skill_score(F.col("n_matched"), F.col("job_nreq")),
+                                       F.col("sen"), F.col("sem"))).alias("match_score"),
+        F.round("cat", 1).alias("score_category"),
+        F.round(S.skill_score(F.col("n_matched"), F.col("job_nreq")), 1).alias("score_skills"),
+        F.round("sen", 1).alias("score_seniority"),
+        F.round("sem", 1).alias("score_semantic"))
 
 
 def with_skill_names(pairs: DataFrame, terms: list[str], n_words: int) -> DataFrame:

@@ -26,14 +26,17 @@ ID_COLUMNS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Parquet scan of one table.  When the scan has fewer partitions than
-    the cluster has cores (a few large files, e.g. one row group), the rows
-    are hash-spread by the table's id so the per-row text work is parallel;
-    with many input splits (the normal case at scale) this is a no-op."""
+    """Parquet scan of one table.  When the table is stored as fewer files
+    than the cluster has cores (the test tables are one file, one row group
+    each), the rows are hash-spread by the table's id so the per-row text
+    work is parallel; with many input files (the normal case at scale) this
+    is a no-op."""
     df = spark.read.parquet(table_path(sf_dir, name))
     key = ID_COLUMNS.get(name)
     if spread and key:
         target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
+        # file metadata only (no job): a table stored as fewer files than
+        # cores is spread; thousands of files at scale are left as they are
+        if len(df.inputFiles()) < target:
             df = df.repartition(target, key)
     return df
