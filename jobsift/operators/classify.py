@@ -291,3 +291,24 @@ def category_keywords(df: DataFrame, id_col: str, title_col: str, text_col: str,
                .withColumn("sub_category", F.when(F.col("__m").isNull(), F.lit(D.JOB_DEFAULT["sub_category"]))
                            .otherwise(F.coalesce("__s", F.lit("Other"))))
                .drop("__m", "__s"))
+
+
+def classify_cvs(cvs: DataFrame, id_col: str = "cv_id", text_col: str = "text", keyword_rows=None,
+                 default: dict | None = None) -> DataFrame:
+    """Rule-based CV classification (stand-in for the model call): the
+    headline (first line of the cleaned CV text) counts as the title; the
+    category comes from ``category_keywords``, the level from
+    ``seniority_rules``; a CV without text - where the model call has
+    nothing to classify and fails - gets the whole default record
+    (junior, General, Blue Collar)."""
+    default = default or D.CV_DEFAULT
+    base = cvs.select(id_col, text_col).withColumn(
+        "__headline", F.coalesce(F.get(F.split(F.col(text_col), "\n"), 0), F.lit("")))
+    cat = category_keywords(base, id_col, "__headline", text_col, keyword_rows)
+    lvl = seniority_rules(cat, "__headline", text_col)
+    failed = F.coalesce(F.col(text_col), F.lit("")) == ""
+    return lvl.select(
+        id_col,
+        F.when(failed, F.lit(default["main_category"])).otherwise(F.col("main_category")).alias("main_category"),
+        F.when(failed, F.lit(default["sub_category"])).otherwise(F.col("sub_category")).alias("sub_category"),
+        F.when(failed, F.lit(default["level"])).otherwise(F.col("level")).alias("level"))

@@ -215,9 +215,9 @@ def q_seniority_rules(spark, sf):
         .select("seq", "job_title", "level")
 
 
-def o_seniority_rules():
-    t = "lower(coalesce(job_title, ''))"
-    d = "lower(coalesce(description_text, ''))"
+def seniority_case_sql(title: str, desc: str) -> str:
+    t = f"lower(coalesce({title}, ''))"
+    d = f"lower(coalesce({desc}, ''))"
 
     def anyof(col, phrases):
         return "(" + " OR ".join(f"contains({col}, {sql_str(p)})" for p in phrases) + ")"
@@ -234,8 +234,12 @@ def o_seniority_rules():
         else:
             cond = f"({anyof(t, phrases)} AND NOT {anyof(t, ['junior', 'assistant'])})"
         whens.append(f"WHEN {cond} THEN {sql_str(level)}")
-    return build(f"SELECT seq, job_title, CASE {' '.join(whens)} ELSE {sql_str(D.SENIORITY_DEFAULT)} END "
-                 "AS level FROM jobs", ("jobs",))
+    return f"CASE {' '.join(whens)} ELSE {sql_str(D.SENIORITY_DEFAULT)} END"
+
+
+def o_seniority_rules():
+    return build(f"SELECT seq, job_title, {seniority_case_sql('job_title', 'description_text')} AS level "
+                 "FROM jobs", ("jobs",))
 
 
 def q_category_phrases(spark, sf):
@@ -261,28 +265,59 @@ def q_category_keywords(spark, sf):
         .select("seq", "job_title", "main_category", "sub_category")
 
 
-def o_category_keywords():
+def keyword_ctes(src: str, key: str, title: str, text: str) -> tuple[str, ...]:
+    """CTEs ending in best(<key>, main, sub): the keyword classifier."""
     rows = C._keyword_rows()
     terms = sorted({r[2] for r in rows})
     kw_values = ", ".join(f"({sql_str(m)}, {sql_str(s)}, {sql_str(k)}, {o})" for m, s, k, o in rows)
-    d = D.JOB_DEFAULT
-    return build(f"""SELECT j.seq, j.job_title,
-  coalesce(b.main, '{d['main_category']}') AS main_category,
-  CASE WHEN b.main IS NULL THEN '{d['sub_category']}' ELSE coalesce(b.sub, 'Other') END AS sub_category
-FROM jobs j LEFT JOIN best b ON b.seq = j.seq""", ("jobs",), (
+    return (
         f"kw(main, sub, keyword, tax_order) AS (VALUES {kw_values})",
         f"""hits AS (
-  SELECT seq, unnest(list_distinct({hit_list_sql('job_title', terms)})) AS keyword, 3 AS w FROM jobs
+  SELECT {key}, unnest(list_distinct({hit_list_sql(title, terms)})) AS keyword, 3 AS w FROM {src}
   UNION ALL
-  SELECT seq, unnest(list_distinct({hit_list_sql('description_text', terms)})) AS keyword, 1 AS w FROM jobs)""",
-        """scored AS (
-  SELECT h.seq, k.main, k.sub, k.tax_order, sum(h.w) AS score
+  SELECT {key}, unnest(list_distinct({hit_list_sql(text, terms)})) AS keyword, 1 AS w FROM {src})""",
+        f"""scored AS (
+  SELECT h.{key}, k.main, k.sub, k.tax_order, sum(h.w) AS score
   FROM hits h JOIN kw k ON k.keyword = h.keyword GROUP BY 1, 2, 3, 4)""",
-        """best AS (
-  SELECT seq, b.main, b.sub FROM (
-    SELECT seq, arg_max(struct_pack(main, sub), score * 1000000 - tax_order) AS b
-    FROM scored GROUP BY seq))""",
-    ))
+        f"""best AS (
+  SELECT {key}, b.main, b.sub FROM (
+    SELECT {key}, arg_max(struct_pack(main, sub), score * 1000000 - tax_order) AS b
+    FROM scored GROUP BY {key}))""",
+    )
+
+
+def o_category_keywords():
+    d = D.JOB_DEFAULT
+    return build(f"""SELECT j.seq, j.job_title,
+  coalesce(b.main, '{d['main_category']}') AS main_category,
+  CASE WHEN b.main IS NULL THEN '{d['sub_category']}' ELSE coalesce(b.sub, 'Other') END AS sub_category
+FROM jobs j LEFT JOIN best b ON b.seq = j.seq""", ("jobs",),
+                 keyword_ctes("jobs", "seq", "job_title", "description_text"))
+
+
+def q_cv_classification(spark, sf):
+    from jobsift.functions.text import clean_text
+    from jobsift.sources.fixtures import cv_pages_fx
+    from jobsift.sources.html import ordered_text_concat
+    text = ordered_text_concat(cv_pages_fx(spark, sf)).select(
+        "cv_id", clean_text(F.col("text")).alias("text"))
+    return C.classify_cvs(text)
+
+
+def o_cv_classification():
+    from jobsift.plans.q_text import clean_ctes
+    d, c = D.JOB_DEFAULT, D.CV_DEFAULT
+    head = "coalesce(string_split(text, chr(10))[1], '')"
+    return build(f"""SELECT v.cv_id,
+  CASE WHEN coalesce(v.text, '') = '' THEN '{c['main_category']}'
+       ELSE coalesce(b.main, '{d['main_category']}') END AS main_category,
+  CASE WHEN coalesce(v.text, '') = '' THEN '{c['sub_category']}'
+       WHEN b.main IS NULL THEN '{d['sub_category']}' ELSE coalesce(b.sub, 'Other') END AS sub_category,
+  CASE WHEN coalesce(v.text, '') = '' THEN '{c['level']}'
+       ELSE {seniority_case_sql('v.headline', 'v.text')} END AS level
+FROM cvh v LEFT JOIN best b ON b.cv_id = v.cv_id""", ("cv_pages",),
+                 clean_ctes() + (f"cvh AS (SELECT cv_id, text, {head} AS headline FROM cv_clean)",)
+                 + keyword_ctes("cvh", "cv_id", "headline", "text"))
 
 
 register("level_override", o_level_override)(q_level_override)
@@ -299,3 +334,4 @@ register("classify_parse", o_classify_parse)(q_classify_parse)
 register("seniority_rules", o_seniority_rules)(q_seniority_rules)
 register("category_phrases", o_category_phrases)(q_category_phrases)
 register("category_keywords", o_category_keywords)(q_category_keywords)
+register("cv_classification", o_cv_classification)(q_cv_classification)

@@ -108,11 +108,20 @@ def q_clean_text(spark, sf):
         "cv_id", TX.clean_text(F.col("text")).alias("text"))
 
 
-def o_clean_text():
-    lines = (f"list_transform(string_split(coalesce(text, ''), chr(10)), "
+def clean_sql(col: str) -> str:
+    """clean_text in DuckDB SQL."""
+    lines = (f"list_transform(string_split(coalesce({col}, ''), chr(10)), "
              f"lambda l: {strip_sql(f'regexp_replace(l, {chr(39)}{WS}+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')})")
-    return build(f"SELECT cv_id, array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10)) AS text "
-                 "FROM cv_text", ("cv_pages",), (_concat_sql(),))
+    return f"array_to_string(list_filter({lines}, lambda l: l <> ''), chr(10))"
+
+
+def clean_ctes() -> tuple[str, ...]:
+    """cv_text (ordered page concat) and cv_clean (cleaned) CTEs."""
+    return (_concat_sql(), f"cv_clean AS (SELECT cv_id, {clean_sql('text')} AS text FROM cv_text)")
+
+
+def o_clean_text():
+    return build("SELECT cv_id, text FROM cv_clean", ("cv_pages",), clean_ctes())
 
 
 # --- descriptions -----------------------------------------------------------------
