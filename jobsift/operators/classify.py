@@ -264,8 +264,9 @@ def _keyword_rows(rows=None):
 def category_keywords(df: DataFrame, id_col: str, title_col: str, text_col: str, keyword_rows=None,
                       title_weight: int = 3, text_weight: int = 1) -> DataFrame:
     """Keyword classifier: whole-word keyword hits in title (weight 3) and
-    text (weight 1), summed per (main, sub) candidate; the best candidate
-    wins (ties: taxonomy order); a main-scope winner gets sub 'Other'; no
+    text (weight 1).  Candidates: each main with main-scope hits (score =
+    their weight, sub 'Other') and each sub with hits (score = its weight
+    plus its main's); the best candidate wins (ties: taxonomy order); no
     hit -> General / Other.  Hits are found per row by the dictionary
     matcher (no pairs), then joined to the keyword table (a parameter of
     a few hundred rows, broadcast)."""
@@ -280,8 +281,17 @@ def category_keywords(df: DataFrame, id_col: str, title_col: str, text_col: str,
             F.transform("__th", lambda k: F.struct(k.alias("keyword"), F.lit(title_weight).alias("w"))),
             F.transform("__xh", lambda k: F.struct(k.alias("keyword"), F.lit(text_weight).alias("w"))),
         )).alias("h")).select(id_col, "h.keyword", "h.w")
-    scored = (exploded.join(F.broadcast(keywords), "keyword")
-              .groupBy(id_col, "main", "sub", "tax_order").agg(F.sum("w").alias("score")))
+    hits_kw = exploded.join(F.broadcast(keywords), "keyword")
+    main_w = (hits_kw.where(F.col("sub").isNull())
+              .groupBy(id_col, "main", "tax_order").agg(F.sum("w").alias("score")))
+    sub_w = (hits_kw.where(F.col("sub").isNotNull())
+             .groupBy(id_col, "main", "sub", "tax_order").agg(F.sum("w").alias("sw")))
+    # a sub candidate also carries its main's keyword weight, so a specific
+    # hit always beats the main-only candidate of the same main
+    subs = (sub_w.join(main_w.select(id_col, "main", F.col("score").alias("mw")), [id_col, "main"], "left")
+            .select(id_col, "main", "sub", "tax_order",
+                    (F.col("sw") + F.coalesce(F.col("mw"), F.lit(0))).alias("score")))
+    scored = subs.unionByName(main_w.withColumn("sub", F.lit(None).cast("string")))
     best = (scored.groupBy(id_col)
             .agg(F.max_by(F.struct("main", "sub"),
                           F.struct(F.col("score"), (-F.col("tax_order")).alias("o"))).alias("b"))

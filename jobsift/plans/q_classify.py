@@ -276,9 +276,14 @@ def keyword_ctes(src: str, key: str, title: str, text: str) -> tuple[str, ...]:
   SELECT {key}, unnest(list_distinct({hit_list_sql(title, terms)})) AS keyword, 3 AS w FROM {src}
   UNION ALL
   SELECT {key}, unnest(list_distinct({hit_list_sql(text, terms)})) AS keyword, 1 AS w FROM {src})""",
+        f"""hk AS (SELECT h.{key}, k.main, k.sub, k.tax_order, h.w FROM hits h JOIN kw k ON k.keyword = h.keyword)""",
+        f"""mw AS (SELECT {key}, main, tax_order, sum(w) AS score FROM hk WHERE sub IS NULL GROUP BY 1, 2, 3)""",
         f"""scored AS (
-  SELECT h.{key}, k.main, k.sub, k.tax_order, sum(h.w) AS score
-  FROM hits h JOIN kw k ON k.keyword = h.keyword GROUP BY 1, 2, 3, 4)""",
+  SELECT s.{key}, s.main, s.sub, s.tax_order, s.sw + coalesce(m.score, 0) AS score
+  FROM (SELECT {key}, main, sub, tax_order, sum(w) AS sw FROM hk WHERE sub IS NOT NULL GROUP BY 1, 2, 3, 4) s
+  LEFT JOIN mw m ON m.{key} = s.{key} AND m.main = s.main
+  UNION ALL
+  SELECT {key}, main, NULL AS sub, tax_order, score FROM mw)""",
         f"""best AS (
   SELECT {key}, b.main, b.sub FROM (
     SELECT {key}, arg_max(struct_pack(main, sub), score * 1000000 - tax_order) AS b

@@ -341,3 +341,23 @@ def test_export_rows_null_to_empty(spark):
     df = spark.createDataFrame([(None, dt.date(2024, 1, 2))], "a string, d date")
     r = export_rows(df).first()
     assert (r.a, r.d) == ("", "2024-01-02")
+
+
+def test_skill_pairs_join_strategy_equals_literal(spark):
+    terms = ["the", "and", "of the", "que de", "für", "über", "nicht", "los", "Los", "c++", "in the"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    lit = sorted(tuple(r) for r in skill_pairs(docs, ["doc_id"], "text", terms, strategy="literal").collect())
+    join = sorted(tuple(r) for r in skill_pairs(docs, ["doc_id"], "text", terms, strategy="join").collect())
+    assert lit == join and len(lit) > 1000
+    edge = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SKILL_TEXTS)], "id int, text string")
+    a = sorted(tuple(r) for r in skill_pairs(edge, ["id"], "text", EDGE_SKILLS, strategy="literal").collect())
+    b = sorted(tuple(r) for r in skill_pairs(edge, ["id"], "text", EDGE_SKILLS, strategy="join").collect())
+    assert a == b
+
+
+def test_classify_cvs_failure_default(spark):
+    df = spark.createDataFrame([(1, "Senior Data Engineer\nspark and airflow"), (2, ""), (3, None)],
+                               "cv_id int, text string")
+    got = {r.cv_id: (r.main_category, r.sub_category, r.level) for r in C.classify_cvs(df).collect()}
+    assert got[1] == ("Data & BI", "Data Engineer", "senior")
+    assert got[2] == got[3] == ("General", "Blue Collar", "junior")
