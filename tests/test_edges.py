@@ -361,3 +361,28 @@ def test_classify_cvs_failure_default(spark):
     got = {r.cv_id: (r.main_category, r.sub_category, r.level) for r in C.classify_cvs(df).collect()}
     assert got[1] == ("Data & BI", "Data Engineer", "senior")
     assert got[2] == got[3] == ("General", "Blue Collar", "junior")
+
+
+def test_sinks_append_version_export(spark, tmp_path):
+    from jobsift.sources import sinks
+    base = str(tmp_path)
+    batch = spark.createDataFrame([(1, "u1", dt.date(2024, 1, 1)), (2, "u2", dt.date(2024, 1, 2))],
+                                  "seq bigint, url string, search_date date")
+    sinks.append_jobs(batch, f"{base}/jobs")
+    sinks.append_jobs(batch.where("seq = 2").withColumn("seq", F.lit(3).cast("bigint")), f"{base}/jobs")
+    jobs = spark.read.parquet(f"{base}/jobs")
+    assert jobs.count() == 3
+    assert jobs.where("search_date = date'2024-01-02'").count() == 2
+    # replace: read v1, write v2 from it, the pointer moves, v1 untouched
+    v1 = sinks.write_version(jobs, f"{base}/table")
+    cur = sinks.read_current(spark, f"{base}/table")
+    v2 = sinks.write_version(DD.keep_latest_url(cur), f"{base}/table")
+    assert v1 != v2
+    assert sinks.read_current(spark, f"{base}/table").count() == 2
+    assert spark.read.parquet(v1).count() == 3
+    # export: one tab fails (bad path type), the other is written
+    status = sinks.export_tabs({"jobs": jobs, "bad": jobs.select(F.col("seq").alias("seq"),
+                                                                 F.col("seq").alias("seq"))}, f"{base}/export")
+    assert status["jobs"] == "ok" and status["bad"] != "ok"
+    back = spark.read.option("header", True).csv(f"{base}/export/jobs")
+    assert back.count() == 3 and set(back.columns) == {"seq", "url", "search_date"}
