@@ -131,7 +131,9 @@ def global_row_number(df: DataFrame, order_col: str = "seq", buckets: int = 4096
     per range - are prefix-summed and broadcast as offsets."""
     bounds = df.select(F.struct(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))).scalar()
     width = F.greatest(F.lit(1), F.ceil((bounds["hi"] - bounds["lo"] + 1) / F.lit(buckets)))
-    b = df.withColumn("__b", F.floor((F.col(order_col) - bounds["lo"]) / width).cast("bigint"))
+    # exact integer division (decimal, not double: seq may exceed 2^53)
+    off = (F.col(order_col) - bounds["lo"]).cast("decimal(38,0)")
+    b = df.withColumn("__b", F.floor(off / width.cast("decimal(38,0)")).cast("bigint"))
     local = b.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(order_col)))
     counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("__b", F.coalesce(F.sum("__n").over(

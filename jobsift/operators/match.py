@@ -183,13 +183,15 @@ def top_k(pairs: DataFrame, k: int = D.TOP_K) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def attach_job_details(top: DataFrame, jobs_display: DataFrame, small_side_rows: int,
-                       max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def attach_job_details(top: DataFrame, jobs_display: DataFrame, top_bytes: int,
+                       max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Join the display columns (title, company, location, date,
     description) back by seq, after top-K.  The top-K side has at most
-    n_cv * K rows; it is broadcast when that bound is small, so the jobs
-    table is scanned once more without a shuffle."""
-    right = F.broadcast(top) if small_side_rows <= max_broadcast_rows else top
+    n_cv * K rows; it is broadcast when that bound (in bytes) is small, so
+    the jobs table is scanned once more without a shuffle; otherwise both
+    sides shuffle on seq (a job in many CVs' top-K repeats at most n_cv
+    times)."""
+    right = F.broadcast(top) if top_bytes <= max_broadcast_bytes else top
     return jobs_display.join(right, "seq")
 
 
@@ -221,7 +223,8 @@ def match_topk(cvs: DataFrame, jobs: DataFrame, terms, k: int = D.TOP_K, bypass:
         "seq", "job_title", F.col("company_name").alias("company"), "url",
         F.col("search_date").alias("date"), F.col("description_text").alias("description"),
         "location", "search_date", "main_category")
-    return attach_job_details(top, display, n_cv * k).select(*SCORE_RECORD)
+    top_bytes = n_cv * k * (128 + 24 * min(len(terms), 64))
+    return attach_job_details(top, display, top_bytes, max_broadcast_bytes).select(*SCORE_RECORD)
 
 
 def single_cv_top(cv: DataFrame, jobs: DataFrame, terms, k: int = D.TOP_K, **kw) -> DataFrame:
