@@ -218,7 +218,7 @@ def test_match_properties(spark):
     by_cv = {}
     for r in rows:
         by_cv.setdefault(r.cv_id, []).append(r)
-        assert r.match_score >= 0
+        assert 0 <= r.match_score <= 100
         assert not set(r.matched_skills) & set(r.missing_skills)
     for cv, rs in by_cv.items():
         ranks = sorted(r.rank for r in rs)
