@@ -70,9 +70,10 @@ def fast_dot_sql(a: str, b: str, dims: int | None) -> str:
 
 
 def norm(a: str, dims: int | None = None) -> Column:
-    """Euclidean norm in double of array column ``a`` (computed once per
-    row, not per pair)."""
-    return F.expr(f"sqrt({fast_dot_sql(a, a, dims)})")
+    """Euclidean norm in double of array column ``a``.  Computed once per
+    row, not per pair, so the compact lambda form is used (the unrolled
+    form is kept for the per-pair dot product, where it pays)."""
+    return F.expr(f"sqrt({dot_sql(a, a)})")
 
 
 def semantic_score(a: str, b: str, norm_a: str, norm_b: str, dims: int | None = None) -> Column:
