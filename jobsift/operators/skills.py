@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.functions.terms import MAX_LITERAL_TERMS, TermDictionary, match_terms, original_terms
+from jobsift.functions.terms import (MAX_LITERAL_TERMS, RUN_PATTERN, TermDictionary, match_terms,
+                                     original_terms)
 
 
 def as_dictionary(terms, edge: str = "word") -> TermDictionary:
@@ -47,7 +48,7 @@ def candidate_grams(text: Column, run_counts: list[int]) -> Column:
     """Distinct windows of n consecutive word / non-word runs of
     lower(text) that start and end on a word run, for each n (odd).  The
     runs array is bound once as a lambda variable."""
-    runs = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+|\W+"), 0),
+    runs = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(RUN_PATTERN), 0),
                       F.array().cast("array<string>"))
 
     def body(r):

@@ -17,7 +17,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsift.dictionaries import LEVEL_ORDER, TAXONOMY_ROWS
+from jobsift.dictionaries import TAXONOMY_ROWS
 from jobsift.sources.tables import read_table
 
 JOB_URL_PREFIX = "https://example.org/job/"
