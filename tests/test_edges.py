@@ -401,3 +401,41 @@ def test_salted_join_path_equals_broadcast(spark):
     ra = sorted(tuple(map(str, r)) for r in a.collect())
     rb = sorted(tuple(map(str, r)) for r in b.collect())
     assert ra == rb and len(ra) > 0
+
+
+def _detail_page(title, company, desc_html):
+    cls = {k: v[1] for k, v in D.POSTING_FIELDS.items()}
+    return (f'<h2 class="{cls["job_title"]}">{title}</h2><a class="{cls["company_name"]}">{company}</a>'
+            f'<span class="{cls["location"]}">Haifa</span>'
+            f'<div class="{D.POSTING_DESCRIPTION_CLASS}"><p>{desc_html}</p></div>')
+
+
+def test_nightly_two_runs(spark, tmp_path):
+    from jobsift.plans.nightly import run_nightly
+    schema = "job_id string, status int, html string, capture_order bigint"
+    day1 = spark.createDataFrame([
+        ("101", 200, _detail_page("Senior Data Engineer", "Acme", "Python and SQL daily"), 0),
+        ("102", 200, _detail_page("Warehouse Picker", "Depot", "Lifting boxes"), 1),
+        ("103", 429, "", 2),
+    ], schema)
+    day2 = spark.createDataFrame([
+        ("101", 200, _detail_page("Senior Data Engineer", "Acme", "Python and SQL daily"), 0),
+        ("104", 200, _detail_page("Depot Worker", "Depot", "Lifting boxes"), 1),
+    ], schema)
+    answers = spark.createDataFrame([("https://jobs.example.org/posting/102", "General", "Blue Collar", "junior", 1)],
+                                    "URL string, main_category string, sub_category string, level string, ord bigint")
+    base, exp = str(tmp_path / "t"), str(tmp_path / "e")
+    r1 = run_nightly(spark, day1, answers, base, exp, dt.date(2024, 3, 1), EDGE_SKILLS)
+    live1 = {r.url.rsplit("/", 1)[1]: r for r in spark.read.parquet(r1["live"]).collect()}
+    assert set(live1) == {"101", "102"}
+    assert live1["101"].level == "senior" and live1["101"].main_category == "General"
+    assert live1["102"].sub_category == "Blue Collar" and live1["101"].bert_vector is not None
+    r2 = run_nightly(spark, day2, None, base, exp, dt.date(2024, 3, 2), EDGE_SKILLS)
+    live2 = {r.url.rsplit("/", 1)[1]: r for r in spark.read.parquet(r2["live"]).collect()}
+    # 101 re-captured: the day-2 row wins; 104 reposts 102's text: latest wins
+    assert set(live2) == {"101", "104"}
+    assert live2["101"].search_date == dt.date(2024, 3, 2)
+    pairs = sorted((r.url.rsplit("/", 1)[1], r.skill) for r in spark.read.parquet(r2["skills"]).collect())
+    assert pairs == [("101", "python"), ("101", "sql")]
+    assert r2["export"] == {"jobs": "ok", "skills": "ok"}
+    assert spark.read.option("header", True).csv(f"{exp}/jobs").count() == 2
