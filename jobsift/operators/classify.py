@@ -122,17 +122,20 @@ def category_counts(df: DataFrame, col: str = "main_category", n: int = 10) -> D
 # Fixed-size batches in row order
 # ---------------------------------------------------------------------------
 
-def global_row_number(df: DataFrame, order_col: str = "seq", buckets: int = 4096) -> DataFrame:
+def global_row_number(df: DataFrame, order_col: str = "seq", buckets: int = 4096,
+                      rows_per_bucket: int = 1_000_000) -> DataFrame:
     """1-based position of each row in ``order_col`` order (values unique),
     without a single-partition window and without relying on partition
-    ids: values are cut into at most ``buckets`` equal-width ranges, rows
-    are numbered inside their range (one shuffle on the range id; a range
-    holds at most width distinct values), and per-range counts - one row
-    per range - are prefix-summed and broadcast as offsets."""
-    bounds = df.select(F.struct(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))).scalar()
-    width = F.greatest(F.lit(1), F.ceil((bounds["hi"] - bounds["lo"] + 1) / F.lit(buckets)))
+    ids: values are cut into equal-width ranges - at least ``buckets``, and
+    enough for about ``rows_per_bucket`` rows each - rows are numbered
+    inside their range (one shuffle on the range id), and per-range counts
+    (one row per range) are prefix-summed and broadcast as offsets."""
+    stats = df.select(F.struct(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"),
+                               F.count(F.lit(1)).alias("n"))).scalar()
+    n_buckets = F.greatest(F.lit(buckets).cast("bigint"), F.ceil(stats["n"] / F.lit(rows_per_bucket)))
+    width = F.greatest(F.lit(1), F.ceil((stats["hi"] - stats["lo"] + 1) / n_buckets))
     # exact integer division (decimal, not double: seq may exceed 2^53)
-    off = (F.col(order_col) - bounds["lo"]).cast("decimal(38,0)")
+    off = (F.col(order_col) - stats["lo"]).cast("decimal(38,0)")
     b = df.withColumn("__b", F.floor(off / width.cast("decimal(38,0)")).cast("bigint"))
     local = b.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(order_col)))
     counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))

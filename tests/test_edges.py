@@ -286,8 +286,11 @@ def test_global_row_number(spark):
     rnd = random.Random(7)
     seqs = rnd.sample(range(10**9), 3000)
     df = spark.createDataFrame([(s,) for s in seqs], "seq bigint")
+    want = {s: i + 1 for i, s in enumerate(sorted(seqs))}
     got = {r.seq: r.row_number for r in C.global_row_number(df, buckets=37).collect()}
-    assert got == {s: i + 1 for i, s in enumerate(sorted(seqs))}
+    assert got == want
+    by_count = C.global_row_number(df, buckets=1, rows_per_bucket=100)  # ~30 ranges from the count
+    assert {r.seq: r.row_number for r in by_count.collect()} == want
 
 
 def test_classify_batches_payload(spark):
