@@ -180,7 +180,7 @@ def all_pair_scores(cvs: DataFrame, jobs: DataFrame, terms, bypass: bool = True,
 
 def top_k(pairs: DataFrame, k: int = D.TOP_K) -> DataFrame:
     w = Window.partitionBy("cv_id").orderBy(F.col("match_score").desc(), F.col("url"), F.col("seq"))
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def attach_job_details(top: DataFrame, jobs_display: DataFrame, top_bytes: int,

@@ -184,8 +184,8 @@ def o_seniority_score():
 
 
 def o_skill_score():
-    return build("SELECT score_skills, count(*) AS pairs, sum(len(matched_skills)) AS matched, "
-                 "sum(len(missing_skills)) AS missing FROM pairs GROUP BY 1",
+    return build("SELECT score_skills, count(*) AS pairs, CAST(sum(len(matched_skills)) AS BIGINT) AS matched, "
+                 "CAST(sum(len(missing_skills)) AS BIGINT) AS missing FROM pairs GROUP BY 1",
                  ("jobs", "cvs"), _pairs_ctes())
 
 

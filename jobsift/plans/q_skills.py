@@ -45,7 +45,8 @@ def _keywords(spark, sf):
 
 
 def q_keywords(spark, sf):
-    return _keywords(spark, sf).select("doc_id", F.size("keywords").alias("n_keywords"), "keywords")
+    return _keywords(spark, sf).select("doc_id", F.size("keywords").cast("bigint").alias("n_keywords"),
+                                       "keywords")
 
 
 def _kw_sql() -> str:

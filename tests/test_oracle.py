@@ -20,6 +20,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     res = compare(spark, con, SMOKE, name, QUERIES[name], ORACLES.get(name))
     assert res["status"] in ("match", "no-oracle"), res
+    assert "types" not in res, res  # column types agree too
 
 
 def test_every_oracle_has_a_query():

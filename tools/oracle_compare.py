@@ -47,6 +47,21 @@ def rows_of(cols, rows):
     return sorted(out, key=repr)
 
 
+def spark_type_name(dt) -> str:
+    """Spark type -> the DuckDB type name it should match."""
+    from pyspark.sql import types as T
+    simple = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE",
+              T.FloatType: "FLOAT", T.StringType: "VARCHAR", T.DateType: "DATE",
+              T.BooleanType: "BOOLEAN", T.BinaryType: "BLOB", T.ShortType: "SMALLINT",
+              T.TimestampType: "TIMESTAMP"}
+    for k, v in simple.items():
+        if isinstance(dt, k):
+            return v
+    if isinstance(dt, T.ArrayType):
+        return spark_type_name(dt.elementType) + "[]"
+    return dt.simpleString().upper()
+
+
 def compare(spark, con, sf_dir, name, qfn, sql):
     t0 = time.time()
     sdf = qfn(spark, sf_dir)
@@ -64,6 +79,11 @@ def compare(spark, con, sf_dir, name, qfn, sql):
     if sorted(scols) != sorted(dcols):
         res["status"] = f"COLUMNS differ spark={sorted(scols)} duck={sorted(dcols)}"
         return res
+    stypes = {f.name: spark_type_name(f.dataType) for f in sdf.schema.fields}
+    dtypes = {c: str(t) for c, t in zip(dcols, rel.types)}
+    diff = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
+    if diff:
+        res["types"] = diff
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
     if a == b:
         res["status"] = "match"
