@@ -18,6 +18,9 @@ import duckdb  # noqa: E402
 from jobsift.sources.tables import TABLES  # noqa: E402
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"  # compare doubles bit for bit
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -31,7 +34,7 @@ def norm_value(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return v + 0.0 if EXACT else round(v, 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(norm_value(x) for x in v)
     if hasattr(v, "tolist"):
