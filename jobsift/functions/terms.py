@@ -28,8 +28,8 @@ _RUN = re.compile(r"\w+|\W+")
 _WORD = re.compile(r"\w")
 RUN_PATTERN = r"(?U)\w+|\W+"
 
-# Above this many n-gram entries the per-row literal array gets costly and
-# callers should prefer the exploded broadcast-join form (skill_pairs_join).
+# Above this many entries the per-row literal / alternation gets costly;
+# skill_pairs(strategy="auto") then uses the table form (skill_pairs_join).
 MAX_LITERAL_TERMS = 5000
 
 
