@@ -442,3 +442,14 @@ def test_nightly_two_runs(spark, tmp_path):
     assert pairs == [("101", "python"), ("101", "sql")]
     assert r2["export"] == {"jobs": "ok", "skills": "ok"}
     assert spark.read.option("header", True).csv(f"{exp}/jobs").count() == 2
+
+
+def test_single_cv_flow_equals_its_slice_of_batch(spark):
+    from jobsift.plans.q_match import q_match_topk, q_top50_single_cv
+    sf = "/root/testdata/sf0.001"
+    single = q_top50_single_cv(spark, sf)
+    first = single.select("cv_id").first().cv_id
+    batch = q_match_topk(spark, sf).where(F.col("cv_id") == first)
+    key = ["rank", "seq", "match_score"]
+    assert sorted(tuple(r) for r in single.select(*key).collect()) == \
+        sorted(tuple(r) for r in batch.select(*key).collect())
