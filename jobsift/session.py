@@ -44,7 +44,10 @@ def get_session(master: str | None = None, app: str = "jobsift",
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -59,7 +62,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="jobsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)  # for DataFrame.checkpoint()
+    except Exception:
+        pass  # no SparkContext exposed (Spark Connect): the conf is enough
     return path
 
 

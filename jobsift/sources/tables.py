@@ -34,9 +34,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     df = spark.read.parquet(table_path(sf_dir, name))
     key = ID_COLUMNS.get(name)
     if spread and key:
-        target = spark.sparkContext.defaultParallelism
+        target = default_parallelism(spark)
         # file metadata only (no job): a table stored as fewer files than
         # cores is spread; thousands of files at scale are left as they are
         if len(df.inputFiles()) < target:
             df = df.repartition(target, key)
     return df
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    """Cores available to the session (falls back to the shuffle partition
+    setting where no SparkContext is exposed, e.g. Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
