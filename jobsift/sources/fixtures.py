@@ -91,7 +91,7 @@ def jobs_fx(spark: SparkSession, sf_dir: str, null_every: int | None = None) ->
         _pick([m for m, _ in TAXONOMY_ROWS], d % 40).alias("main_category"),
         _pick([s for _, s in TAXONOMY_ROWS], d % 40).alias("sub_category"),
         _pick(JOB_LEVELS, F.expr("doc_id div 20") % 5).alias("level"),
-        F.pmod(d, n_emb).alias("_vk"),
+        F.when(n_emb > 0, F.pmod(d, n_emb)).alias("_vk"),  # empty table: no vector
     )
     vecs = emb.select(F.col("vec_id").alias("_vk"), F.col("embedding").alias("bert_vector"))
     return (jobs.join(vecs, "_vk", "left")
@@ -116,7 +116,7 @@ def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(mains, v % 41).alias("main_category"),
         _pick(subs, v % 41).alias("sub_category"),
         _pick(CV_LEVELS, F.expr("vec_id div 41") % 5).alias("level"),
-        F.pmod(v, n_docs).alias("_dk"),
+        F.when(n_docs > 0, F.pmod(v, n_docs)).alias("_dk"),  # empty table: no text
     )
     texts = docs.select(F.col("doc_id").alias("_dk"), F.col("text"))
     return (cvs.join(texts, "_dk", "left")
