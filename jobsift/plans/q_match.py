@@ -35,6 +35,13 @@ def q_top50_single_cv(spark, sf):
     return M.single_cv_top(first, jobs, SKILLS_FX)
 
 
+def q_match_with_bypass(spark, sf):
+    """The bypass flow: CVs whose main category is 'Other' are scored
+    against every job (not only one category)."""
+    cvs, jobs = scored_inputs(spark, sf)
+    return M.match_topk(cvs.where(F.col("main_category") == D.BYPASS_CATEGORY), jobs, SKILLS_FX)
+
+
 def q_match_cards(spark, sf):
     return M.match_cards(q_match_topk(spark, sf))
 
@@ -156,6 +163,11 @@ def o_top50_single_cv():
                  _top_ctes("WHERE cv_id = (SELECT min(cv_id) FROM cvs)"))
 
 
+def o_match_with_bypass():
+    return build("SELECT * FROM rec", ("jobs", "cvs"),
+                 _top_ctes(f"WHERE cv_id IN (SELECT cv_id FROM cvs WHERE main_category = '{D.BYPASS_CATEGORY}')"))
+
+
 def o_match_cards():
     final = f"""
 SELECT cv_id, rank, seq, url, job_title, company, location, search_date, main_category,
@@ -209,6 +221,7 @@ def o_score_band():
 
 register("match_topk", o_match_topk)(q_match_topk)
 register("top50_single_cv", o_top50_single_cv)(q_top50_single_cv)
+register("match_with_bypass", o_match_with_bypass)(q_match_with_bypass)
 register("match_cards", o_match_cards)(q_match_cards)
 register("category_score", o_category_score)(q_category_score)
 register("seniority_score", o_seniority_score)(q_seniority_score)
