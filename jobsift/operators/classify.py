@@ -184,11 +184,13 @@ def batch_sizes(prompts: DataFrame, col: str = "prompt") -> DataFrame:
 
 def parse_responses(responses: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Parse model answers: keep only those with a job_list; malformed or
-    missing answers give no rows.  One row per classified job."""
+    missing answers give no rows.  One row per classified job, with its
+    position ``pos`` in the answer's list."""
     parsed = responses.withColumn("__r", F.from_json(F.col(payload_col), RESPONSE_SCHEMA))
     keep = [c for c in responses.columns if c != payload_col]
-    return (parsed.select(*keep, F.explode(F.col("__r.job_list")).alias("j"))
-            .select(*keep, "j.URL", "j.main_category", "j.sub_category", "j.level"))
+    return (parsed.select(*keep, F.posexplode(F.col("__r.job_list")).alias("pos", "j"))
+            .select(*keep, F.col("pos").cast("bigint").alias("pos"),
+                    "j.URL", "j.main_category", "j.sub_category", "j.level"))
 
 
 # ---------------------------------------------------------------------------

@@ -202,10 +202,36 @@ def q_classify_parse(spark, sf):
     return C.parse_responses(_answers(spark, sf))
 
 
+PARSED_SQL = f"""parsed AS (
+  SELECT chunk, CAST((rn - 1) % {D.CHUNK_SIZE} AS BIGINT) AS pos, URL, main_category, sub_category, level
+  FROM (SELECT *, row_number() OVER (ORDER BY ord) AS rn,
+               CAST((row_number() OVER (ORDER BY ord) - 1) // {D.CHUNK_SIZE} AS BIGINT) AS chunk
+        FROM responses)
+  WHERE chunk % 7 <> 3 AND chunk % 11 <> 5)"""
+
+
 def o_classify_parse():
-    return build(f"""SELECT chunk, URL, main_category, sub_category, level FROM (
-  SELECT *, CAST((row_number() OVER (ORDER BY ord) - 1) // {D.CHUNK_SIZE} AS BIGINT) AS chunk FROM responses)
-WHERE chunk % 7 <> 3 AND chunk % 11 <> 5""", ("responses",))
+    return build("SELECT * FROM parsed", ("responses",), (PARSED_SQL,))
+
+
+def q_classify_defaults(spark, sf):
+    """Answers of failed chunks (malformed, or without job_list) are lost;
+    their jobs get the whole default record, as do jobs never answered."""
+    parsed = C.parse_responses(_answers(spark, sf))
+    answers = parsed.withColumn("ord", F.col("chunk") * 1_000_000 + F.col("pos"))
+    return C.merge_last_wins(jobs_fx(spark, sf), answers).select(*MERGE_COLS)
+
+
+def o_classify_defaults():
+    d = D.JOB_DEFAULT
+    return build(f"""SELECT j.seq, j.url, j.job_title,
+    CASE WHEN l.hit THEN l.main_category ELSE '{d['main_category']}' END AS main_category,
+    CASE WHEN l.hit THEN l.sub_category ELSE '{d['sub_category']}' END AS sub_category,
+    CASE WHEN l.hit THEN l.level ELSE '{d['level']}' END AS level
+FROM jobs j LEFT JOIN plast l ON l.URL = j.url""", ("jobs", "responses"), (PARSED_SQL, """plast AS (
+  SELECT URL, a.main_category, a.sub_category, a.level, true AS hit FROM (
+    SELECT URL, arg_max(struct_pack(main_category, sub_category, level), chunk * 1000000 + pos) AS a
+    FROM parsed GROUP BY URL))"""))
 
 
 # --- rule-based classifiers --------------------------------------------------
@@ -336,6 +362,7 @@ register("classify_chunks", o_classify_chunks)(q_classify_chunks)
 register("classify_batches")(q_classify_batches)
 register("classify_batch_sizes")(q_classify_batch_sizes)
 register("classify_parse", o_classify_parse)(q_classify_parse)
+register("classify_defaults", o_classify_defaults)(q_classify_defaults)
 register("seniority_rules", o_seniority_rules)(q_seniority_rules)
 register("category_phrases", o_category_phrases)(q_category_phrases)
 register("category_keywords", o_category_keywords)(q_category_keywords)

@@ -314,7 +314,7 @@ def test_parse_responses(spark):
         (3, '{"jobs":[]}'),
         (4, None)], "chunk int, payload string")
     rows = C.parse_responses(df).collect()
-    assert [(r.chunk, r.URL, r.level) for r in rows] == [(1, "u1", "junior")]
+    assert [(r.chunk, r.pos, r.URL, r.level) for r in rows] == [(1, 0, "u1", "junior")]
 
 
 def test_merge_semantics(spark):
