@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -66,6 +67,18 @@ def q_stream_ingest(spark, sf):
     return ingest.live_jobs(spark, f"{base}/table", JOB_COLS)
 
 
+def q_append_jobs(spark, sf):
+    """Two nightly batches (days 1-15, then 16-30) appended to a table
+    partitioned by search_date, read back whole."""
+    base = checkpoint_path(spark, f"append_jobs/{uuid.uuid4().hex}")
+    jobs = jobs_fx(spark, sf)
+    cut = F.lit(dt.date(2024, 1, 16))
+    sinks.append_jobs(jobs.where(F.col("search_date") < cut), base)
+    sinks.append_jobs(jobs.where(F.col("search_date") >= cut), base)
+    return spark.read.parquet(base).select(*JOB_COLS)
+
+
+register("append_jobs", lambda: build("SELECT * FROM jobs", ("jobs",)))(q_append_jobs)
 register("scan_jobs", lambda: build("SELECT * FROM jobs", ("jobs",)))(q_scan_jobs)
 register("jobs_by_category",
          lambda: build(f"SELECT * FROM jobs WHERE main_category = '{CATEGORY_PARAM}'", ("jobs",)))(
