@@ -14,7 +14,8 @@ Plan (one job for N CVs x M jobs; the original scores one CV at a time):
 * The CV side is broadcast when its estimated size is under a bound (the
   size comes from a count + vector width, measured before the join); the
   job side then streams with no shuffle at all, whatever the skew of its
-  categories.  Above the bound both sides are salted: jobs get
+  categories.  If only the job side is under the bound, it is broadcast
+  instead.  Above the bound on both sides they are salted: jobs get
   ``pmod(xxhash64(seq), S)``, CVs are replicated over the S salts, and the
   join key is (key, salt) - a hot category is split S ways.
 * Top-K per CV is ``row_number() <= K`` over (cv_id ORDER BY match_score
@@ -112,12 +113,23 @@ def estimate_cv_bytes(cvs: DataFrame, n_words: int = 1) -> tuple[int, int, int]:
     return n, n * per_row, dims
 
 
+def estimate_job_bytes(jobs: DataFrame, n_words: int = 1) -> int:
+    """Estimated bytes of the prepared job side (two keys per job)."""
+    row = jobs.agg(F.count(F.lit(1)).alias("n"),
+                   F.coalesce(F.max(F.size("bert_vector")), F.lit(0)).alias("dims")).first()
+    return 2 * int(row["n"]) * (96 + 4 * int(row["dims"]) + 8 * n_words)
+
+
 def score_pairs(cvs_p: DataFrame, jobs_p: DataFrame, broadcast_cvs: bool, n_words: int,
-                salt_buckets: int = DEFAULT_SALT_BUCKETS, dims: int | None = None) -> DataFrame:
+                salt_buckets: int = DEFAULT_SALT_BUCKETS, dims: int | None = None,
+                broadcast_jobs: bool = False) -> DataFrame:
     """All candidate (CV, job) pairs with the score components; skill sets
-    stay as masks (decode with ``decode_mask`` after top-K)."""
+    stay as masks (decode with ``decode_mask`` after top-K).  The smaller
+    side is broadcast when it is under the bound; otherwise salted."""
     if broadcast_cvs:
         pairs = jobs_p.join(F.broadcast(cvs_p), "jkey")
+    elif broadcast_jobs:
+        pairs = cvs_p.join(F.broadcast(jobs_p), "jkey")
     else:
         salted_jobs = jobs_p.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salt_buckets)))
         salted_cvs = cvs_p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
@@ -214,8 +226,11 @@ def match_topk(cvs: DataFrame, jobs: DataFrame, terms, k: int = D.TOP_K, bypass:
     terms = _terms(terms)
     n_words = max(1, (len(terms) + 63) // 64)
     n_cv, est, dims = estimate_cv_bytes(cvs, n_words)
+    bc_cvs = est <= max_broadcast_bytes
+    # only when the CV side is too big: is the job side small enough instead?
+    bc_jobs = not bc_cvs and estimate_job_bytes(jobs, n_words) <= max_broadcast_bytes
     pairs = score_pairs(prepare_cvs(cvs, terms, bypass, dims), prepare_jobs(jobs, terms, bypass, dims),
-                        broadcast_cvs=est <= max_broadcast_bytes, n_words=n_words, dims=dims)
+                        broadcast_cvs=bc_cvs, n_words=n_words, dims=dims, broadcast_jobs=bc_jobs)
     top = with_skill_names(top_k(pairs, k), terms, n_words).select(
         "cv_id", "rank", "seq", "match_score", "score_category", "score_skills",
         "score_seniority", "score_semantic", "matched_skills", "missing_skills")

@@ -474,3 +474,21 @@ def test_stream_ingest_resumes_across_runs(spark, tmp_path):
     assert all_rows.count() == jobs.count()  # every row exactly once
     live = ingest.live_jobs(spark, f"{base}/table", JOB_COLS)
     assert sorted(r.seq for r in live.collect()) == sorted(r.seq for r in DD.dedup_latest(jobs).collect())
+
+
+def test_broadcast_job_side_path_equals_default(spark):
+    """CV side over the bound, job side under it: the jobs are broadcast
+    instead, same top 50."""
+    from jobsift.operators import match as M
+    from jobsift.plans.q_match import scored_inputs
+    from jobsift.sources.fixtures import SKILLS_FX
+    cvs, jobs = scored_inputs(spark, "/root/testdata/sf0.001")
+    n_cv, cv_bytes, _ = M.estimate_cv_bytes(cvs, 1)
+    job_bytes = M.estimate_job_bytes(jobs, 1)
+    assert job_bytes < cv_bytes
+    bound = (job_bytes + cv_bytes) // 2
+    cols = ["cv_id", "rank", "seq", "match_score", "matched_skills"]
+    a = sorted(tuple(map(str, r)) for r in M.match_topk(cvs, jobs, SKILLS_FX).select(*cols).collect())
+    b = sorted(tuple(map(str, r)) for r in M.match_topk(cvs, jobs, SKILLS_FX, max_broadcast_bytes=bound)
+               .select(*cols).collect())
+    assert a == b and len(a) > 0
