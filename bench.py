@@ -28,14 +28,21 @@ def main() -> None:
     from jobsift.plans.catalog import queries
     from jobsift.session import get_session
 
+    extra = {"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")}
+    eventlog = os.environ.get("BENCH_EVENTLOG_DIR")  # opt-in: per-stage times for tools/stage_times.py
+    if eventlog:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": eventlog})
     spark = get_session(f"local[{cpus}]", app="jobsift-bench",
-                        shuffle_partitions=int(cpus) * 2,
-                        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
+                        shuffle_partitions=int(cpus) * 2, extra=extra)
     qs = queries()
     # warm-up: JIT and Python workers
     qs["scan_jobs"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
+        try:  # label the stages in the event log with the query name
+            spark.sparkContext.setJobDescription(name)
+        except Exception:
+            pass
         t0 = time.time()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
