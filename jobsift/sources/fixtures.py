@@ -59,6 +59,17 @@ def _pick(values, idx: Column) -> Column:
     return F.get(_str_array(values), idx.cast("int"))
 
 
+FIXTURE_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _vector_table_stats(emb: DataFrame) -> tuple[int, int]:
+    """(rows, estimated bytes) of the embeddings table: one small aggregate
+    (only the vector column is read)."""
+    row = emb.agg(F.count(F.lit(1)).alias("n"),
+                  F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dims")).first()
+    return int(row["n"]), int(row["n"]) * (32 + 4 * int(row["dims"]))
+
+
 def job_url(doc_id: Column) -> Column:
     """Rows 8 and 9 of every ten share one URL (re-scraped postings)."""
     base = F.when(doc_id % 10 == 9, doc_id - 1).otherwise(doc_id)
@@ -72,7 +83,7 @@ def jobs_fx(spark: SparkSession, sf_dir: str, null_every: int | None = None) ->
     (the jobs_null variant uses 97)."""
     docs = read_table(spark, sf_dir, "documents")
     emb = read_table(spark, sf_dir, "embeddings")
-    n_emb = emb.select(F.count(F.lit(1))).scalar()
+    n_emb, emb_bytes = _vector_table_stats(emb)
     d = F.col("doc_id")
     desc = F.col("text")
     if null_every:
@@ -91,9 +102,11 @@ def jobs_fx(spark: SparkSession, sf_dir: str, null_every: int | None = None) ->
         _pick([m for m, _ in TAXONOMY_ROWS], d % 40).alias("main_category"),
         _pick([s for _, s in TAXONOMY_ROWS], d % 40).alias("sub_category"),
         _pick(JOB_LEVELS, F.expr("doc_id div 20") % 5).alias("level"),
-        F.when(n_emb > 0, F.pmod(d, n_emb)).alias("_vk"),  # empty table: no vector
+        (F.pmod(d, F.lit(n_emb)) if n_emb > 0 else F.lit(None).cast("bigint")).alias("_vk"),
     )
     vecs = emb.select(F.col("vec_id").alias("_vk"), F.col("embedding").alias("bert_vector"))
+    if emb_bytes <= FIXTURE_BROADCAST_BYTES:  # measured: the documents stream, no text shuffle
+        vecs = F.broadcast(vecs)
     return (jobs.join(vecs, "_vk", "left")
             .select("seq", "url", "job_title", "company_name", "location", "time_posted",
                     "num_applicants", "description_text", "search_date", "bert_vector",
@@ -106,7 +119,8 @@ def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     level from CV_LEVELS and the text of document vec_id % count(documents)."""
     emb = read_table(spark, sf_dir, "embeddings")
     docs = read_table(spark, sf_dir, "documents")
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    n_docs = docs.count()
+    _, emb_bytes = _vector_table_stats(emb)
     v = F.col("vec_id")
     mains = [m for m, _ in TAXONOMY_ROWS] + ["Other"]
     subs = [s for _, s in TAXONOMY_ROWS] + ["Other"]
@@ -116,11 +130,16 @@ def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(mains, v % 41).alias("main_category"),
         _pick(subs, v % 41).alias("sub_category"),
         _pick(CV_LEVELS, F.expr("vec_id div 41") % 5).alias("level"),
-        F.when(n_docs > 0, F.pmod(v, n_docs)).alias("_dk"),  # empty table: no text
+        (F.pmod(v, F.lit(n_docs)) if n_docs > 0 else F.lit(None).cast("bigint")).alias("_dk"),
     )
     texts = docs.select(F.col("doc_id").alias("_dk"), F.col("text"))
-    return (cvs.join(texts, "_dk", "left")
-            .select("cv_id", "text", "vector", "level", "main_category", "sub_category"))
+    if emb_bytes <= FIXTURE_BROADCAST_BYTES:
+        # CVs (measured small) are the broadcast side, the texts stream:
+        # texts RIGHT JOIN cvs keeps every CV, like cvs LEFT JOIN texts
+        joined = texts.join(F.broadcast(cvs), "_dk", "right")
+    else:
+        joined = cvs.join(texts, "_dk", "left")
+    return joined.select("cv_id", "text", "vector", "level", "main_category", "sub_category")
 
 
 def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
