@@ -134,9 +134,13 @@ def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     texts = docs.select(F.col("doc_id").alias("_dk"), F.col("text"))
     if emb_bytes <= FIXTURE_BROADCAST_BYTES:
-        # CVs (measured small) are the broadcast side, the texts stream:
-        # texts RIGHT JOIN cvs keeps every CV, like cvs LEFT JOIN texts
-        joined = texts.join(F.broadcast(cvs), "_dk", "right")
+        # CVs (measured small) are the broadcast side and the texts stream.
+        # A hash join cannot build the preserved side of an outer join, so:
+        # inner join + the CVs without a document (anti join on ids only)
+        matched = texts.join(F.broadcast(cvs), "_dk")
+        unmatched = (cvs.join(docs.select(F.col("doc_id").alias("_dk")), "_dk", "left_anti")
+                     .withColumn("text", F.lit(None).cast("string")))
+        joined = matched.unionByName(unmatched)
     else:
         joined = cvs.join(texts, "_dk", "left")
     return joined.select("cv_id", "text", "vector", "level", "main_category", "sub_category")
