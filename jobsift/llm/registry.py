@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from jobsift.llm import q_mixing, q_quality, q_urls
+from jobsift.llm import q_bench, q_chat, q_classifier, q_mixing, q_quality, q_urls
 
-MODULES = [q_urls, q_mixing, q_quality]
+MODULES = [q_urls, q_mixing, q_quality, q_classifier, q_chat, q_bench]
 
 
 def queries():
