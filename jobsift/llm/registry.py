@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from jobsift.llm import q_bench, q_chat, q_classifier, q_lm, q_minhash, q_mixing, q_quality, q_urls
+from jobsift.llm import q_bench, q_chat, q_classifier, q_linededup, q_lm, q_minhash, q_mixing, q_quality, q_urls
 
-MODULES = [q_urls, q_mixing, q_quality, q_classifier, q_minhash, q_chat, q_bench, q_lm]
+MODULES = [q_urls, q_mixing, q_quality, q_linededup, q_classifier, q_minhash, q_chat, q_bench, q_lm]
 
 
 def queries():
