@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from jobsift.llm import q_bench, q_chat, q_classifier, q_linededup, q_lm, q_minhash, q_mixing, q_quality, q_urls
+import corpus_pipeline
+from jobsift.llm import (q_bench, q_chat, q_classifier, q_linededup, q_lm, q_minhash,
+                         q_mixing, q_quality, q_suffix, q_urls)
 
-MODULES = [q_urls, q_mixing, q_quality, q_linededup, q_classifier, q_minhash, q_chat, q_bench, q_lm]
+MODULES = [q_urls, q_mixing, q_quality, q_linededup, q_classifier, q_minhash, q_chat,
+           q_bench, q_suffix, q_lm]
 
 
 def queries():
-    out = {}
+    out = {"pipeline": corpus_pipeline.run}
     for m in MODULES:
         out |= m.QUERIES
     return out
@@ -18,4 +21,6 @@ def oracle_sql():
     out = {}
     for m in MODULES:
         out |= getattr(m, "ORACLES", {})
+    if corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
