@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsift.session import ensure_checkpoint_dir
+from jobsift.session import checkpoint_path
 
 # Words of a text: runs of anything but the ASCII blanks (bytes.split() agrees).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``,
-    so that a lost executor costs a read and not the work before it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder of ``spark.checkpoint.dir`` and read
+    it back: the lineage ends there, so a lost executor costs a read, and the
+    plans that follow know its true size (a checkpoint keeps the estimate of
+    the plan behind it, which loops of joins multiply out of all bounds)."""
+    path = checkpoint_path(df.sparkSession, f"llm-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_key(*cols) -> Column:

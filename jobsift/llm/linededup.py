@@ -21,8 +21,8 @@ A set needs one earlier match, not all: in a group of more than
 earliest, and only sets that found no match anywhere go on to the others.
 
 Defined cases: null and empty texts have no lines to remove; repeated rows
-are later documents (all their longer lines match); ties in order are broken
-by the set's hash; an empty table gives an empty result.
+are later documents (all their longer lines match); ties in order (equal doc_ids) are
+broken by an id of the set; an empty table gives an empty result.
 """
 
 from collections import Counter
@@ -34,20 +34,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.common import materialise, row_key
+from jobsift.llm.common import WORD, materialise, row_key
 
 MIN_TOKENS = 5
 THRESHOLD = 0.8
 HEAD = 1 << 18
 GROUP = 256
 LINE_BITS = 20
+MIN_LEFT = 0.5  # share of its words that a document must keep to stay
 
 _TOP = np.uint64(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_sets(text: str | None) -> list[tuple[int, int, list[bytes]]]:
-    """(line number, ...) of the lines that take part: their words, distinct."""
+def line_sets(text: str | None) -> list[tuple[int, set[bytes]]]:
+    """(line number, distinct words) of the lines that take part."""
     out = []
     for i, line in enumerate((text or "").encode().lower().split(b"\n")):
         words = set(line.split())
@@ -67,8 +68,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     counts = Counter()
     for b in batches:
         for t in b.column("text").to_pylist():
-            for _, words in line_sets(t):
-                counts.update(words)
+            counts.update((t or "").encode().lower().split())
             if len(counts) > 1 << 19:
                 yield out(counts)
                 counts = Counter()
@@ -101,6 +101,43 @@ def least_overlap(n: np.ndarray, m: np.ndarray, t: float = THRESHOLD) -> np.ndar
     return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
 
 
+def pack(code: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Codes of sets of n words each, sorted: rare words (hashes) as 8 bytes,
+    then ranks as 4."""
+    rare = code < _TOP
+    before = np.r_[0, np.cumsum(rare)]
+    ends = np.cumsum(n)
+    lo, hi = before[ends - n], before[ends]      # rare words before each set's start and end
+    a, b = code[rare].tobytes(), (code[~rare] - _TOP).astype(np.uint32).tobytes()
+    return [a[8 * x:8 * y] + b[4 * (e - k - x):4 * (e - y)]
+            for x, y, e, k in zip(lo.tolist(), hi.tolist(), ends.tolist(), n.tolist(), strict=True)]
+
+
+def unpack_prefixes(words: list[bytes], n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set number, position, code) of the first p words of each packed set."""
+    size = np.array([len(w) // 4 for w in words], np.int64)
+    flat = np.frombuffer(b"".join(words), np.uint32)
+    start = np.cumsum(size) - size
+    rare = size - n                              # 8 bytes: one quarter word more than its one
+    at = np.repeat(np.arange(len(words)), p)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(p) - p, p)
+    is_rare = k < rare[at]
+    i = np.where(is_rare, start[at] + 2 * k, start[at] + rare[at] + k)
+    low = flat[i].astype(np.uint64)
+    high = flat[np.minimum(i + 1, len(flat) - 1)].astype(np.uint64) << np.uint64(32)
+    return at, k, np.where(is_rare, low | high, low + _TOP)
+
+
+def shared_words(x: bytes, y: bytes, n: int, m: int) -> int:
+    """Words that two packed sets share."""
+    a, b = len(x) - 4 * n, len(y) - 4 * m        # 4 bytes for each rare word
+    both = np.concatenate([np.frombuffer(x, np.int64, a // 4), np.frombuffer(y, np.int64, b // 4)])
+    ranks = np.concatenate([np.frombuffer(x, np.uint32, n - a // 4, 2 * a), np.frombuffer(y, np.uint32, m - b // 4, 2 * b)])
+    both.sort()
+    ranks.sort()
+    return int((both[1:] == both[:-1]).sum() + (ranks[1:] == ranks[:-1]).sum())
+
+
 def _set_batches(ranks: dict[int, int], t: float):
     def run(batches):
         cache: dict[bytes, int] = {}
@@ -130,13 +167,13 @@ def _set_batches(ranks: dict[int, int], t: float):
             ids = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts) if len(n) else np.zeros(0, np.uint64)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts) if len(n) else ids
             take = pa.array(np.array(rows, np.int64))
-            packed = code.tobytes()
+            words = pack(code, n)
             first = {}
             for j, s in enumerate(ids.tolist()):
                 first.setdefault(s, j)
             sure = np.zeros(len(n), bool)
             sure[list(first.values())] = True  # a set's words once a batch
-            words = [packed[8 * s:8 * (s + k)] if u else None for s, k, u in zip(starts.tolist(), sizes, sure, strict=True)]
+            words = [w if u else None for w, u in zip(words, sure, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*[c.take(take) for c in meta], pa.array(np.array(lines, np.int32)), pa.array(ids.view(np.int64)),
                  pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(words, pa.binary())],
@@ -179,7 +216,7 @@ def _pair_batches(t: float, group: int):
              pa.array(np.r_[b, deferred])], names=["a", "b"])
 
     def run(batches):
-        cols, held = ("code", "ord", "set", "n", "k", "bits"), None
+        cols, held = ("code", "ord", "id", "n", "k", "bits"), None
         for b in batches:
             now = [b.column(c).to_numpy(zero_copy_only=False) for c in cols]
             if held is not None:
@@ -197,12 +234,9 @@ def _verify_batches(t: float):
     def run(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(common >= t * (len(both) - common) - 1e-9)
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("wa", "wb", "na", "nb")), strict=True):
+                common = shared_words(x, y, n, m)
+                ok.append(common >= t * (n + m - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
@@ -221,52 +255,48 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row", "line"))
     sets = raw.groupBy("set").agg(first.alias("f"), F.max("words").alias("words"), F.first("n").alias("n"),
                                   F.first("bits").alias("bits"))
-    # order as one number: doc_id, then line; ties by the set's hash
+    # order as one number: doc_id, then line; ties by the set's id
     order = F.when(F.col("f.no"), F.lit((1 << 62))).otherwise(
         F.shiftleft(F.col("f.doc_id").cast("long"), LINE_BITS)) + F.least(F.col("f.line"), F.lit((1 << LINE_BITS) - 1))
-    sets = materialise(sets.select("set", order.alias("ord"), F.col("f._row").alias("first_row"),
+    sets = materialise(sets.select(F.monotonically_increasing_id().alias("id"), "set", order.alias("ord"), F.col("f._row").alias("first_row"),
                                    F.col("f.line").alias("first_line"), "n", "bits", "words"))
 
     def prefixes(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             n = b.column("n").to_numpy().astype(np.int64)
-            p = prefix_length(n, threshold)
-            words = np.frombuffer(b"".join(b.column("words").to_pylist()), np.int64)
-            start = np.r_[0, np.cumsum(n)[:-1]] if len(n) else n
-            at = np.repeat(np.arange(len(n)), p)
-            k = np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(p)[:-1]], p) if len(n) else at
+            at, k, code = unpack_prefixes(b.column("words").to_pylist(), n, prefix_length(n, threshold))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words[start[at] + k]), *[b.column(c).take(pa.array(at)) for c in ("ord", "set", "n")],
+                [pa.array(code.view(np.int64)), *[b.column(c).take(pa.array(at)) for c in ("ord", "id", "n")],
                  pa.array(k.astype(np.int32)), b.column("bits").take(pa.array(at))],
-                names=["code", "ord", "set", "n", "k", "bits"])
+                names=["code", "ord", "id", "n", "k", "bits"])
 
-    prefix = sets.select("ord", "set", "n", "bits", "words").mapInArrow(
-        prefixes, "code long, ord long, set long, n int, k int, bits long")
-    found = materialise(prefix.repartition("code").sortWithinPartitions("code", "ord", "set")
+    prefix = sets.select("ord", "id", "n", "bits", "words").mapInArrow(
+        prefixes, "code long, ord long, id long, n int, k int, bits long")
+    found = materialise(prefix.repartition("code").sortWithinPartitions("code", "ord", "id")
                         .mapInArrow(_pair_batches(threshold, group), "a long, b long").distinct())
-    words = sets.select("set", "words")
-    wa, wb = words.select(F.col("set").alias("a"), F.col("words").alias("wa")), words.select(
-        F.col("set").alias("b"), F.col("words").alias("wb"))
+    wa, wb = (sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
 
     def verified(pairs):
         return pairs.join(wa, "a").join(wb, "b").mapInArrow(_verify_batches(threshold), "a long, b long")
 
-    matched = materialise(verified(found.where("a is not null")).select(F.col("b").alias("set")).distinct())
-    open_ = found.where("a is null").select(F.col("b").alias("set")).join(matched, "set", "left_anti")
+    matched = materialise(verified(found.where("a is not null")).select(F.col("b").alias("id")).distinct())
+    open_ = found.where("a is null").select(F.col("b").alias("id")).join(matched, "id", "left_anti")
     if open_.limit(1).count():  # sets of large groups that still lack an earlier match: all earlier ones
         n, m = F.col("n").cast("long"), F.col("n2").cast("long")
         need = F.ceil((n + m) * threshold / (1 + threshold) - 1e-9)
-        left = prefix.join(open_, "set")
-        right = prefix.select(F.col("code").alias("c2"), F.col("ord").alias("o2"), F.col("set").alias("s2"),
+        left = prefix.join(open_, "id")
+        right = prefix.select(F.col("code").alias("c2"), F.col("ord").alias("o2"), F.col("id").alias("s2"),
                               F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("bits").alias("b2"))
-        earlier = (F.col("o2") < F.col("ord")) | ((F.col("o2") == F.col("ord")) & (F.col("s2") < F.col("set")))
+        earlier = (F.col("o2") < F.col("ord")) | ((F.col("o2") == F.col("ord")) & (F.col("s2") < F.col("id")))
         cond = ((F.col("code") == F.col("c2")) & earlier & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
                 & (F.least(n - F.col("k"), m - F.col("k2")) >= need)
                 & (F.floor((n + m - F.bit_count(F.col("bits").bitwiseXOR(F.col("b2")))) / 2) >= need))
-        more = left.join(right, cond).select(F.col("s2").alias("a"), F.col("set").alias("b")).distinct()
+        more = left.join(right, cond).select(F.col("s2").alias("a"), F.col("id").alias("b")).distinct()
         matched = materialise(matched.union(verified(more).select("b")).distinct())
-    sets = (sets.select("set", "first_row", "first_line")
-            .join(matched.withColumn("matched", F.lit(True)), "set", "left")
+    sets = (sets.select("id", "set", "first_row", "first_line")
+            .join(matched.withColumn("matched", F.lit(True)), "id", "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False))))
     return raw.select("doc_id", "_key", "_row", "line", "set"), sets
 
@@ -283,10 +313,11 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GR
         F.sort_array(F.collect_list(F.when(gone, F.col("line")))).alias("removed")))
 
 
-def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents without their removed lines, in the columns of ``docs``
-    (``n_chars``, if there, follows).  Documents that lose all their words go;
-    repeated rows are one document."""
+    (``n_chars``, if there, follows).  Documents that keep less than
+    ``min_left`` of their words were mostly said before and go, rather than
+    stay as scraps; repeated rows are one document."""
     cols = docs.columns
     gone = removed_lines(docs, threshold).where("n_removed > 0")
     gone = gone.groupBy("_key").agg(F.min_by("removed", "n_removed").alias("_gone"))
@@ -294,8 +325,11 @@ def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     parts = F.split(F.col("text"), "\n")
     at = F.sequence(F.lit(0), F.size(parts) - 1)
     left = F.array_join(F.transform(F.array_except(at, F.col("_gone")), lambda i: F.get(parts, i)), "\n")
-    out = keyed.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    out = out.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    words = lambda c: F.regexp_count(F.col(c), F.lit(WORD))
+    out = keyed.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    out = out.where(F.col("_left").isNull() | (
+        (words("_left") > 0) & (words("_left") >= min_left * words("text"))))
+    out = out.withColumn("text", F.coalesce("_left", "text"))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*cols)

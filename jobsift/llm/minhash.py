@@ -11,10 +11,11 @@ size of what is broadcast at any scale).
 
 ``SAMPLES`` consistent samples a text in ``BANDS`` bands of ``ROWS``: a pair
 at similarity 0.8 meets with probability 0.998, at 0.9 with 1 - 1e-6.  Texts
-of a bucket are not paired with each other but with the bucket's centre;
-what is verified unlike the centre gets a new centre, until no bucket has
-members left that are neither linked nor compared.  Links become classes by
-connected components.  Copies of a text are one node from the start.
+of a bucket are not paired with each other but with the bucket's centres
+(members unlike all centres before them, by their samples); what is verified
+unlike its centre gets new ones, until no bucket has members left that are
+neither linked nor compared.  Links become classes by connected components.
+Copies of a text are one node from the start.
 
 Defined cases: texts without a word (null, empty) are their own classes;
 repeated rows are copies; a null doc_id takes part, but a class is named by
@@ -39,6 +40,9 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 18
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
+PART = 1 << 14     # members of a bucket that one task meets; larger buckets are split
+CENTRES = 1 << 12  # centres a task holds
+SMALL = 64         # left-over buckets up to this size compare all pairs
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -178,18 +182,19 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     j += 1
                 lens = [len(p[0]) for p in parts[i:j]]
                 starts = np.r_[0, np.cumsum(lens)[:-1]]
-                bands.extend(band_keys(sampler(np.concatenate([p[0] for p in parts[i:j]]),
-                                               np.concatenate([p[1] for p in parts[i:j]]), starts)))
+                s = sampler(np.concatenate([p[0] for p in parts[i:j]]), np.concatenate([p[1] for p in parts[i:j]]), starts)
+                bands.extend(zip(band_keys(s), map(bytes, s), strict=True))
                 i = j
             both = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("_key"), pa.array(both[:, 0]), pa.array(both[:, 1]),
-                 pa.array([bands[node[d]] if d in node else None for d in marks], pa.list_(pa.int64()))],
-                names=["doc_id", "_key", "t1", "t2", "bands"])
+                 pa.array([bands[node[d]][0] if d in node else None for d in marks], pa.list_(pa.int64())),
+                 pa.array([bands[node[d]][1] if d in node else None for d in marks], pa.binary())],
+                names=["doc_id", "_key", "t1", "t2", "bands", "samples"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return materialise(docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"))
-                       .mapInArrow(run, f"doc_id {kind}, _key long, t1 long, t2 long, bands array<long>")
+                       .mapInArrow(run, f"doc_id {kind}, _key long, t1 long, t2 long, bands array<long>, samples binary")
                        .withColumn("_row", F.monotonically_increasing_id()))
 
 
@@ -220,20 +225,21 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = word_idf(docs)
     sig = signatures(docs, idf)
     # copies are one node, named by their least row
-    nodes = materialise(sig.where("bands is not null").groupBy("t1", "t2").agg(
-        F.min("_row").alias("node"), F.min(F.struct("_row", "_key"))["_key"].alias("_key"), F.first("bands").alias("bands")))
+    row = F.min(F.struct("_row", "_key")).alias("f")
+    nodes = sig.where("bands is not null").groupBy("t1", "t2").agg(row, F.first("bands").alias("bands"),
+                                                                   F.first("samples").alias("samples"))
+    nodes = materialise(nodes.select("t1", "t2", F.col("f._row").alias("node"), F.col("f._key").alias("_key"), "bands", "samples"))
     band = nodes.select("node", F.posexplode("bands").alias("i", "v"))
     shared = band.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "v")
-    left = materialise(band.join(shared, ["i", "v"]))  # members of buckets that more than one text has
-    wanted = left.select("node").distinct()
-    texts = nodes.select("node", "_key").join(wanted, "node")
-    texts = materialise(docs.select("text", row_key("doc_id", "text").alias("_key")).join(
-        broadcast_if_small(texts, texts.count(), 48, 4 << 20), "_key").dropDuplicates(["node"]).select("node", "text"))
-    links = compare_buckets(left, texts, idf, threshold)
-    comp = components(links) if links is not None else None
+    members = materialise(band.join(shared, ["i", "v"]))  # of buckets that more than one text has
+    wanted = materialise(nodes.select("node", "_key", "samples").join(members.select("node").distinct(), "node"))
+    texts = broadcast_if_small(wanted.select("node", "_key"), wanted.count(), 48, 4 << 20)
+    texts = materialise(docs.select("text", row_key("doc_id", "text").alias("_key")).join(texts, "_key")
+                        .dropDuplicates(["node"]).select("node", "text"))
+    members = materialise(members.join(wanted.select("node", "samples"), "node"))
+    comp = components(compare_buckets(members, texts, idf, threshold))
     of_row = sig.select("_row", "doc_id", "_key", "t1", "t2").join(nodes.select("t1", "t2", "node"), ["t1", "t2"], "left")
-    of_row = of_row.withColumn("node", F.coalesce("node", "_row")) if comp is None else (
-        of_row.join(comp, "node", "left").withColumn("node", F.coalesce("comp", "node", "_row")))
+    of_row = of_row.join(comp, "node", "left").withColumn("node", F.coalesce("comp", "node", "_row"))
     of_row = materialise(of_row.select("_row", "doc_id", "_key", "node"))
     first = of_row.groupBy("node").agg(
         F.min("doc_id").alias("class_id"),
@@ -241,36 +247,84 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return of_row.join(first, "node").select("doc_id", "_key", "class_id", (F.col("_row") == F.col("_first")).alias("keep"))
 
 
-def compare_buckets(left: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:
-    """left(node, i, v): bucket members -> links(a, b), verified.
+def _meet_batches(every: bool):
+    """Rows sorted by bucket -> pairs (i, v, a centre, b member) whose samples
+    agree in half or more, and members to go on with (a null).
 
-    Round by round: every bucket's centre (the least hash of the round) meets
-    the members; links join classes; members in the centre's class are done in
-    this bucket, and the others go on without the centre.  A pair is compared
+    Members stream past the bucket's centres; one that is near none becomes a
+    centre.  CENTRES bounds the task's memory: unlike members beyond it have met
+    those centres and go on to the next round among themselves, as do the
+    centres of a bucket's parts.  ``every``: small buckets compare all."""
+    def run(batches):
+        at, nodes, samples, i, v, split = None, [], [], 0, 0, False
+        out = []
+
+        def flush():
+            cols = [np.array([r[j] for r in out], np.int64) for j in (0, 1, 3)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array([r[2] for r in out], pa.int64()),
+                 pa.array(cols[2])], names=["i", "v", "a", "b"])
+
+        def close():
+            if split:
+                out.extend((i, v, None, n) for n in nodes)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("i", "v", "part", "node", "samples", "parts", "n")), strict=True)
+            for i_, v_, part, node, mine, parts, n in rows:
+                if (i_, v_, part) != at:
+                    close()
+                    at, i, v, split, nodes = (i_, v_, part), i_, v_, parts > 1, []
+                    samples = np.empty((min(n, CENTRES), SAMPLES), np.uint32)
+                mine = np.frombuffer(mine, np.uint32)
+                agree = (samples[:len(nodes)] == mine).sum(axis=1)
+                near = np.flatnonzero(agree * 2 >= SAMPLES)
+                out.extend((i, v, nodes[j], node) for j in near)
+                if not len(near) or (every and n <= SMALL):
+                    if len(nodes) < len(samples):
+                        samples[len(nodes)] = mine
+                        nodes.append(node)
+                    else:
+                        out.append((i, v, None, node))
+                if len(out) >= 1 << 16:
+                    yield flush()
+                    out = []
+        close()
+        yield flush()
+    return run
+
+
+def compare_buckets(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """members(node, samples, i, v): buckets of more than one -> links(a, b), verified.
+
+    Round by round, members meet their bucket's centres; pairs whose samples
+    agree in under half are far below the threshold (about 1 in 10^6 at 0.8
+    would), the others are verified.  Members verified unlike a centre meet the
+    other such members of their bucket in the next round.  A pair is verified
     once, whichever buckets it shares."""
-    links = done = None
-    turn = 0
+    samples = members.select("node", "samples").dropDuplicates(["node"])
+    checked, turn = None, 0
     while True:
-        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"))
-        centre = (left.groupBy("i", "v").agg(F.min(rank)["node"].alias("b"), F.count(F.lit(1)).alias("n"))
-                  .where("n > 1").drop("n"))
-        open_ = materialise(left.join(centre, ["i", "v"]).where("node <> b"))
-        pairs = open_.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        size = F.count(F.lit(1)).alias("n")
+        sizes = members.groupBy("i", "v").agg(size).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART))
+        rows = (members.join(sizes, ["i", "v"]).withColumn("h", F.xxhash64("node", F.lit(turn)))
+                .withColumn("part", F.pmod("h", "parts")))
+        met = materialise(rows.repartition("i", "v", "part").sortWithinPartitions("i", "v", "part", "h", "node")
+                          .select("i", "v", "part", "node", "samples", "parts", "n")
+                          .mapInArrow(_meet_batches(turn > 0), "i int, v long, a long, b long"))
+        pairs = met.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         new = materialise(_verified(pairs, texts, idf, threshold))
-        if links is None and not new.limit(1).count():
-            return None
-        done = new.select("a", "b") if done is None else materialise(done.unionByName(new.select("a", "b")))
-        good = new.where("ok").select("a", "b")
-        links = good if links is None else materialise(links.unionByName(good))
-        comp = components(links)
-        at = open_.select("node", "i", "v", "b").join(
-            comp.withColumnRenamed("comp", "ca"), "node", "left").join(
-            comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-        left = materialise(at.where("ca is null or cb is null or ca <> cb").select("node", "i", "v"))
-        if not left.groupBy("i", "v").count().where("count > 1").limit(1).count():
-            return links
+        checked = new if checked is None else checked.unionByName(new)
+        bad = checked.where("not ok").select("a", "b")
+        small = sizes.select("i", "v", (F.col("n") <= (SMALL if turn else 1)).alias("done"))
+        unlike = (met.where("a is not null").select("i", "v", F.col("b").alias("node"), F.least("a", "b").alias("a"),
+                                                    F.greatest("a", "b").alias("b")).join(bad, ["a", "b"])
+                  .join(small.where("not done").select("i", "v"), ["i", "v"]).select("i", "v", "node"))
+        go_on = unlike.unionByName(met.where("a is null").select("i", "v", F.col("b").alias("node"))).distinct()
+        members = materialise(go_on.join(samples, "node").select("node", "samples", "i", "v"))
+        if not members.groupBy("i", "v").count().where("count > 1").limit(1).count():
+            return checked.where("ok").select("a", "b")
         turn += 1
 
 
