@@ -50,7 +50,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """-> the rows of ``messages`` as (conv, turn, body, n_quotes, max_level,
     n_linked, parent_turn, thread_root, depth)."""
     parsed = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), quote_lines(F.col(text)).alias("_l"))
-    parsed = parsed.select("conv", "turn", own_text(F.col("_l")).alias("body"), "_l")
+    parsed = materialise(parsed.select("conv", "turn", own_text(F.col("_l")).alias("body"), "_l"))
     lines = parsed.select("conv", "turn", F.explode("_l").alias("x")).select(
         "conv", "turn", F.col("x.level").alias("level"), F.xxhash64("x.norm").alias("passage"),
         (F.col("x.norm") != "").alias("said")).where("said").drop("said")
@@ -81,16 +81,24 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 
 def close_threads(nodes: DataFrame) -> DataFrame:
-    """nodes(conv, turn, parent_turn) -> with thread_root and depth, by pointer jumping."""
+    """nodes(conv, turn, parent_turn) -> with thread_root and depth, by
+    pointer jumping; only messages whose pointer is open are joined again."""
     state = materialise(nodes.withColumns({
         "ptr": F.col("parent_turn"), "thread_root": F.coalesce("parent_turn", "turn"),
         "depth": F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long")}))
-    while state.where("ptr is not null").limit(1).count():
-        up = state.select(F.col("conv").alias("_c"), F.col("turn").alias("_t"), F.col("ptr").alias("_ptr"),
-                          F.col("thread_root").alias("_root"), F.col("depth").alias("_depth"))
+    closed = None
+    while True:
+        done = state.where("ptr is null")
+        closed = done if closed is None else closed.unionByName(done)
+        open_ = state.where("ptr is not null")
+        if not open_.limit(1).count():
+            return closed.drop("ptr")
+        # what a pointer leads to is either open in this round or closed before
+        up = closed.unionByName(open_).select(
+            F.col("conv").alias("_c"), F.col("turn").alias("_t"), F.col("ptr").alias("_ptr"),
+            F.col("thread_root").alias("_root"), F.col("depth").alias("_depth"))
         state = materialise(
-            state.join(up, (F.col("conv") == F.col("_c")) & (F.col("ptr") == F.col("_t")), "left")
+            open_.join(up, (F.col("conv") == F.col("_c")) & (F.col("ptr") == F.col("_t")), "left")
             .select("conv", "turn", "parent_turn", F.col("_ptr").alias("ptr"),
                     F.coalesce("_root", "thread_root").alias("thread_root"),
                     (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
-    return state.drop("ptr")
