@@ -319,8 +319,8 @@ def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD, min_left:
     ``min_left`` of their words were mostly said before and go, rather than
     stay as scraps; repeated rows are one document."""
     cols = docs.columns
-    gone = removed_lines(docs, threshold).where("n_removed > 0")
-    gone = gone.groupBy("_key").agg(F.min_by("removed", "n_removed").alias("_gone"))
+    gone = (removed_lines(docs, threshold).groupBy("_key").agg(F.min_by("removed", "n_removed").alias("_gone"))
+            .where(F.size("_gone") > 0))
     keyed = docs.withColumn("_key", row_key("doc_id", "text")).dropDuplicates(["_key"]).join(gone, "_key", "left")
     parts = F.split(F.col("text"), "\n")
     at = F.sequence(F.lit(0), F.size(parts) - 1)

@@ -12,9 +12,8 @@ size of what is broadcast at any scale).
 ``SAMPLES`` consistent samples a text in ``BANDS`` bands of ``ROWS``: a pair
 at similarity 0.8 meets with probability 0.998, at 0.9 with 1 - 1e-6.  Texts
 of a bucket are not paired with each other but with the bucket's centres
-(members unlike all centres before them, by their samples); what is verified
-unlike its centre gets new ones, until no bucket has members left that are
-neither linked nor compared.  Links become classes by connected components.
+(members not almost equal to a centre before them, by their samples); what is
+verified unlike its centres meets the others of its bucket that are.  Links become classes by connected components.
 Copies of a text are one node from the start.
 
 Defined cases: texts without a word (null, empty) are their own classes;
@@ -42,7 +41,9 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 PART = 1 << 14     # members of a bucket that one task meets; larger buckets are split
 CENTRES = 1 << 12  # centres a task holds
-SMALL = 64         # left-over buckets up to this size compare all pairs
+# shares of the samples that agree: a pair at similarity 0.8 is under POSSIBLE
+# once in 5,000 buckets, and under LIKELY once in 20 (a pair shares five on average)
+POSSIBLE, LIKELY, SURE = 0.6, 0.7, 0.9
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -248,13 +249,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _meet_batches(every: bool):
-    """Rows sorted by bucket -> pairs (i, v, a centre, b member) whose samples
-    agree in half or more, and members to go on with (a null).
-
-    Members stream past the bucket's centres; one that is near none becomes a
-    centre.  CENTRES bounds the task's memory: unlike members beyond it have met
-    those centres and go on to the next round among themselves, as do the
-    centres of a bucket's parts.  ``every``: small buckets compare all."""
+    """Rows sorted by bucket -> pairs (i, v, a centre, b member), and members to
+    go on with (a null).
+
+    Members stream past the bucket's centres.  A member pairs with the centre
+    it agrees with most (with the best two where that is under SURE of the
+    samples, and then it is a centre itself), if POSSIBLE agree.  CENTRES bounds
+    the task's memory: members beyond it, and the centres of a bucket's parts,
+    go on to the next round.  ``every``: all members are centres, and all pairs
+    of which LIKELY agree are given."""
     def run(batches):
         at, nodes, samples, i, v, split = None, [], [], 0, 0, False
         out = []
@@ -277,9 +280,15 @@ def _meet_batches(every: bool):
                     samples = np.empty((min(n, CENTRES), SAMPLES), np.uint32)
                 mine = np.frombuffer(mine, np.uint32)
                 agree = (samples[:len(nodes)] == mine).sum(axis=1)
-                near = np.flatnonzero(agree * 2 >= SAMPLES)
-                out.extend((i, v, nodes[j], node) for j in near)
-                if not len(near) or (every and n <= SMALL):
+                sure = False
+                if every:
+                    near = np.flatnonzero(agree >= LIKELY * SAMPLES)
+                else:
+                    near = np.argsort(-agree, kind="stable")[:2]
+                    sure = len(near) > 0 and agree[near[0]] >= SURE * SAMPLES
+                    near = near[:1] if sure else near[agree[near] >= POSSIBLE * SAMPLES]
+                out.extend((i, v, nodes[j], node) for j in near.tolist())
+                if not sure:
                     if len(nodes) < len(samples):
                         samples[len(nodes)] = mine
                         nodes.append(node)
@@ -296,32 +305,33 @@ def _meet_batches(every: bool):
 def compare_buckets(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """members(node, samples, i, v): buckets of more than one -> links(a, b), verified.
 
-    Round by round, members meet their bucket's centres; pairs whose samples
-    agree in under half are far below the threshold (about 1 in 10^6 at 0.8
-    would), the others are verified.  Members verified unlike a centre meet the
-    other such members of their bucket in the next round.  A pair is verified
+    In the first round members meet their bucket's centres; in the next, the
+    members that were verified unlike all centres they were paired with meet
+    each other, and so do the centres of split buckets.  A pair is verified
     once, whichever buckets it shares."""
     samples = members.select("node", "samples").dropDuplicates(["node"])
     checked, turn = None, 0
     while True:
         size = F.count(F.lit(1)).alias("n")
-        sizes = members.groupBy("i", "v").agg(size).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART))
+        sizes = members.groupBy("i", "v").agg(size).where("n > 1").withColumn(
+            "parts", F.lit(1).cast("long") if turn else F.ceil(F.col("n") / PART))  # later rounds end: CENTRES go each time
         rows = (members.join(sizes, ["i", "v"]).withColumn("h", F.xxhash64("node", F.lit(turn)))
                 .withColumn("part", F.pmod("h", "parts")))
         met = materialise(rows.repartition("i", "v", "part").sortWithinPartitions("i", "v", "part", "h", "node")
                           .select("i", "v", "part", "node", "samples", "parts", "n")
                           .mapInArrow(_meet_batches(turn > 0), "i int, v long, a long, b long"))
-        pairs = met.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        paired = met.where("a is not null").select("i", "v", F.col("b").alias("node"), F.least("a", "b").alias("a"),
+                                                   F.greatest("a", "b").alias("b"))
+        pairs = paired.select("a", "b").distinct()
         if checked is not None:
             pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         new = materialise(_verified(pairs, texts, idf, threshold))
         checked = new if checked is None else checked.unionByName(new)
-        bad = checked.where("not ok").select("a", "b")
-        small = sizes.select("i", "v", (F.col("n") <= (SMALL if turn else 1)).alias("done"))
-        unlike = (met.where("a is not null").select("i", "v", F.col("b").alias("node"), F.least("a", "b").alias("a"),
-                                                    F.greatest("a", "b").alias("b")).join(bad, ["a", "b"])
-                  .join(small.where("not done").select("i", "v"), ["i", "v"]).select("i", "v", "node"))
-        go_on = unlike.unionByName(met.where("a is null").select("i", "v", F.col("b").alias("node"))).distinct()
+        go_on = met.where("a is null").select("i", "v", F.col("b").alias("node"))
+        if not turn:
+            unlike = (paired.join(checked, ["a", "b"]).groupBy("i", "v", "node").agg(F.max("ok").alias("ok"))
+                      .where("not ok").select("i", "v", "node"))
+            go_on = go_on.unionByName(unlike).distinct()
         members = materialise(go_on.join(samples, "node").select("node", "samples", "i", "v"))
         if not members.groupBy("i", "v").count().where("count > 1").limit(1).count():
             return checked.where("ok").select("a", "b")
