@@ -24,7 +24,7 @@ def materialise(df: DataFrame) -> DataFrame:
     plans that follow know its true size (a checkpoint keeps the estimate of
     the plan behind it, which loops of joins multiply out of all bounds)."""
     path = checkpoint_path(df.sparkSession, f"llm-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

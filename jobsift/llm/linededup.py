@@ -6,10 +6,12 @@ if the Jaccard similarity of their sets is ``THRESHOLD`` or more, and a line
 is removed if it matches any earlier line (order: doc_id, nulls last, then
 line number).
 
-1. Words are counted over all lines; the most counted (``HEAD`` at most) are
-   ranked by count, all rarer ones come before them by hash: a fixed order,
-   rare words first.
-2. Equal sets are one row, named by its hash, with its first occurrence.
+1. Words are counted over all texts; the most counted (``HEAD`` at most) are
+   ranked by count, all rarer ones come before them by hash: one fixed order,
+   rare words first.  (Any fixed order gives the same matches; counts under
+   TASK_COUNT in a task are left out, which may only cost some rarity.)
+2. A set is named by its hash; its first occurrence comes from a narrow
+   aggregate, and each task gives its words once.
 3. Two sets that match share one of the first n - ceil(t n) + 1 words.  The
    rows (prefix word, set) are grouped by word; pairs must pass the length
    filter, the positional filter (words left behind the shared one) and a
@@ -22,7 +24,7 @@ earliest, and only sets that found no match anywhere go on to the others.
 
 Defined cases: null and empty texts have no lines to remove; repeated rows
 are later documents (all their longer lines match); ties in order (equal doc_ids) are
-broken by an id of the set; an empty table gives an empty result.
+broken by the row; an empty table gives an empty result.
 """
 
 from collections import Counter
@@ -34,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.common import WORD, materialise, row_key
+from jobsift.llm.common import WORD, broadcast_if_small, materialise, row_key
 
 MIN_TOKENS = 5
 THRESHOLD = 0.8
 HEAD = 1 << 18
+TASK_COUNT = 4  # a word that a task counts less often cannot matter to the ranks
 GROUP = 256
+CHUNK = 1 << 20  # words handled together (whole texts)
 LINE_BITS = 20
 MIN_LEFT = 0.5  # share of its words that a document must keep to stay
 
@@ -47,22 +51,13 @@ _TOP = np.uint64(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_sets(text: str | None) -> list[tuple[int, set[bytes]]]:
-    """(line number, distinct words) of the lines that take part."""
-    out = []
-    for i, line in enumerate((text or "").encode().lower().split(b"\n")):
-        words = set(line.split())
-        if len(words) >= MIN_TOKENS:
-            out.append((i, words))
-    return out
-
-
 def _hash(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) >> 1
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(c):
+        c = {w: k for w, k in c.items() if k >= TASK_COUNT}
         return pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in c], pa.int64()), pa.array(list(c.values()), pa.int64())],
                                           names=["h", "c"])
     counts = Counter()
@@ -138,52 +133,80 @@ def shared_words(x: bytes, y: bytes, n: int, m: int) -> int:
     return int((both[1:] == both[:-1]).sum() + (ranks[1:] == ranks[:-1]).sum())
 
 
-def _set_batches(ranks: dict[int, int], t: float):
+def line_codes(lines: list[list[bytes]], cache: dict[bytes, int], ranks: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of each line, codes): the distinct words of every line, rare first."""
+    flat = [w for line in lines for w in line]
+    distinct = list(set(flat))
+    for w in distinct:
+        if w not in cache:
+            h = _hash(w)
+            at = ranks.get(h)
+            cache[w] = h if at is None else (1 << 63) + at
+    code = np.fromiter(map(cache.__getitem__, distinct), np.uint64, len(distinct))
+    order = np.argsort(code)
+    rank = np.empty(len(code), np.int64)
+    rank[order] = np.arange(len(code))
+    index = dict(zip(distinct, rank.tolist(), strict=True))
+    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    both = (line << 32) | np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    return np.bincount(both >> 32, minlength=len(lines)), code[order][both & 0xFFFFFFFF]
+
+
+def _set_batches(ranks: dict[int, int]):
+    names = ["doc_id", "_key", "_row", "line", "set", "n", "bits", "ord", "words"]
+
+    def out(b, rows, lines, words, cache):
+        n, code = line_codes(words, cache, ranks)
+        take = n >= MIN_TOKENS
+        code, n = code[np.repeat(take, n)], n[take]
+        rows, lines = np.array(rows, np.int64)[take], np.array(lines, np.int64)[take]
+        starts = np.cumsum(n) - n
+        mixed = (code ^ (code >> np.uint64(31))) * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        some = len(n) > 0
+        ids = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts) if some else np.zeros(0, np.uint64)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts) if some else ids
+        doc = b.column("doc_id").take(pa.array(rows))
+        # order as one number: doc_id (nulls last), then line
+        at = np.array([1 << 42 if d is None else int(d) for d in doc.to_pylist()], np.int64)
+        at = (at << LINE_BITS) + np.minimum(lines, (1 << LINE_BITS) - 1)
+        first, seen = np.zeros(len(n), bool), {}
+        for j in np.argsort(at, kind="stable").tolist():
+            if (s := int(ids[j])) not in seen:
+                seen[s] = first[j] = True
+        packed = [w if u else None for w, u in zip(pack(code, n), first.tolist(), strict=True)] if some else []
+        return pa.RecordBatch.from_arrays(
+            [doc, *[b.column(c).take(pa.array(rows)) for c in ("_key", "_row")], pa.array(lines.astype(np.int32)),
+             pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(at),
+             pa.array(packed, pa.binary())], names=names)
+
     def run(batches):
         cache: dict[bytes, int] = {}
         for b in batches:
-            rows, lines, sizes, codes = [], [], [], []
+            rows, lines, words, size = [], [], [], 0
             for r, text in enumerate(b.column("text").to_pylist()):
-                for i, words in line_sets(text):
-                    for w in words.difference(cache):
-                        h = _hash(w)
-                        at = ranks.get(h)
-                        cache[w] = h if at is None else (1 << 63) + at
-                    rows.append(r)
-                    lines.append(i)
-                    sizes.append(len(words))
-                    codes.extend(map(cache.__getitem__, words))
-                if len(cache) > 1_000_000:
-                    cache.clear()
-            meta = [b.column(c) for c in ("doc_id", "_key", "_row")]
-            n = np.array(sizes, np.int64)
-            at = np.repeat(np.arange(len(n)), n)
-            code = np.array(codes, np.uint64)
-            order = np.lexsort((code, at))
-            code = code[order]
-            starts = np.r_[0, np.cumsum(n)[:-1]].astype(np.int64) if len(n) else np.zeros(0, np.int64)
-            mixed = (code ^ (code >> np.uint64(31))) * _ODD
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            ids = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts) if len(n) else np.zeros(0, np.uint64)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts) if len(n) else ids
-            take = pa.array(np.array(rows, np.int64))
-            words = pack(code, n)
-            first = {}
-            for j, s in enumerate(ids.tolist()):
-                first.setdefault(s, j)
-            sure = np.zeros(len(n), bool)
-            sure[list(first.values())] = True  # a set's words once a batch
-            words = [w if u else None for w, u in zip(words, sure, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(take) for c in meta], pa.array(np.array(lines, np.int32)), pa.array(ids.view(np.int64)),
-                 pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(words, pa.binary())],
-                names=["doc_id", "_key", "_row", "line", "set", "n", "bits", "words"])
+                for i, line in enumerate((text or "").encode().lower().split(b"\n")):
+                    w = line.split()
+                    if len(w) >= MIN_TOKENS:
+                        rows.append(r)
+                        lines.append(i)
+                        words.append(w)
+                        size += len(w)
+                if size >= CHUNK:
+                    yield out(b, rows, lines, words, cache)
+                    rows, lines, words, size = [], [], [], 0
+                    if len(cache) > 1_000_000:
+                        cache.clear()
+            if rows:
+                yield out(b, rows, lines, words, cache)
     return run
 
 
 def _pair_batches(t: float, group: int):
-    """Rows sorted by (code, ord) -> candidate pairs (a earlier, b later);
-    rows of large groups that met only the earliest: (null, b)."""
+    """Rows sorted by (code, ord) -> candidate pairs (a, b); rows of large
+    groups that met only the earliest: (null, b)."""
     def pairs_of(code, ord_, set_, n, k, bits):
         found = []
 
@@ -216,7 +239,7 @@ def _pair_batches(t: float, group: int):
              pa.array(np.r_[b, deferred])], names=["a", "b"])
 
     def run(batches):
-        cols, held = ("code", "ord", "id", "n", "k", "bits"), None
+        cols, held = ("code", "ord", "set", "n", "k", "bits"), None
         for b in batches:
             now = [b.column(c).to_numpy(zero_copy_only=False) for c in cols]
             if held is not None:
@@ -241,6 +264,20 @@ def _verify_batches(t: float):
     return run
 
 
+def _prefix_batches(t: float):
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column("n").to_numpy().astype(np.int64)
+            at, k, code = unpack_prefixes(b.column("words").to_pylist(), n, prefix_length(n, t))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code.view(np.int64)), *[b.column(c).take(pa.array(at)) for c in ("ord", "set", "n")],
+                 pa.array(k.astype(np.int32)), b.column("bits").take(pa.array(at))],
+                names=["code", "ord", "set", "n", "k", "bits"])
+    return run
+
+
 def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (lines, sets): lines(doc_id, _key, _row, line,
     set) of every line that takes part; sets(set, first_row, first_line,
@@ -250,53 +287,46 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     keyed = (docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"))
              .withColumn("_row", F.monotonically_increasing_id()))
     raw = materialise(keyed.mapInArrow(
-        _set_batches(ranks, threshold),
-        f"doc_id {kind}, _key long, _row long, line int, set long, n int, bits long, words binary"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row", "line"))
-    sets = raw.groupBy("set").agg(first.alias("f"), F.max("words").alias("words"), F.first("n").alias("n"),
-                                  F.first("bits").alias("bits"))
-    # order as one number: doc_id, then line; ties by the set's id
-    order = F.when(F.col("f.no"), F.lit((1 << 62))).otherwise(
-        F.shiftleft(F.col("f.doc_id").cast("long"), LINE_BITS)) + F.least(F.col("f.line"), F.lit((1 << LINE_BITS) - 1))
-    sets = materialise(sets.select(F.monotonically_increasing_id().alias("id"), "set", order.alias("ord"), F.col("f._row").alias("first_row"),
-                                   F.col("f.line").alias("first_line"), "n", "bits", "words"))
-
-    def prefixes(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column("n").to_numpy().astype(np.int64)
-            at, k, code = unpack_prefixes(b.column("words").to_pylist(), n, prefix_length(n, threshold))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code.view(np.int64)), *[b.column(c).take(pa.array(at)) for c in ("ord", "id", "n")],
-                 pa.array(k.astype(np.int32)), b.column("bits").take(pa.array(at))],
-                names=["code", "ord", "id", "n", "k", "bits"])
-
-    prefix = sets.select("ord", "id", "n", "bits", "words").mapInArrow(
-        prefixes, "code long, ord long, id long, n int, k int, bits long")
-    found = materialise(prefix.repartition("code").sortWithinPartitions("code", "ord", "id")
-                        .mapInArrow(_pair_batches(threshold, group), "a long, b long").distinct())
-    wa, wb = (sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        _set_batches(ranks),
+        f"doc_id {kind}, _key long, _row long, line int, set long, n int, bits long, ord long, words binary"))
+    first = raw.groupBy("set").agg(F.min(F.struct("ord", "_row", "line")).alias("f"))
+    given = raw.where("words is not null").select("ord", "set", "n", "bits", "words")  # a set's words, once a chunk
+    prefix = given.mapInArrow(_prefix_batches(threshold), "code long, ord long, set long, n int, k int, bits long")
+    found = materialise(prefix.repartition("code").sortWithinPartitions("code", "ord", "set")
+                        .mapInArrow(_pair_batches(threshold, group), "a long, b long")
+                        .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").isNull().alias("lone"))
+                        .distinct())
+    both = found.where("not lone").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def verified(pairs):
-        return pairs.join(wa, "a").join(wb, "b").mapInArrow(_verify_batches(threshold), "a long, b long")
-
-    matched = materialise(verified(found.where("a is not null")).select(F.col("b").alias("id")).distinct())
-    open_ = found.where("a is null").select(F.col("b").alias("id")).join(matched, "id", "left_anti")
+        """The later set of each pair that matches."""
+        pairs = materialise(pairs)
+        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+        words = given.select("set", "n", "words").join(broadcast_if_small(wanted, pairs.count() * 2, 24), "set")
+        words = materialise(words.dropDuplicates(["set"]).join(first, "set"))
+        wa, wb = (words.select(F.col("set").alias(x), F.col("words").alias(f"w{x}"), F.col("n").alias(f"n{x}"),
+                               F.struct("f.ord", "f._row", F.col("set").alias("s")).alias(f"f{x}")) for x in "ab")
+        ok = pairs.join(wa, "a").join(wb, "b").select(
+            F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("a"),
+            F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("b"), "wa", "wb", "na", "nb")
+        return ok.mapInArrow(_verify_batches(threshold), "a long, b long").select(F.col("b").alias("set")).distinct()
+
+    matched = materialise(verified(both))
+    open_ = found.where("lone").select(F.col("y").alias("set")).join(matched, "set", "left_anti")
     if open_.limit(1).count():  # sets of large groups that still lack an earlier match: all earlier ones
         n, m = F.col("n").cast("long"), F.col("n2").cast("long")
         need = F.ceil((n + m) * threshold / (1 + threshold) - 1e-9)
-        left = prefix.join(open_, "id")
-        right = prefix.select(F.col("code").alias("c2"), F.col("ord").alias("o2"), F.col("id").alias("s2"),
+        left = prefix.join(open_, "set")
+        right = prefix.select(F.col("code").alias("c2"), F.col("ord").alias("o2"), F.col("set").alias("s2"),
                               F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("bits").alias("b2"))
-        earlier = (F.col("o2") < F.col("ord")) | ((F.col("o2") == F.col("ord")) & (F.col("s2") < F.col("id")))
-        cond = ((F.col("code") == F.col("c2")) & earlier & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
+        cond = ((F.col("code") == F.col("c2")) & (F.col("o2") <= F.col("ord")) & (F.col("s2") != F.col("set"))
+                & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
                 & (F.least(n - F.col("k"), m - F.col("k2")) >= need)
                 & (F.floor((n + m - F.bit_count(F.col("bits").bitwiseXOR(F.col("b2")))) / 2) >= need))
-        more = left.join(right, cond).select(F.col("s2").alias("a"), F.col("id").alias("b")).distinct()
-        matched = materialise(matched.union(verified(more).select("b")).distinct())
-    sets = (sets.select("id", "set", "first_row", "first_line")
-            .join(matched.withColumn("matched", F.lit(True)), "id", "left")
+        more = left.join(right, cond).select(F.least("s2", "set").alias("a"), F.greatest("s2", "set").alias("b")).distinct()
+        matched = materialise(matched.union(verified(more)).distinct())
+    sets = (first.select("set", F.col("f._row").alias("first_row"), F.col("f.line").alias("first_line"))
+            .join(matched.withColumn("matched", F.lit(True)), "set", "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False))))
     return raw.select("doc_id", "_key", "_row", "line", "set"), sets
 
