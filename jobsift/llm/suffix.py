@@ -267,6 +267,8 @@ def repeated_starts(group: np.ndarray, before: list[bytes], behind: list[bytes])
     out = np.zeros((n, REACH + 1), bool)
     for e in range(REACH + 1):
         rows = np.flatnonzero((len_l >= e) & (len_r >= REACH - e))
+        if not len(rows):
+            continue
         left = np.cumsum(share_l < e)[rank_l[rows]]             # classes of phrases alike for e bytes
         right = np.cumsum(share_r < REACH - e)[rank_r[rows]]
         pair = left * (n + 1) + right

@@ -60,6 +60,12 @@ def test_repeats_with_edits(spark, edge_docs, no_docs):
     assert suffix.remove_repeats(no_docs).count() == 0
 
 
+def test_starts_near_the_ends_of_short_texts():
+    got = suffix.repeated_starts(np.array([1, 1]), [b"ab", b"abc"], [b"x" * suffix.REACH, b"x" * suffix.REACH])
+    assert got[:, :3].all() and not got[:, 3:].any()
+    assert not suffix.repeated_starts(np.array([1, 2]), [b"", b""], [b"", b""]).any()
+
+
 # -- op10 ---------------------------------------------------------------------
 
 def plain_base(rows):
