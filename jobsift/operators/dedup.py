@@ -1,19 +1,15 @@
 """Keep-latest dedup of the jobs table.
 
-``seq`` is the ingest order (the original used SQLite's rowid) and is
-unique.  All operators here are built from two skew-proof pieces:
-
-* a partial (map-side combined) aggregate per URL or per description key -
-  a key holding a third of all rows collapses to one row per task before
-  the shuffle;
-* a semi / anti / left join back on ``seq`` - unique, so the join
-  partitions are uniform no matter how skewed URLs or descriptions are.
-
-Descriptions are grouped by ``sha2(description, 256)`` so only 32 bytes per
-row are shuffled instead of texts of up to ~130k characters; a NULL
-description keeps a NULL key, so all NULLs form one group as in SQL.
-No window is partitioned by URL or description (a hot key would put a third
-of the table into one sorted task).
+``seq`` is the ingest order and is unique.  Which rows stay is decided on a
+narrow table (seq, url, description hash) - a key that holds a third of all
+rows collapses to one row a task before its shuffle, and no text enters an
+exchange - and then one semi join on ``seq``, whose partitions are even
+however skewed URLs or descriptions are, takes the wide rows.
+
+Descriptions are compared by ``sha2(description, 256)``; a NULL description
+keeps a NULL key, so all NULLs form one group as in SQL.  No window is
+partitioned by URL or description (a hot key would put a third of the table
+into one sorted task).
 """
 
 from __future__ import annotations
@@ -37,8 +33,15 @@ def latest_seq_per_url(jobs: DataFrame) -> DataFrame:
 
 def keep_latest_url(jobs: DataFrame) -> DataFrame:
     """Rows whose seq is the largest of their url."""
-    keep = latest_seq_per_url(jobs).select(F.col("max_seq").alias(SEQ))
-    return jobs.join(keep, SEQ, "left_semi")
+    return _take(jobs, latest_seq_per_url(jobs).select(F.col("max_seq").alias(SEQ)))
+
+
+def _take(jobs: DataFrame, seqs: DataFrame) -> DataFrame:
+    return jobs.join(seqs, SEQ, "left_semi")
+
+
+def narrow(jobs: DataFrame) -> DataFrame:
+    return jobs.select(SEQ, URL, description_key(F.col(DESC)).alias("dkey"))
 
 
 def description_groups(jobs: DataFrame) -> DataFrame:
@@ -65,23 +68,20 @@ def dedup_strict(jobs: DataFrame) -> DataFrame:
     )).scalar()
     single = (groups.where(F.col("dkey").isNotNull() & (F.col("copies") == 1))
               .select(F.col("last_seq").alias(SEQ), F.lit(True).alias("__single")))
-    latest = keep_latest_url(jobs)
-    marked = latest.join(single, SEQ, "left")
+    latest = latest_seq_per_url(jobs).select(F.col("max_seq").alias(SEQ))
     keep = (~flags["any_dup"]) | (F.coalesce(F.col("__single"), F.lit(False)) & ~flags["null_dup"])
-    return marked.where(keep).select(*jobs.columns)
+    return _take(jobs, latest.join(single, SEQ, "left").where(keep).select(SEQ))
 
 
 def dedup_latest(jobs: DataFrame) -> DataFrame:
     """The documented intent: latest row per url, then among those the
-    latest row per description; rows with a NULL description are all kept."""
-    s1 = keep_latest_url(jobs)
-    last = (s1.where(F.col(DESC).isNotNull())
-            .select(SEQ, description_key(F.col(DESC)).alias("dkey"))
-            .groupBy("dkey").agg(F.max(SEQ).alias(SEQ))
-            .select(SEQ, F.lit(True).alias("__last")))
-    return (s1.join(last, SEQ, "left")
-            .where(F.col(DESC).isNull() | F.col("__last").isNotNull())
-            .select(*jobs.columns))
+    latest row per description; rows with a NULL description are all kept.
+
+    Two aggregates on the narrow table: the latest row of a url brings its
+    description's hash along; a NULL hash becomes a key of its own."""
+    latest = narrow(jobs).groupBy(URL).agg(F.max(F.struct(SEQ, "dkey")).alias("r")).select("r.*")
+    key = F.coalesce("dkey", F.concat(F.lit("seq "), F.col(SEQ).cast("string")))
+    return _take(jobs, latest.groupBy(key.alias("k")).agg(F.max(SEQ).alias(SEQ)).select(SEQ))
 
 
 def repost_copies(jobs: DataFrame) -> DataFrame:

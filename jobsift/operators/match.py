@@ -41,10 +41,15 @@ def _sql_lit(t: str) -> str:
 
 
 def skill_ids(skills: Column, terms: list[str]) -> Column:
-    """Dictionary positions of a skill array (unknown entries dropped)."""
+    """Dictionary positions of a skill array; case does not count (the terms
+    are lower-case names).  Entries outside the dictionary have no position."""
     index = F.create_map(*[x for i, t in enumerate(terms) for x in (F.lit(t), F.lit(i))])
-    return F.filter(F.transform(F.coalesce(skills, F.array().cast("array<string>")),
-                                lambda t: F.try_element_at(index, t)), lambda i: i.isNotNull())
+    return F.filter(F.transform(skill_names(skills), lambda t: F.try_element_at(index, t)), lambda i: i.isNotNull())
+
+
+def skill_names(skills: Column) -> Column:
+    """A skill array as a set of lower-case names (NULL: empty)."""
+    return F.array_distinct(F.transform(F.coalesce(skills, F.array().cast("array<string>")), F.lower))
 
 
 def skill_masks(ids_col: str, n_words: int, prefix: str) -> list[Column]:
@@ -97,8 +102,7 @@ def prepare_jobs(jobs: DataFrame, terms: list[str], bypass: bool = True,
         S.level_index(F.col("level"), case_sensitive=False).alias("job_level_idx"),
         F.col("bert_vector").alias("job_vec"),
         S.norm("bert_vector", dims).alias("job_norm"),
-        F.size(F.array_distinct(F.coalesce(F.col("skills"), F.array().cast("array<string>"))))
-         .alias("job_nreq"),
+        F.size(skill_names(F.col("skills"))).alias("job_nreq"),
         skill_ids(F.col("skills"), terms).alias("__ids"),
     ).select("*", *skill_masks("__ids", _n_words(terms), "job_m")).drop("__ids")
 

@@ -9,15 +9,21 @@ from jobsift.sources.fixtures import jobs_fx
 
 NULL_EVERY = 97
 
+# The rule in words: a row stays if it is the last of its url and no other
+# row has its description.  Once any description repeats, a row without one
+# cannot be told apart and goes; once the missing description itself
+# repeats, no row can be.
 STRICT_SQL = """
-SELECT * FROM {t}
-WHERE seq IN (SELECT MAX(seq) FROM {t} GROUP BY url)
-  AND description_text NOT IN (
-      SELECT description_text FROM {t} GROUP BY description_text
-      HAVING COUNT(*) > 1 AND MIN(seq) != MAX(seq)
-      INTERSECT
-      SELECT description_text FROM {t}
-      WHERE seq NOT IN (SELECT MAX(seq) FROM {t} GROUP BY description_text))
+SELECT * FROM (WITH marked AS (
+  SELECT {t}.*, row_number() OVER (PARTITION BY url ORDER BY seq DESC) AS from_last,
+         count(*) OVER (PARTITION BY description_text) AS same_text FROM {t}),
+flags AS (
+  SELECT coalesce(bool_or(same_text > 1), false) AS some_repeat,
+         coalesce(bool_or(same_text > 1 AND description_text IS NULL), false) AS missing_repeats FROM marked)
+SELECT m.* EXCLUDE (from_last, same_text) FROM marked m, flags f
+WHERE m.from_last = 1
+  AND (NOT f.some_repeat
+       OR (NOT f.missing_repeats AND m.description_text IS NOT NULL AND m.same_text = 1)))
 """
 
 LATEST_SQL = """

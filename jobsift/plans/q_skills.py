@@ -10,7 +10,7 @@ from jobsift.operators import skills as SK
 from jobsift.plans.catalog import register
 from jobsift.plans.sqlkit import WORD_CLASS, build, hit_list_sql, sql_str
 from jobsift.sources.fixtures import SKILLS_FX, jobs_fx
-from jobsift.sources.tables import read_table
+from jobsift.sources.tables import read_test_table
 
 # Stop words for the token keyword queries (a parameter of the operator).
 STOP_WORDS_FX = ["the", "and", "with", "from", "for", "that", "this", "les", "des", "une",
@@ -40,7 +40,7 @@ WHERE url IN (SELECT url FROM live)""", ("jobs",), (f"live AS ({LATEST_SQL.forma
 
 
 def _keywords(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = read_test_table(spark, sf, "documents").select("doc_id", "text")
     return SK.token_keywords(docs, "text", STOP_WORDS_FX)
 
 

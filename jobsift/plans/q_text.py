@@ -9,8 +9,8 @@ from jobsift.functions import text as TX
 from jobsift.plans.catalog import register
 from jobsift.plans.sqlkit import build, sql_str
 from jobsift.sources import html as H
-from jobsift.sources.fixtures import cv_pages_fx, jobs_fx, req_fx, responses_status
-from jobsift.sources.tables import read_table
+from jobsift.sources.fixtures import cv_blank_pages_fx, cv_pages_fx, jobs_fx, req_fx, responses_status
+from jobsift.sources.tables import read_test_table
 
 # Unicode whitespace (Java's (?U)\s) as an RE2 class
 WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
@@ -27,7 +27,7 @@ def unescape_sql(x: str) -> str:
 
 
 def _pages(spark, sf):
-    return read_table(spark, sf, "pages")
+    return read_test_table(spark, sf, "pages")
 
 
 # --- page fields and text ---------------------------------------------------
@@ -77,6 +77,92 @@ FROM (SELECT start, kept, unnest(range(0, len(kept))) AS i FROM (
                  WHERE len(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)) = 0)))""")
 
 
+# --- posting and listing pages --------------------------------------------------
+
+# Each captured page in the posting board's form: nested elements, numeric and
+# named entities, the second of two location bullets, absent fields.
+POSTING_PARTS = [
+    ("'<html><body><h2 class=\"" + D.POSTING_FIELDS["job_title"][1] + "\"> <b>'", "title",
+     "'</b> &#x26; more&nbsp;&#8217;s </h2>'"),
+    ("'<a href=\"#\" class=\"" + D.POSTING_FIELDS["company_name"][1] + "\">'", "lang", "'</a><br>'"),
+    ("'<span class=\"" + D.POSTING_FIELDS["location"][1] + "\">City '", "CAST(page_id % 7 AS {text})",
+     "'</span><span class=\"" + D.POSTING_FIELDS["location"][1] + "\">other</span>'"),
+    ("'<div class=\"core " + D.POSTING_DESCRIPTION_CLASS + "\"><div><p>'", "coalesce(title, '')",
+     "'</p></div><script>var x=1;</script><div>'"),
+]
+
+
+def _posting_html(text: str) -> str:
+    """SQL of a page's posting form; every 11th page has no applicants, every 13th no title."""
+    parts = [f"concat({a}, coalesce({v.format(text=text)}, ''), {z})" for a, v, z in POSTING_PARTS]
+    parts[0] = f"CASE WHEN page_id % 13 = 0 THEN '' ELSE {parts[0]} END"
+    count = ("CASE WHEN page_id % 11 = 0 THEN '' ELSE concat('<span class=\"" + D.POSTING_FIELDS["num_applicants"][1]
+             + f"\">', CAST(page_id AS {text}), ' applicants</span>') END")
+    return f"concat({', '.join(parts)}, coalesce(article, ''), '</div><p>&copy; end</div>', {count}, '</body></html>')"
+
+
+def posting_pages(spark, sf):
+    """job_id, status, html, page_id: the pages as captured detail responses."""
+    pages = responses_status(spark, sf).withColumn("page_id", F.col("job_id").cast("bigint"))
+    parts = pages.select("job_id", "status", "page_id",
+                         F.regexp_extract("html", PAGE_TITLE, 1).alias("title"),
+                         F.regexp_extract("html", H.PAGE_FIELDS["lang"], 1).alias("lang"),
+                         F.regexp_extract("html", ARTICLE, 1).alias("article"))
+    return parts.select("job_id", "status", "page_id", F.expr(_posting_html("STRING")).alias("html"))
+
+
+PAGE_TITLE = H.PAGE_FIELDS["title"]
+ARTICLE = r"(?s)<article>(.*?)</article>"
+
+
+def q_posting_fields(spark, sf):
+    return H.posting_fields(posting_pages(spark, sf), keep=["page_id"])
+
+
+def o_posting_fields():
+    # text nodes of what the pages were made from
+    clean = "regexp_replace({}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g')"
+    nodes = (f"list_transform(regexp_split_to_array({clean.format('article')}, '<[^>]*>'), "
+             f"lambda t: {strip_sql(unescape_sql('t'))})")
+    title = unescape_sql("title")
+    prefix = sql_str(D.POSTING_URL_PREFIX)
+    return build(f"""SELECT {prefix} || job_id AS url,
+  CASE WHEN page_id % 13 <> 0 THEN {strip_sql("concat(' ', " + title + ", ' & more', chr(160), chr(8217), 's ')")} END AS job_title,
+  {strip_sql("lang")} AS company_name, 'City ' || CAST(page_id % 7 AS VARCHAR) AS location,
+  CAST(NULL AS VARCHAR) AS time_posted,
+  CASE WHEN page_id % 11 <> 0 THEN CAST(page_id AS VARCHAR) || ' applicants' END AS num_applicants,
+  array_to_string(list_filter(list_concat([{strip_sql(title)}], {nodes}, [chr(169) || ' end']), lambda t: t <> ''), chr(10)) AS description_text,
+  page_id
+FROM (SELECT job_id, status, CAST(job_id AS BIGINT) AS page_id, regexp_extract(html, {sql_str(PAGE_TITLE)}, 1) AS title,
+             regexp_extract(html, {sql_str(H.PAGE_FIELDS['lang'])}, 1) AS lang,
+             regexp_extract(html, {sql_str(ARTICLE)}, 1) AS article FROM detail_responses)
+WHERE status = 200""", ("detail_responses",))
+
+
+# Listing form: five pages to a run, a card per word of the title; every 17th
+# page has no cards, and a word with a full stop is a card without an urn.
+
+
+def q_urn_listing_ids(spark, sf):
+    pages = _pages(spark, sf).select("page_id", F.regexp_extract("html", PAGE_TITLE, 1).alias("title"))
+    card = F.expr("transform(filter(split(title, ' '), w -> w <> ''), w -> CASE WHEN instr(w, '.') > 0 THEN '<li><p>ad</li>' "
+                  "ELSE concat('<li class=\"c\"><div class=\"x base-card\" data-entity-urn=\"urn:li:jobPosting:', w, '\"><br>a</div></li>') END)")
+    html = F.when(F.col("page_id") % 17 == 0, "<ul></ul>").otherwise(F.concat(F.lit("<ul>"), F.array_join(card, ""), F.lit("</ul>")))
+    pages = pages.select(F.floor(F.col("page_id") / 5).alias("run"),
+                         (F.col("page_id") % 5 * D.LISTING_PAGE_SIZE).alias("start"), html.alias("html"))
+    return H.urn_listing_ids(pages, run="run")
+
+
+def o_urn_listing_ids():
+    return build(f"""SELECT run, start, CAST(i AS INTEGER) AS pos, {unescape_sql("ws[i + 1]")} AS job_id FROM (
+  SELECT run, start, ws, unnest(range(0, CASE WHEN stop = 0 THEN len(ws) ELSE stop - 1 END)) AS i FROM (
+    SELECT *, coalesce(list_position(list_transform(ws, lambda w: instr(w, '.') > 0), true), 0) AS stop,
+           min(CASE WHEN page_id % 17 = 0 OR len(ws) = 0 THEN start END) OVER (PARTITION BY run) AS empty FROM (
+      SELECT page_id, page_id // 5 AS run, page_id % 5 * {D.LISTING_PAGE_SIZE} AS start,
+             list_filter(string_split(regexp_extract(html, {sql_str(PAGE_TITLE)}, 1), ' '), lambda w: w <> '') AS ws FROM pages))
+  WHERE empty IS NULL OR start < empty)""")
+
+
 def q_response_status(spark, sf):
     return H.response_status(responses_status(spark, sf))
 
@@ -89,18 +175,18 @@ def o_response_status():
 # --- CV text ------------------------------------------------------------------
 
 def q_ordered_text_concat(spark, sf):
-    return H.ordered_text_concat(cv_pages_fx(spark, sf))
+    return H.ordered_text_concat(cv_blank_pages_fx(spark, sf))
 
 
-def _concat_sql() -> str:
-    return """cv_text AS (
+def _concat_sql(pages: str = "cv_pages") -> str:
+    return f"""cv_text AS (
   SELECT cv_id, coalesce(string_agg(text, chr(10) ORDER BY page) FILTER (WHERE coalesce(text, '') <> ''), '')
          AS text
-  FROM cv_pages GROUP BY cv_id)"""
+  FROM {pages} GROUP BY cv_id)"""
 
 
 def o_ordered_text_concat():
-    return build("SELECT * FROM cv_text", ("cv_pages",), (_concat_sql(),))
+    return build("SELECT * FROM cv_text", ("cv_blank_pages",), (_concat_sql("cv_blank_pages"),))
 
 
 def q_clean_text(spark, sf):
@@ -144,7 +230,7 @@ def o_preview_split():
 
 
 def q_vector_blob_roundtrip(spark, sf):
-    emb = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    emb = read_test_table(spark, sf, "embeddings").select("vec_id", "embedding")
     enc = emb.withColumn("blob", H.vector_to_blob("embedding"))
     # every 13th stored buffer is damaged (two bytes short)
     enc = enc.withColumn("blob", F.when(F.col("vec_id") % 13 == 0,
@@ -164,6 +250,11 @@ def o_vector_blob_roundtrip():
 register("html_fields", o_html_fields)(q_html_fields)
 register("html_text", o_html_text)(q_html_text)
 register("listing_ids", o_listing_ids)(q_listing_ids)
+register("posting_fields", o_posting_fields)(q_posting_fields)
+register("urn_listing_ids", o_urn_listing_ids)(q_urn_listing_ids)
+register("rejected_responses", lambda: build(
+    "SELECT job_id, status FROM detail_responses WHERE status <> 200", ("detail_responses",)))(
+    lambda spark, sf: H.rejected_responses(responses_status(spark, sf)))
 register("response_status", o_response_status)(q_response_status)
 register("ordered_text_concat", o_ordered_text_concat)(q_ordered_text_concat)
 register("clean_text", o_clean_text)(q_clean_text)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsift.dictionaries import TAXONOMY_ROWS
-from jobsift.sources.tables import read_table
+from jobsift.sources.tables import read_test_table
 
 JOB_URL_PREFIX = "https://example.org/job/"
 
@@ -81,8 +81,8 @@ def jobs_fx(spark: SparkSession, sf_dir: str, null_every: int | None = None) ->
 
     ``null_every``: description NULL where doc_id % null_every = 0
     (the jobs_null variant uses 97)."""
-    docs = read_table(spark, sf_dir, "documents")
-    emb = read_table(spark, sf_dir, "embeddings")
+    docs = read_test_table(spark, sf_dir, "documents")
+    emb = read_test_table(spark, sf_dir, "embeddings")
     n_emb, emb_bytes = _vector_table_stats(emb)
     d = F.col("doc_id")
     desc = F.col("text")
@@ -117,8 +117,8 @@ def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CV per embedding row: cv_id = vec_id, its vector, a category
     (taxonomy row vec_id % 41; row 40 = main 'Other', the bypass case), a
     level from CV_LEVELS and the text of document vec_id % count(documents)."""
-    emb = read_table(spark, sf_dir, "embeddings")
-    docs = read_table(spark, sf_dir, "documents")
+    emb = read_test_table(spark, sf_dir, "embeddings")
+    docs = read_test_table(spark, sf_dir, "documents")
     n_docs = docs.count()
     _, emb_bytes = _vector_table_stats(emb)
     v = F.col("vec_id")
@@ -150,7 +150,7 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification responses, one per labelled document: URL of that
     job, category = taxonomy row (doc_id * 7) % 40, level senior/junior by
     quality, NULL level (key present, value NULL) where toxic = 1."""
-    lab = read_table(spark, sf_dir, "labels")
+    lab = read_test_table(spark, sf_dir, "labels")
     d = F.col("doc_id")
     return lab.select(
         job_url(d).alias("URL"),
@@ -163,22 +163,25 @@ def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cv_pages_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CV pages: one CV per conversation, one page per turn; pages with
-    turn % 5 = 3 are blank (a page without extractable text)."""
-    conv = read_table(spark, sf_dir, "conversations")
-    return conv.select(
-        F.col("conv_id").alias("cv_id"),
-        F.col("turn").alias("page"),
-        F.when(F.col("turn") % 5 == 3, F.lit("")).otherwise(F.col("text")).alias("text"),
-    )
+    """CV pages: one CV per conversation, one page per turn."""
+    conv = read_test_table(spark, sf_dir, "conversations")
+    return conv.select(F.col("conv_id").alias("cv_id"), F.col("turn").alias("page"), "text")
+
+
+def cv_blank_pages_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CV pages with a blank one (no extractable text) before every fifth."""
+    pages = cv_pages_fx(spark, sf_dir)
+    blank = pages.where(F.col("page") % 5 == 3).select(
+        "cv_id", (F.col("page") * 2 - 1).alias("page"), F.lit("").alias("text"))
+    return pages.withColumn("page", F.col("page") * 2).unionByName(blank)
 
 
 def req_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions with a requirements section on even doc ids."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_test_table(spark, sf_dir, "documents")
     t = F.col("text")
-    with_section = F.concat(F.substring(t, 1, 200), F.lit("\nRequirements:\n- "),
-                            F.substring(t, 201, 300), F.lit("\nBenefits\nmore"))
+    rest = F.substring(t, 201, F.length(t))
+    with_section = F.concat(F.substring(t, 1, 200), F.lit("\nRequirements:\n- "), rest, F.lit("\nBenefits\nmore"))
     return docs.select(F.col("doc_id"),
                        F.when(F.col("doc_id") % 2 == 0, with_section).otherwise(t)
                         .alias("description_text"))
@@ -187,7 +190,7 @@ def req_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured detail responses: each page with an HTTP status
     (429 where page_id % 25 = 0, 404 where page_id % 40 = 1, else 200)."""
-    pages = read_table(spark, sf_dir, "pages")
+    pages = read_test_table(spark, sf_dir, "pages")
     p = F.col("page_id")
     return pages.select(
         p.cast("string").alias("job_id"),
@@ -268,10 +271,14 @@ FROM labels l
 
 
 def sql_cv_pages_fx() -> str:
+    return "SELECT conv_id AS cv_id, turn AS page, text FROM conversations"
+
+
+def sql_cv_blank_pages_fx() -> str:
     return """
-SELECT conv_id AS cv_id, turn AS page,
-       CASE WHEN turn % 5 = 3 THEN '' ELSE text END AS text
-FROM conversations
+SELECT conv_id AS cv_id, turn * 2 AS page, text FROM conversations
+UNION ALL
+SELECT conv_id, turn * 2 - 1, '' FROM conversations WHERE turn % 5 = 3
 """
 
 
@@ -280,7 +287,7 @@ def sql_req_fx() -> str:
 SELECT doc_id,
        CASE WHEN doc_id % 2 = 0
             THEN substring(text, 1, 200) || chr(10) || 'Requirements:' || chr(10) || '- '
-                 || substring(text, 201, 300) || chr(10) || 'Benefits' || chr(10) || 'more'
+                 || substring(text, 201) || chr(10) || 'Benefits' || chr(10) || 'more'
             ELSE text END AS description_text
 FROM documents
 """
@@ -301,6 +308,7 @@ FIXTURE_SQL = {
     "cvs": sql_cvs_fx,
     "responses": sql_responses_fx,
     "cv_pages": sql_cv_pages_fx,
+    "cv_blank_pages": sql_cv_blank_pages_fx,
     "req": sql_req_fx,
     "detail_responses": sql_responses_status,
 }

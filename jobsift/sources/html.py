@@ -1,11 +1,13 @@
 """Captured pages -> rows.
 
-HTML is parsed with regular expressions inside Catalyst expressions (the
-pages are not well-formed XML, so ``xpath`` does not apply); fields are
-extracted independently and a missing field is NULL, not ''.
+Flat fields (``html_fields``, ``html_text``) are read with regular expressions
+inside Catalyst expressions.  Posting and listing pages nest elements and use
+any entity, so they go through the standard library's HTML parser in Arrow
+batches (``posting_fields``, ``urn_listing_ids``).  Fields are extracted
+independently and a missing field is NULL, not ''.
 """
 
-from __future__ import annotations
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -40,17 +42,6 @@ def field(html: Column, pattern: str) -> Column:
     return F.when(F.coalesce(found, F.lit(False)), v)
 
 
-def first_of(html: Column, pattern: str) -> Column:
-    """First of several matches (``get(regexp_extract_all(..), 0)``)."""
-    return strip_ws(unescape(F.get(F.regexp_extract_all(html, F.lit(pattern), 1), 0)))
-
-
-def tag_class_pattern(tag: str, cls: str) -> str:
-    """Inner text of <tag class="cls"> (class attribute matched exactly)."""
-    esc = "".join("\\" + c if c in r".^$|?*+()[]{}\\" else c for c in cls)
-    return rf'(?s)<{tag}\b[^>]*\bclass="{esc}"[^>]*>(.*?)</{tag}>'
-
-
 def html_fields(pages: DataFrame, html_col: str = "html", fields: dict | None = None,
                 keep: list[str] | None = None) -> DataFrame:
     fields = fields or PAGE_FIELDS
@@ -78,23 +69,171 @@ def html_text(pages: DataFrame, html_col: str = "html", container: str = r"(?s)<
                         .alias("text"))
 
 
-def posting_fields(responses: DataFrame, url_prefix: str = D.POSTING_URL_PREFIX) -> DataFrame:
-    """Detail pages of the job board -> the jobs columns.  Location is the
-    first of several bullet spans; description is the full text of the
-    rich-text div; URL = prefix + job id.  Non-200 responses are dropped."""
-    ok = responses.where(F.col("status") == 200)
-    h = F.col("html")
-    cols = [F.concat(F.lit(url_prefix), F.col("job_id")).alias("url")]
-    for name, (tag, cls) in D.POSTING_FIELDS.items():
-        pat = tag_class_pattern(tag, cls)
-        if name == "location":
-            cols.append(F.when(h.rlike(pat), first_of(h, pat)).alias(name))
+VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+HIDDEN_TAGS = frozenset(("script", "style", "template"))
+
+
+def has_class(attrs: list, wanted: str) -> bool:
+    """The class attribute is ``wanted``, or holds it as one of its names."""
+    value = dict(attrs).get("class") or ""
+    return value == wanted or wanted in value.split()
+
+
+class _Tree(HTMLParser):
+    """Tracks open elements; an end tag closes everything inside its element,
+    and one without an open element is ignored."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, object]] = []
+
+    def begin(self, tag, attrs):
+        """What to keep for an element that opens (or None)."""
+
+    def end(self, mark):
+        """An element that was kept has closed."""
+
+    def handle_starttag(self, tag, attrs):
+        mark = self.begin(tag, attrs)
+        if tag in VOID_TAGS:
+            if mark is not None:
+                self.end(mark)
         else:
-            cols.append(field(h, pat).alias(name))
-    desc_pat = rf'(?s)<div\b[^>]*\bclass="[^"]*\b{D.POSTING_DESCRIPTION_CLASS}\b[^"]*"[^>]*>(.*?)</div>'
-    cols.append(F.when(h.rlike(desc_pat), text_nodes(F.regexp_extract(h, desc_pat, 1)))
-                .alias("description_text"))
-    return ok.select(*cols)
+            self.open.append((tag, mark))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while True:
+                t, mark = self.open.pop()
+                if mark is not None:
+                    self.end(mark)
+                if t == tag:
+                    return
+
+
+class _Posting(_Tree):
+    def __init__(self):
+        super().__init__()
+        self.parts: dict[str, list[str]] = {}
+
+    def begin(self, tag, attrs):
+        for name, (want, cls) in D.POSTING_FIELDS.items():
+            if tag == want and name not in self.parts and has_class(attrs, cls):
+                self.parts[name] = []
+                return name
+        if tag == "div" and "description_text" not in self.parts and has_class(attrs, D.POSTING_DESCRIPTION_CLASS):
+            self.parts["description_text"] = []
+            return "description_text"
+        return None
+
+    def handle_data(self, data):
+        if any(t in HIDDEN_TAGS for t, _ in self.open):
+            return
+        for _, mark in self.open:
+            if mark is not None:
+                self.parts[mark].append(data)
+
+
+def parse_posting(html: str | None) -> dict[str, str | None]:
+    """The fields of one detail page: text of the element, blanks cut at the
+    ends; the description's text nodes, cut, non-empty, one a line."""
+    p = _Posting()
+    p.feed(html or "")
+    p.close()
+    out = {n: "".join(p.parts[n]).strip() if n in p.parts else None for n in D.POSTING_FIELDS}
+    nodes = [x.strip() for x in p.parts.get("description_text", [])]
+    out["description_text"] = "\n".join(x for x in nodes if x) if "description_text" in p.parts else None
+    return out
+
+
+POSTING_COLUMNS = [*D.POSTING_FIELDS, "description_text"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in POSTING_COLUMNS]))
+def _posting(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_posting(h) for h in html], columns=POSTING_COLUMNS, dtype=object)
+
+
+def posting_fields(responses: DataFrame, url_prefix: str = D.POSTING_URL_PREFIX,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Usable detail pages (status 200) -> url = prefix + job id, the posting's
+    fields, and the ``keep`` columns of the response.  One row per response."""
+    rows = responses.where(F.col("status") == 200).select(
+        F.concat(F.lit(url_prefix), F.col("job_id")).alias("url"), *(keep or []), _posting("html").alias("__f"))
+    return rows.select("url", *[F.col(f"__f.{n}").alias(n) for n in POSTING_COLUMNS], *(keep or []))
+
+
+def rejected_responses(responses: DataFrame) -> DataFrame:
+    """What ``posting_fields`` leaves out, without the page: job_id, status."""
+    return responses.where(~F.coalesce(F.col("status") == 200, F.lit(False))).select("job_id", "status")
+
+
+class _Listing(_Tree):
+    """Cards (list items) in document order, each with its first entity urn."""
+
+    def __init__(self):
+        super().__init__()
+        self.cards: list[list] = []
+
+    def begin(self, tag, attrs):
+        if tag == "li":
+            self.cards.append([])
+            return self.cards[-1]
+        if tag == "div" and has_class(attrs, D.LISTING_CARD_CLASS):
+            for _, card in self.open:
+                if card is not None and not card:
+                    card.append(dict(attrs).get(D.LISTING_URN_ATTR) or "")
+        return None
+
+
+def parse_listing(html: str | None) -> tuple[int, list[str]]:
+    """(cards, ids): the ids up to the first card without one."""
+    p = _Listing()
+    p.feed(html or "")
+    p.close()
+    ids = []
+    for card in p.cards:
+        parts = card[0].split(":") if card else []
+        if len(parts) <= D.URN_ID_PART:
+            break
+        ids.append(parts[D.URN_ID_PART])
+    return len(p.cards), ids
+
+
+@F.pandas_udf(T.StructType([T.StructField("cards", T.IntegerType()), T.StructField("ids", T.ArrayType(T.StringType()))]))
+def _listing(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_listing(h) for h in html], columns=["cards", "ids"])
+
+
+def urn_listing_ids(pages: DataFrame, run: str | None = None, start_col: str = "start",
+                    html_col: str = "html") -> DataFrame:
+    """Job ids of listing pages by their cards' entity urn: (<run>, start,
+    pos, job_id).  A page stops at its first card without an id; a run (one
+    search; the whole table without ``run``) stops at its first page without
+    cards."""
+    keys = [run] if run else []
+    parsed = pages.select(*keys, start_col, _listing(html_col).alias("__l")).select(*keys, start_col, "__l.cards", "__l.ids")
+    return _before_empty(parsed, keys, start_col, F.col("cards") == 0).select(
+        *keys, start_col, F.posexplode("ids").alias("pos", "job_id"))
+
+
+def _before_empty(pages: DataFrame, keys: list[str], start_col: str, empty: Column) -> DataFrame:
+    """Pages of each run before its first empty one (one row per run is joined)."""
+    stop = pages.where(empty).groupBy(*keys).agg(F.min(start_col).alias("__stop"))
+    if keys:
+        stop = stop.withColumnsRenamed({k: f"__{k}" for k in keys})
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        live = pages.join(stop, cond, "left")
+    else:
+        live = pages.withColumn("__stop", stop.select("__stop").scalar())
+    return live.where(F.col("__stop").isNull() | (F.col(start_col) < F.col("__stop"))).select(*pages.columns)
 
 
 def response_status(responses: DataFrame) -> DataFrame:
@@ -104,23 +243,22 @@ def response_status(responses: DataFrame) -> DataFrame:
 
 def listing_ids(pages: DataFrame, start_col: str = "start", html_col: str = "html",
                 card_pattern: str = r"(?s)<li>(.*?)</li>",
-                id_pattern: str = r'<a href="/([^"]*)"') -> DataFrame:
-    """Job ids from paged listing captures, with the collector's stops:
-    cards are the list items of a page; a page stops at its first card
-    without an id; every page from the first one with no cards on is
-    ignored.  One row per id: (start, pos, job_id); ids are not deduped.
+                id_pattern: str = r'<a href="/([^"]*)"', run: str | None = None) -> DataFrame:
+    """Job ids from paged listing captures whose cards a pattern finds, with
+    the collector's stops: a page stops at its first card without an id; a run
+    (all pages without ``run``) at its first page without cards.  One row per
+    id: (<run>, start, pos, job_id); ids are not deduped.
 
     The per-page stop is computed inside the row (array_position), the
-    global stop is a scalar subquery - no window over pages, no join."""
+    run's stop is one value a run - no window over pages."""
+    keys = [run] if run else []
     cards = F.regexp_extract_all(F.col(html_col), F.lit(card_pattern), 1)
-    with_cards = pages.select(start_col, cards.alias("cards"))
-    first_empty = with_cards.where(F.size("cards") == 0).select(F.min(start_col)).scalar()
+    live = _before_empty(pages.select(*keys, start_col, cards.alias("cards")), keys, start_col, F.size("cards") == 0)
     ok = F.transform("cards", lambda c: c.rlike(id_pattern))
     bad_pos = F.array_position(ok, F.lit(False))
     kept = F.when(bad_pos == 0, F.col("cards")).otherwise(F.slice("cards", 1, bad_pos - 1))
-    live = with_cards.where(first_empty.isNull() | (F.col(start_col) < first_empty))
-    return (live.select(start_col, F.posexplode(kept).alias("pos", "card"))
-            .select(start_col, "pos", F.regexp_extract("card", id_pattern, 1).alias("job_id")))
+    return (live.select(*keys, start_col, F.posexplode(kept).alias("pos", "card"))
+            .select(*keys, start_col, "pos", F.regexp_extract("card", id_pattern, 1).alias("job_id")))
 
 
 def urn_job_id(urn: Column) -> Column:
@@ -152,8 +290,7 @@ def vector_to_blob(v: pd.Series) -> pd.Series:
 def blob_to_vector(b: pd.Series) -> pd.Series:
     """float32 bytes -> array<float>; NULL when the length is not a
     multiple of 4 (a corrupt buffer, scored as no signal)."""
-    def dec(x):
-        if x is None or len(x) % 4:
-            return None
-        return np.frombuffer(x, dtype="<f4").astype(np.float32)
-    return b.map(dec)
+    ok = [x is not None and len(x) % 4 == 0 for x in b]
+    values = np.frombuffer(b"".join(x for x, k in zip(b, ok, strict=True) if k), "<f4").astype(np.float32)
+    parts = iter(np.split(values, np.cumsum([len(x) // 4 for x, k in zip(b, ok, strict=True) if k])[:-1]))
+    return pd.Series([next(parts) if k else None for k in ok], dtype=object)

@@ -9,32 +9,45 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CURRENT = "_current"  # pointer folder (one text line: the live version path)
+CURRENT = "current"  # pointers: (version, path), the largest version is live
 
 
-def append_jobs(batch: DataFrame, table_path: str, partition_col: str = "search_date") -> None:
+def append_jobs(batch: DataFrame, table_path: str, partition_col: str = "search_date",
+                replace_dates: bool = False) -> None:
     """Append a nightly batch, partitioned by run date (so a date filter
-    prunes whole folders)."""
-    batch.write.mode("append").partitionBy(partition_col).parquet(table_path)
+    prunes whole folders).  ``replace_dates``: a date of the batch that the
+    table has is replaced, so a repeated run does not double its rows."""
+    writer = batch.write.partitionBy(partition_col)
+    if replace_dates:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table_path)
+    else:
+        writer.mode("append").parquet(table_path)
 
 
 def write_version(df: DataFrame, base: str) -> str:
-    """Write ``df`` as a new version folder under ``base`` and point the
-    table at it.  The folder being read is never overwritten, so a job can
-    read version N and write N+1 of the same table."""
-    path = f"{base.rstrip('/')}/v-{uuid.uuid4().hex}"
+    """Write ``df`` as a new version folder under ``base`` and append it to
+    the table's pointers.  No folder and no pointer that a reader may be using
+    is ever overwritten: a reader takes the newest pointer, which appears
+    whole when its file is committed."""
+    spark, root = df.sparkSession, base.rstrip("/")
+    path = f"{root}/v-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(path,)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{base.rstrip('/')}/{CURRENT}")
+    last = 0
+    try:
+        last = spark.read.parquet(f"{root}/{CURRENT}").agg(F.max("version")).first()[0] or 0
+    except AnalysisException:
+        pass  # the first version
+    spark.createDataFrame([(last + 1, path)], "version bigint, path string").coalesce(1) \
+        .write.mode("append").parquet(f"{root}/{CURRENT}")
     return path
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    path = spark.read.text(f"{base.rstrip('/')}/{CURRENT}").first()["value"]
+    path = spark.read.parquet(f"{base.rstrip('/')}/{CURRENT}").agg(F.max_by("path", "version")).first()[0]
     return spark.read.parquet(path)
 
 

@@ -25,23 +25,34 @@ ID_COLUMNS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id",
               "events": "event_id"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Parquet scan of one table.  When the table is stored as fewer files
-    than the cluster has cores (the test tables are one file, one row group
-    each), the rows are hash-spread by the table's id so the per-row text
-    work is parallel; with many input files (the normal case at scale) this
-    is a no-op."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of one table."""
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+SPREAD_BELOW_BYTES = 128 * 1024 * 1024  # one input split
+
+
+def read_test_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the bench and fixtures.  One that is stored in less than one
+    split (the test tables are single files with one row group) would do its
+    per-row text work in one task, so its rows are hash-spread by id; anything
+    larger is read as it is stored."""
+    df = read_table(spark, sf_dir, name)
     key = ID_COLUMNS.get(name)
-    if spread and key:
-        target = default_parallelism(spark)
-        # file metadata only (no job): a table stored as fewer files than
-        # cores is spread; thousands of files at scale are left as they are
-        if len(df.inputFiles()) < target:
-            df = df.repartition(target, key)
+    if key and table_bytes(df) < SPREAD_BELOW_BYTES:
+        df = df.repartition(default_parallelism(spark), key)
     return df
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Size of the scanned files as the optimizer sees it (no job, no paths)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return SPREAD_BELOW_BYTES
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Cores available to the session (falls back to the shuffle partition
     setting where no SparkContext is exposed, e.g. Spark Connect)."""

@@ -15,7 +15,9 @@ from jobsift.functions.text import clean_text, requirements_section
 from jobsift.operators import classify as C
 from jobsift.operators import dedup as DD
 from jobsift.operators.skills import skill_pairs, with_skills
+from jobsift.operators import match as M
 from jobsift.sources import html as H
+from jobsift.sources import sinks
 from jobsift.sources.fixtures import EDGE_SKILLS, TITLES, jobs_fx, req_fx
 
 # --- dedup -----------------------------------------------------------------
@@ -264,6 +266,59 @@ def test_posting_fields(spark):
     assert r.url.endswith("/7")
 
 
+def test_posting_fields_nested_entities_and_absent(spark):
+    cls = {k: v[1] for k, v in D.POSTING_FIELDS.items()}
+    page = (f'<h2 class="{cls["job_title"]}">Dev &amp; Ops&nbsp;<b>x</b> &#x27;a&#8217;</h2>'
+            f'<div class="x {D.POSTING_DESCRIPTION_CLASS}"><div>one<br>two</div><script>no</script><div><p>three</p></div> four</div><p>out</p>')
+    df = spark.createDataFrame([("1", 200, page), ("2", 200, None), ("3", 200, ""), ("4", 404, page), ("5", None, page)],
+                               "job_id string, status int, html string")
+    got = {r.url[-1]: r for r in H.posting_fields(df).collect()}
+    assert set(got) == {"1", "2", "3"}
+    assert got["1"].job_title == "Dev & Ops\xa0x 'a\u2019" and got["1"].description_text == "one\ntwo\nthree\nfour"
+    assert got["2"].job_title is None and got["3"].description_text is None
+    assert sorted((r.job_id, r.status) for r in H.rejected_responses(df).collect()) == [("4", 404), ("5", None)]
+
+
+def test_urn_cards_and_stop_of_each_run(spark):
+    card = '<li><div class="q base-card" data-entity-urn="urn:li:jobPosting:{}"><p>x</p></div></li>'
+    rows = [("a", 0, card.format(1) + card.format(2)), ("a", 10, "<p>none</p>"), ("a", 20, card.format(3)),
+            ("b", 0, card.format(4) + "<li>ad</li>" + card.format(5)), ("b", 10, '<li><div class="base-card">no urn</div></li>'),
+            ("b", 20, card.format(6)), (None, 0, card.format(7)), ("c", 0, None)]
+    df = spark.createDataFrame(rows, "run string, start int, html string")
+    got = sorted((str(r.run), r.start, r.pos, r.job_id) for r in H.urn_listing_ids(df, run="run").collect())
+    assert got == [("None", 0, 0, "7"), ("a", 0, 0, "1"), ("a", 0, 1, "2"), ("b", 0, 0, "4"), ("b", 20, 0, "6")]
+
+
+def test_ingest_keeps_one_row_per_response_and_orders_on(spark):
+    from jobsift.plans.nightly import capture_order, ingest_batch
+    cls = D.POSTING_FIELDS["job_title"][1]
+    rows = [("7", 200, f'<h2 class="{cls}">a</h2>', 10, 20000), ("7", 200, f'<h2 class="{cls}">b</h2>', 20, 0),
+            ("8", 200, f'<h2 class="{cls}">c</h2>', 0, 3), ("9", 429, "", 0, 4)]
+    df = spark.createDataFrame(rows, "job_id string, status int, html string, start int, pos int").withColumn(
+        "capture_order", capture_order())
+    got = sorted((r.seq, r.job_title) for r in ingest_batch(df, dt.date(2024, 3, 1), after=50).collect())
+    assert got == [(51, "c"), (52, "a"), (53, "b")]
+
+
+def test_repeated_night_replaces_its_rows(spark, tmp_path):
+    from jobsift.plans.nightly import run_nightly
+    day = spark.createDataFrame([("1", 200, _detail_page("A", "x", "Python"), 0), ("2", 429, "", 1)],
+                                "job_id string, status int, html string, capture_order bigint")
+    base = str(tmp_path / "t")
+    for _ in range(2):
+        out = run_nightly(spark, day, None, base, str(tmp_path / "e"), dt.date(2024, 3, 1), EDGE_SKILLS)
+    assert spark.read.parquet(f"{base}/raw").count() == 1
+    assert spark.read.parquet(out["live"]).count() == 1
+    assert [r.status for r in spark.read.parquet(f"{out['rejects']}/*").collect()] == [429]
+    assert sinks.read_current(spark, f"{base}/live").count() == 1
+
+
+def test_required_skills_ignore_case(spark):
+    names = spark.createDataFrame([(["SQL", "sql", "Python"],), (None,)], "s array<string>").select(
+        M.skill_names(F.col("s")).alias("n"), M.skill_ids(F.col("s"), ["python", "sql"]).alias("i")).collect()
+    assert sorted(names[0].n) == ["python", "sql"] and sorted(names[0].i) == [0, 1] and names[1].n == []
+
+
 def test_ordered_concat_skips_blank_pages(spark):
     df = spark.createDataFrame([(1, 2, "two"), (1, 1, "one"), (1, 3, ""), (2, 1, "")],
                                "cv_id int, page int, text string")
