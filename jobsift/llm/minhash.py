@@ -248,6 +248,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return of_row.join(first, "node").select("doc_id", "_key", "class_id", (F.col("_row") == F.col("_first")).alias("keep"))
 
 
+def first_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The first band in which all samples of a and b agree."""
+    return int((a == b).reshape(BANDS, ROWS).all(axis=1).argmax())
+
+
 def _meet_batches(every: bool):
     """Rows sorted by bucket -> pairs (i, v, a centre, b member), and members to
     go on with (a null).
@@ -287,6 +292,8 @@ def _meet_batches(every: bool):
                     near = np.argsort(-agree, kind="stable")[:2]
                     sure = len(near) > 0 and agree[near[0]] >= SURE * SAMPLES
                     near = near[:1] if sure else near[agree[near] >= POSSIBLE * SAMPLES]
+                    # a pair is given in the first band that it shares
+                    near = near[[first_shared(samples[j], mine) == i for j in near]] if len(near) else near
                 out.extend((i, v, nodes[j], node) for j in near.tolist())
                 if not sure:
                     if len(nodes) < len(samples):
