@@ -77,7 +77,6 @@ REQ_FALLBACK = 500         # first chars kept when no header is found
 CHARS_PER_TOKEN = 4        # size estimate of a rendered batch
 
 LISTING_PAGE_SIZE = 10     # listing pages start at 0, 10, ... 390
-LISTING_MAX_START = 400
 URN_ID_PART = 3            # job id = 4th ':' part of the card's entity urn
 
 # ---------------------------------------------------------------------------
@@ -193,10 +192,6 @@ LISTING_URN_ATTR = "data-entity-urn"
 POSTING_URL_PREFIX = "https://jobs.example.org/posting/"
 
 
-def level_index_map() -> dict[str, int]:
-    return {lvl: i for i, lvl in enumerate(LEVEL_ORDER)}
-
-
 def taxonomy_keyword_rows() -> list[tuple[str, str | None, str]]:
     """Default keyword table for the keyword classifier, built by rule from
     the taxonomy: each sub category name (lower case) is a sub-scope keyword,
@@ -214,7 +209,8 @@ def taxonomy_keyword_rows() -> list[tuple[str, str | None, str]]:
 
 def load_term_list(spark, path: str, column: str = "term"):
     """Read a one-term-per-line text file (e.g. a skill dictionary or a stop
-    word list) as a one-column DataFrame; blank lines are dropped."""
+    word list) as a one-column DataFrame, which every skill operator takes in
+    place of a list; blank lines are dropped."""
     from pyspark.sql import functions as F
     return (spark.read.text(path)
             .select(F.col("value").alias(column))

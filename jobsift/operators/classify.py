@@ -230,15 +230,6 @@ def seniority_rules(df: DataFrame, title_col: str = "job_title", desc_col: str =
     return df.withColumn(out_col, expr)
 
 
-def phrase_table(spark) -> DataFrame:
-    """(phrase, main, sub, prio) rows of the phrase reference (lower case)."""
-    rows = []
-    for prio, (line, main, sub) in enumerate(D.CATEGORY_PHRASES):
-        for ph in line.split(" / "):
-            rows.append((ph.strip().lower(), main, sub, prio))
-    return spark.createDataFrame(rows, "phrase string, main string, sub string, prio int")
-
-
 def category_phrases(df: DataFrame, title_col: str = "job_title") -> DataFrame:
     """First phrase line (in reference order) whose phrase the lower-cased
     title contains; no hit -> General / Other.  The phrase list is a fixed
@@ -253,13 +244,6 @@ def category_phrases(df: DataFrame, title_col: str = "job_title") -> DataFrame:
     return df.withColumn("main_category", main).withColumn("sub_category", sub)
 
 
-def keyword_table(spark, rows=None) -> DataFrame:
-    """(main, sub, keyword, tax_order) table; default built by rule from
-    the taxonomy (``dictionaries.taxonomy_keyword_rows``)."""
-    return spark.createDataFrame(_keyword_rows(rows),
-                                 "main string, sub string, keyword string, tax_order int")
-
-
 def _keyword_rows(rows=None):
     rows = rows or D.taxonomy_keyword_rows()
     order = {m: i for i, (m, _) in enumerate(D.TAXONOMY)}

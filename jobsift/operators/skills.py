@@ -10,9 +10,19 @@ from jobsift.functions.terms import (MAX_LITERAL_TERMS, RUN_PATTERN, TermDiction
                                      original_terms)
 
 
+MAX_TERMS = 1_000_000  # entries of a dictionary given as a table (it is read to the driver)
+
+
 def as_dictionary(terms, edge: str = "word") -> TermDictionary:
+    """A dictionary from a list, or from the first column of a DataFrame
+    (``dictionaries.load_term_list``) of at most MAX_TERMS rows."""
     if isinstance(terms, TermDictionary):
         return terms
+    if isinstance(terms, DataFrame):
+        rows = terms.select(terms.columns[0]).limit(MAX_TERMS + 1).collect()
+        if len(rows) > MAX_TERMS:
+            raise ValueError(f"a dictionary of over {MAX_TERMS} entries; join it as a table instead")
+        terms = [r[0] for r in rows]
     return TermDictionary(list(terms), edge=edge)
 
 
@@ -101,13 +111,6 @@ def live_skill_pairs(pairs: DataFrame, live_jobs: DataFrame, url_col: str = "url
     return pairs.select(url_col, "skill").distinct().join(live, url_col, "left_semi")
 
 
-def skill_overlap(cv_skills: str, job_skills: str):
-    """(matched, missing) arrays of a CV x job pair, both sorted."""
-    matched = F.array_sort(F.array_intersect(F.col(cv_skills), F.col(job_skills)))
-    missing = F.array_sort(F.array_except(F.col(job_skills), F.col(cv_skills)))
-    return matched, missing
-
-
 def token_keywords(df: DataFrame, text_col: str, stop_words, out_col: str = "keywords",
                    min_len: int = 3) -> DataFrame:
     """Token keywords of a text: lower-cased ``\\w+`` tokens, stop words

@@ -29,7 +29,11 @@ def q_scan_jobs(spark, sf):
 
 
 def q_jobs_by_category(spark, sf, category: str = CATEGORY_PARAM):
-    return jobs_fx(spark, sf).where(F.col("main_category") == F.lit(category))
+    """A filtered scan of the stored table: it is kept by category, so the
+    filter selects folders (``PartitionFilters``) and reads no other rows."""
+    base = checkpoint_path(spark, f"jobs_by_category/{uuid.uuid4().hex}")
+    sinks.append_jobs(jobs_fx(spark, sf), base, partition_col="main_category")
+    return spark.read.parquet(base).where(F.col("main_category") == F.lit(category)).select(*JOB_COLS)
 
 
 def q_export_jobs(spark, sf):

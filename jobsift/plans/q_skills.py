@@ -26,6 +26,23 @@ def o_skill_pairs():
 FROM jobs""", ("jobs",))
 
 
+# Entries of every kind that occur in the prose: plain, case variants, several
+# words, inner punctuation, a sign at an end (like ``c++``).
+MIXED_TERMS = ["the", "The", "THE", "of the", "of The", "that, the", "der.", "*** the", "&&& the", "le ou", "que",
+               "in the", "$$", "!! der", "is|", "and, with", "über", "Éou"]
+
+
+def q_skill_pairs_mixed(spark, sf):
+    """Every kind of entry, the dictionary given as a table."""
+    terms = spark.createDataFrame([(t,) for t in MIXED_TERMS], "term string")
+    docs = read_test_table(spark, sf, "documents").select("doc_id", "text")
+    return SK.skill_pairs(docs, ["doc_id"], "text", terms)
+
+
+def o_skill_pairs_mixed():
+    return f"SELECT doc_id, unnest({hit_list_sql('text', MIXED_TERMS, True)}) AS skill FROM documents"
+
+
 def q_skills_in_jobs(spark, sf):
     jobs = jobs_fx(spark, sf)
     pairs = SK.skill_pairs(jobs, ["url"], "description_text", SKILLS_FX)
@@ -89,6 +106,7 @@ def o_missing_skills():
                  ("jobs", "cvs"), q_match._top_ctes())
 
 
+register("skill_pairs_mixed", o_skill_pairs_mixed)(q_skill_pairs_mixed)
 register("skill_pairs", o_skill_pairs)(q_skill_pairs)
 register("skills_in_jobs", o_skills_in_jobs)(q_skills_in_jobs)
 register("keywords", o_keywords)(q_keywords)

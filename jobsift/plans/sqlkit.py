@@ -35,8 +35,12 @@ def _dedup(terms):
 
 def term_pattern(term: str) -> str:
     """RE2 whole-word pattern of an entry (RE2's \\b is ASCII-only, so the
-    boundary is spelled as a Unicode class)."""
-    return "(^|" + WORD_CLASS + ")" + re2_escape(term.lower()) + "($|" + WORD_CLASS + ")"
+    boundary is spelled as a Unicode class; beside a non-word character of
+    the entry a boundary is a word character)."""
+    low, word = term.lower(), WORD_CLASS.replace("[^", "[")
+    first = "(^|" + WORD_CLASS + ")" if re.match(r"\w", low[0]) else word
+    last = "($|" + WORD_CLASS + ")" if re.match(r"\w", low[-1]) else word
+    return first + re2_escape(low) + last
 
 
 def hit_list_sql(text: str, terms, original_case: bool = False) -> str:
