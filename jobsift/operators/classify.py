@@ -257,41 +257,36 @@ def category_keywords(df: DataFrame, id_col: str, title_col: str, text_col: str,
     """Keyword classifier: whole-word keyword hits in title (weight 3) and
     text (weight 1).  Candidates: each main with main-scope hits (score =
     their weight, sub 'Other') and each sub with hits (score = its weight
-    plus its main's); the best candidate wins (ties: taxonomy order); no
-    hit -> General / Other.  Hits are found per row by the dictionary
-    matcher (no pairs), then joined to the keyword table (a parameter of
-    a few hundred rows, broadcast)."""
-    rows = _keyword_rows(keyword_rows)
-    keywords = df.sparkSession.createDataFrame(
-        rows, "main string, sub string, keyword string, tax_order int")
-    terms = sorted({r[2] for r in rows})
-    hits = with_skills(df.select(id_col, title_col, text_col), title_col, terms, "__th")
-    hits = with_skills(hits, text_col, terms, "__xh")
-    exploded = hits.select(
-        id_col, F.explode(F.concat(
-            F.transform("__th", lambda k: F.struct(k.alias("keyword"), F.lit(title_weight).alias("w"))),
-            F.transform("__xh", lambda k: F.struct(k.alias("keyword"), F.lit(text_weight).alias("w"))),
-        )).alias("h")).select(id_col, "h.keyword", "h.w")
-    hits_kw = exploded.join(F.broadcast(keywords), "keyword")
-    main_w = (hits_kw.where(F.col("sub").isNull())
-              .groupBy(id_col, "main", "tax_order").agg(F.sum("w").alias("score")))
-    sub_w = (hits_kw.where(F.col("sub").isNotNull())
-             .groupBy(id_col, "main", "sub", "tax_order").agg(F.sum("w").alias("sw")))
-    # a sub candidate also carries its main's keyword weight, so a specific
-    # hit always beats the main-only candidate of the same main
-    subs = (sub_w.join(main_w.select(id_col, "main", F.col("score").alias("mw")), [id_col, "main"], "left")
-            .select(id_col, "main", "sub", "tax_order",
-                    (F.col("sw") + F.coalesce(F.col("mw"), F.lit(0))).alias("score")))
-    scored = subs.unionByName(main_w.withColumn("sub", F.lit(None).cast("string")))
-    best = (scored.groupBy(id_col)
-            .agg(F.max_by(F.struct("main", "sub"),
-                          F.struct(F.col("score"), (-F.col("tax_order")).alias("o"))).alias("b"))
-            .select(id_col, F.col("b.main").alias("__m"), F.col("b.sub").alias("__s")))
-    out = df.join(best, id_col, "left")
-    return (out.withColumn("main_category", F.coalesce("__m", F.lit(D.JOB_DEFAULT["main_category"])))
-               .withColumn("sub_category", F.when(F.col("__m").isNull(), F.lit(D.JOB_DEFAULT["sub_category"]))
-                           .otherwise(F.coalesce("__s", F.lit("Other"))))
-               .drop("__m", "__s"))
+    plus its main's, so a specific hit beats its main alone); the best
+    candidate wins (ties: taxonomy order); no hit -> General / Other.
+
+    All inside the row: each text is matched once, the candidates' keywords
+    (a parameter of a few hundred) are literals, and the best is the greatest
+    struct.  No join, no shuffle; ``id_col`` is only kept for the callers."""
+    scopes: dict[tuple[str, str | None], tuple[int, set[str]]] = {}
+    for main, sub, keyword, order in _keyword_rows(keyword_rows):
+        scopes.setdefault((main, sub), (order, set()))[1].add(keyword)
+    terms = sorted({k for _, words in scopes.values() for k in words})
+    hits = with_skills(with_skills(df, title_col, terms, "__th"), text_col, terms, "__xh")
+
+    def weight(main: str, sub: str | None) -> Column:
+        if (main, sub) not in scopes:
+            return F.lit(0)
+        words = F.array(*[F.lit(k) for k in sorted(scopes[main, sub][1])])
+        return (F.size(F.array_intersect("__th", words)) * title_weight
+                + F.size(F.array_intersect("__xh", words)) * text_weight)
+
+    candidates = []
+    for (main, sub), (order, _) in scopes.items():
+        own = weight(main, sub)
+        score = own if sub is None else F.when(own > 0, own + weight(main, None)).otherwise(0)
+        candidates.append(F.struct(score.alias("score"), F.lit(-order).alias("o"), F.lit(main).alias("main"),
+                                   F.lit(sub if sub is not None else "Other").alias("sub")))
+    best = hits.withColumn("__b", F.array_max(F.array(*candidates)))
+    found = F.col("__b.score") > 0
+    return (best.withColumn("main_category", F.when(found, F.col("__b.main")).otherwise(D.JOB_DEFAULT["main_category"]))
+                .withColumn("sub_category", F.when(found, F.col("__b.sub")).otherwise(D.JOB_DEFAULT["sub_category"]))
+                .drop("__b", "__th", "__xh"))
 
 
 def classify_cvs(cvs: DataFrame, id_col: str = "cv_id", text_col: str = "text", keyword_rows=None,
