@@ -194,6 +194,27 @@ def all_pair_scores(cvs: DataFrame, jobs: DataFrame, terms, bypass: bool = True,
                        est <= max_broadcast_bytes, n_words, dims=dims)
 
 
+def category_level_counts(cvs: DataFrame, jobs: DataFrame, bypass: bool = True) -> DataFrame:
+    """How many candidate pairs have each combination of category score and
+    levels: (score_category, cv_level_idx, job_level_idx, score_seniority,
+    pairs).  The scores depend on categories and levels alone, so both sides
+    are counted by them first and the small tables of counts are joined - no
+    pair is made."""
+    key = F.concat(F.lit("="), F.col("main_category"))
+    cv_key = F.when(F.col("main_category") == D.BYPASS_CATEGORY, F.lit(ALL_KEY)).otherwise(key) if bypass else key
+    c = cvs.groupBy(cv_key.alias("jkey"), F.col("main_category").alias("cv_main"), F.col("sub_category").alias("cv_sub"),
+                    S.level_index(F.col("level"), case_sensitive=True).alias("cv_level_idx")).agg(F.count(F.lit(1)).alias("nc"))
+    j = jobs.groupBy(F.col("main_category").alias("job_main"), F.col("sub_category").alias("job_sub"),
+                     S.level_index(F.col("level"), case_sensitive=False).alias("job_level_idx")).agg(F.count(F.lit(1)).alias("nj"))
+    keys = [F.concat(F.lit("="), F.col("job_main"))] + ([F.lit(ALL_KEY)] if bypass else [])
+    pairs = c.join(j.withColumn("jkey", F.explode(F.array(*keys))), "jkey")
+    cat = S.category_score(F.col("cv_main"), F.col("cv_sub"), F.col("job_main"), F.col("job_sub"))
+    sen = S.seniority_score(F.col("cv_level_idx"), F.col("job_level_idx"))
+    return (pairs.groupBy(F.round(cat, 1).alias("score_category"), "cv_level_idx", "job_level_idx",
+                          F.round(sen, 1).alias("score_seniority"))
+            .agg(F.sum(F.col("nc") * F.col("nj")).alias("pairs")))
+
+
 def top_k(pairs: DataFrame, k: int = D.TOP_K) -> DataFrame:
     w = Window.partitionBy("cv_id").orderBy(F.col("match_score").desc(), F.col("url"), F.col("seq"))
     return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)

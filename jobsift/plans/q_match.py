@@ -52,12 +52,13 @@ def _pairs(spark, sf):
 
 
 def q_category_score(spark, sf):
-    return _pairs(spark, sf).groupBy("score_category").agg(F.count(F.lit(1)).alias("pairs"))
+    return (M.category_level_counts(cvs_fx(spark, sf), jobs_fx(spark, sf))
+            .groupBy("score_category").agg(F.sum("pairs").alias("pairs")))
 
 
 def q_seniority_score(spark, sf):
-    return (_pairs(spark, sf).groupBy("cv_level_idx", "job_level_idx", "score_seniority")
-            .agg(F.count(F.lit(1)).alias("pairs")))
+    return (M.category_level_counts(cvs_fx(spark, sf), jobs_fx(spark, sf))
+            .groupBy("cv_level_idx", "job_level_idx", "score_seniority").agg(F.sum("pairs").alias("pairs")))
 
 
 def q_skill_score(spark, sf):
