@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from jobsift.llm.bench import decontaminate
-from jobsift.llm.common import table
+from jobsift.llm.common import table, with_scratch
 from jobsift.llm.linededup import drop_matched_lines
 from jobsift.llm.minhash import drop_near_duplicates
 from jobsift.llm.mixing import mix
@@ -29,23 +29,23 @@ from jobsift.session import checkpoint_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return clean_documents(docs)
+    return with_scratch(lambda: clean_documents(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_matched_lines(docs)
+    return with_scratch(lambda: drop_matched_lines(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return with_scratch(lambda: drop_near_duplicates(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return with_scratch(lambda: decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, cycled_weights)
+    return with_scratch(lambda: mix(docs, cycled_weights))
 
 
 STAGES = [
@@ -65,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = checkpoint_path(spark, f"pipeline-{uuid.uuid4().hex}")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)  # the stage's own tables go with ``out``
         docs = spark.read.parquet(path)
     return docs

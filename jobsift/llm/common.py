@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,35 @@ def materialise(df: DataFrame) -> DataFrame:
     plans that follow know its true size (a checkpoint keeps the estimate of
     the plan behind it, which loops of joins multiply out of all bounds)."""
     path = checkpoint_path(df.sparkSession, f"llm-{uuid.uuid4().hex}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCOPES: list[list[str]] = []
+
+
+def with_scratch(build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``, whose materialised tables are removed once the returned
+    DataFrame object is garbage.  Only for callers that write it out while they
+    hold it: frames derived from it do not keep the tables."""
+    _SCOPES.append([])
+    try:
+        df = build()
+    finally:
+        paths = _SCOPES.pop()
+    weakref.finalize(df, _remove, df.sparkSession, paths).atexit = False
+    return df
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def row_key(*cols) -> Column:
     """64-bit key of a row's values; equal rows share it."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) if isinstance(c, str) else c

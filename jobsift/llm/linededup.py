@@ -301,8 +301,8 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     def verified(pairs):
         """The later set of each pair that matches."""
         pairs = materialise(pairs)
-        wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-        words = given.select("set", "n", "words").join(broadcast_if_small(wanted, pairs.count() * 2, 24), "set")
+        wanted = materialise(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
+        words = given.select("set", "n", "words").join(broadcast_if_small(wanted, wanted.count(), 24, 16 << 20), "set")
         words = materialise(words.dropDuplicates(["set"]).join(first, "set"))
         wa, wb = (words.select(F.col("set").alias(x), F.col("words").alias(f"w{x}"), F.col("n").alias(f"n{x}"),
                                F.struct("f.ord", "f._row", F.col("set").alias("s")).alias(f"f{x}")) for x in "ab")
