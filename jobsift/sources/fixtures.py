@@ -115,35 +115,30 @@ def jobs_fx(spark: SparkSession, sf_dir: str, null_every: int | None = None) ->
 
 def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One CV per embedding row: cv_id = vec_id, its vector, a category
-    (taxonomy row vec_id % 41; row 40 = main 'Other', the bypass case), a
-    level from CV_LEVELS and the text of document vec_id % count(documents)."""
+    (taxonomy row vec_id % 41; row 40 = main 'Other', the bypass case) and a
+    level from CV_LEVELS.  With n = the smaller of the two row counts, its text
+    is that of all documents with doc_id % n = vec_id % n, in order, so every
+    document is part of a CV."""
     emb = read_test_table(spark, sf_dir, "embeddings")
     docs = read_test_table(spark, sf_dir, "documents")
-    n_docs = docs.count()
-    _, emb_bytes = _vector_table_stats(emb)
+    n = min(docs.count(), emb.count())
     v = F.col("vec_id")
     mains = [m for m, _ in TAXONOMY_ROWS] + ["Other"]
     subs = [s for _, s in TAXONOMY_ROWS] + ["Other"]
+    key = (lambda c: F.pmod(c, F.lit(n))) if n > 0 else (lambda c: F.lit(None).cast("bigint"))
     cvs = emb.select(
         v.alias("cv_id"),
         F.col("embedding").alias("vector"),
         _pick(mains, v % 41).alias("main_category"),
         _pick(subs, v % 41).alias("sub_category"),
         _pick(CV_LEVELS, F.expr("vec_id div 41") % 5).alias("level"),
-        (F.pmod(v, F.lit(n_docs)) if n_docs > 0 else F.lit(None).cast("bigint")).alias("_dk"),
+        key(v).alias("_dk"),
     )
-    texts = docs.select(F.col("doc_id").alias("_dk"), F.col("text"))
-    if emb_bytes <= FIXTURE_BROADCAST_BYTES:
-        # CVs (measured small) are the broadcast side and the texts stream.
-        # A hash join cannot build the preserved side of an outer join, so:
-        # inner join + the CVs without a document (anti join on ids only)
-        matched = texts.join(F.broadcast(cvs), "_dk")
-        unmatched = (cvs.join(docs.select(F.col("doc_id").alias("_dk")), "_dk", "left_anti")
-                     .withColumn("text", F.lit(None).cast("string")))
-        joined = matched.unionByName(unmatched)
-    else:
-        joined = cvs.join(texts, "_dk", "left")
-    return joined.select("cv_id", "text", "vector", "level", "main_category", "sub_category")
+    parts = docs.where("text is not null").groupBy(key(F.col("doc_id")).alias("_dk")).agg(
+        F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("_p"))
+    texts = parts.select("_dk", F.array_join(F.transform("_p", lambda x: x["text"]), "\n").alias("text"))
+    return (cvs.join(texts, "_dk", "left")
+            .select("cv_id", "text", "vector", "level", "main_category", "sub_category"))
 
 
 def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +248,9 @@ SELECT e.vec_id AS cv_id, d.text AS text, e.embedding AS vector,
        ({mains})[e.vec_id % 41 + 1] AS main_category,
        ({subs})[e.vec_id % 41 + 1] AS sub_category
 FROM embeddings e
-LEFT JOIN documents d ON d.doc_id = e.vec_id % (SELECT count(*) FROM documents)
+LEFT JOIN (SELECT doc_id % (SELECT least((SELECT count(*) FROM documents), (SELECT count(*) FROM embeddings))) AS k,
+                  string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL) d
+  ON d.k = e.vec_id % (SELECT least((SELECT count(*) FROM documents), (SELECT count(*) FROM embeddings)))
 """
 
 
