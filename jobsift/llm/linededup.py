@@ -224,7 +224,7 @@ def _pair_batches(t: float, group: int):
         i = np.flatnonzero(large & ~new)  # the earliest of a large group meets the others
         ok = passes(start[i], i)
         found.append((set_[start[i]][ok], set_[i][ok]))
-        deferred = set_[i]
+        deferred, codes = set_[i], code[i]
         i = np.flatnonzero(~large & ~new)
         d = 1
         while len(i):  # of a small group, all pairs that pass: the d-th row before
@@ -236,7 +236,8 @@ def _pair_batches(t: float, group: int):
         b = np.concatenate([f[1] for f in found])
         return pa.RecordBatch.from_arrays(
             [pa.array(np.r_[a, np.zeros(len(deferred), np.int64)], mask=np.r_[np.zeros(len(a), bool), np.ones(len(deferred), bool)]),
-             pa.array(np.r_[b, deferred])], names=["a", "b"])
+             pa.array(np.r_[b, deferred]),
+             pa.array(np.r_[np.zeros(len(a), np.int64), codes])], names=["a", "b", "code"])
 
     def run(batches):
         cols, held = ("code", "ord", "set", "n", "k", "bits"), None
@@ -293,8 +294,9 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     given = raw.where("words is not null").select("ord", "set", "n", "bits", "words")  # a set's words, once a chunk
     prefix = given.mapInArrow(_prefix_batches(threshold), "code long, ord long, set long, n int, k int, bits long")
     found = materialise(prefix.repartition("code").sortWithinPartitions("code", "ord", "set")
-                        .mapInArrow(_pair_batches(threshold, group), "a long, b long")
-                        .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").isNull().alias("lone"))
+                        .mapInArrow(_pair_batches(threshold, group), "a long, b long, code long")
+                        .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").isNull().alias("lone"),
+                                "code")
                         .distinct())
     both = found.where("not lone").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -316,8 +318,11 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     if open_.limit(1).count():  # sets of large groups that still lack an earlier match: all earlier ones
         n, m = F.col("n").cast("long"), F.col("n2").cast("long")
         need = F.ceil((n + m) * threshold / (1 + threshold) - 1e-9)
-        left = prefix.join(open_, "set")
-        right = prefix.select(F.col("code").alias("c2"), F.col("ord").alias("o2"), F.col("set").alias("s2"),
+        # only the rows of the large groups are dealt again
+        codes = materialise(found.where("lone").select("code").distinct())
+        large = materialise(prefix.join(broadcast_if_small(codes, codes.count(), 24), "code"))
+        left = large.join(open_.distinct(), "set")
+        right = large.select(F.col("code").alias("c2"), F.col("ord").alias("o2"), F.col("set").alias("s2"),
                               F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("bits").alias("b2"))
         cond = ((F.col("code") == F.col("c2")) & (F.col("o2") <= F.col("ord")) & (F.col("s2") != F.col("set"))
                 & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
