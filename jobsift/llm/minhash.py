@@ -11,9 +11,10 @@ size of what is broadcast at any scale).
 
 ``SAMPLES`` consistent samples a text in ``BANDS`` bands of ``ROWS``: a pair
 at similarity 0.8 meets with probability 0.998, at 0.9 with 1 - 1e-6.  Texts
-of a bucket are not paired with each other but with the bucket's centres
-(members not almost equal to a centre before them, by their samples); what is
-verified unlike its centres meets the others of its bucket that are.  Links become classes by connected components.
+of a bucket are first paired with the bucket's centres (members not almost
+equal to a centre before them, by their samples); then every pair of a bucket
+that the verified links do not join yet is met, and verified if its samples
+allow it.  Links become classes by connected components.
 Copies of a text are one node from the start.
 
 Defined cases: texts without a word (null, empty) are their own classes;
@@ -41,6 +42,7 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 PART = 1 << 14     # members of a bucket that one task meets; larger buckets are split
 CENTRES = 1 << 12  # centres a task holds
+FEW = 1 << 16      # open pairs that are verified without looking for the likeliest first
 # shares of the samples that agree: a pair at similarity 0.8 is under POSSIBLE
 # once in 5,000 buckets, and under LIKELY once in 20 (a pair shares five on average)
 POSSIBLE, LIKELY, SURE = 0.6, 0.7, 0.9
@@ -253,96 +255,166 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((a == b).reshape(BANDS, ROWS).all(axis=1).argmax())
 
 
-def _meet_batches(every: bool):
-    """Rows sorted by bucket -> pairs (i, v, a centre, b member), and members to
-    go on with (a null).
+def _centre_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket -> pairs (i, v, a centre, b member), and the
+    centres of a bucket's parts (a null).
 
     Members stream past the bucket's centres.  A member pairs with the centre
     it agrees with most (with the best two where that is under SURE of the
-    samples, and then it is a centre itself), if POSSIBLE agree.  CENTRES bounds
-    the task's memory: members beyond it, and the centres of a bucket's parts,
-    go on to the next round.  ``every``: all members are centres, and all pairs
-    of which LIKELY agree are given."""
-    def run(batches):
-        at, nodes, samples, i, v, split = None, [], [], 0, 0, False
-        out = []
-
-        def flush():
-            cols = [np.array([r[j] for r in out], np.int64) for j in (0, 1, 3)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array([r[2] for r in out], pa.int64()),
-                 pa.array(cols[2])], names=["i", "v", "a", "b"])
-
-        def close():
-            if split:
-                out.extend((i, v, None, n) for n in nodes)
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("i", "v", "part", "node", "samples", "parts", "n")), strict=True)
-            for i_, v_, part, node, mine, parts, n in rows:
-                if (i_, v_, part) != at:
-                    close()
-                    at, i, v, split, nodes = (i_, v_, part), i_, v_, parts > 1, []
-                    samples = np.empty((min(n, CENTRES), SAMPLES), np.uint32)
-                mine = np.frombuffer(mine, np.uint32)
-                agree = (samples[:len(nodes)] == mine).sum(axis=1)
-                sure = False
-                if every:
-                    near = np.flatnonzero(agree >= LIKELY * SAMPLES)
-                else:
-                    near = np.argsort(-agree, kind="stable")[:2]
-                    sure = len(near) > 0 and agree[near[0]] >= SURE * SAMPLES
-                    near = near[:1] if sure else near[agree[near] >= POSSIBLE * SAMPLES]
-                    # a pair is given in the first band that it shares
-                    near = near[[first_shared(samples[j], mine) == i for j in near]] if len(near) else near
-                out.extend((i, v, nodes[j], node) for j in near.tolist())
-                if not sure:
-                    if len(nodes) < len(samples):
-                        samples[len(nodes)] = mine
-                        nodes.append(node)
-                    else:
-                        out.append((i, v, None, node))
-                if len(out) >= 1 << 16:
+    samples, and then it is a centre itself, up to CENTRES), if POSSIBLE agree.
+    This finds most links of large groups in few pairs; what it leaves out is
+    met by ``_open_batches``."""
+    at, nodes, samples, i, v, split = None, [], [], 0, 0, False
+    out = []
+
+    def flush():
+        cols = [np.array([r[j] for r in out], np.int64) for j in (0, 1, 3)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array([r[2] for r in out], pa.int64()),
+             pa.array(cols[2])], names=["i", "v", "a", "b"])
+
+    def close():
+        if split:
+            out.extend((i, v, None, n) for n in nodes)
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("i", "v", "part", "node", "samples", "parts", "n")), strict=True)
+        for i_, v_, part, node, mine, parts, n in rows:
+            if (i_, v_, part) != at:
+                close()
+                at, i, v, split, nodes = (i_, v_, part), i_, v_, parts > 1, []
+                samples = np.empty((min(n, CENTRES), SAMPLES), np.uint32)
+            mine = np.frombuffer(mine, np.uint32)
+            agree = (samples[:len(nodes)] == mine).sum(axis=1)
+            near = np.argsort(-agree, kind="stable")[:2]
+            sure = len(near) > 0 and agree[near[0]] >= SURE * SAMPLES
+            near = near[:1] if sure else near[agree[near] >= POSSIBLE * SAMPLES]
+            # a pair is given in the first band that it shares
+            near = near[[first_shared(samples[j], mine) == i for j in near]] if len(near) else near
+            out.extend((i, v, nodes[j], node) for j in near.tolist())
+            if not sure and len(nodes) < len(samples):
+                samples[len(nodes)] = mine
+                nodes.append(node)
+            if len(out) >= 1 << 16:
+                yield flush()
+                out = []
+    close()
+    yield flush()
+
+
+def _open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, guests first -> (a, b, agree, comp) of every home
+    row and guest of different components of which LIKELY agree; comp is that
+    of a, the home row.  Two guests meet where the lesser is at home."""
+    at, guests, g = None, [], None
+    out, size = [], 0
+
+    def flush():
+        cols = [np.concatenate([np.zeros(0, np.int64), *(r[j] for r in out)]) for j in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "agree", "comp"])
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("i", "v", "part", "seat", "node", "comp", "most", "guest", "samples")),
+                   strict=True)
+        for i, v, part, seat, node, comp, most, guest, mine in rows:
+            if (i, v, part, seat) != at:
+                at, guests, g = (i, v, part, seat), [], None
+            if guest:
+                guests.append((node, comp, mine))
+                continue
+            if g is None:
+                g = (np.array([x[0] for x in guests], np.int64), np.array([x[1] for x in guests], np.int64),
+                     np.frombuffer(b"".join(x[2] for x in guests), np.uint32).reshape(-1, SAMPLES))
+                guests = []
+            take = g[1] != comp
+            if comp != most:
+                take &= g[0] > node
+            to = np.flatnonzero(take)
+            agree = (g[2][to] == np.frombuffer(mine, np.uint32)).sum(axis=1)
+            near = agree >= LIKELY * SAMPLES
+            if near.any():
+                to, agree = to[near], agree[near]
+                out.append((np.full(len(to), node), g[0][to], agree.astype(np.int64), np.full(len(to), comp)))
+                size += len(to)
+                if size >= 1 << 16:
                     yield flush()
-                    out = []
-        close()
-        yield flush()
-    return run
+                    out, size = [], 0
+    yield flush()
+
+
+def open_pairs(members: DataFrame, samples: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs of a bucket that links do not join yet: (a, b, agree, comp).
+
+    Each such pair has a member outside the bucket's largest component.  Those
+    members are the guests; they are dealt to blocks of CENTRES, all members
+    (at home) to blocks of PART, and each block of guests meets each block of
+    the others, so no task holds more than CENTRES samples."""
+    of = members.select("node", "i", "v").join(components(links), "node", "left")
+    of = materialise(of.withColumn("comp", F.coalesce("comp", "node")))
+    count = F.count(F.lit(1)).alias("c")
+    sizes = (of.groupBy("i", "v", "comp").agg(count).groupBy("i", "v")
+             .agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).where("m.c < n")
+             .select("i", "v", F.col("m.comp").alias("most"), F.ceil(F.col("n") / PART).alias("parts"),
+                     F.ceil((F.col("n") - F.col("m.c")) / CENTRES).alias("seats")))
+    of = of.join(sizes, ["i", "v"]).join(samples, "node").withColumn("h", F.xxhash64("node", F.lit(2)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keep = ["i", "v", "node", "comp", "most", "samples"]
+    of = materialise(of.select(*keep, "h", "parts", "seats"))
+    home = of.select(*keep, F.pmod("h", "parts").alias("part"), upto("seats").alias("seat"), F.lit(False).alias("guest"))
+    guest = of.where("comp <> most").select(*keep, upto("parts").alias("part"), F.pmod("h", "seats").alias("seat"),
+                                            F.lit(True).alias("guest"))
+    block = ["i", "v", "part", "seat"]
+    return (home.unionByName(guest).repartition(*block).sortWithinPartitions(*block, F.desc("guest"))
+            .mapInArrow(_open_batches, "a long, b long, agree long, comp long"))
 
 
 def compare_buckets(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """members(node, samples, i, v): buckets of more than one -> links(a, b), verified.
 
-    In the first round members meet their bucket's centres; in the next, the
-    members that were verified unlike all centres they were paired with meet
-    each other, and so do the centres of split buckets.  A pair is verified
-    once, whichever buckets it shares."""
+    First members meet their bucket's centres, and the centres of split
+    buckets each other.  Then every pair of a bucket that the links found do
+    not join is met: of many, first the likeliest of each member to each other
+    component, then all that are still not joined.  A pair is verified once,
+    whichever buckets it shares."""
     samples = members.select("node", "samples").dropDuplicates(["node"])
-    checked, turn = None, 0
-    while True:
+    everyone, checked = members, None
+
+    def verify(pairs):
+        new = materialise(_verified(pairs, texts, idf, threshold))
+        return new if checked is None else checked.unionByName(new)
+
+    def unchecked(pairs):
+        return pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+    def links():
+        return checked.where("ok").select("a", "b")
+
+    for turn in range(2):
         size = F.count(F.lit(1)).alias("n")
-        sizes = members.groupBy("i", "v").agg(size).where("n > 1").withColumn(
-            "parts", F.lit(1).cast("long") if turn else F.ceil(F.col("n") / PART))  # later rounds end: CENTRES go each time
+        sizes = members.groupBy("i", "v").agg(size).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART))
         rows = (members.join(sizes, ["i", "v"]).withColumn("h", F.xxhash64("node", F.lit(turn)))
                 .withColumn("part", F.pmod("h", "parts")))
         met = materialise(rows.repartition("i", "v", "part").sortWithinPartitions("i", "v", "part", "h", "node")
                           .select("i", "v", "part", "node", "samples", "parts", "n")
-                          .mapInArrow(_meet_batches(turn > 0), "i int, v long, a long, b long"))
-        paired = met.where("a is not null").select("i", "v", F.col("b").alias("node"), F.least("a", "b").alias("a"),
-                                                   F.greatest("a", "b").alias("b"))
-        pairs = paired.select("a", "b").distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(_verified(pairs, texts, idf, threshold))
-        checked = new if checked is None else checked.unionByName(new)
-        go_on = met.where("a is null").select("i", "v", F.col("b").alias("node"))
-        if not turn:
-            unlike = (paired.join(checked, ["a", "b"]).groupBy("i", "v", "node").agg(F.max("ok").alias("ok"))
-                      .where("not ok").select("i", "v", "node"))
-            go_on = go_on.unionByName(unlike).distinct()
-        members = materialise(go_on.join(samples, "node").select("node", "samples", "i", "v"))
-        if not members.groupBy("i", "v").count().where("count > 1").limit(1).count():
-            return checked.where("ok").select("a", "b")
-        turn += 1
+                          .mapInArrow(_centre_batches, "i int, v long, a long, b long"))
+        pairs = met.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        checked = verify(unchecked(pairs.distinct()))
+        centres = met.where("a is null").select("i", "v", F.col("b").alias("node"))
+        if not centres.limit(1).count():
+            break
+        members = materialise(centres.join(samples, "node").select("node", "samples", "i", "v"))
+
+    met = materialise(unchecked(open_pairs(everyone, samples, links()).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree", F.col("b").alias("guest"), F.col("comp").alias("to"))
+        .dropDuplicates(["a", "b"])))
+    if met.count() > FEW:
+        first = met.groupBy("guest", "to").agg(F.max(F.struct("agree", "a", "b")).alias("p"))
+        checked = verify(first.select("p.a", "p.b").distinct())
+        comp = materialise(components(links()))
+        for x in "ab":
+            met = (met.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
+                   .withColumn(f"c{x}", F.coalesce(f"c{x}", x)))
+        met = met.where("ca <> cb")
+    checked = verify(unchecked(met.select("a", "b")))
+    return links()
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

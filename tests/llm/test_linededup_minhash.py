@@ -147,6 +147,36 @@ def test_large_group_and_shared_passage(spark, monkeypatch):
     assert got_classes(df) == plain_classes(rows)[0]
 
 
+def star_rows(edits, n=300):
+    """A text and n variants that are like it but not like each other; it comes
+    in the middle.  Edits are words of the text, so that all words weigh alike."""
+    import random
+    rng, rows = random.Random(11), []
+    base = prose(1, 250, 5000).split()
+    for i in range(n):
+        v = list(base)
+        for k in rng.sample(range(250), edits):
+            v[k] = rng.choice(base)
+        rows.append((i if i < n // 2 else i + 1, " ".join(v)))
+    return [*rows, (n // 2, " ".join(base))]
+
+
+def test_base_text_joins_its_variants(spark):
+    rows = star_rows(4)
+    want = plain_classes(rows)[0]
+    assert len(want) == 1
+    assert got_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+
+
+def test_base_text_in_split_buckets(spark, monkeypatch):
+    """Blocks of guests and of members, and the likeliest pairs first."""
+    monkeypatch.setattr(minhash, "PART", 40)
+    monkeypatch.setattr(minhash, "CENTRES", 16)
+    monkeypatch.setattr(minhash, "FEW", 0)
+    rows = star_rows(4)
+    assert got_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain_classes(rows)[0]
+
+
 def test_near_edges(edge_docs, no_docs):
     rows = minhash.near_classes(edge_docs).collect()
     assert len(rows) == edge_docs.count()
