@@ -10,7 +10,8 @@ frequencies cover all documents, in ``BUCKETS`` hashed counters (1 MB, the
 size of what is broadcast at any scale).
 
 ``SAMPLES`` consistent samples a text in ``BANDS`` bands of ``ROWS``: a pair
-at similarity 0.8 meets with probability 0.998, at 0.9 with 1 - 1e-6.  Texts
+at similarity 0.8 shares a bucket with probability 0.998 and is verified with 0.998 as well (0.0018
+lost by the bands, up to 0.0005 by POSSIBLE); at 0.9 with 1 - 3e-6.  Texts
 of a bucket are first paired with the bucket's centres (members not almost
 equal to a centre before them, by their samples); then every pair of a bucket
 that the verified links do not join yet is met, and verified if its samples
@@ -43,9 +44,10 @@ SAMPLES = BANDS * ROWS
 PART = 1 << 14     # members of a bucket that one task meets; larger buckets are split
 CENTRES = 1 << 12  # centres a task holds
 FEW = 1 << 16      # open pairs that are verified without looking for the likeliest first
-# shares of the samples that agree: a pair at similarity 0.8 is under POSSIBLE
-# once in 5,000 buckets, and under LIKELY once in 20 (a pair shares five on average)
-POSSIBLE, LIKELY, SURE = 0.6, 0.7, 0.9
+# shares of the samples that agree.  A pair has the same samples in each bucket
+# that it shares, so one under POSSIBLE is lost: of pairs at similarity 0.8 one
+# in 2,000, at 0.82 one in 8,700 (binomial, 48 samples)
+POSSIBLE, SURE = 0.6, 0.9
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -303,7 +305,7 @@ def _centre_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, guests first -> (a, b, agree, comp) of every home
-    row and guest of different components of which LIKELY agree; comp is that
+    row and guest of different components of which POSSIBLE agree; comp is that
     of a, the home row.  Two guests meet where the lesser is at home."""
     at, guests, g = None, [], None
     out, size = [], 0
@@ -329,7 +331,7 @@ def _open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 take &= g[0] > node
             to = np.flatnonzero(take)
             agree = (g[2][to] == np.frombuffer(mine, np.uint32)).sum(axis=1)
-            near = agree >= LIKELY * SAMPLES
+            near = agree >= POSSIBLE * SAMPLES
             if near.any():
                 to, agree = to[near], agree[near]
                 out.append((np.full(len(to), node), g[0][to], agree.astype(np.int64), np.full(len(to), comp)))

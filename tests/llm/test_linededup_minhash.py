@@ -177,6 +177,18 @@ def test_base_text_in_split_buckets(spark, monkeypatch):
     assert got_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain_classes(rows)[0]
 
 
+def test_open_pairs_of_few_equal_samples():
+    """29 of 48 samples agree (60.4 %), 28 are too few."""
+    import pyarrow as pa
+    mine = np.arange(minhash.SAMPLES, dtype=np.uint32)
+    rows = [(0, 0, 0, 0, n, n, 7, n != 7, (mine + np.uint32(1000) * (np.arange(48) >= same)).astype(np.uint32).tobytes())
+            for n, same in ((8, 29), (9, 28), (7, 48))]
+    names = ["i", "v", "part", "seat", "node", "comp", "most", "guest", "samples"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    got = [tuple(r.values()) for b in minhash._open_batches(iter([batch])) for r in b.to_pylist()]
+    assert got == [(7, 8, 29, 7)]
+
+
 def test_near_edges(edge_docs, no_docs):
     rows = minhash.near_classes(edge_docs).collect()
     assert len(rows) == edge_docs.count()
