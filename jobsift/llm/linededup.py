@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line's set is its distinct words (blank-separated, A-Z lower-cased); lines
-with fewer than ``MIN_TOKENS`` distinct words are left alone.  Two lines match
+A line's set is its distinct words (blank-separated, A-Z lower-cased); every
+line with a word takes part.  Two lines match
 if the Jaccard similarity of their sets is ``THRESHOLD`` or more, and a line
 is removed if it matches any earlier line (order: doc_id, nulls last, then
 line number).
@@ -12,6 +12,8 @@ line number).
    TASK_COUNT in a task are left out, which may only cost some rarity.)
 2. A set is named by its hash; its first occurrence comes from a narrow
    aggregate, and each task gives its words once.
+   A set that can match only equal ones (up to three words at 0.8) goes no
+   further.
 3. Two sets that match share one of the first n - ceil(t n) + 1 words.  The
    rows (prefix word, set) are grouped by word; pairs must pass the length
    filter, the positional filter (words left behind the shared one) and a
@@ -23,7 +25,7 @@ A set needs one earlier match, not all: in a group of more than
 earliest, and only sets that found no match anywhere go on to the others.
 
 Defined cases: null and empty texts have no lines to remove; repeated rows
-are later documents (all their longer lines match); ties in order (equal doc_ids) are
+are later documents (all their lines match); ties in order (equal doc_ids) are
 broken by the row; an empty table gives an empty result.
 """
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from jobsift.llm.common import WORD, broadcast_if_small, materialise, row_key
 
-MIN_TOKENS = 5
+MIN_TOKENS = 1  # every line with a word
 THRESHOLD = 0.8
 HEAD = 1 << 18
 TASK_COUNT = 4  # a word that a task counts less often cannot matter to the ranks
@@ -91,6 +93,11 @@ def prefix_length(n: np.ndarray, t: float = THRESHOLD) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
+def only_equal(n: np.ndarray, t: float = THRESHOLD) -> np.ndarray:
+    """Whether sets of n words match no set but an equal one."""
+    return (np.ceil(t * n - 1e-9) >= n) & (np.floor(n / t + 1e-9) <= n)
+
+
 def least_overlap(n: np.ndarray, m: np.ndarray, t: float = THRESHOLD) -> np.ndarray:
     """Words that sets of n and m words must share."""
     return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
@@ -268,6 +275,7 @@ def _verify_batches(t: float):
 def _prefix_batches(t: float):
     def run(batches):
         for b in batches:
+            b = b.filter(pa.array(~only_equal(b.column("n").to_numpy().astype(np.int64), t)))
             if not b.num_rows:
                 continue
             n = b.column("n").to_numpy().astype(np.int64)

@@ -48,6 +48,14 @@ def test_hot_line_variants(spark, group):
     assert got_removed(df, group=group) == plain_removed(rows)
 
 
+def test_short_lines(spark):
+    """Repeats of one to four words go; of different sets, four words in five match."""
+    rows = [(0, "Of.\nAll rights reserved.\na b c d\np q r\nv w x y z"), (1, "of.\nreserved. All rights\na b c d e\np q s\nv w x y"),
+            (2, "Of.\n\nnew\np q\nnew")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_removed(df) == [(1, 0), (1, 1), (1, 2), (1, 4), (2, 0), (2, 4)]
+
+
 def test_line_edges(spark, edge_docs, no_docs):
     got = {(r.doc_id, r._row): r for r in linededup.removed_lines(edge_docs).collect()}
     by_doc = defaultdict(list)
