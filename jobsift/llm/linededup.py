@@ -47,7 +47,6 @@ TASK_COUNT = 4  # a word that a task counts less often cannot matter to the rank
 GROUP = 256
 CHUNK = 1 << 20  # words handled together (whole texts)
 LINE_BITS = 20
-MIN_LEFT = 0.5  # share of its words that a document must keep to stay
 
 _TOP = np.uint64(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -356,11 +355,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GR
         F.sort_array(F.collect_list(F.when(gone, F.col("line")))).alias("removed")))
 
 
-def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD, min_left: float = MIN_LEFT) -> DataFrame:
+def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without their removed lines, in the columns of ``docs``
-    (``n_chars``, if there, follows).  Documents that keep less than
-    ``min_left`` of their words were mostly said before and go, rather than
-    stay as scraps; repeated rows are one document."""
+    (``n_chars``, if there, follows).  Documents of which no word is left go;
+    repeated rows are one document."""
     cols = docs.columns
     gone = (removed_lines(docs, threshold).groupBy("_key").agg(F.min_by("removed", "n_removed").alias("_gone"))
             .where(F.size("_gone") > 0))
@@ -370,8 +368,7 @@ def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD, min_left:
     left = F.array_join(F.transform(F.array_except(at, F.col("_gone")), lambda i: F.get(parts, i)), "\n")
     words = lambda c: F.regexp_count(F.col(c), F.lit(WORD))
     out = keyed.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    out = out.where(F.col("_left").isNull() | (
-        (words("_left") > 0) & (words("_left") >= min_left * words("text"))))
+    out = out.where(F.col("_left").isNull() | (words("_left") > 0))
     out = out.withColumn("text", F.coalesce("_left", "text"))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))

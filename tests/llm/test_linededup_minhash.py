@@ -77,6 +77,13 @@ def test_dropped_lines_follow_in_n_chars(spark):
     assert out[2].text == prose(5, 30) + "\nend" and out[2].n_chars == len(out[2].text) and out[1].text == rows[0][1]
 
 
+def test_unique_text_of_a_mostly_shared_document_stays(spark):
+    shared, own = prose(3, 55), prose(4, 45)
+    rows = [(1, shared), (2, shared + "\n" + own), (3, shared + "\n \n")]
+    out = linededup.drop_matched_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == {1: shared, 2: own}
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     n = rng.integers(5, 12, 50)
