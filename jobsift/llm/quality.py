@@ -1,17 +1,25 @@
 """Quality rules: counts of one text, then lines that many documents of a
 host repeat.
 
-``line_verdicts`` gives each document its base counts, the share of its words
-in boilerplate lines and the verdict; ``clean_documents`` takes those lines
-out of the kept documents.  A line (lower case, digits as 0, blanks
-collapsed) is boilerplate if more than ``MAX_DOCS`` distinct documents of its
-host hold it and they are distinct beyond it: documents are counted by the
-least hash of their *other* lines, so that a group of copies, near copies
-mostly too, counts as few documents and does not make its own text
-boilerplate (at least ``MIN_DISTINCT`` of the documents must differ).  A
-document with less than ``MIN_LEFT`` of its words outside such lines is
+``line_verdicts`` gives each document its base counts, the words of its
+boilerplate lines and the verdict; ``clean_documents`` takes those lines out
+of the kept documents.  A line (lower case, digits as 0, blanks collapsed) is
+boilerplate if more than ``MAX_DOCS`` distinct documents of its host hold it.
+A document with less than ``MIN_LEFT`` of its words outside such lines is
 depleted and goes.
 
+Distinct documents are counted in two steps, so that a group of copies, near
+copies too, does not make its own text boilerplate:
+
+1. candidates are the lines that more than ``MAX_DOCS`` different texts hold;
+2. a document that holds candidates counts as itself if ``MIN_OWN`` of it is
+   its own, else by the least candidate line that it holds.  Near copies have
+   little of their own and the same lines, so a group of any size counts once
+   or a few times; pages on one template have texts of their own and count.
+   What is not its own are the five-word shingles that more than ``MAX_DOCS``
+   texts with candidates share, on a sketch of each document's least
+   ``SKETCH`` shingle hashes (an eighth of them, within those limits).
+
 Defined cases: a null text has no words (base_failed); a null host (source)
 is a host of its own; lines without a word never count; repeated rows are one
 document in the counts and get the same verdict; an empty table gives an
@@ -33,9 +41,12 @@ from jobsift.llm.common import materialise, row_key
 MIN_WORDS = 50       # fixed value of the base rules
 MAX_REPEAT_PCT = 50  # fixed value of the base rules
 MAX_DOCS = 30        # documents of a host that may share a line
-MIN_DISTINCT = 0.5   # share of those documents that must differ in their other lines
+MIN_OWN = 0.2        # share of a document that must be its own to count as distinct
 MIN_LEFT = 0.3       # share of words a document must keep
+SHINGLE = 5          # words of a shingle
+SKETCH = (64, 128)   # least and most shingles of a sketch
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
@@ -67,19 +78,40 @@ def normal_line(line: bytes) -> bytes:
     return b" ".join(line.lower().split()).translate(_DIGITS)
 
 
-def line_keys(host: bytes, text: bytes) -> tuple[list[int], list[int], list[int]]:
-    """Per distinct line of a text: key of (host, line), its words (all
-    occurrences), and the least key among the other lines (-1 if none)."""
+def line_keys(host: bytes, text: bytes) -> tuple[list[int], list[int]]:
+    """Per distinct line of a text: key of (host, line), its words (all occurrences)."""
     words: dict[int, int] = {}
     for line in text.split(b"\n"):
         norm = normal_line(line)
         if norm:
             key = xxhash.xxh3_64_intdigest(norm, seed=xxhash.xxh32_intdigest(host)) >> 1
             words[key] = words.get(key, 0) + norm.count(b" ") + 1
-    keys = list(words)
-    least = sorted(keys)[:2]
-    others = [-1 if len(keys) == 1 else least[1] if k == least[0] else least[0] for k in keys]
-    return keys, list(words.values()), others
+    return list(words), list(words.values())
+
+
+class WordHash(dict):
+    """Word -> 64-bit hash, cached."""
+
+    def __missing__(self, word):
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def sketch(host: bytes, text: bytes, hashes: WordHash) -> list[int]:
+    """The least hashes of a text's distinct shingles (host, SHINGLE words)."""
+    words = text.lower().split()
+    if not words:
+        return []
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = min(SHINGLE, len(h))
+    key = np.full(len(h) - n + 1, xxhash.xxh3_64_intdigest(host), np.uint64)
+    for i in range(n):
+        key = (key ^ h[i:i + len(key)]) * _MIX
+        key ^= key >> np.uint64(31)
+    key = np.unique(key >> np.uint64(1))
+    return key[:min(max(SKETCH[0], len(key) // 8), SKETCH[1])].tolist()
 
 
 def text_stats(text: str) -> tuple[int, int, int, int, int]:
@@ -99,41 +131,56 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHash()
     for b in batches:
-        texts = [t or "" for t in b.column("text").to_pylist()]
+        texts = [(t or "").encode() for t in b.column("text").to_pylist()]
         hosts = [b"\x00" if h is None else h.encode() for h in b.column("host").to_pylist()]
-        stats = list(zip(*map(text_stats, texts), strict=True)) or [()] * 5
-        lines = list(zip(*(line_keys(h, t.encode()) for h, t in zip(hosts, texts, strict=True)), strict=True)) or [()] * 3
+        stats = list(zip(*(text_stats(t.decode()) for t in texts), strict=True)) or [()] * 5
+        lines = list(zip(*map(line_keys, hosts, texts), strict=True)) or [()] * 2
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), b.column("_key"), *[pa.array(s, pa.int64()) for s in stats],
              pa.array(lines[0], pa.list_(pa.int64())), pa.array(lines[1], pa.list_(pa.int32())),
-             pa.array(lines[2], pa.list_(pa.int64()))],
-            names=["doc_id", "_key", *STATS, "lines", "line_words", "others"])
+             pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts], pa.int64()),
+             pa.array([sketch(h, t, hashes) for h, t in zip(hosts, texts, strict=True)], pa.list_(pa.int64()))],
+            names=["doc_id", "_key", *STATS, "lines", "line_words", "content", "sketch"])
+
+
+def boilerplate(base: DataFrame, max_docs: int, min_own: float) -> DataFrame:
+    """base(_row, content, lines, sketch) -> line: those of too many distinct documents."""
+    count = F.count(F.lit(1)).alias("n")
+    line = base.select("_row", "content", F.explode("lines").alias("line"))
+    candidates = materialise(line.select("line", "content").distinct().groupBy("line").agg(count)
+                             .where(F.col("n") > max_docs).select("line"))
+    # one row a text (and host: the keys of lines name it), with the candidates that it holds
+    held = (line.join(candidates, "line").groupBy("content", "line").agg(F.min("_row").alias("_row"))
+            .groupBy("_row", "content").agg(F.min("line").alias("least"), F.collect_list("line").alias("held")))
+    held = materialise(held.join(base.select("_row", "sketch"), "_row"))
+    shingle = held.select("_row", F.explode("sketch").alias("s"))
+    shared = shingle.groupBy("s").agg(count).where(F.col("n") > max_docs).select("s")
+    common = shingle.join(shared, "s").groupBy("_row").agg(F.count(F.lit(1)).alias("common"))
+    own = F.size("sketch") - F.coalesce("common", F.lit(0))
+    who = F.when(own >= min_own * F.size("sketch"), F.col("content")).otherwise(F.col("least"))
+    return (held.join(common, "_row", "left").select(F.explode("held").alias("line"), who.alias("who")).distinct()
+            .groupBy("line").agg(count).where(F.col("n") > max_docs).select("line"))
 
 
 def line_verdicts(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS,
-                  min_distinct: float = MIN_DISTINCT, min_left: float = MIN_LEFT) -> DataFrame:
+                  min_own: float = MIN_OWN, min_left: float = MIN_LEFT) -> DataFrame:
     """docs(doc_id, text, <host>) -> doc_id, _key, the counts of STATS,
     base_failed, removed_words, removed_lines (keys), kept."""
     schema = (f"doc_id {dict(docs.dtypes)['doc_id']}, _key long, {', '.join(f'{s} long' for s in STATS)}, "
-              "lines array<long>, line_words array<int>, others array<long>")
+              "lines array<long>, line_words array<int>, content long, sketch array<long>")
     base = (docs.select("doc_id", "text", F.col(host).cast("string").alias("host"))
             .withColumn("_key", row_key("doc_id", "text", "host")).mapInArrow(_stats_batches, schema))
     base = materialise(base.withColumn("_row", F.monotonically_increasing_id()))
-    line = (base.select("_row", F.explode(F.arrays_zip("lines", "line_words", "others")).alias("l"))
-            .select("_row", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"),
-                    F.col("l.others").alias("other")))
-    # documents alike beyond the line are one; both counts combine before the shuffle
-    common = (line.groupBy("line", "other").agg(F.count(F.lit(1)).alias("n"))
-              .groupBy("line").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("n"))
-              .where((F.col("distinct") > max_docs) & (F.col("distinct") >= min_distinct * F.col("n")))
-              .select("line"))
-    removed = (line.select("_row", "line", "w").join(common, "line")
+    common = materialise(boilerplate(base, max_docs, min_own))
+    removed = (base.select("_row", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+               .select("_row", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w")).join(common, "line")
                .groupBy("_row").agg(F.sum("w").cast("long").alias("removed_words"),
                                     F.collect_list("line").alias("removed_lines")))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    return (base.drop("lines", "line_words", "others").join(removed, "_row", "left").drop("_row")
+    return (base.drop("lines", "line_words", "content", "sketch").join(removed, "_row", "left").drop("_row")
             .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
             .withColumn("base_failed", base_failed)
             .withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words"))))
