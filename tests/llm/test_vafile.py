@@ -59,8 +59,7 @@ def test_cells_hold_their_values():
     codes, lo, hi = vafile.cells(x)
     at = np.arange(7)
     assert (lo[at, codes] <= x).all() and (x <= hi[at, codes]).all()
-    assert (vafile.unpack(vafile.pack(codes), 1000, 7) == codes).all()
-    assert np.bincount(codes[:, 0], minlength=16).max() < 100
+    assert np.bincount(codes[:, 0]).max() < 20
 
 
 def test_few_vectors_are_read(spark, monkeypatch):
@@ -72,7 +71,7 @@ def test_few_vectors_are_read(spark, monkeypatch):
     n = vafile.top_k(rows.select("vec_id", vafile.scaled(F.col("embedding")).alias("vec"),
                                  (F.col("vec_id") % 50 == 0).alias("is_query"))).count()
     queries, everyone = rows.where("vec_id % 50 = 0").count(), rows.count()
-    assert n == 5 * queries and sum(read) < 0.25 * queries * everyone
+    assert n == 5 * queries and sum(read) < 0.05 * queries * everyone
 
 
 def test_empty(spark):
