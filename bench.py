@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "match_topk", "skill_pairs", "skills_in_jobs", "dedup_strict", "dedup_latest",
+    "match_topk", "match_topk_wide", "skill_pairs", "skills_in_jobs", "dedup_strict", "dedup_latest",
     "classify_merge_rules", "classify_batches", "category_keywords", "html_text",
     "listing_ids", "clean_text", "nightly_run",
 ]

@@ -247,6 +247,7 @@ def match_topk(cvs: DataFrame, jobs: DataFrame, terms, k: int = D.TOP_K, bypass:
           description_text, main_category, sub_category, level,
           bert_vector, skills
     ``terms``: the skill dictionary the ``skills`` arrays were built with.
+    If neither side is under the broadcast bound, ``blockmatch`` does the work.
     """
     terms = _terms(terms)
     n_words = max(1, (len(terms) + 63) // 64)
@@ -254,6 +255,9 @@ def match_topk(cvs: DataFrame, jobs: DataFrame, terms, k: int = D.TOP_K, bypass:
     bc_cvs = est <= max_broadcast_bytes
     # only when the CV side is too big: is the job side small enough instead?
     bc_jobs = not bc_cvs and estimate_job_bytes(jobs, n_words) <= max_broadcast_bytes
+    if not (bc_cvs or bc_jobs):
+        from jobsift.operators import blockmatch  # which uses this module's parts
+        return blockmatch.match_topk(cvs, jobs, k, bypass, max_broadcast_bytes)
     pairs = score_pairs(prepare_cvs(cvs, terms, bypass, dims), prepare_jobs(jobs, terms, bypass, dims),
                         broadcast_cvs=bc_cvs, n_words=n_words, dims=dims, broadcast_jobs=bc_jobs)
     top = with_skill_names(top_k(pairs, k), terms, n_words).select(

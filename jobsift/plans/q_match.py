@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from jobsift import dictionaries as D
 from jobsift.functions import scores as S
+from jobsift.operators import blockmatch as B
 from jobsift.operators import match as M
 from jobsift.operators.skills import with_skills
 from jobsift.plans.catalog import register
 from jobsift.plans.sqlkit import build, dot_sql, hits_sql, level_idx_sql, norm_sql, sround
-from jobsift.sources.fixtures import SKILLS_FX, cvs_fx, jobs_fx
+from jobsift.sources.fixtures import (FIXTURE_SQL, SKILLS_FX, cvs_fx, jobs_fx, sql_widened,
+                                      widened)
 
 # ---------------------------------------------------------------------------
 # Spark side
@@ -29,6 +31,23 @@ def q_match_topk(spark, sf):
     return M.match_topk(cvs, jobs, SKILLS_FX)
 
 
+def q_match_topk_blocks(spark, sf):
+    """The same result by blocks, with bounds (the form for large sides)."""
+    return B.match_topk(*scored_inputs(spark, sf))
+
+
+def q_match_topk_wide(spark, sf):
+    """By blocks with vectors of 384 dimensions."""
+    cvs, jobs = scored_inputs(spark, sf)
+    return B.match_topk(cvs.withColumn("vector", widened(F.col("vector"))),
+                        jobs.withColumn("bert_vector", widened(F.col("bert_vector"))))
+
+
+def q_match_work(spark, sf):
+    """Candidate pairs, and pairs whose vectors were compared, of the ten best by blocks."""
+    return B.match_work(*scored_inputs(spark, sf), k=10)
+
+
 def q_top50_single_cv(spark, sf):
     cvs, jobs = scored_inputs(spark, sf)
     first = cvs.where(F.col("cv_id") == cvs.select(F.min("cv_id")).scalar())
@@ -159,6 +178,12 @@ def o_match_topk():
     return build("SELECT * FROM rec", ("jobs", "cvs"), _top_ctes())
 
 
+def o_match_topk_wide():
+    wide = tuple(f"{name} AS (SELECT * REPLACE ({sql_widened(col)} AS {col}) FROM ({FIXTURE_SQL[name]()}))"
+                 for name, col in (("jobs", "bert_vector"), ("cvs", "vector")))
+    return build("SELECT * FROM rec", (), wide + _top_ctes())
+
+
 def o_top50_single_cv():
     return build("SELECT * FROM rec", ("jobs", "cvs"),
                  _top_ctes("WHERE cv_id = (SELECT min(cv_id) FROM cvs)"))
@@ -221,6 +246,9 @@ def o_score_band():
 
 
 register("match_topk", o_match_topk)(q_match_topk)
+register("match_topk_blocks", o_match_topk)(q_match_topk_blocks)
+register("match_topk_wide", o_match_topk_wide)(q_match_topk_wide)
+register("match_work")(q_match_work)
 register("top50_single_cv", o_top50_single_cv)(q_top50_single_cv)
 register("match_with_bypass", o_match_with_bypass)(q_match_with_bypass)
 register("match_cards", o_match_cards)(q_match_cards)

@@ -141,6 +141,19 @@ def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("cv_id", "text", "vector", "level", "main_category", "sub_category"))
 
 
+WIDE_TURNS, WIDE_STEP = 6, 10
+
+
+def widened(v: Column) -> Column:
+    """A vector six times as wide: itself and five rotations by ten components."""
+    turns = [F.concat(F.slice(v, WIDE_STEP * i + 1, F.size(v)), F.slice(v, 1, WIDE_STEP * i)) for i in range(WIDE_TURNS)]
+    return F.concat(*turns)
+
+
+def sql_widened(v: str) -> str:
+    return " || ".join(f"({v})[{WIDE_STEP * i + 1}:] || ({v})[1:{WIDE_STEP * i}]" for i in range(WIDE_TURNS))
+
+
 def responses_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification responses, one per labelled document: URL of that
     job, category = taxonomy row (doc_id * 7) % 40, level senior/junior by

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobsift.session import checkpoint_path
+
 CURRENT = "current"  # pointers: (version, path), the largest version is live
 
 
@@ -75,3 +77,12 @@ def export_tabs(tabs: dict[str, DataFrame], base: str) -> dict[str, str]:
         except Exception as e:  # reported per tab, like the original upload
             status[name] = f"{type(e).__name__}: {e}"
     return status
+
+
+def scratch_table(df: DataFrame, name: str = "scratch") -> DataFrame:
+    """Write ``df`` once under ``spark.checkpoint.dir`` and read it back: for
+    tables that a job uses more than once.  Lineage ends there, so a lost
+    executor costs a read, and the plans after it know the table's true size."""
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
