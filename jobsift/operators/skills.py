@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobsift.functions.terms import (MAX_LITERAL_TERMS, RUN_PATTERN, TermDictionary, match_terms,
                                      original_terms)
+from jobsift.operators import termtable
 
 
 MAX_TERMS = 1_000_000  # entries of a dictionary given as a table (it is read to the driver)
@@ -29,7 +30,8 @@ def as_dictionary(terms, edge: str = "word") -> TermDictionary:
 def with_skills(df: DataFrame, text_col: str, terms, out_col: str = "skills",
                 edge: str = "word") -> DataFrame:
     """Add ``out_col``: sorted distinct lower-case dictionary hits of
-    ``text_col`` (canonical form used for scoring).  NULL text -> []."""
+    ``text_col`` (canonical form used for scoring).  NULL text -> [].  For
+    dictionaries that do not fit a plan there is ``termtable.skill_sets``."""
     dic = as_dictionary(terms, edge)
     return df.withColumn(out_col, match_terms(F.col(text_col), dic))
 
@@ -45,7 +47,10 @@ def skill_pairs(df: DataFrame, key_cols: list[str], text_col: str, terms,
     dictionary as a literal (fast, for dictionaries up to a few thousand
     entries); "join" explodes each text's candidate n-grams and joins them
     to the dictionary as a table (for large dictionaries); "auto" picks by
-    dictionary size."""
+    dictionary size.  A large dictionary given as a DataFrame stays one
+    (``termtable.hit_rows``)."""
+    if isinstance(terms, DataFrame) and edge == "word" and strategy != "literal" and terms.count() > MAX_LITERAL_TERMS:
+        return termtable.hit_rows(df, key_cols, text_col, terms, max_broadcast_bytes).withColumnRenamed("entry", "skill")
     dic = as_dictionary(terms, edge)
     n_gram_entries = sum(len(v) for v in dic.ngram_terms.values())
     if strategy == "join" or (strategy == "auto" and n_gram_entries > MAX_LITERAL_TERMS):

@@ -26,8 +26,8 @@ def register(name: str, oracle: Callable[[], str] | None = None):
 
 def load_all() -> None:
     """Import every query module (each registers itself)."""
-    from jobsift.plans import (q_classify, q_dedup, q_io, q_match, q_skills,  # noqa: F401
-                               q_text, q_vectors)
+    from jobsift.plans import (q_classify, q_dedup, q_io, q_live, q_match, q_skills,  # noqa: F401
+                               q_tables, q_text, q_vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

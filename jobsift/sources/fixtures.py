@@ -141,6 +141,24 @@ def cvs_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("cv_id", "text", "vector", "level", "main_category", "sub_category"))
 
 
+# Words and two-word phrases that a derived skill dictionary takes from a text.
+TERM_PATTERNS = ["[a-z]{5,}", "[a-z]{3,} [a-z]{3,}"]
+
+
+def terms_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skill dictionary as a table: words and phrases of the conversations and benchmark items."""
+    texts = read_test_table(spark, sf_dir, "conversations").select("text").unionByName(
+        read_test_table(spark, sf_dir, "benchmark").select("text"))
+    found = F.concat(*[F.regexp_extract_all(F.lower("text"), F.lit(p), 0) for p in TERM_PATTERNS])
+    return texts.where("text is not null").select(F.explode(found).alias("term")).distinct()
+
+
+def sql_terms_fx() -> str:
+    found = " || ".join(f"regexp_extract_all(lower(text), '{p}')" for p in TERM_PATTERNS)
+    return f"""SELECT DISTINCT unnest({found}) AS term
+FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark) WHERE text IS NOT NULL"""
+
+
 WIDE_TURNS, WIDE_STEP = 6, 10
 
 
@@ -321,6 +339,7 @@ FIXTURE_SQL = {
     "cv_blank_pages": sql_cv_blank_pages_fx,
     "req": sql_req_fx,
     "detail_responses": sql_responses_status,
+    "terms": sql_terms_fx,
 }
 
 
