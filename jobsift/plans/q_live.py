@@ -1 +1,48 @@
-"""Queries of maintained tables (live jobs, skills) and of run totals."""
+"""Queries of maintained tables (live jobs, skills)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from jobsift.plans.catalog import register
+from jobsift.plans.q_dedup import LATEST_SQL
+from jobsift.plans.sqlkit import build, hit_list_sql
+from jobsift.session import checkpoint_path
+from jobsift.sources.fixtures import SKILLS_FX, jobs_fx
+from jobsift.streaming import ingest, live
+
+
+def q_stream_live(spark, sf):
+    """Daily files through the stream, the days in an order that makes half of
+    the rows late, three days delivered twice; then the live table."""
+    base = checkpoint_path(spark, f"stream_live/{uuid.uuid4().hex}")
+    jobs = jobs_fx(spark, sf)
+    days = jobs.repartition("search_date").write.partitionBy("search_date")
+    days.mode("overwrite").parquet(f"{base}/source")
+    again = jobs.where(F.dayofmonth("search_date").isin(2, 3, 29)).coalesce(1)
+    again.write.mode("append").partitionBy("search_date").parquet(f"{base}/source")
+    live.run_stream(spark, f"{base}/source", ingest.stream_schema(jobs), f"{base}/table", f"{base}/checkpoint", SKILLS_FX,
+                    max_files_per_trigger=12, compact_every=2)
+    return live.live_jobs(spark, f"{base}/table").select(*jobs.columns)
+
+
+def q_live_skills(spark, sf):
+    """Three nights into the skills table: only pairs of jobs that came or went
+    are written, with a compaction after the second night."""
+    base = checkpoint_path(spark, f"live_skills/{uuid.uuid4().hex}")
+    jobs = jobs_fx(spark, sf)
+    for night in range(3):
+        live.apply_batch(spark, base, jobs.where(F.dayofmonth("search_date") % 3 == night), night, SKILLS_FX, compact_every=2)
+    return live.read_skills(spark, base)
+
+
+def o_live_skills():
+    return build(f"""SELECT DISTINCT url, skill FROM (
+  SELECT url, unnest({hit_list_sql('description_text', SKILLS_FX, True)}) AS skill FROM live)""",
+                 ("jobs",), (f"live AS ({LATEST_SQL.format(t='jobs')})",))
+
+
+register("stream_live", lambda: build(LATEST_SQL.format(t="jobs"), ("jobs",)))(q_stream_live)
+register("live_skills", o_live_skills)(q_live_skills)

@@ -20,15 +20,20 @@ from jobsift.operators.dedup import dedup_latest
 
 def run_ingest(spark: SparkSession, source_dir: str, schema: T.StructType, table_dir: str,
                checkpoint_dir: str, max_files_per_trigger: int = 1) -> None:
-    stream = (spark.readStream.schema(schema)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
-
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/batch={epoch_id}")
 
+    run_batches(spark, source_dir, schema, checkpoint_dir, max_files_per_trigger, write_batch)
+
+
+def run_batches(spark: SparkSession, source_dir: str, schema: T.StructType, checkpoint_dir: str,
+                max_files_per_trigger: int, apply) -> None:
+    """Micro-batches of the new files of a folder through ``apply(batch, epoch)``."""
+    stream = (spark.readStream.schema(schema)
+              .option("maxFilesPerTrigger", max_files_per_trigger)
+              .parquet(source_dir))
     q = (stream.writeStream
-         .foreachBatch(write_batch)
+         .foreachBatch(apply)
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True)
          .start())
