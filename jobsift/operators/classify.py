@@ -158,9 +158,9 @@ def classify_batches(jobs: DataFrame, size: int = D.CHUNK_SIZE, trim: bool = Tru
     {URL, job_title, description_text} (description cut to its requirements
     section when ``trim``), NULL fields written as null."""
     desc = requirements_section(F.col("description_text")) if trim else F.col("description_text")
-    rows = chunk_ids(jobs.select("seq", "url", "job_title", "description_text"), size).select(
-        "chunk", "seq", F.struct(F.col("url").alias("URL"), F.col("job_title"),
-                                 desc.alias("description_text")).alias("item"))
+    # trimmed before the rows are numbered: whole texts enter no exchange
+    rows = chunk_ids(jobs.select("seq", "url", "job_title", desc.alias("description_text")), size).select(
+        "chunk", "seq", F.struct(F.col("url").alias("URL"), "job_title", "description_text").alias("item"))
     return (rows.groupBy("chunk")
             .agg(F.count(F.lit(1)).alias("n_jobs"), F.min("seq").alias("first_seq"),
                  F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("items"))
@@ -177,11 +177,21 @@ def render_prompt(batches: DataFrame, template: str, placeholder: str = "{jobs_j
 
 
 def batch_sizes(prompts: DataFrame, col: str = "prompt") -> DataFrame:
-    """Size estimate per batch: ceil(chars / 4) tokens; plus totals."""
+    """Size estimate per batch: ceil(chars / 4) tokens."""
     est = F.ceil(F.length(F.col(col)) / D.CHARS_PER_TOKEN).cast("bigint")
     return prompts.select("chunk", F.length(F.col(col)).cast("bigint").alias("chars"), est.alias("est_tokens"))
 
 
+def batch_totals(prompts: DataFrame, col: str = "prompt") -> DataFrame:
+    """The run's report: a row per batch (chunk, batches = 1, n_jobs, chars,
+    est_tokens) and, with chunk NULL, the totals over all batches; both from
+    one aggregate (``rollup``).  Without batches there is no row."""
+    sizes = prompts.select("chunk", "n_jobs", F.length(F.col(col)).cast("bigint").alias("chars"),
+                           F.ceil(F.length(F.col(col)) / D.CHARS_PER_TOKEN).cast("bigint").alias("est_tokens"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+    return sizes.rollup("chunk").agg(F.count("n_jobs").alias("batches"), total("n_jobs"), total("chars"), total("est_tokens"))
+
+
 def parse_responses(responses: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Parse model answers: keep only those with a job_list; malformed or
     missing answers give no rows.  One row per classified job, with its

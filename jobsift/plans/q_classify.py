@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from jobsift import dictionaries as D
 from jobsift.operators import classify as C
 from jobsift.plans.catalog import register
+from jobsift.plans.q_text import requirements_ctes
 from jobsift.plans.sqlkit import build, hit_list_sql, sql_str
 from jobsift.sources.fixtures import jobs_fx, responses_fx
 
@@ -183,6 +184,33 @@ def q_classify_batch_sizes(spark, sf):
     return C.batch_sizes(prompts)
 
 
+def q_classify_batch_totals(spark, sf):
+    """Batches and their totals: the report of a classification run."""
+    return C.batch_totals(C.render_prompt(C.classify_batches(jobs_fx(spark, sf)), PROMPT_TEMPLATE))
+
+
+def _batches_sql(final: str) -> str:
+    ctes = (*requirements_ctes("jobs", "seq", "description_text"), f"""numbered AS (
+  SELECT j.seq, j.url, j.job_title, r.requirements,
+         CAST((row_number() OVER (ORDER BY j.seq) - 1) // {D.CHUNK_SIZE} AS BIGINT) AS chunk
+  FROM jobs j JOIN req r ON r.seq = j.seq)""", """batches AS (
+  SELECT chunk, count(*) AS n_jobs, min(seq) AS first_seq,
+         CAST(to_json(list(struct_pack("URL" := url, "job_title" := job_title, "description_text" := requirements) ORDER BY seq))
+              AS VARCHAR) AS payload
+  FROM numbered GROUP BY chunk)""", f"""prompts AS (
+  SELECT chunk, n_jobs, length(payload) + {len(PROMPT_TEMPLATE.replace('{jobs_json}', ''))} AS chars FROM batches)""")
+    return build(final, ("jobs",), ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+EST_SQL = f"CAST(ceil(chars / {D.CHARS_PER_TOKEN}) AS BIGINT)"
+
+
+def o_classify_batch_totals():
+    return _batches_sql(f"""SELECT chunk, count(n_jobs) AS batches, coalesce(sum(n_jobs), 0)::BIGINT AS n_jobs,
+       coalesce(sum(chars), 0)::BIGINT AS chars, coalesce(sum({EST_SQL}), 0)::BIGINT AS est_tokens
+FROM prompts GROUP BY ROLLUP (chunk)""")
+
+
 def _answers(spark, sf):
     """Answers per chunk of 50 responses in ord order; chunk % 7 = 3 is
     malformed JSON, chunk % 11 = 5 lacks job_list."""
@@ -359,8 +387,10 @@ register("classify_lookup", o_classify_lookup)(q_classify_lookup)
 register("classify_merge_rules", o_classify_merge_rules)(q_classify_merge_rules)
 register("category_counts", o_category_counts)(q_category_counts)
 register("classify_chunks", o_classify_chunks)(q_classify_chunks)
-register("classify_batches")(q_classify_batches)
-register("classify_batch_sizes")(q_classify_batch_sizes)
+register("classify_batches", lambda: _batches_sql("SELECT * FROM batches"))(q_classify_batches)
+register("classify_batch_sizes", lambda: _batches_sql(
+    f"SELECT chunk, chars, {EST_SQL} AS est_tokens FROM prompts"))(q_classify_batch_sizes)
+register("classify_batch_totals", o_classify_batch_totals)(q_classify_batch_totals)
 register("classify_parse", o_classify_parse)(q_classify_parse)
 register("classify_defaults", o_classify_defaults)(q_classify_defaults)
 register("seniority_rules", o_seniority_rules)(q_seniority_rules)

@@ -6,10 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from jobsift.operators.dedup import dedup_latest
+from jobsift.operators.skills import skill_pairs
 from jobsift.plans.catalog import register
 from jobsift.plans.q_dedup import LATEST_SQL
 from jobsift.plans.sqlkit import build, hit_list_sql
 from jobsift.session import checkpoint_path
+from jobsift.sources import sinks
 from jobsift.sources.fixtures import SKILLS_FX, jobs_fx
 from jobsift.streaming import ingest, live
 
@@ -38,6 +41,31 @@ def q_live_skills(spark, sf):
     return live.read_skills(spark, base)
 
 
+STEPS = ("jobs", "live", "skills")
+
+
+def q_write_counts(spark, sf):
+    """The tables of a run and how many rows each write took, observed by the writes."""
+    base = checkpoint_path(spark, f"write_counts/{uuid.uuid4().hex}")
+    no_text = F.count_if(F.coalesce(F.col("description_text"), F.lit("")) == "")
+    got = {"jobs": sinks.write_counted(jobs_fx(spark, sf), f"{base}/jobs", empty_rows=no_text, last_seq=F.max("seq"))}
+    kept = dedup_latest(spark.read.parquet(f"{base}/jobs"))
+    got["live"] = sinks.write_counted(kept, f"{base}/live", empty_rows=no_text, last_seq=F.max("seq"))
+    pairs = skill_pairs(spark.read.parquet(f"{base}/live"), ["seq", "url"], "description_text", SKILLS_FX)
+    got["skills"] = sinks.write_counted(pairs, f"{base}/skills", empty_rows=F.count_if(F.col("skill") == ""), last_seq=F.max("seq"))
+    return spark.createDataFrame([(t, got[t]["rows"], got[t]["empty_rows"], got[t]["last_seq"]) for t in STEPS],
+                                 "step string, rows bigint, empty_rows bigint, last_seq bigint")
+
+
+def o_write_counts():
+    no_text = "count(*) FILTER (coalesce(description_text, '') = '')"
+    return build(f"""SELECT 'jobs' AS step, count(*) AS rows, {no_text} AS empty_rows, max(seq) AS last_seq FROM jobs
+UNION ALL SELECT 'live', count(*), {no_text}, max(seq) FROM live
+UNION ALL SELECT 'skills', count(*), 0, max(seq) FROM (
+  SELECT seq, unnest({hit_list_sql('description_text', SKILLS_FX, True)}) AS skill FROM live)""",
+                 ("jobs",), (f"live AS ({LATEST_SQL.format(t='jobs')})",))
+
+
 def o_live_skills():
     return build(f"""SELECT DISTINCT url, skill FROM (
   SELECT url, unnest({hit_list_sql('description_text', SKILLS_FX, True)}) AS skill FROM live)""",
@@ -46,3 +74,4 @@ def o_live_skills():
 
 register("stream_live", lambda: build(LATEST_SQL.format(t="jobs"), ("jobs",)))(q_stream_live)
 register("live_skills", o_live_skills)(q_live_skills)
+register("write_counts", o_write_counts)(q_write_counts)

@@ -258,6 +258,44 @@ register("rejected_responses", lambda: build(
 register("response_status", o_response_status)(q_response_status)
 register("ordered_text_concat", o_ordered_text_concat)(q_ordered_text_concat)
 register("clean_text", o_clean_text)(q_clean_text)
-register("requirements_section")(q_requirements_section)
+def requirements_ctes(src: str, key: str, col: str) -> tuple[str, ...]:
+    """CTEs ending in req(<key>, requirements): the sections read line by line.
+
+    A header line ends in a header (and colons, blanks); its body begins at the
+    next line with more than colons and blanks and ends before the first short
+    line after that which begins with a letter and is not the last.  The next
+    header is looked for from there, which is the recursion."""
+    blank = WS[:-1] + ":]"
+    ends = f"(?i)({D.REQ_HEADERS.replace('(?:', '(')}){blank}*$"
+    return (
+        f"src AS (SELECT {key}, {strip_sql(f'coalesce({col}, chr(32))')} AS t FROM {src})",
+        "ln AS (SELECT *, string_split(t, chr(10)) AS l, len(string_split(t, chr(10))) AS m FROM src)",
+        f"""marks AS (
+  SELECT *, [i FOR i IN range(1, m) IF regexp_matches(l[i], {sql_str(ends)})] AS heads,
+         [i FOR i IN range(1, m + 1) IF NOT regexp_full_match(l[i], '{blank}*')] AS full_lines,
+         [i FOR i IN range(2, m) IF regexp_matches(l[i], '(?i)^[A-Z]') AND length(l[i]) <= 61] AS stops
+  FROM ln)""",
+        f"""walk AS (
+  SELECT {key}, l, m, heads, full_lines, stops, [h FOR h IN heads][1] AS h, 0 AS n FROM marks
+  UNION ALL
+  SELECT {key}, l, m, heads, full_lines, stops, [x FOR x IN heads IF x >= stop][1], n + 1 FROM (
+    SELECT *, coalesce([x FOR x IN stops IF x > coalesce([y FOR y IN full_lines IF y > h][1], m)][1], m + 1) AS stop
+    FROM walk WHERE h IS NOT NULL))""",
+        f"""bodies AS (
+  SELECT {key}, n, array_to_string(l[first:coalesce([x FOR x IN stops IF x > first][1], m + 1) - 1], chr(10)) AS body
+  FROM (SELECT *, coalesce([y FOR y IN full_lines IF y > h][1], m) AS first FROM walk WHERE h IS NOT NULL))""",
+        f"""req AS (
+  SELECT s.{key}, CASE WHEN b.all_ IS NULL THEN {strip_sql(f'substring(s.t, 1, {D.REQ_FALLBACK})')}
+                  ELSE {strip_sql(f'substring(b.all_, 1, {D.REQ_CAP})')} END AS requirements
+  FROM src s LEFT JOIN (SELECT {key}, string_agg(body, chr(10) ORDER BY n) AS all_ FROM bodies GROUP BY {key}) b
+    ON s.{key} = b.{key})""")
+
+
+def o_requirements_section():
+    sql = build("SELECT doc_id, requirements FROM req", ("req_in",), requirements_ctes("req_in", "doc_id", "description_text"))
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+register("requirements_section", o_requirements_section)(q_requirements_section)
 register("preview_split", o_preview_split)(q_preview_split)
 register("vector_blob_roundtrip", o_vector_blob_roundtrip)(q_vector_blob_roundtrip)

@@ -337,7 +337,7 @@ FIXTURE_SQL = {
     "responses": sql_responses_fx,
     "cv_pages": sql_cv_pages_fx,
     "cv_blank_pages": sql_cv_blank_pages_fx,
-    "req": sql_req_fx,
+    "req_in": sql_req_fx,
     "detail_responses": sql_responses_status,
     "terms": sql_terms_fx,
 }

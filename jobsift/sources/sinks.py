@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobsift.session import checkpoint_path
@@ -79,6 +79,14 @@ def export_tabs(tabs: dict[str, DataFrame], base: str) -> dict[str, str]:
     return status
 
 
+def write_counted(df: DataFrame, path: str, mode: str = "errorifexists", **metrics: Column) -> dict:
+    """Write ``df`` and return its row count (``rows``) and other aggregates,
+    observed by the write itself: no second pass and no count job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in metrics.items()]).write.mode(mode).parquet(path)
+    return seen.get
+
+
 def scratch_table(df: DataFrame, name: str = "scratch") -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and read it back: for
     tables that a job uses more than once.  Lineage ends there, so a lost
