@@ -61,6 +61,14 @@ def row_key(*cols) -> Column:
                         for c in cols])
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

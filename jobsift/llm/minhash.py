@@ -10,13 +10,23 @@ frequencies cover all documents, in ``BUCKETS`` hashed counters (1 MB, the
 size of what is broadcast at any scale).
 
 ``SAMPLES`` consistent samples a text in ``BANDS`` bands of ``ROWS``: a pair
-at similarity 0.8 shares a bucket with probability 0.998 and is verified with 0.998 as well (0.0018
-lost by the bands, up to 0.0005 by POSSIBLE); at 0.9 with 1 - 3e-6.  Texts
-of a bucket are first paired with the bucket's centres (members not almost
-equal to a centre before them, by their samples); then every pair of a bucket
-that the verified links do not join yet is met, and verified if its samples
-allow it.  Links become classes by connected components.
-Copies of a text are one node from the start.
+at similarity 0.8 shares a bucket with probability 0.998 and has POSSIBLE of
+its samples in common with 0.9995; at 0.9 with 1 - 3e-6.  What follows is exact:
+
+1. Texts of a bucket are compared by their samples and joined to groups of
+   what is possibly similar.  A text that has SURE of its samples in common
+   with a centre before it is no centre itself; others are compared with
+   centres only, at POSSIBLE less what SURE leaves open, so two texts with
+   POSSIBLE of the samples in common are always in one group.
+2. The texts of a group come together once, and all pairs of them are verified
+   by weighted Jaccard similarity through the group's shingle postings.
+
+Buckets and groups beyond ``PART`` rows or ``PART_BYTES`` of text are dealt to
+parts, and each part meets each other in a task of its own, so no pair is left
+out and no task holds more than two parts.  Either step gives only links that
+join what is not joined yet in its task, a row a text at most and not one a
+pair, so large groups of copies make few rows.  Links become classes by
+connected components.  Copies of a text are one node from the start.
 
 Defined cases: texts without a word (null, empty) are their own classes;
 repeated rows are copies; a null doc_id takes part, but a class is named by
@@ -33,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.common import broadcast_if_small, materialise, row_key
+from jobsift.llm.common import broadcast_if_small, fresh, materialise, row_key
 from jobsift.llm.graph import components
 
 N = 5
@@ -41,13 +51,13 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 18
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-PART = 1 << 14     # members of a bucket that one task meets; larger buckets are split
-CENTRES = 1 << 12  # centres a task holds
-FEW = 1 << 16      # open pairs that are verified without looking for the likeliest first
+PART = 1 << 11        # members of a bucket or group that meet in one task
+PART_BYTES = 16 << 20 # bytes of text of them, on average
 # shares of the samples that agree.  A pair has the same samples in each bucket
 # that it shares, so one under POSSIBLE is lost: of pairs at similarity 0.8 one
 # in 2,000, at 0.82 one in 8,700 (binomial, 48 samples)
 POSSIBLE, SURE = 0.6, 0.9
+NEAR = POSSIBLE + SURE - 1  # samples do not agree where either pair of a text between them does not
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -163,8 +173,8 @@ def word_idf(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """docs(doc_id, text) -> _row, doc_id, _key, t1, t2 (of the words), bands
-    (null without a word)."""
+    """docs(doc_id, text) -> _row, doc_id, _key, size (characters), t1, t2 (of
+    the words), bands and samples (null without a word)."""
     small = idf.astype(np.float32)
 
     def run(batches):
@@ -192,57 +202,33 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 i = j
             both = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("_key"), pa.array(both[:, 0]), pa.array(both[:, 1]),
+                [b.column("doc_id"), b.column("_key"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]),
                  pa.array([bands[node[d]][0] if d in node else None for d in marks], pa.list_(pa.int64())),
                  pa.array([bands[node[d]][1] if d in node else None for d in marks], pa.binary())],
-                names=["doc_id", "_key", "t1", "t2", "bands", "samples"])
+                names=["doc_id", "_key", "size", "t1", "t2", "bands", "samples"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return materialise(docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"))
-                       .mapInArrow(run, f"doc_id {kind}, _key long, t1 long, t2 long, bands array<long>, samples binary")
+                       .mapInArrow(run, f"doc_id {kind}, _key long, size long, t1 long, t2 long, bands array<long>, samples binary")
                        .withColumn("_row", F.monotonically_increasing_id()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """pairs(a, b), texts(node, text) -> pairs with ``ok``: similar enough.
-    Sorted by b, so a centre's shingles are made once."""
-    small = idf.astype(np.float32)
-
-    def run(batches):
-        words, idf, last, held = Words(), small.astype(float), None, None
-        for batch in batches:
-            ok = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("ta").to_pylist(),
-                                 batch.column("tb").to_pylist(), strict=True):
-                if b != last:
-                    last, held = b, weighted_shingles(words(tb), idf)
-                ok.append(similarity(weighted_shingles(words(ta), idf), held) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())],
-                                             names=["a", "b", "ok"])
-
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(ta, "a").join(tb, "b").mapInArrow(run, "a long, b long, ok boolean")
-
-
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) -> doc_id, _key, class_id, keep (one row of each class)."""
     idf = word_idf(docs)
     sig = signatures(docs, idf)
     # copies are one node, named by their least row
-    row = F.min(F.struct("_row", "_key")).alias("f")
+    row = F.min(F.struct("_row", "_key", "size")).alias("f")
     nodes = sig.where("bands is not null").groupBy("t1", "t2").agg(row, F.first("bands").alias("bands"),
                                                                    F.first("samples").alias("samples"))
-    nodes = materialise(nodes.select("t1", "t2", F.col("f._row").alias("node"), F.col("f._key").alias("_key"), "bands", "samples"))
+    nodes = materialise(nodes.select("t1", "t2", F.col("f._row").alias("node"), F.col("f._key").alias("_key"),
+                                     F.col("f.size").alias("size"), "bands", "samples"))
     band = nodes.select("node", F.posexplode("bands").alias("i", "v"))
     shared = band.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "v")
     members = materialise(band.join(shared, ["i", "v"]))  # of buckets that more than one text has
-    wanted = materialise(nodes.select("node", "_key", "samples").join(members.select("node").distinct(), "node"))
-    texts = broadcast_if_small(wanted.select("node", "_key"), wanted.count(), 48, 4 << 20)
-    texts = materialise(docs.select("text", row_key("doc_id", "text").alias("_key")).join(texts, "_key")
-                        .dropDuplicates(["node"]).select("node", "text"))
-    members = materialise(members.join(wanted.select("node", "samples"), "node"))
-    comp = components(compare_buckets(members, texts, idf, threshold))
+    groups = components(possible_links(members.join(nodes.select("node", "samples"), "node")))
+    groups = groups.join(nodes.select("node", "_key", "size"), "node")
+    comp = components(exact_links(docs, groups, idf, threshold))
     of_row = sig.select("_row", "doc_id", "_key", "t1", "t2").join(nodes.select("t1", "t2", "node"), ["t1", "t2"], "left")
     of_row = of_row.join(comp, "node", "left").withColumn("node", F.coalesce("comp", "node", "_row"))
     of_row = materialise(of_row.select("_row", "doc_id", "_key", "node"))
@@ -252,175 +238,148 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return of_row.join(first, "node").select("doc_id", "_key", "class_id", (F.col("_row") == F.col("_first")).alias("keep"))
 
 
-def first_shared(a: np.ndarray, b: np.ndarray) -> int:
-    """The first band in which all samples of a and b agree."""
-    return int((a == b).reshape(BANDS, ROWS).all(axis=1).argmax())
-
-
-def _centre_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> pairs (i, v, a centre, b member), and the
-    centres of a bucket's parts (a null).
-
-    Members stream past the bucket's centres.  A member pairs with the centre
-    it agrees with most (with the best two where that is under SURE of the
-    samples, and then it is a centre itself, up to CENTRES), if POSSIBLE agree.
-    This finds most links of large groups in few pairs; what it leaves out is
-    met by ``_open_batches``."""
-    at, nodes, samples, i, v, split = None, [], [], 0, 0, False
-    out = []
-
-    def flush():
-        cols = [np.array([r[j] for r in out], np.int64) for j in (0, 1, 3)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array([r[2] for r in out], pa.int64()),
-             pa.array(cols[2])], names=["i", "v", "a", "b"])
-
-    def close():
-        if split:
-            out.extend((i, v, None, n) for n in nodes)
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("i", "v", "part", "node", "samples", "parts", "n")), strict=True)
-        for i_, v_, part, node, mine, parts, n in rows:
-            if (i_, v_, part) != at:
-                close()
-                at, i, v, split, nodes = (i_, v_, part), i_, v_, parts > 1, []
-                samples = np.empty((min(n, CENTRES), SAMPLES), np.uint32)
-            mine = np.frombuffer(mine, np.uint32)
-            agree = (samples[:len(nodes)] == mine).sum(axis=1)
-            near = np.argsort(-agree, kind="stable")[:2]
-            sure = len(near) > 0 and agree[near[0]] >= SURE * SAMPLES
-            near = near[:1] if sure else near[agree[near] >= POSSIBLE * SAMPLES]
-            # a pair is given in the first band that it shares
-            near = near[[first_shared(samples[j], mine) == i for j in near]] if len(near) else near
-            out.extend((i, v, nodes[j], node) for j in near.tolist())
-            if not sure and len(nodes) < len(samples):
-                samples[len(nodes)] = mine
-                nodes.append(node)
-            if len(out) >= 1 << 16:
-                yield flush()
-                out = []
-    close()
-    yield flush()
-
-
-def _open_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, guests first -> (a, b, agree, comp) of every home
-    row and guest of different components of which POSSIBLE agree; comp is that
-    of a, the home row.  Two guests meet where the lesser is at home."""
-    at, guests, g = None, [], None
-    out, size = [], 0
-
-    def flush():
-        cols = [np.concatenate([np.zeros(0, np.int64), *(r[j] for r in out)]) for j in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "agree", "comp"])
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("i", "v", "part", "seat", "node", "comp", "most", "guest", "samples")),
-                   strict=True)
-        for i, v, part, seat, node, comp, most, guest, mine in rows:
-            if (i, v, part, seat) != at:
-                at, guests, g = (i, v, part, seat), [], None
-            if guest:
-                guests.append((node, comp, mine))
-                continue
-            if g is None:
-                g = (np.array([x[0] for x in guests], np.int64), np.array([x[1] for x in guests], np.int64),
-                     np.frombuffer(b"".join(x[2] for x in guests), np.uint32).reshape(-1, SAMPLES))
-                guests = []
-            take = g[1] != comp
-            if comp != most:
-                take &= g[0] > node
-            to = np.flatnonzero(take)
-            agree = (g[2][to] == np.frombuffer(mine, np.uint32)).sum(axis=1)
-            near = agree >= POSSIBLE * SAMPLES
-            if near.any():
-                to, agree = to[near], agree[near]
-                out.append((np.full(len(to), node), g[0][to], agree.astype(np.int64), np.full(len(to), comp)))
-                size += len(to)
-                if size >= 1 << 16:
-                    yield flush()
-                    out, size = [], 0
-    yield flush()
-
-
-def open_pairs(members: DataFrame, samples: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs of a bucket that links do not join yet: (a, b, agree, comp).
-
-    Each such pair has a member outside the bucket's largest component.  Those
-    members are the guests; they are dealt to blocks of CENTRES, all members
-    (at home) to blocks of PART, and each block of guests meets each block of
-    the others, so no task holds more than CENTRES samples."""
-    of = members.select("node", "i", "v").join(components(links), "node", "left")
-    of = materialise(of.withColumn("comp", F.coalesce("comp", "node")))
-    count = F.count(F.lit(1)).alias("c")
-    sizes = (of.groupBy("i", "v", "comp").agg(count).groupBy("i", "v")
-             .agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("m")).where("m.c < n")
-             .select("i", "v", F.col("m.comp").alias("most"), F.ceil(F.col("n") / PART).alias("parts"),
-                     F.ceil((F.col("n") - F.col("m.c")) / CENTRES).alias("seats")))
-    of = of.join(sizes, ["i", "v"]).join(samples, "node").withColumn("h", F.xxhash64("node", F.lit(2)))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    keep = ["i", "v", "node", "comp", "most", "samples"]
-    of = materialise(of.select(*keep, "h", "parts", "seats"))
-    home = of.select(*keep, F.pmod("h", "parts").alias("part"), upto("seats").alias("seat"), F.lit(False).alias("guest"))
-    guest = of.where("comp <> most").select(*keep, upto("parts").alias("part"), F.pmod("h", "seats").alias("seat"),
-                                            F.lit(True).alias("guest"))
-    block = ["i", "v", "part", "seat"]
-    return (home.unionByName(guest).repartition(*block).sortWithinPartitions(*block, F.desc("guest"))
-            .mapInArrow(_open_batches, "a long, b long, agree long, comp long"))
-
-
-def compare_buckets(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """members(node, samples, i, v): buckets of more than one -> links(a, b), verified.
-
-    First members meet their bucket's centres, and the centres of split
-    buckets each other.  Then every pair of a bucket that the links found do
-    not join is met: of many, first the likeliest of each member to each other
-    component, then all that are still not joined.  A pair is verified once,
-    whichever buckets it shares."""
-    samples = members.select("node", "samples").dropDuplicates(["node"])
-    everyone, checked = members, None
-
-    def verify(pairs):
-        new = materialise(_verified(pairs, texts, idf, threshold))
-        return new if checked is None else checked.unionByName(new)
-
-    def unchecked(pairs):
-        return pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-
-    def links():
-        return checked.where("ok").select("a", "b")
-
-    for turn in range(2):
-        size = F.count(F.lit(1)).alias("n")
-        sizes = members.groupBy("i", "v").agg(size).where("n > 1").withColumn("parts", F.ceil(F.col("n") / PART))
-        rows = (members.join(sizes, ["i", "v"]).withColumn("h", F.xxhash64("node", F.lit(turn)))
-                .withColumn("part", F.pmod("h", "parts")))
-        met = materialise(rows.repartition("i", "v", "part").sortWithinPartitions("i", "v", "part", "h", "node")
-                          .select("i", "v", "part", "node", "samples", "parts", "n")
-                          .mapInArrow(_centre_batches, "i int, v long, a long, b long"))
-        pairs = met.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        checked = verify(unchecked(pairs.distinct()))
-        centres = met.where("a is null").select("i", "v", F.col("b").alias("node"))
-        if not centres.limit(1).count():
-            break
-        members = materialise(centres.join(samples, "node").select("node", "samples", "i", "v"))
-
-    met = materialise(unchecked(open_pairs(everyone, samples, links()).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree", F.col("b").alias("guest"), F.col("comp").alias("to"))
-        .dropDuplicates(["a", "b"])))
-    if met.count() > FEW:
-        first = met.groupBy("guest", "to").agg(F.max(F.struct("agree", "a", "b")).alias("p"))
-        checked = verify(first.select("p.a", "p.b").distinct())
-        comp = materialise(components(links()))
-        for x in "ab":
-            met = (met.join(comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
-                   .withColumn(f"c{x}", F.coalesce(f"c{x}", x)))
-        met = met.where("ca <> cb")
-    checked = verify(unchecked(met.select("a", "b")))
-    return links()
+class Forest:
+    """Which of n rows are joined."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were not joined before."""
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def in_cells(df: DataFrame, parts: str) -> DataFrame:
+    """Rows with their number of ``parts`` -> a row for each cell that they are
+    in: each part meets itself (p = q) and every other part (p < q)."""
+    df = df.withColumn("part", F.pmod(F.xxhash64("node"), F.col(parts)))
+    df = df.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)))
+    return df.withColumn("p", F.least("part", "x")).withColumn("q", F.greatest("part", "x")).drop("x", parts)
+
+
+def _cell_groups(batches: Iterator[pa.RecordBatch], keys: list[str], cols: list[str]):
+    """Rows sorted by cell and node -> (cell, its rows as a list a column)."""
+    at, held = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in [*keys, *cols]), strict=True):
+            key = row[:len(keys)]
+            if key != at and held:
+                yield at, list(zip(*held, strict=True))
+                held = []
+            at = key
+            if not held or held[-1][0] != row[len(keys)]:  # a repeated row is read once
+                held.append(row[len(keys):])
+    if held:
+        yield at, list(zip(*held, strict=True))
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _possible_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of buckets -> links (a, b) of rows that may be similar."""
+    for (_, _, p, q), (node, part, data) in _cell_groups(batches, ["i", "v", "p", "q"], ["node", "part", "samples"]):
+        samples = np.frombuffer(b"".join(data), np.uint32).reshape(-1, SAMPLES)
+        forest, a, b = Forest(len(node)), [], []
+
+        def link(i, near):
+            for j in near.tolist():
+                if forest.join(i, j):  # noqa: B023
+                    a.append(node[i])  # noqa: B023
+                    b.append(node[j])  # noqa: B023
+        if p == q:
+            centre, held, n = np.empty(len(node), np.int64), np.empty_like(samples), 0
+            for i in range(len(node)):
+                agree = (held[:n] == samples[i]).sum(axis=1)
+                link(i, centre[:n][agree >= NEAR * SAMPLES])
+                if not n or agree.max() < SURE * SAMPLES:
+                    centre[n], held[n] = i, samples[i]
+                    n += 1
+        else:
+            home = np.flatnonzero(np.array(part) == p)
+            for i in np.flatnonzero(np.array(part) == q).tolist():
+                agree = (samples[home] == samples[i]).sum(axis=1)
+                link(i, home[agree >= NEAR * SAMPLES])
+        yield _pairs(a, b)
+
+
+def possible_links(members: DataFrame) -> DataFrame:
+    """members(node, samples, i, v): buckets of more than one -> links (a, b)."""
+    sizes = members.groupBy("i", "v").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    cells = in_cells(members.join(sizes, ["i", "v"]), "parts")
+    keys = ["i", "v", "p", "q"]
+    return (cells.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "part", "samples")
+            .mapInArrow(_possible_batches, "a long, b long"))
+
+
+def similar_rows(sets: list, home: np.ndarray, guests: np.ndarray, threshold: float):
+    """Pairs (i, j), i of ``guests`` and j of ``home``, of sets that are similar
+    enough, by the postings of the home sets' shingles; a set that is in both
+    meets those before it."""
+    keys = np.concatenate([sets[j][0] for j in home.tolist()])
+    weights = np.concatenate([sets[j][1] for j in home.tolist()])
+    rows = np.repeat(np.arange(len(home)), [len(sets[j][0]) for j in home.tolist()])
+    order = np.argsort(keys, kind="stable")
+    keys, weights, rows = keys[order], weights[order], rows[order]
+    total = np.array([s[1].sum() for s in sets])
+    at_home = {j: x for x, j in enumerate(home.tolist())}
+    for i in guests.tolist():
+        k, w = sets[i]
+        lo, hi = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        before = at_home.get(i, len(home))
+        common = np.bincount(rows[at], np.minimum(weights[at], np.repeat(w, n)), len(home))[:before]
+        union = total[i] + total[home[:before]] - common
+        near = np.flatnonzero((common > 0) & (common >= threshold * union * (1 - 1e-12)))
+        if len(near):
+            yield i, home[near]
+
+
+def _exact_batches(idf: np.ndarray, threshold: float):
+    """Cells of groups -> links (a, b) of texts that are similar."""
+    small = idf.astype(np.float32)
+
+    def run(batches):
+        words, idf = Words(), small.astype(float)
+        for (_, p, q), (node, part, text) in _cell_groups(batches, ["comp", "p", "q"], ["node", "part", "text"]):
+            sets = [weighted_shingles(words(t), idf) for t in text]
+            forest, a, b = Forest(len(node)), [], []
+            home, guests = (np.flatnonzero(np.array(part) == x) for x in (p, q))
+            if len(home):
+                for i, near in similar_rows(sets, home, guests, threshold):
+                    for j in near.tolist():
+                        if forest.join(i, j):
+                            a.append(node[i])
+                            b.append(node[j])
+            yield _pairs(a, b)
+    return run
+
+
+def exact_links(docs: DataFrame, groups: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """docs(doc_id, text), groups(node, comp, _key, size) -> links (a, b) that join
+    all similar texts of a group.  Texts go through one exchange."""
+    groups = materialise(groups)
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(F.sum("size") / PART_BYTES))
+    dealt = materialise(groups.drop("size").join(groups.groupBy("comp").agg(parts.alias("parts")), "comp"))
+    rows = docs.select("text", row_key("doc_id", "text").alias("_key")).join(
+        broadcast_if_small(dealt, dealt.count(), 64, 8 << 20), "_key").drop("_key")
+    keys = ["comp", "p", "q"]
+    return (in_cells(rows, "parts").repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "part", "text")
+            .mapInArrow(_exact_batches(idf, threshold), "a long, b long"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, in the columns of ``docs``."""
-    keep = near_classes(docs, threshold).where("keep").select("_key").distinct()
-    return (docs.withColumn("_key", row_key("doc_id", "text")).join(keep, "_key").dropDuplicates(["_key"])
-            .select(*docs.columns))
+    key = fresh(docs, "_key")
+    keep = near_classes(docs, threshold).where("keep").select(F.col("_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id", "text")).join(keep, key).dropDuplicates([key]).select(*docs.columns)

@@ -147,7 +147,6 @@ def test_classes_of_the_smoke_documents(docs):
 
 def test_large_group_and_shared_passage(spark, monkeypatch):
     monkeypatch.setattr(minhash, "PART", 50)
-    monkeypatch.setattr(minhash, "CENTRES", 64)
     import random
     rng, rows = random.Random(5), []
     base = prose(1, 200, 5000).split()
@@ -184,24 +183,55 @@ def test_base_text_joins_its_variants(spark):
 
 
 def test_base_text_in_split_buckets(spark, monkeypatch):
-    """Blocks of guests and of members, and the likeliest pairs first."""
+    """Parts of buckets and of groups, by rows and by bytes."""
     monkeypatch.setattr(minhash, "PART", 40)
-    monkeypatch.setattr(minhash, "CENTRES", 16)
-    monkeypatch.setattr(minhash, "FEW", 0)
+    monkeypatch.setattr(minhash, "PART_BYTES", 20_000)
     rows = star_rows(4)
     assert got_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain_classes(rows)[0]
 
 
-def test_open_pairs_of_few_equal_samples():
-    """29 of 48 samples agree (60.4 %), 28 are too few."""
+def test_rows_of_60_percent_equal_samples_share_a_group():
+    """29 of 48 samples agree (60.4 %) with a text that is no centre itself, as it
+    agrees with a centre in 44: the centre agrees in 25, and links both."""
     import pyarrow as pa
     mine = np.arange(minhash.SAMPLES, dtype=np.uint32)
-    rows = [(0, 0, 0, 0, n, n, 7, n != 7, (mine + np.uint32(1000) * (np.arange(48) >= same)).astype(np.uint32).tobytes())
-            for n, same in ((8, 29), (9, 28), (7, 48))]
-    names = ["i", "v", "part", "seat", "node", "comp", "most", "guest", "samples"]
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
-    got = [tuple(r.values()) for b in minhash._open_batches(iter([batch])) for r in b.to_pylist()]
-    assert got == [(7, 8, 29, 7)]
+    centre, near, other = mine.copy(), mine.copy(), mine + np.uint32(1000)
+    near[44:] += np.uint32(500)
+    other[:25] = near[:25]
+    other[44:] = near[44:]
+    assert ((near == other).sum(), (centre == other).sum()) == (29, 25)
+    rows = [(0, 0, 0, 0, n, part, x.astype(np.uint32).tobytes()) for n, part, x in
+            ((1, 0, centre), (2, 0, near), (3, 0, other), (4, 0, mine + np.uint32(5000)))]
+    names = ["i", "v", "p", "q", "node", "part", "samples"]
+
+    def links(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+        return [tuple(r.values()) for b in minhash._possible_batches(iter([batch])) for r in b.to_pylist()]
+    assert links(rows) == [(2, 1), (3, 1)]
+    # two parts: every row of one with every row of the other
+    assert links([(0, 0, 0, 1, n, n % 2, x) for _, _, _, _, n, _, x in rows]) == [(1, 2), (3, 2)]
+
+
+def test_group_of_wide_similarity(spark, monkeypatch):
+    """Variants from hardly to half edited: every link of the group is found,
+    and rows stay few although most pairs are possible ones."""
+    import random
+    rng, rows = random.Random(7), []
+    base = prose(3, 160, 5000).split()
+    for i in range(350):
+        v = list(base)
+        for _ in range(rng.choice([1, 3, 6, 9, 14, 20])):
+            v[rng.randrange(len(v))] = f"e{rng.randrange(99999)}"
+        rows.append((i, " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want, borderline = plain_classes(rows)
+    assert got_classes(df) == want and 5 < len(want) < 345 and borderline
+    monkeypatch.setattr(minhash, "PART", 60)
+    assert got_classes(df) == want
+    idf = minhash.word_idf(df)
+    nodes = minhash.signatures(df, idf)
+    members = nodes.select(nodes._row.alias("node"), "samples", nodes.doc_id.alias("v")).selectExpr("node", "samples", "0 as i", "0L as v")
+    assert minhash.possible_links(members).count() < 350 * 7  # a forest for each of the parts' cells
 
 
 def test_near_edges(edge_docs, no_docs):
