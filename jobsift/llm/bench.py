@@ -25,7 +25,7 @@ only while counted small; beyond that the same joins shuffle.
 
 Defined cases: null or empty texts hold no window; items of under five words
 have no shingle and never match; items with the same text are each reported;
-repeated documents are each reported; empty tables give no pairs.
+repeated rows are reported once; empty tables give no pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.common import broadcast_if_small, materialise, row_key
+from jobsift.llm.common import fresh, broadcast_if_small, materialise, row_key
 
 N = 5             # words of a shingle
 THRESHOLD = 0.8
@@ -120,7 +120,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD)
     prefix = (item_w.withColumns({"before": F.coalesce(before, F.lit(0)), "total": F.sum("w").over(by_item)})
               .where(F.col("before") <= (1 - threshold) * F.col("total") + 1e-6)
               .select("s", F.col("at").alias("q"), "size").distinct())
-    text = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), words(F.col("text")).alias("_w"))
+    text = docs.select("doc_id", row_key("doc_id", "text").alias("_key"),
+                       F.filter(words(F.col("text")), lambda w: w != "").alias("_w"))
     hits = (shingle_rows(text, "_w", "_key").join(small(prefix), "s")
             .select("_key", F.greatest(F.col("at") - F.col("q"), F.lit(0)).alias("start"), "size").distinct())
     starts = materialise(hits.groupBy("_key").agg(F.collect_set(F.struct("start", "size")).alias("_windows")))
@@ -129,7 +130,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD)
     windows = (text.join(broadcast_if_small(starts, n_docs, 512), "_key")
                .select("doc_id", "_key", "_w", F.explode("_windows").alias("x"))
                .select("doc_id", "_key", "x.start", "x.size", F.slice("_w", F.col("x.start") + 1, F.col("x.size")).alias("_w")))
-    windows = materialise(windows.withColumn("content", F.xxhash64("_w")))
+    windows = materialise(windows.dropDuplicates(["_key", "start", "size"]).withColumn("content", F.xxhash64("_w")))
     contents = windows.select("content", "size", "_w").dropDuplicates(["content", "size"])
     w_known = item_w.groupBy("s").agg(F.max("w").alias("w"))
     content_w = materialise(shingle_rows(contents, "_w", "content", "size").join(small(w_known), "s", "left")
@@ -160,5 +161,6 @@ def find_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD)
 
 def decontaminate(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item, in the columns of ``docs``."""
-    leaks = find_leaks(docs, bench, threshold).select("_key").distinct()
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(leaks, "_key", "left_anti").select(*docs.columns)
+    key = fresh(docs, "_key")
+    leaks = find_leaks(docs, bench, threshold).select(F.col("_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id", "text")).join(leaks, key, "left_anti").select(*docs.columns)

@@ -38,15 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.common import WORD, broadcast_if_small, materialise, row_key
+from jobsift.llm.common import WORD, broadcast_if_small, fresh, materialise, row_key
+from jobsift.llm.quality import WordHash, sketch
 
 MIN_TOKENS = 1  # every line with a word
 THRESHOLD = 0.8
 HEAD = 1 << 18
 TASK_COUNT = 4  # a word that a task counts less often cannot matter to the ranks
 GROUP = 256
+COPY_AT = 0.7  # similarity of a copy by sketches, whose error is about 0.05
 CHUNK = 1 << 20  # words handled together (whole texts)
-LINE_BITS = 20
 
 _TOP = np.uint64(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +162,7 @@ def line_codes(lines: list[list[bytes]], cache: dict[bytes, int], ranks: dict[in
 
 
 def _set_batches(ranks: dict[int, int]):
-    names = ["doc_id", "_key", "_row", "line", "set", "n", "bits", "ord", "words"]
+    names = ["doc_id", "_key", "_row", "line", "set", "n", "bits", "words"]
 
     def out(b, rows, lines, words, cache):
         n, code = line_codes(words, cache, ranks)
@@ -175,17 +176,17 @@ def _set_batches(ranks: dict[int, int]):
         ids = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts) if some else np.zeros(0, np.uint64)
         bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts) if some else ids
         doc = b.column("doc_id").take(pa.array(rows))
-        # order as one number: doc_id (nulls last), then line
-        at = np.array([1 << 42 if d is None else int(d) for d in doc.to_pylist()], np.int64)
-        at = (at << LINE_BITS) + np.minimum(lines, (1 << LINE_BITS) - 1)
+        ids_of = b.column("doc_id").to_pylist()  # in the order of documents: nulls last
+        place = np.empty(len(ids_of), np.int64)
+        place[sorted(range(len(ids_of)), key=lambda i: (ids_of[i] is None, ids_of[i]))] = np.arange(len(ids_of))
         first, seen = np.zeros(len(n), bool), {}
-        for j in np.argsort(at, kind="stable").tolist():
+        for j in np.lexsort((lines, place[rows])).tolist():
             if (s := int(ids[j])) not in seen:
                 seen[s] = first[j] = True
         packed = [w if u else None for w, u in zip(pack(code, n), first.tolist(), strict=True)] if some else []
         return pa.RecordBatch.from_arrays(
             [doc, *[b.column(c).take(pa.array(rows)) for c in ("_key", "_row")], pa.array(lines.astype(np.int32)),
-             pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(at),
+             pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)),
              pa.array(packed, pa.binary())], names=names)
 
     def run(batches):
@@ -213,7 +214,7 @@ def _set_batches(ranks: dict[int, int]):
 def _pair_batches(t: float, group: int):
     """Rows sorted by (code, ord) -> candidate pairs (a, b); rows of large
     groups that met only the earliest: (null, b)."""
-    def pairs_of(code, ord_, set_, n, k, bits):
+    def pairs_of(code, set_, n, k, bits):
         found = []
 
         def passes(i, j):
@@ -246,7 +247,7 @@ def _pair_batches(t: float, group: int):
              pa.array(np.r_[np.zeros(len(a), np.int64), codes])], names=["a", "b", "code"])
 
     def run(batches):
-        cols, held = ("code", "ord", "set", "n", "k", "bits"), None
+        cols, held = ("code", "set", "n", "k", "bits"), None
         for b in batches:
             now = [b.column(c).to_numpy(zero_copy_only=False) for c in cols]
             if held is not None:
@@ -267,7 +268,7 @@ def _verify_batches(t: float):
             for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("wa", "wb", "na", "nb")), strict=True):
                 common = shared_words(x, y, n, m)
                 ok.append(common >= t * (n + m - common) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["b", "f"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
@@ -286,20 +287,27 @@ def _prefix_batches(t: float):
     return run
 
 
+def document_order():
+    """Order of lines: doc_id (nulls last; any type that has an order), then line."""
+    return F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "line")
+
+
 def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (lines, sets): lines(doc_id, _key, _row, line,
-    set) of every line that takes part; sets(set, first_row, first_line,
-    matched): its first occurrence, and if an earlier other set matches."""
+    set, n) of every line that takes part, n its distinct words; sets(set,
+    first_row, first_line, matched, match_row): its first occurrence, and if an
+    earlier other set matches, with the row of the earliest that was compared."""
     ranks = word_ranks(docs)
     kind = dict(docs.dtypes)["doc_id"]
     keyed = (docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"))
              .withColumn("_row", F.monotonically_increasing_id()))
     raw = materialise(keyed.mapInArrow(
         _set_batches(ranks),
-        f"doc_id {kind}, _key long, _row long, line int, set long, n int, bits long, ord long, words binary"))
+        f"doc_id {kind}, _key long, _row long, line int, set long, n int, bits long, words binary")).withColumn("ord", document_order())
     first = raw.groupBy("set").agg(F.min(F.struct("ord", "_row", "line")).alias("f"))
     given = raw.where("words is not null").select("ord", "set", "n", "bits", "words")  # a set's words, once a chunk
-    prefix = given.mapInArrow(_prefix_batches(threshold), "code long, ord long, set long, n int, k int, bits long")
+    order = dict(given.dtypes)["ord"]
+    prefix = given.mapInArrow(_prefix_batches(threshold), f"code long, ord {order}, set long, n int, k int, bits long")
     found = materialise(prefix.repartition("code").sortWithinPartitions("code", "ord", "set")
                         .mapInArrow(_pair_batches(threshold, group), "a long, b long, code long")
                         .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").isNull().alias("lone"),
@@ -308,7 +316,7 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     both = found.where("not lone").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     def verified(pairs):
-        """The later set of each pair that matches."""
+        """The later set of each pair that matches, and the first occurrence of the earlier one."""
         pairs = materialise(pairs)
         wanted = materialise(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
         words = given.select("set", "n", "words").join(broadcast_if_small(wanted, wanted.count(), 24, 16 << 20), "set")
@@ -317,8 +325,10 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
                                F.struct("f.ord", "f._row", F.col("set").alias("s")).alias(f"f{x}")) for x in "ab")
         ok = pairs.join(wa, "a").join(wb, "b").select(
             F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("a"),
-            F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("b"), "wa", "wb", "na", "nb")
-        return ok.mapInArrow(_verify_batches(threshold), "a long, b long").select(F.col("b").alias("set")).distinct()
+            F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("b"),
+            F.least("fa", "fb").alias("f"), "wa", "wb", "na", "nb")
+        return (ok.mapInArrow(_verify_batches(threshold), f"b long, f {dict(ok.dtypes)['f']}")
+                .groupBy(F.col("b").alias("set")).agg(F.min("f").alias("f")).select("set", F.col("f._row").alias("match_row")))
 
     matched = materialise(verified(both))
     open_ = found.where("lone").select(F.col("y").alias("set")).join(matched, "set", "left_anti")
@@ -336,11 +346,11 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
                 & (F.least(n - F.col("k"), m - F.col("k2")) >= need)
                 & (F.floor((n + m - F.bit_count(F.col("bits").bitwiseXOR(F.col("b2")))) / 2) >= need))
         more = left.join(right, cond).select(F.least("s2", "set").alias("a"), F.greatest("s2", "set").alias("b")).distinct()
-        matched = materialise(matched.union(verified(more)).distinct())
+        matched = materialise(matched.union(verified(more).join(matched.select("set"), "set", "left_anti")))
     sets = (first.select("set", F.col("f._row").alias("first_row"), F.col("f.line").alias("first_line"))
             .join(matched.withColumn("matched", F.lit(True)), "set", "left")
             .withColumn("matched", F.coalesce("matched", F.lit(False))))
-    return raw.select("doc_id", "_key", "_row", "line", "set"), sets
+    return raw.select("doc_id", "_key", "_row", "line", "set", "n"), sets
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
@@ -355,21 +365,81 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GR
         F.sort_array(F.collect_list(F.when(gone, F.col("line")))).alias("removed")))
 
 
+def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHash()
+    for b in batches:
+        found = [np.array(sketch(b"", (t or "").encode(), hashes), np.int64).tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(found, pa.binary())], names=["_key", "sketch"])
+
+
+def sketch_similarity(x: bytes, y: bytes) -> float:
+    """Jaccard similarity of two shingle sets by their least hashes."""
+    a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+    least = np.union1d(a, b)[:min(len(a), len(b))]
+    return float(np.isin(least, np.intersect1d(a, b)).mean()) if len(least) else 0.0
+
+
+def _copy_batches(at: float):
+    def run(batches):
+        for b in batches:
+            ok = [sketch_similarity(x, y) >= at for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            yield b.select(["_row", "source"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
+def lines_to_cut(docs: DataFrame, threshold: float = THRESHOLD, copy_at: float = COPY_AT) -> DataFrame:
+    """docs(doc_id, text) -> _key, cut (line numbers from 0) of the documents
+    that lose lines: those of ``removed_lines``, but a document that is a copy
+    of an earlier one as a whole, edits aside, keeps the lines that it has from
+    it.  Such a document is for a near-duplicate stage to drop; without those
+    lines only its edits and its lines broken elsewhere would be left, a broken
+    text that no stage knows.
+
+    A document is compared with the one that most of its words come from (by
+    the first occurrences and first matches of its lines): a copy if
+    ``copy_at`` of their five-word shingles agree, by sketches.  Lines that
+    both have from elsewhere go from both, and a document without any line of
+    its own loses all lines."""
+    lines, sets = line_matches(docs, threshold)
+    own = (F.col("_row") == F.col("first_row")) & (F.col("line") == F.col("first_line")) & F.col("match_row").isNull()
+    origin = F.when(~own, F.coalesce("match_row", "first_row"))
+    by_origin = (lines.join(sets, "set").select("_key", "_row", "line", "n", origin.alias("origin")).repartition("_row")
+                 .groupBy("_row", "origin").agg(F.first("_key").alias("_key"), F.sum("n").alias("words"),
+                                                F.collect_list("line").alias("lines")))
+    part = F.struct(F.when(F.col("origin") != F.col("_row"), F.col("words")).alias("shared"), "origin", "lines")
+    rows = materialise(by_origin.groupBy("_row").agg(F.first("_key").alias("_key"), F.collect_list(part).alias("parts"),
+                                                     F.max(F.col("origin").isNull()).alias("has_own")))
+    most = F.array_max(F.transform(F.filter("parts", lambda p: p["shared"].isNotNull()),
+                                   lambda p: F.struct(p["shared"].alias("shared"), (-p["origin"]).alias("less"))))
+    pairs = rows.where("has_own").select("_row", "_key", (-most["less"]).alias("source")).where("source is not null")
+    pairs = materialise(pairs.join(rows.select(F.col("_row").alias("source"), F.col("_key").alias("source_key")), "source"))
+    wanted = materialise(pairs.select("_key").union(pairs.select("source_key")).distinct())
+    sketches = materialise(docs.select("text", row_key("doc_id", "text").alias("_key"))
+                           .join(broadcast_if_small(wanted, wanted.count(), 32), "_key")
+                           .mapInArrow(_sketch_batches, "_key long, sketch binary").dropDuplicates(["_key"]))
+    x, y = (sketches.select(F.col("_key").alias(k), F.col("sketch").alias(n)) for k, n in (("_key", "x"), ("source_key", "y")))
+    copies = (pairs.join(x, "_key").join(y, "source_key").select("_row", "source", "x", "y")
+              .mapInArrow(_copy_batches(copy_at), "_row long, source long"))
+    cut = F.flatten(F.transform(F.filter("parts", lambda p: p["origin"].isNotNull() & ~p["origin"].eqNullSafe(F.col("source"))),
+                                lambda p: p["lines"]))
+    return rows.join(copies, "_row", "left").select("_row", "_key", F.sort_array(cut).alias("cut")).where(F.size("cut") > 0)
+
+
 def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without their removed lines, in the columns of ``docs``
-    (``n_chars``, if there, follows).  Documents of which no word is left go;
-    repeated rows are one document."""
-    cols = docs.columns
-    gone = (removed_lines(docs, threshold).groupBy("_key").agg(F.min_by("removed", "n_removed").alias("_gone"))
-            .where(F.size("_gone") > 0))
-    keyed = docs.withColumn("_key", row_key("doc_id", "text")).dropDuplicates(["_key"]).join(gone, "_key", "left")
+    """The documents without their matched lines (``lines_to_cut``), in the
+    columns of ``docs`` (``n_chars``, if there, follows).  Documents of which no
+    word is left go; repeated rows are one document."""
+    cols, key, cut, rest = docs.columns, *(fresh(docs, c) for c in ("_key", "_gone", "_left"))
+    docs = docs.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key])
+    gone = lines_to_cut(docs, threshold).select(F.col("_key").alias(key), F.col("cut").alias(cut))
+    keyed = docs.join(gone, key, "left")
     parts = F.split(F.col("text"), "\n")
     at = F.sequence(F.lit(0), F.size(parts) - 1)
-    left = F.array_join(F.transform(F.array_except(at, F.col("_gone")), lambda i: F.get(parts, i)), "\n")
+    left = F.array_join(F.transform(F.array_except(at, F.col(cut)), lambda i: F.get(parts, i)), "\n")
     words = lambda c: F.regexp_count(F.col(c), F.lit(WORD))
-    out = keyed.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    out = out.where(F.col("_left").isNull() | (words("_left") > 0))
-    out = out.withColumn("text", F.coalesce("_left", "text"))
+    out = keyed.withColumn(rest, F.when(F.col(cut).isNotNull(), left))
+    out = out.where(F.col(rest).isNull() | (words(rest) > 0))
+    out = out.withColumn("text", F.coalesce(rest, "text"))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*cols)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.common import materialise, row_key
+from jobsift.llm.common import fresh, materialise, row_key
 
 MIN_WORDS = 50       # fixed value of the base rules
 MAX_REPEAT_PCT = 50  # fixed value of the base rules
@@ -189,13 +189,13 @@ def line_verdicts(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
 def clean_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The kept documents with their boilerplate lines taken out, in the
     columns of ``docs`` (``n_chars``, if there, follows the text)."""
-    cols = docs.columns
+    cols, key, gone = docs.columns, fresh(docs, "_k"), fresh(docs, "_gone")
     verdicts = (line_verdicts(docs, host, **limits).where("kept")
-                .select(F.col("_key").alias("_k"), "removed_lines").dropDuplicates(["_k"]))
-    keyed = docs.withColumn("_k", row_key("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))))
-    joined = keyed.join(verdicts, "_k")
-    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(
-        drop_lines("text", F.col(host).cast("string"), "removed_lines"))
+                .select(F.col("_key").alias(key), F.col("removed_lines").alias(gone)).dropDuplicates([key]))
+    keyed = docs.withColumn(key, row_key("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))))
+    joined = keyed.join(verdicts, key)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(
+        drop_lines("text", F.col(host).cast("string"), gone))
     out = joined.withColumn("text", text)
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
