@@ -76,6 +76,32 @@ def skill_sets(df: DataFrame, key: str, text_col: str, terms: DataFrame, **kw) -
     return hits.groupBy(key).agg(F.array_sort(F.collect_set("entry")).alias("skills"))
 
 
+KEPT_POS = ["NOUN", "PROPN", "ADJ"]  # fixed values: parts of speech that carry the most signal
+
+
+def lemma_keywords(df: DataFrame, key: str, text_col: str, lemmas: DataFrame, stop_words: DataFrame, min_len: int = 3,
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """key, keywords: the sorted distinct lemmas of each row's word tokens.
+
+    ``lemmas`` (surface, lemma, pos) is a table of any size: tokens, once a row,
+    are joined to it by surface.  A token without an entry is its own lemma and
+    stays; an entry stays if its part of speech is NULL or in KEPT_POS.  Lemmas
+    of fewer than ``min_len`` characters and those of ``stop_words`` (first
+    column) go.  Rows without keywords have an empty array; ``key`` is unique."""
+    stop = stop_words.select(F.col(stop_words.columns[0]).alias("lemma")).where("lemma is not null").distinct()
+    table = (lemmas.where("surface is not null and lemma is not null")
+             .select("surface", "lemma", (F.col("pos").isNull() | F.col("pos").isin(KEPT_POS)).alias("kept")).distinct())
+    near = lambda t, *cols: F.broadcast(t) if small(t, *cols, limit=max_broadcast_bytes) else t
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\w+"), 0))
+    tokens = df.select(key, F.explode(found).alias("surface"))
+    of = (tokens.join(near(table, "surface", "lemma"), "surface", "left").where(F.coalesce("kept", F.lit(True)))
+          .select(key, F.coalesce("lemma", "surface").alias("lemma")).where(F.length("lemma") >= min_len)
+          .join(near(stop, "lemma"), "lemma", "left_anti"))
+    sets = of.groupBy(key).agg(F.array_sort(F.collect_set("lemma")).alias("keywords"))
+    return df.select(key).join(sets, key, "left").select(
+        key, F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+
+
 def load_keywords(spark: SparkSession, path: str) -> DataFrame:
     """main, sub (empty: the main's own), keyword: a CSV with that header."""
     rows = spark.read.option("header", True).csv(path).select("main", "sub", "keyword")

@@ -9,7 +9,8 @@ from jobsift.operators import overlap as OV
 from jobsift.operators import termtable as TT
 from jobsift.plans import q_classify
 from jobsift.plans.catalog import register
-from jobsift.plans.sqlkit import WORD_CLASS, build, sround
+from jobsift.plans.q_skills import STOP_WORDS_FX
+from jobsift.plans.sqlkit import WORD_CLASS, build, sql_str, sround
 from jobsift.sources.fixtures import cvs_fx, jobs_fx, terms_fx
 from jobsift.sources.tables import read_test_table
 
@@ -73,6 +74,43 @@ def q_category_keywords_table(spark, sf):
     return jobs.select("seq", "job_title").join(got, "seq").select("seq", "job_title", "main_category", "sub_category")
 
 
+LEMMA_POS = ["NOUN", "VERB", "ADJ", "PROPN"]
+
+
+def lemmas_fx(spark, sf):
+    """A lemma table made from the documents: tokens that end in ``s`` lose it;
+    their part of speech goes by their length."""
+    tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}s"), 0))
+    t = read_test_table(spark, sf, "documents").select(tokens.alias("surface")).distinct()
+    pos = F.get(F.array(*map(F.lit, LEMMA_POS)), F.length("surface") % 4)
+    return t.select("surface", F.expr("substring(surface, 1, length(surface) - 1)").alias("lemma"), pos.alias("pos"))
+
+
+def q_lemma_keywords(spark, sf):
+    docs = read_test_table(spark, sf, "documents")
+    stop = spark.createDataFrame([(w,) for w in STOP_WORDS_FX], "word string")
+    got = TT.lemma_keywords(docs, "doc_id", "text", lemmas_fx(spark, sf), stop)
+    return got.select("doc_id", F.size("keywords").cast("bigint").alias("n_keywords"), "keywords")
+
+
+def o_lemma_keywords():
+    word = WORD_CLASS.replace("[^", "[")
+    stop = ", ".join(sql_str(w) for w in STOP_WORDS_FX)
+    pos = ", ".join(map(sql_str, LEMMA_POS))
+    return build(f"""SELECT d.doc_id, coalesce(len(k.keywords), 0) AS n_keywords, coalesce(k.keywords, []::VARCHAR[]) AS keywords
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id""", (), (
+        f"tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{word}+')) AS surface FROM documents)",
+        f"""lem AS (
+  SELECT surface, substr(surface, 1, length(surface) - 1) AS lemma, ([{pos}])[length(surface) % 4 + 1] AS pos
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}s')) AS surface FROM documents))""",
+        f"""k AS (
+  SELECT doc_id, list_sort(list(DISTINCT lemma)) AS keywords FROM (
+    SELECT doc_id, coalesce(lem.lemma, tok.surface) AS lemma FROM tok LEFT JOIN lem ON lem.surface = tok.surface
+    WHERE lem.surface IS NULL OR lem.pos IN ({", ".join(map(sql_str, TT.KEPT_POS))}))
+  WHERE length(lemma) >= 3 AND lemma NOT IN ({stop}) GROUP BY doc_id)"""))
+
+
+register("lemma_keywords", o_lemma_keywords)(q_lemma_keywords)
 register("skill_pairs_table", o_skill_pairs_table)(q_skill_pairs_table)
 register("skill_overlap", o_skill_overlap)(q_skill_overlap)
 register("category_keywords_table", q_classify.o_category_keywords)(q_category_keywords_table)

@@ -86,3 +86,15 @@ def test_overlap_edges(spark):
     assert OV.overlap_pairs(cvs.limit(0), jobs).count() == 0
     with pytest.raises(ValueError):
         OV.overlap_pairs(cvs, jobs, 0)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_lemmas_of_a_table(spark, limit):
+    df = spark.createDataFrame([(1, "Engineers engineer RUNNING tests, a test"), (2, None), (3, ""), (4, "the an it"), (5, "bats saw")],
+                               "k long, text string")
+    lemmas = spark.createDataFrame([("engineers", "engineer", "NOUN"), ("running", "run", "VERB"), ("tests", "test", None),
+                                    ("saw", "see", "VERB"), ("saw", "saw", "NOUN"), (None, "x", None), ("bats", "bat", "ADJ")],
+                                   "surface string, lemma string, pos string")
+    stop = spark.createDataFrame([("the",), ("bat",), (None,)], "word string")
+    got = {r.k: list(r.keywords) for r in TT.lemma_keywords(df, "k", "text", lemmas, stop, max_broadcast_bytes=limit).collect()}
+    assert got == {1: ["engineer", "test"], 2: [], 3: [], 4: [], 5: ["saw"]}
