@@ -122,21 +122,33 @@ def category_counts(df: DataFrame, col: str = "main_category", n: int = 10) -> D
 # Fixed-size batches in row order
 # ---------------------------------------------------------------------------
 
-def global_row_number(df: DataFrame, order_col: str = "seq", buckets: int = 4096,
+def quantile_range(df: DataFrame, order_col: str, buckets: int) -> Column:
+    """Number of the range that a row's value lies in: ``buckets`` ranges of
+    about equally many rows, cut at approximate quantiles (one aggregate, whose
+    sketches combine before the shuffle; at most a cut a range comes to the
+    driver).  The cuts are searched by halves."""
+    share = [i / buckets for i in range(1, buckets)] or [1.0]
+    cuts = sorted(set(df.agg(F.percentile_approx(order_col, share, 10 * buckets)).first()[0] or []))
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    kind = dict(df.dtypes)[order_col]
+    cuts = F.expr(f"cast(split('{','.join(map(str, cuts))}', ',') as array<{kind}>)")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(buckets.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get(cuts, at + step - 1) < F.col(order_col), F.lit(False)), at + step).otherwise(at)).cast("bigint")
+
+
+def global_row_number(df: DataFrame, order_col: str = "seq", buckets: int = 256,
                       rows_per_bucket: int = 1_000_000) -> DataFrame:
     """1-based position of each row in ``order_col`` order (values unique),
-    without a single-partition window and without relying on partition
-    ids: values are cut into equal-width ranges - at least ``buckets``, and
-    enough for about ``rows_per_bucket`` rows each - rows are numbered
-    inside their range (one shuffle on the range id), and per-range counts
-    (one row per range) are prefix-summed and broadcast as offsets."""
-    stats = df.select(F.struct(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"),
-                               F.count(F.lit(1)).alias("n"))).scalar()
-    n_buckets = F.greatest(F.lit(buckets).cast("bigint"), F.ceil(stats["n"] / F.lit(rows_per_bucket)))
-    width = F.greatest(F.lit(1), F.ceil((stats["hi"] - stats["lo"] + 1) / n_buckets))
-    # exact integer division (decimal, not double: seq may exceed 2^53)
-    off = (F.col(order_col) - stats["lo"]).cast("decimal(38,0)")
-    b = df.withColumn("__b", F.floor(off / width.cast("decimal(38,0)")).cast("bigint"))
+    without a single-partition window and without relying on partition ids:
+    values are cut into ranges of about equally many rows - at least
+    ``buckets``, and enough for ``rows_per_bucket`` rows each - however sparse
+    or clumped they are; rows are numbered inside their range (one shuffle on
+    the range id), and per-range counts (one row per range) are prefix-summed
+    and broadcast as offsets."""
+    n_buckets = max(buckets, -(-df.count() // rows_per_bucket))
+    b = df.withColumn("__b", quantile_range(df, order_col, n_buckets))
     local = b.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(order_col)))
     counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select("__b", F.coalesce(F.sum("__n").over(
