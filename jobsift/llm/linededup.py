@@ -212,7 +212,7 @@ def _set_batches(ranks: dict[int, int]):
 
 
 def _pair_batches(t: float, group: int):
-    """Rows sorted by (code, ord) -> candidate pairs (a, b); rows of large
+    """Rows sorted by (code, document) -> candidate pairs (a, b); rows of large
     groups that met only the earliest: (null, b)."""
     def pairs_of(code, set_, n, k, bits):
         found = []
@@ -281,9 +281,9 @@ def _prefix_batches(t: float):
             n = b.column("n").to_numpy().astype(np.int64)
             at, k, code = unpack_prefixes(b.column("words").to_pylist(), n, prefix_length(n, t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(code.view(np.int64)), *[b.column(c).take(pa.array(at)) for c in ("ord", "set", "n")],
+                [pa.array(code.view(np.int64)), *[b.column(c).take(pa.array(at)) for c in ("doc_id", "set", "n")],
                  pa.array(k.astype(np.int32)), b.column("bits").take(pa.array(at))],
-                names=["code", "ord", "set", "n", "k", "bits"])
+                names=["code", "doc_id", "set", "n", "k", "bits"])
     return run
 
 
@@ -305,10 +305,9 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
         _set_batches(ranks),
         f"doc_id {kind}, _key long, _row long, line int, set long, n int, bits long, words binary")).withColumn("ord", document_order())
     first = raw.groupBy("set").agg(F.min(F.struct("ord", "_row", "line")).alias("f"))
-    given = raw.where("words is not null").select("ord", "set", "n", "bits", "words")  # a set's words, once a chunk
-    order = dict(given.dtypes)["ord"]
-    prefix = given.mapInArrow(_prefix_batches(threshold), f"code long, ord {order}, set long, n int, k int, bits long")
-    found = materialise(prefix.repartition("code").sortWithinPartitions("code", "ord", "set")
+    given = raw.where("words is not null").select("doc_id", "set", "n", "bits", "words")  # a set's words, once a chunk
+    prefix = given.mapInArrow(_prefix_batches(threshold), f"code long, doc_id {kind}, set long, n int, k int, bits long")
+    found = materialise(prefix.repartition("code").sortWithinPartitions("code", F.asc_nulls_last("doc_id"), "set")
                         .mapInArrow(_pair_batches(threshold, group), "a long, b long, code long")
                         .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").isNull().alias("lone"),
                                 "code")
@@ -339,9 +338,9 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
         codes = materialise(found.where("lone").select("code").distinct())
         large = materialise(prefix.join(broadcast_if_small(codes, codes.count(), 24), "code"))
         left = large.join(open_.distinct(), "set")
-        right = large.select(F.col("code").alias("c2"), F.col("ord").alias("o2"), F.col("set").alias("s2"),
+        right = large.select(F.col("code").alias("c2"), F.col("doc_id").alias("d2"), F.col("set").alias("s2"),
                               F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("bits").alias("b2"))
-        cond = ((F.col("code") == F.col("c2")) & (F.col("o2") <= F.col("ord")) & (F.col("s2") != F.col("set"))
+        cond = ((F.col("code") == F.col("c2")) & (F.col("doc_id").isNull() | (F.col("d2") <= F.col("doc_id"))) & (F.col("s2") != F.col("set"))
                 & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
                 & (F.least(n - F.col("k"), m - F.col("k2")) >= need)
                 & (F.floor((n + m - F.bit_count(F.col("bits").bitwiseXOR(F.col("b2")))) / 2) >= need))
@@ -388,10 +387,9 @@ def _copy_batches(at: float):
 
 
 def lines_to_cut(docs: DataFrame, threshold: float = THRESHOLD, copy_at: float = COPY_AT) -> DataFrame:
-    """docs(doc_id, text) -> _key, cut (line numbers from 0) of the documents
-    that lose lines: those of ``removed_lines``, but a document that is a copy
-    of an earlier one as a whole, edits aside, keeps the lines that it has from
-    it.  Such a document is for a near-duplicate stage to drop; without those
+    """docs(doc_id, text) -> _row, _key, cut (line numbers from 0): those of
+    ``removed_lines``, but a document that is a copy of an earlier one as a
+    whole, edits aside, keeps the lines that it has from it.  Such a document is for a near-duplicate stage to drop; without those
     lines only its edits and its lines broken elsewhere would be left, a broken
     text that no stage knows.
 
@@ -422,7 +420,7 @@ def lines_to_cut(docs: DataFrame, threshold: float = THRESHOLD, copy_at: float =
               .mapInArrow(_copy_batches(copy_at), "_row long, source long"))
     cut = F.flatten(F.transform(F.filter("parts", lambda p: p["origin"].isNotNull() & ~p["origin"].eqNullSafe(F.col("source"))),
                                 lambda p: p["lines"]))
-    return rows.join(copies, "_row", "left").select("_row", "_key", F.sort_array(cut).alias("cut")).where(F.size("cut") > 0)
+    return rows.join(copies, "_row", "left").select("_row", "_key", F.sort_array(cut).alias("cut"))
 
 
 def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -430,9 +428,9 @@ def drop_matched_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFra
     columns of ``docs`` (``n_chars``, if there, follows).  Documents of which no
     word is left go; repeated rows are one document."""
     cols, key, cut, rest = docs.columns, *(fresh(docs, c) for c in ("_key", "_gone", "_left"))
-    docs = docs.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key])
-    gone = lines_to_cut(docs, threshold).select(F.col("_key").alias(key), F.col("cut").alias(cut))
-    keyed = docs.join(gone, key, "left")
+    gone = (lines_to_cut(docs, threshold).groupBy(F.col("_key").alias(key)).agg(F.min_by("cut", F.size("cut")).alias(cut))
+            .where(F.size(cut) > 0))
+    keyed = docs.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key]).join(gone, key, "left")
     parts = F.split(F.col("text"), "\n")
     at = F.sequence(F.lit(0), F.size(parts) - 1)
     left = F.array_join(F.transform(F.array_except(at, F.col(cut)), lambda i: F.get(parts, i)), "\n")
