@@ -1,8 +1,8 @@
 """op7: conversations as mail, each reply quoting what it answers, linked back.
 
 The table's turns hold no quotes, so the mail form is derived from them: turn
-t answers t - 1 (t - 2 for every third turn), quotes its first two lines, and
-below them, one level deeper, the first line of the turn before that.
+t answers t - 1 (t - 2 for every third turn), quotes it whole, and above that,
+one level deeper, the whole turn before it.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ def as_mail(conversations: DataFrame) -> DataFrame:
     said = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
     lines = F.split("said", "\n")
     first = said.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"),
-                        F.transform(F.slice(lines, 1, 2), lambda x: F.concat(F.lit("> "), x)).alias("q1"),
-                        F.concat(F.lit(">> "), F.get(lines, F.lit(0))).alias("q2"))
+                        F.transform(lines, lambda x: F.concat(F.lit("> "), x)).alias("q1"),
+                        F.transform(lines, lambda x: F.concat(F.lit(">> "), x)).alias("q2"))
     back = F.when(F.col("turn") % 3 == 2, 2).otherwise(1)
     reply = conversations.select("conv_id", "turn", "role", "text", (F.col("turn") - back).alias("_to"))
     one = first.select(F.col("_c").alias("_c1"), F.col("_t").alias("_t1"), "q1")
@@ -28,7 +28,7 @@ def as_mail(conversations: DataFrame) -> DataFrame:
     joined = (reply.join(one, (F.col("conv_id") == F.col("_c1")) & (F.col("_to") == F.col("_t1")), "left")
               .join(two, (F.col("conv_id") == F.col("_c2")) & (F.col("_to") - 1 == F.col("_t2")), "left"))
     return joined.select("conv_id", "turn", "role", F.concat_ws(
-        "\n", "q2", F.array_join("q1", "\n"), "text").alias("text"))
+        "\n", F.array_join("q2", "\n"), F.array_join("q1", "\n"), "text").alias("text"))
 
 
 def op7_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +39,10 @@ def op7_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH RECURSIVE said AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL),
 firsts AS (
-  SELECT conv_id, turn, list_transform(string_split(said, chr(10))[1:2], lambda x: '> ' || x) AS q1,
-         '>> ' || string_split(said, chr(10))[1] AS q2 FROM said),
+  SELECT conv_id, turn, list_transform(string_split(said, chr(10)), lambda x: '> ' || x) AS q1,
+         list_transform(string_split(said, chr(10)), lambda x: '>> ' || x) AS q2 FROM said),
 mail AS (
-  SELECT c.conv_id, c.turn, concat_ws(chr(10), b.q2, array_to_string(a.q1, chr(10)), c.text) AS text
+  SELECT c.conv_id, c.turn, concat_ws(chr(10), array_to_string(b.q2, chr(10)), array_to_string(a.q1, chr(10)), c.text) AS text
   FROM conversations c
   LEFT JOIN firsts a ON a.conv_id = c.conv_id AND a.turn = c.turn - CASE WHEN c.turn % 3 = 2 THEN 2 ELSE 1 END
   LEFT JOIN firsts b ON b.conv_id = c.conv_id AND b.turn = c.turn - CASE WHEN c.turn % 3 = 2 THEN 2 ELSE 1 END - 1),
