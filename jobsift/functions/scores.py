@@ -52,9 +52,10 @@ def dot_sql(a: str, b: str) -> str:
 
 
 def dot_unrolled_sql(a: str, b: str, dims: int) -> str:
-    """a[0]*b[0] + ... + a[dims-1]*b[dims-1] as one flat expression: no
-    lambda, so it compiles into the whole-stage code (the lambda form is
-    interpreted per element).  Same left-to-right double sum as ``dot_sql``.
+    """a[0]*b[0] + ... + a[dims-1]*b[dims-1] as one flat expression, without
+    the lambda's work per element.  (``fast_dot_sql`` keeps the lambda as its
+    branch for other widths, so the projection runs outside whole-stage code,
+    where the flat form is faster and, at 384 dimensions, compiles at all.)  Same left-to-right double sum as ``dot_sql``.
     Built as one SQL string (one call to the JVM, not one per term)."""
     return " + ".join(f"CAST(get({a}, {i}) AS DOUBLE) * CAST(get({b}, {i}) AS DOUBLE)"
                       for i in range(dims)) or "0D"
