@@ -132,10 +132,13 @@ def quantile_range(df: DataFrame, order_col: str, buckets: int) -> Column:
     if not cuts:
         return F.lit(0).cast("bigint")
     kind = dict(df.dtypes)[order_col]
-    cuts = F.expr(f"cast(split('{','.join(map(str, cuts))}', ',') as array<{kind}>)")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(buckets.bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        F.coalesce(F.get(cuts, at + step - 1) < F.col(order_col), F.lit(False)), at + step).otherwise(at)).cast("bigint")
+
+    def search(lo: int, hi: int) -> str:  # how many cuts lie under the value, as a tree of comparisons
+        if lo == hi:
+            return f"{lo}L"
+        mid = (lo + hi) // 2
+        return f"CASE WHEN `{order_col}` <= CAST('{cuts[mid]}' AS {kind}) THEN {search(lo, mid)} ELSE {search(mid + 1, hi)} END"
+    return F.expr(search(0, len(cuts)))
 
 
 def global_row_number(df: DataFrame, order_col: str = "seq", buckets: int = 256,

@@ -1,16 +1,19 @@
-"""Queries of maintained tables (live jobs, skills)."""
+"""Queries of maintained tables (live jobs, skills), of the nightly job and its counts."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from jobsift.operators.dedup import dedup_latest
 from jobsift.operators.skills import skill_pairs
+from jobsift.plans import q_text
 from jobsift.plans.catalog import register
+from jobsift.plans.nightly import run_nightly
 from jobsift.plans.q_dedup import LATEST_SQL
-from jobsift.plans.sqlkit import build, hit_list_sql
+from jobsift.plans.sqlkit import build, hit_list_sql, hits_sql
 from jobsift.session import checkpoint_path
 from jobsift.sources import sinks
 from jobsift.sources.fixtures import SKILLS_FX, jobs_fx
@@ -66,6 +69,38 @@ UNION ALL SELECT 'skills', count(*), 0, max(seq) FROM (
                  ("jobs",), (f"live AS ({LATEST_SQL.format(t='jobs')})",))
 
 
+NIGHTS = (dt.date(2024, 3, 1), dt.date(2024, 3, 2))
+
+
+def q_nightly_live(spark, sf):
+    """The nightly job over two nights, the second one run twice: captured
+    posting pages to the live table, with the pairs table's skills per url."""
+    base = checkpoint_path(spark, f"nightly_live/{uuid.uuid4().hex}")
+    pages = q_text.posting_pages(spark, sf).withColumn("capture_order", F.col("page_id"))
+    for night in (0, 1, 1):
+        paths = run_nightly(spark, pages.where(F.col("page_id") % 2 == night), None, f"{base}/table", f"{base}/export{night}",
+                            NIGHTS[night], SKILLS_FX)
+    skills = (spark.read.parquet(paths["skills"]).groupBy(F.col("url").alias("_url"))
+              .agg(F.array_sort(F.collect_set("skill")).alias("skills")))
+    rows = spark.read.parquet(paths["live"]).join(skills, F.col("url") == F.col("_url"), "left")
+    return rows.select("seq", "url", "job_title", "company_name", "num_applicants", "description_text", "search_date",
+                       F.coalesce("skills", F.array().cast("array<string>")).alias("skills"))
+
+
+def o_nightly_live():
+    fields = q_text.o_posting_fields()
+    return f"""WITH posted AS ({fields}),
+nights AS (
+  SELECT *, CASE WHEN page_id % 2 = 0 THEN DATE '{NIGHTS[0]}' ELSE DATE '{NIGHTS[1]}' END AS search_date,
+         row_number() OVER (ORDER BY page_id % 2, page_id) AS seq FROM posted),
+latest AS (SELECT * FROM nights QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1),
+live AS (
+  SELECT * FROM latest
+  QUALIFY description_text IS NULL OR row_number() OVER (PARTITION BY description_text ORDER BY seq DESC) = 1)
+SELECT seq, url, job_title, company_name, num_applicants, description_text, search_date,
+       {hits_sql('description_text', SKILLS_FX)} AS skills FROM live"""
+
+
 def o_live_skills():
     return build(f"""SELECT DISTINCT url, skill FROM (
   SELECT url, unnest({hit_list_sql('description_text', SKILLS_FX, True)}) AS skill FROM live)""",
@@ -75,3 +110,4 @@ def o_live_skills():
 register("stream_live", lambda: build(LATEST_SQL.format(t="jobs"), ("jobs",)))(q_stream_live)
 register("live_skills", o_live_skills)(q_live_skills)
 register("write_counts", o_write_counts)(q_write_counts)
+register("nightly_live", o_nightly_live)(q_nightly_live)
