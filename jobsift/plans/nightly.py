@@ -95,10 +95,11 @@ def run_nightly(spark: SparkSession, detail_responses: DataFrame, answers: DataF
 def stored_encoder(batch: DataFrame, path: str, dims: int):
     """The encoder kept at ``path``; fitted on this batch if there is none."""
     try:
+        batch.sparkSession.read.text(f"{path}/metadata")
+    except AnalysisException:  # no such folder: the first night
+        pass
+    else:
         return PipelineModel.load(path)
-    except Exception as e:
-        if "does not exist" not in str(e) and "PATH_NOT_FOUND" not in str(e):
-            raise
     model = V.fit_text_encoder(batch, "description_text", dims)
     model.write().save(path)
     return model

@@ -283,7 +283,11 @@ def ordered_text_concat(pages: DataFrame, key: str = "cv_id", order: str = "page
 @F.pandas_udf(T.BinaryType())
 def vector_to_blob(v: pd.Series) -> pd.Series:
     """array<float> -> little-endian float32 bytes (NULL stays NULL)."""
-    return v.map(lambda a: None if a is None else np.asarray(a, dtype="<f4").tobytes())
+    given = [a for a in v if a is not None]
+    data = np.concatenate(given).astype("<f4").tobytes() if given else b""  # one buffer a batch
+    ends = iter(np.cumsum([4 * len(a) for a in given]).tolist())
+    starts = iter([0, *np.cumsum([4 * len(a) for a in given]).tolist()])
+    return pd.Series([None if a is None else data[next(starts):next(ends)] for a in v], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -49,7 +49,8 @@ def write_version(df: DataFrame, base: str) -> str:
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
-    path = spark.read.parquet(f"{base.rstrip('/')}/{CURRENT}").agg(F.max_by("path", "version")).first()[0]
+    # two writers at once may take one version number: every reader then takes the same of their folders
+    path = spark.read.parquet(f"{base.rstrip('/')}/{CURRENT}").agg(F.max(F.struct("version", "path"))["path"]).first()[0]
     return spark.read.parquet(path)
 
 
