@@ -46,6 +46,7 @@ THRESHOLD = 0.8
 HEAD = 1 << 18
 TASK_COUNT = 4  # a word that a task counts less often cannot matter to the ranks
 GROUP = 256
+SKETCHED = 64  # least shingle hashes of a sketch, their upper 32 bits
 COPY_AT = 0.7  # similarity of a copy by sketches, whose error is about 0.05
 CHUNK = 1 << 20  # words handled together (whole texts)
 
@@ -304,7 +305,7 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     raw = materialise(keyed.mapInArrow(
         _set_batches(ranks),
         f"doc_id {kind}, _key long, _row long, line int, set long, n int, bits long, words binary")).withColumn("ord", document_order())
-    first = raw.groupBy("set").agg(F.min(F.struct("ord", "_row", "line")).alias("f"))
+    first = materialise(raw.groupBy("set").agg(F.min(F.struct("ord", "_row", "line")).alias("f")))  # used by each verification
     given = raw.where("words is not null").select("doc_id", "set", "n", "bits", "words")  # a set's words, once a chunk
     prefix = given.mapInArrow(_prefix_batches(threshold), f"code long, doc_id {kind}, set long, n int, k int, bits long")
     found = materialise(prefix.repartition("code").sortWithinPartitions("code", F.asc_nulls_last("doc_id"), "set")
@@ -367,13 +368,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, group: int = GR
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
     for b in batches:
-        found = [np.array(sketch(b"", (t or "").encode(), hashes), np.int64).tobytes() for t in b.column("text").to_pylist()]
+        found = [(np.array(sketch(b"", (t or "").encode(), hashes)[:SKETCHED], np.int64) >> 31).astype(np.uint32).tobytes()
+                 for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(found, pa.binary())], names=["_key", "sketch"])
 
 
 def sketch_similarity(x: bytes, y: bytes) -> float:
     """Jaccard similarity of two shingle sets by their least hashes."""
-    a, b = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
     least = np.union1d(a, b)[:min(len(a), len(b))]
     return float(np.isin(least, np.intersect1d(a, b)).mean()) if len(least) else 0.0
 
