@@ -75,3 +75,18 @@ def test_ties_of_a_block_keep_the_first_k():
     assert B.best_of(raw, float("-inf"), 2).tolist() == [1, 2, 5]
     assert B.best_of(raw, 8.0, 2).tolist() == []
     assert B.best_of(np.zeros(0), 0.0, 2).tolist() == []
+
+
+def test_many_pairs_go_by_blocks(spark, monkeypatch):
+    """Also with both sides small; repeated and null ids and vectors with a NULL element come out as pair by pair."""
+    v = [0.5, -0.25, 1.0]
+    jobs = [job(i // 2 if i % 9 else None, f"u{i % 7}", ["IT", "HR"][i % 2], "x", "junior", [v, [None, 1.0, 2.0], None][i % 3], ["a", "b"][:i % 3])
+            for i in range(30)]
+    cvs = [(i // 2 if i else None, ["IT", "Other"][i % 2], "x", "junior", [v, [1.0, None, 0.5], [2.0, 1.0, 0.0]][i % 3], ["a"]) for i in range(8)]
+    cvs, jobs = spark.createDataFrame(cvs, CV), spark.createDataFrame(jobs, JOB)
+    want = view(M.match_topk(cvs, jobs, ["a", "b"], 200))
+    monkeypatch.setattr(M, "MAX_PAIRS", 10)
+    called = []
+    blocks = B.match_topk
+    monkeypatch.setattr(B, "match_topk", lambda *a: called.append(1) or blocks(*a))
+    assert view(M.match_topk(cvs, jobs, ["a", "b"], 200)) == want and called and len(want) > 100
