@@ -1,53 +1,47 @@
 """Skill overlap of CVs and jobs by an inverted index, for any dictionary.
 
-The mask form (``match.score_pairs``) looks at every pair of a category.  Here
-skills are rows, and a pair exists only if it can reach ``min_score`` percent
-of the job's required skills.  Of a job with ``r`` skills a CV must hold
-``need = ceil(min_score r / 100)``, so it holds one of any ``r - need + 1`` of
-them: the job is indexed by its rarest ones (prefix filter), rarity being the
-number of CVs that have a skill.  Candidates are verified on the whole skill
-sets.
+The mask form (``match.score_pairs``) looks at every pair of a category, with a
+plan of the dictionary's size.  Here skills are rows.  Both sides are dealt to
+blocks of one category (``blockmatch``), each with its index: skill -> rows.  A
+pair of blocks is one unit of an Arrow task: the postings of the skills that
+both have are counted (those of frequent skills by a matrix product), and only
+pairs that reach ``min_score`` percent of the job's required skills leave it.
+Sets of skills stay in their blocks; no candidate carries them.
 
-Hot skills: the index rows of a (category, skill) are dealt to parts of about
-``HOT`` jobs, and the CVs that have the skill go to each part.  Bypass CVs see
-all jobs: a second pass with one category for both sides, made only if there
-are any.
+Hot skills and categories only mean more blocks, of about ``HOT`` jobs.  Bypass
+CVs are blocks of their own that meet all jobs.
 
 Defined cases: jobs without skills never reach a score above 0; a CV without
-skills has no pairs; NULL categories match only bypass CVs; skill arrays count
-as sets of lower-case names.
+skills has no pairs; NULL categories match only bypass CVs; rows without an id
+have no pairs; skill arrays count as sets of lower-case names.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsift import dictionaries as D
 from jobsift.functions import scores as S
+from jobsift.operators import blockmatch as B
 from jobsift.operators.match import skill_names
 from jobsift.sources.sinks import scratch_table
 
-HOT = 10_000  # index rows of a skill that one part holds
+HOT = 4096      # jobs of a block, on average at most
+CV_BLOCK = 256  # CVs of a block
+OVERLAP_CELLS = 8  # pairs of blocks a task counts
 
 
-def _candidates(cvs: DataFrame, jobs: DataFrame, min_score: int) -> DataFrame:
-    """cvs(cv_id, key, names), jobs(seq, key, names) -> distinct cv_id, seq that can reach the score."""
-    rows = cvs.select("cv_id", "key", F.explode("names").alias("skill"))
-    held = rows.groupBy("key", "skill").agg(F.count(F.lit(1)).alias("held"))
-    r = F.size("names")
-    need = F.floor((F.lit(min_score) * r + 99) / 100).cast("int")
-    rare = (jobs.select("seq", "key", (r - need + 1).alias("length"), F.explode("names").alias("skill"))
-            .join(held, ["key", "skill"], "left").groupBy("seq", "key", "length")
-            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "skill"))).alias("order")))
-    index = (rare.select("seq", "key", F.explode(F.slice("order", F.lit(1), F.col("length"))).alias("x"))
-             .where("x.held > 0").select("seq", "key", "x.skill"))
-    parts = (index.groupBy("key", "skill").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).where("parts > 1"))
-    split = lambda df: df.join(parts, ["key", "skill"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    index = split(index).withColumn("part", F.pmod(F.xxhash64("seq"), "parts").cast("int"))
-    rows = split(rows).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return (rows.select("cv_id", "key", "skill", "part").join(index.select("seq", "key", "skill", "part"), ["key", "skill", "part"])
-            .select("cv_id", "seq").distinct())
+def _pair_batches(min_score: int):
+    def work(column, cv, job, cat, sen):
+        matched = B.overlap(cv, job)
+        i, j = np.nonzero(matched * 100 >= min_score * job.size.astype(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [column("cv_id").take(pa.array(i)), column("seq", True).take(pa.array(j)), pa.array(matched[i, j], pa.int32()),
+             pa.array(job.size[j], pa.int32())], names=["cv_id", "seq", "n_matched", "n_required"])
+    return lambda batches: B.each_cell(batches, work)
 
 
 def overlap_pairs(cvs: DataFrame, jobs: DataFrame, min_score: int = 80, bypass: bool = True) -> DataFrame:
@@ -56,15 +50,15 @@ def overlap_pairs(cvs: DataFrame, jobs: DataFrame, min_score: int = 80, bypass:
     whose skill score is ``min_score`` (1 to 100) or more."""
     if not 1 <= min_score <= 100:
         raise ValueError("min_score must be 1 to 100")
-    names = skill_names(F.col("skills")).alias("names")
+    names = F.array_sort(skill_names(F.col("skills"))).alias("names")
     star = F.coalesce((F.col("main_category") == D.BYPASS_CATEGORY) & F.lit(bypass), F.lit(False))
-    c = scratch_table(cvs.select("cv_id", F.col("main_category").alias("key"), star.alias("star"), names).where("size(names) > 0"), "overlap")
-    j = scratch_table(jobs.select("seq", F.col("main_category").alias("key"), names).where("size(names) > 0"), "overlap")
-    met = _candidates(c.where("not star").drop("star"), j, min_score)
-    if c.where("star").limit(1).count():
-        one = lambda df: df.withColumn("key", F.lit("*"))
-        met = met.unionByName(_candidates(one(c.where("star").drop("star")), one(j), min_score))
-    both = (met.join(c.select("cv_id", F.col("names").alias("cv_names")), "cv_id").join(j.select("seq", "names"), "seq")
-            .select("cv_id", "seq", F.size(F.array_intersect("names", "cv_names")).alias("n_matched"), F.size("names").alias("n_required")))
-    return both.where(F.col("n_matched") * 100 >= F.lit(min_score) * F.col("n_required")).select(
-        "*", F.round(S.skill_score(F.col("n_matched"), F.col("n_required")), 1).alias("score_skills"))
+    held = "size(names) > 0"
+    c = scratch_table(cvs.select("cv_id", F.col("main_category").alias("main"), star.alias("star"), names)
+                      .where(held).where("cv_id is not null"), "overlap")
+    j = scratch_table(jobs.select("seq", F.col("main_category").alias("main"), names).where(held).where("seq is not null"), "overlap")
+    cvb = scratch_table(B.skill_blocks(c, ["star", "main"], CV_BLOCK, ["cv_id"], "cb"), "overlap")
+    jobb = scratch_table(B.skill_blocks(j, ["main"], HOT, ["seq"], "jb"), "overlap")
+    met = B._met_blocks(scratch_table(B.category_cells(cvb, jobb), "overlap"), cvb, jobb, ["cv_id"], ["seq"], OVERLAP_CELLS)
+    kind = {n: dict(t.dtypes)[n] for t, n in ((c, "cv_id"), (j, "seq"))}
+    found = met.mapInArrow(_pair_batches(min_score), f"cv_id {kind['cv_id']}, seq {kind['seq']}, n_matched int, n_required int")
+    return found.select("*", F.round(S.skill_score(F.col("n_matched"), F.col("n_required")), 1).alias("score_skills"))

@@ -98,3 +98,14 @@ def test_lemmas_of_a_table(spark, limit):
     stop = spark.createDataFrame([("the",), ("bat",), (None,)], "word string")
     got = {r.k: list(r.keywords) for r in TT.lemma_keywords(df, "k", "text", lemmas, stop, max_broadcast_bytes=limit).collect()}
     assert got == {1: ["engineer", "test"], 2: [], 3: [], 4: [], 5: ["saw"]}
+
+
+def test_overlap_keeps_skill_sets_in_their_blocks(spark):
+    """No exchange of a pair carries a set of skills: pairs are counted inside the blocks."""
+    names = [f"s{i}" for i in range(40)]
+    cvs = spark.createDataFrame([(i, "IT", names[i % 5:]) for i in range(30)], "cv_id long, main_category string, skills array<string>")
+    jobs = spark.createDataFrame([(i, "IT", names[i % 7:i % 7 + 6]) for i in range(50)], "seq long, main_category string, skills array<string>")
+    got = OV.overlap_pairs(cvs, jobs, 60)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and got.count() == sum(
+        10 * len(set(names[a:]) & set(names[b:b + 6])) >= 36 for a in [i % 5 for i in range(30)] for b in [i % 7 for i in range(50)])
