@@ -20,17 +20,21 @@ from jobsift.sources.fixtures import SKILLS_FX, jobs_fx
 from jobsift.streaming import ingest, live
 
 
+DAY_FILES = 4  # parts of a day in the source folder, at most
+
+
 def q_stream_live(spark, sf):
     """Daily files through the stream, the days in an order that makes half of
     the rows late, three days delivered twice; then the live table."""
     base = checkpoint_path(spark, f"stream_live/{uuid.uuid4().hex}")
     jobs = jobs_fx(spark, sf)
-    days = jobs.repartition("search_date").write.partitionBy("search_date")
+    by = ["search_date", F.pmod(F.xxhash64("seq"), F.lit(DAY_FILES))]
+    days = jobs.repartition(30 * DAY_FILES, *by).write.partitionBy("search_date")
     days.mode("overwrite").parquet(f"{base}/source")
-    again = jobs.where(F.dayofmonth("search_date").isin(2, 3, 29)).coalesce(1)
+    again = jobs.where(F.dayofmonth("search_date").isin(2, 3, 29)).repartition(3 * DAY_FILES, *by)
     again.write.mode("append").partitionBy("search_date").parquet(f"{base}/source")
     live.run_stream(spark, f"{base}/source", ingest.stream_schema(jobs), f"{base}/table", f"{base}/checkpoint", SKILLS_FX,
-                    max_files_per_trigger=12, compact_every=2)
+                    max_files_per_trigger=12 * DAY_FILES, compact_every=2)
     return live.live_jobs(spark, f"{base}/table").select(*jobs.columns)
 
 

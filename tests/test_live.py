@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from jobsift.operators.dedup import dedup_latest
 from jobsift.operators.skills import skill_pairs
 from jobsift.streaming import live
@@ -51,3 +53,19 @@ def test_hidden_row_comes_back(spark, tmp_path):
     log = spark.read.schema(live.PAIRS + ", epoch int").parquet(f"{base}/skills")
     assert log.where("epoch = 3").count() == 0 and log.where("epoch = 1").count() == 4  # only what moved is written
     assert rows(live.read_skills(spark, base)) == [("a", "spark"), ("a", "sql"), ("b", "Java"), ("b", "java")]
+
+
+def test_no_task_of_the_stream_source_reads_all_days(spark, monkeypatch):
+    """The files of the stream, of days delivered twice too, come from several tasks."""
+    from conftest import SMOKE
+    from jobsift.plans import q_live
+    parts = []
+
+    def run(spark, source, *a, **kw):
+        files = spark.read.parquet(source).select("search_date", F.input_file_name().alias("f")).distinct()
+        parts.append(files.groupBy("search_date").count().agg(F.max("count")).first()[0])
+        raise StopIteration
+    monkeypatch.setattr(q_live.live, "run_stream", run)
+    with pytest.raises(StopIteration):
+        q_live.q_stream_live(spark, SMOKE)
+    assert parts[0] > 3  # one file a day and one of the second delivery before
