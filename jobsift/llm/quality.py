@@ -157,10 +157,12 @@ def boilerplate(base: DataFrame, max_docs: int, min_own: float) -> DataFrame:
     held = materialise(held.join(base.select("_row", "sketch"), "_row"))
     shingle = held.select("_row", F.explode("sketch").alias("s"))
     shared = shingle.groupBy("s").agg(count).where(F.col("n") > max_docs).select("s")
-    common = shingle.join(shared, "s").groupBy("_row").agg(F.count(F.lit(1)).alias("common"))
-    own = F.size("sketch") - F.coalesce("common", F.lit(0))
+    # a shingle meets its mark once at most: as many rows as shingles, whatever they share
+    mine = shingle.join(shared.withColumn("shared", F.lit(True)), "s", "left").groupBy("_row").agg(
+        F.count_if(F.col("shared").isNull()).alias("mine"))
+    own = F.coalesce("mine", F.lit(0))
     who = F.when(own >= min_own * F.size("sketch"), F.col("content")).otherwise(F.col("least"))
-    return (held.join(common, "_row", "left").select(F.explode("held").alias("line"), who.alias("who")).distinct()
+    return (held.join(mine, "_row", "left").select(F.explode("held").alias("line"), who.alias("who")).distinct()
             .groupBy("line").agg(count).where(F.col("n") > max_docs).select("line"))
 
 

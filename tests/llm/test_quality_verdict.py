@@ -87,3 +87,15 @@ def test_groups_of_copies_stay(spark):
     got = quality.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert all(r.kept for r in got)
     assert all(r.removed_words == (10 if r.doc_id >= 2000 else 0) for r in got)
+
+
+def test_shared_shingles_are_marked_not_joined(spark):
+    """The shingles of documents stay as many rows as they are, whatever part of them is shared."""
+    rows = [(i, i, [1, 2 + i % 3], list(range(100)) + [1000 + i] * (i % 2)) for i in range(50)]
+    base = spark.createDataFrame(rows, "_row long, content long, lines array<long>, sketch array<long>")
+    got = quality.boilerplate(base, 30, 0.2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (s#" not in plan and "Join LeftOuter, (s#" in plan
+    assert got.collect() == []  # one group of copies counts as its least line
+    own = [(i, i, [1, 2 + i % 3], [10_000 + 100 * i + x for x in range(100)]) for i in range(50)]
+    assert [r.line for r in quality.boilerplate(spark.createDataFrame(own, base.schema), 30, 0.2).collect()] == [1]
