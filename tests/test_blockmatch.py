@@ -90,3 +90,10 @@ def test_many_pairs_go_by_blocks(spark, monkeypatch):
     blocks = B.match_topk
     monkeypatch.setattr(B, "match_topk", lambda *a: called.append(1) or blocks(*a))
     assert view(M.match_topk(cvs, jobs, ["a", "b"], 200)) == want and called and len(want) > 100
+
+
+def test_repeated_ids_take_the_skills_of_each_of_their_rows(spark):
+    """``match_topk`` of this module joins skills by id: two rows of a CV give each result twice."""
+    jobs = spark.createDataFrame([job(1, "u1", "IT", "x", "junior", [1.0], ["a", "b"])], JOB)
+    cvs = spark.createDataFrame([(1, "IT", "x", "junior", [1.0], ["a"])] * 2, CV)
+    assert B.match_topk(cvs, jobs, 5).count() == 4 and M.match_topk(cvs, jobs, ["a", "b"], 5).count() == 2
