@@ -18,7 +18,9 @@ line number).
    rows (prefix word, set) are grouped by word; pairs must pass the length
    filter, the positional filter (words left behind the shared one) and a
    64-bit bitmap bound on the overlap, none of which loses a match.
-4. What is left is verified by exact Jaccard on the whole sets.
+4. What is left is compared by bitmaps that grow with the sets (``BITS`` a
+   word at least), the same bound without loss; the words go only with the
+   pairs that pass, which are verified by exact Jaccard on the whole sets.
 
 A set needs one earlier match, not all: in a group of more than
 ``GROUP`` sets (many variants of one line) every set first meets the group's
@@ -29,8 +31,10 @@ are later documents (all their lines match); ties in order (equal doc_ids) are
 broken by the row; an empty table gives an empty result.
 """
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,7 @@ THRESHOLD = 0.8
 HEAD = 1 << 18
 TASK_COUNT = 4  # a word that a task counts less often cannot matter to the ranks
 GROUP = 256
+BITS = 4  # bits a word in the bitmaps of the second comparison
 SKETCHED = 64  # least shingle hashes of a sketch, their upper 32 bits
 COPY_AT = 0.7  # similarity of a copy by sketches, whose error is about 0.05
 CHUNK = 1 << 20  # words handled together (whole texts)
@@ -141,32 +146,43 @@ def shared_words(x: bytes, y: bytes, n: int, m: int) -> int:
     return int((both[1:] == both[:-1]).sum() + (ranks[1:] == ranks[:-1]).sum())
 
 
-def line_codes(lines: list[list[bytes]], cache: dict[bytes, int], ranks: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+class Codes(dict):
+    """Word -> its number in the order of first sight; ``codes`` by number."""
+
+    def __init__(self, ranks: dict[int, int]):
+        super().__init__()
+        self.ranks, self.codes = ranks, array("Q")
+
+    def __missing__(self, w: bytes) -> int:
+        h = _hash(w)
+        at = self.ranks.get(h)
+        self[w] = number = len(self.codes)
+        self.codes.append(h if at is None else (1 << 63) + at)
+        return number
+
+
+def line_codes(lines: list[list[bytes]], cache: Codes) -> tuple[np.ndarray, np.ndarray]:
     """(words of each line, codes): the distinct words of every line, rare first."""
-    flat = [w for line in lines for w in line]
-    distinct = list(set(flat))
-    for w in distinct:
-        if w not in cache:
-            h = _hash(w)
-            at = ranks.get(h)
-            cache[w] = h if at is None else (1 << 63) + at
-    code = np.fromiter(map(cache.__getitem__, distinct), np.uint64, len(distinct))
-    order = np.argsort(code)
-    rank = np.empty(len(code), np.int64)
-    rank[order] = np.arange(len(code))
-    index = dict(zip(distinct, rank.tolist(), strict=True))
-    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
-    both = (line << 32) | np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+    size = np.array([len(x) for x in lines], np.int64)
+    numbers = np.fromiter(map(cache.__getitem__, chain.from_iterable(lines)), np.int64, size.sum())
+    of = np.array(cache.codes, np.uint64)
+    here = np.zeros(len(of), bool)
+    here[numbers] = True
+    distinct = np.flatnonzero(here)
+    code = np.sort(of[distinct])
+    rank = np.empty(len(of), np.int64)
+    rank[distinct[np.argsort(of[distinct])]] = np.arange(len(code))
+    both = (np.repeat(np.arange(len(lines)), size) << 32) | rank[numbers]
     both.sort()
     both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-    return np.bincount(both >> 32, minlength=len(lines)), code[order][both & 0xFFFFFFFF]
+    return np.bincount(both >> 32, minlength=len(lines)), code[both & 0xFFFFFFFF]
 
 
 def _set_batches(ranks: dict[int, int]):
     names = ["doc_id", "_key", "_row", "line", "set", "n", "bits", "words"]
 
     def out(b, rows, lines, words, cache):
-        n, code = line_codes(words, cache, ranks)
+        n, code = line_codes(words, cache)
         take = n >= MIN_TOKENS
         code, n = code[np.repeat(take, n)], n[take]
         rows, lines = np.array(rows, np.int64)[take], np.array(lines, np.int64)[take]
@@ -191,7 +207,7 @@ def _set_batches(ranks: dict[int, int]):
              pa.array(packed, pa.binary())], names=names)
 
     def run(batches):
-        cache: dict[bytes, int] = {}
+        cache = Codes(ranks)
         for b in batches:
             rows, lines, words, size = [], [], [], 0
             for r, text in enumerate(b.column("text").to_pylist()):
@@ -206,7 +222,7 @@ def _set_batches(ranks: dict[int, int]):
                     yield out(b, rows, lines, words, cache)
                     rows, lines, words, size = [], [], [], 0
                     if len(cache) > 1_000_000:
-                        cache.clear()
+                        cache = Codes(ranks)
             if rows:
                 yield out(b, rows, lines, words, cache)
     return run
@@ -262,6 +278,50 @@ def _pair_batches(t: float, group: int):
     return run
 
 
+def bitmaps(words: list[bytes], n: np.ndarray) -> list[bytes]:
+    """A bitmap of each packed set, of a power of two of bits (64 at least)."""
+    out, n = [], np.asarray(n, np.int64)
+    cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n) // CHUNK)) + 1, len(n)] if len(n) else [0]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        at, _, code = unpack_prefixes(words[i:j], n[i:j], n[i:j])
+        size = 1 << np.maximum(6, np.ceil(np.log2(BITS * n[i:j])).astype(np.int64))
+        ends = np.cumsum(size)
+        mixed = (code ^ (code >> np.uint64(31))) * _ODD
+        place = ((mixed ^ (mixed >> np.uint64(32))) & (size[at] - 1).astype(np.uint64)).astype(np.int64)
+        bits = np.zeros(ends[-1], bool)
+        bits[(ends - size)[at] + place] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        out += [packed[a:b] for a, b in zip(((ends - size) // 8).tolist(), (ends // 8).tolist(), strict=True)]
+    return out
+
+
+def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """Words that sets of n and m words share at most, by their bitmaps."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    size = 8 * len(x)
+    while size > 8 * len(y):  # the larger one's halves on each other
+        size //= 2
+        a = (a >> size) | (a & ((1 << size) - 1))
+    return (n + m - (a ^ b).bit_count()) // 2
+
+
+def _bitmap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = bitmaps(b.column("words").to_pylist(), b.column("n").to_numpy())
+        yield b.append_column("map", pa.array(found, pa.binary()))
+
+
+def _near_batches(t: float):
+    def run(batches):
+        for b in batches:
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            most = [most_shared(*p) for p in zip(*(b.column(c).to_pylist() for c in ("ma", "mb")), n.tolist(), m.tolist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(np.array(most, np.int64) >= least_overlap(n, m, t)))
+    return run
+
+
 def _verify_batches(t: float):
     def run(batches):
         for batch in batches:
@@ -320,7 +380,11 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
         pairs = materialise(pairs)
         wanted = materialise(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
         words = given.select("set", "n", "words").join(broadcast_if_small(wanted, wanted.count(), 24, 16 << 20), "set")
-        words = materialise(words.dropDuplicates(["set"]).join(first, "set"))
+        words = words.dropDuplicates(["set"])
+        words = materialise(words.mapInArrow(_bitmap_batches, "set long, n int, words binary, map binary").join(first, "set"))
+        ma, mb = (words.select(F.col("set").alias(x), F.col("map").alias(f"m{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        pairs = materialise(pairs.join(ma, "a").join(mb, "b").select("a", "b", "ma", "mb", "na", "nb")
+                            .mapInArrow(_near_batches(threshold), "a long, b long"))
         wa, wb = (words.select(F.col("set").alias(x), F.col("words").alias(f"w{x}"), F.col("n").alias(f"n{x}"),
                                F.struct("f.ord", "f._row", F.col("set").alias("s")).alias(f"f{x}")) for x in "ab")
         ok = pairs.join(wa, "a").join(wb, "b").select(
