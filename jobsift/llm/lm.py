@@ -26,6 +26,7 @@ for the fold; an empty table gives an empty result.
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -137,7 +138,7 @@ class LogBilinear:
 
 def _add_rows(target: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and their summed gradients."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if len(target) <= 1 << 16 else at, kind="stable")  # 16 bits: a radix sort
     keys = at[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.add.reduceat(rows[order], first, axis=0)
@@ -147,17 +148,18 @@ def nce_train(m: LogBilinear, h1: np.ndarray, h2: np.ndarray, w: np.ndarray, acc
     """One minibatch of noise-contrastive estimation, AdaGrad steps."""
     k = NOISE
     noise = rng.choice(len(m.q), k, p=m.q)
-    q = m.hidden(h1, h2)
+    r1, r2, ow, on = m.r[h1], m.r[h2], m.o[w], m.o[noise]
+    q = r1 * m.c[0] + r2 * m.c[1]
     log_kq = np.log(k * m.q)
-    true = np.einsum("ij,ij->i", q, m.o[w]) + m.b[w] - log_kq[w]
-    false = q @ m.o[noise].T + m.b[noise] - log_kq[noise]
+    true = np.einsum("ij,ij->i", q, ow) + m.b[w] - log_kq[w]
+    false = q @ on.T + m.b[noise] - log_kq[noise]
     g_true = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)
     g_false = (-1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
-    dq = g_true[:, None] * m.o[w] + g_false @ m.o[noise]
+    dq = g_true[:, None] * ow + g_false @ on
     at, go = _add_rows(m.o, np.r_[w, noise], np.r_[g_true[:, None] * q, g_false.T @ q])
     _, gb = _add_rows(m.b, np.r_[w, noise], np.r_[g_true, g_false.sum(axis=0)][:, None])
     ar, gr = _add_rows(m.r, np.r_[h1, h2], np.r_[dq * m.c[0], dq * m.c[1]])
-    gc = np.stack([(dq * m.r[h1]).sum(axis=0), (dq * m.r[h2]).sum(axis=0)])
+    gc = np.stack([(dq * r1).sum(axis=0), (dq * r2).sum(axis=0)])
     for name, rows, g in (("o", at, go), ("b", at, gb[:, 0]), ("r", ar, gr), ("c", slice(None), gc)):
         p, a = getattr(m, name), acc[name]
         a[rows] += g * g
@@ -176,14 +178,14 @@ def _contexts(ids: np.ndarray, starts: np.ndarray, begin: int) -> tuple[np.ndarr
     return h1, h2
 
 
-def _id_chunks(texts, ids: dict[bytes, int], other: int, size: int):
-    """Ids of whole texts, concatenated to chunks of about ``size`` tokens;
-    a long text is its own chunk."""
+def _chunks(texts, size: int):
+    """Ids of whole texts, concatenated to chunks of about ``size`` tokens, and
+    their starts; a long text is its own chunk."""
     parts, starts, n = [], [], 0
-    for words in map(tokens, texts):
-        parts.append(np.fromiter((ids.get(w, other) for w in words), np.int64, len(words)))
+    for ids in texts:
+        parts.append(ids)
         starts.append(n)
-        n += len(words)
+        n += len(ids)
         if n >= size:
             yield np.concatenate(parts), np.array(starts)
             parts, starts, n = [], [], 0
@@ -191,6 +193,11 @@ def _id_chunks(texts, ids: dict[bytes, int], other: int, size: int):
         yield np.concatenate(parts), np.array(starts)
 
 
+def _id_chunks(texts, ids: dict[bytes, int], other: int, size: int):
+    """``_chunks`` of the texts' class ids."""
+    return _chunks((np.fromiter(map(ids.get, ws, repeat(other)), np.int64, len(ws)) for ws in map(tokens, texts)), size)
+
+
 def train(docs: DataFrame, head: list[tuple[bytes, int]], total: int) -> LogBilinear:
     """docs(text): all training texts -> the tasks' models, averaged."""
     words = head[:CLASSES - 1]
@@ -255,21 +262,27 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = {n: [] for n in ("n_tokens", "n_head", "base", "model", "n_other", "tail", "tf")}
-            texts, scores = b.column("text").to_pylist(), []
-            for i in range(len(texts)):
-                ws = tokens(texts[i])
-                ids = np.fromiter((at.get(w, -1) for w in ws), np.int64, len(ws))
-                tail = Counter(w for w, k in zip(ws, ids, strict=True) if k < 0) if (ids < 0).any() else {}
-                known = ids[ids >= 0]
-                rows["n_tokens"].append(len(ws))
-                rows["n_head"].append(len(known))
-                rows["base"].append(log_c[known].sum())
-                rows["model"].append(log_c[known[known >= other]].sum())  # the class's share, without its sum
-                rows["n_other"].append(int((ids >= other).sum() + (ids < 0).sum()))
-                rows["tail"].append([word_hash(w) for w in tail])
-                rows["tf"].append(list(tail.values()))
-            class_of = {w: i for i, (w, _) in enumerate(words)}
-            for chunk, starts in _id_chunks(texts, class_of, other, CHUNK):
+            scores = []
+
+            def classes(texts):
+                """Class ids of each text: its tokens are looked up once, for the rows and the model."""
+                for text in texts:
+                    ws = tokens(text)
+                    ids = np.fromiter(map(at.get, ws, repeat(-1)), np.int64, len(ws))
+                    rare = np.flatnonzero(ids < 0).tolist()
+                    tail = Counter(ws[k] for k in rare)
+                    known = ids[ids >= 0] if rare else ids
+                    outside = known[known >= other]
+                    rows["n_tokens"].append(len(ws))
+                    rows["n_head"].append(len(known))
+                    rows["base"].append(log_c[known].sum())
+                    rows["model"].append(log_c[outside].sum())  # the class's share, without its sum
+                    rows["n_other"].append(len(outside) + len(rare))
+                    rows["tail"].append([word_hash(w) for w in tail])
+                    rows["tf"].append(list(tail.values()))
+                    yield np.where((ids < 0) | (ids > other), other, ids)  # the head's first words are the classes
+
+            for chunk, starts in _chunks(classes(b.column("text").to_pylist()), CHUNK):
                 h1, h2 = _contexts(chunk, starts, other + 1)
                 scores.append(np.add.reduceat(model.log_probs(h1, h2, chunk), starts) / np.log(10))
             score = np.concatenate(scores) if scores else np.zeros(0)
