@@ -7,8 +7,9 @@ characters; an entry hits where it equals a window of whole runs, so the text's
 distinct windows, of the run counts that the dictionary has, are joined to the
 entries by equality.  Entries that begin or end with other characters (``c++``)
 follow ``\\b``, too: such an edge must have a word run beside it.  The entries
-are broadcast if their counted size is under the bound; beyond it the join is
-dealt by window, and AQE splits hot ones.
+are broadcast if their counted size is under the bound; beyond it a broadcast
+bitmap of their hashes drops the windows that no entry equals, the join of the
+others is dealt by window, and AQE splits hot ones.
 
 Defined cases: NULL and empty texts have no hits; NULL and empty entries are
 left out; entries that differ by case only are hits of their own.
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 
 from jobsift import dictionaries as D
 from jobsift.functions.terms import RUN_PATTERN
+from jobsift.sources.sinks import scratch_table
 
 MAX_BROADCAST_BYTES = 64 << 20
+ENTRY_BITS = 16    # bits of the bitmap for each entry: about one in 17 other windows passes
+MAX_BITS = 1 << 28  # 32 MB; beyond 16 million entries more of the others pass
+BLOCK_BITS = 15     # a row of the bitmap has 2^15 bits
 
 
 def entry_table(terms: DataFrame) -> DataFrame:
@@ -58,15 +63,39 @@ def windows(text: Column, shapes: list[tuple[int, bool]]) -> Column:
     return F.get(F.transform(F.array(runs), body), 0)
 
 
+def possible(cand: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows of ``cand`` whose ``gram`` may be one of ``entries``: all that
+    are, and a few others (the join that follows is exact)."""
+    bits, wanted = 1 << BLOCK_BITS, min(ENTRY_BITS * entries.count(), MAX_BITS)
+    while bits < wanted:
+        bits *= 2
+    place = F.xxhash64("gram").bitwiseAND(F.lit(bits - 1))
+    block = lambda p: F.shiftright(p, BLOCK_BITS)
+    word = lambda p: F.shiftright(p, 6).bitwiseAND((1 << BLOCK_BITS - 6) - 1).cast("int")
+    marks = entries.select(place.alias("p")).select(block("p").alias("block"), word("p").alias("word"),
+                                                    F.expr("shiftleft(1L, cast(p & 63 as int))").alias("mask"))
+    empty = entries.sparkSession.range(bits // 64).select((F.col("id") * 64).alias("p")).select(
+        block("p").alias("block"), word("p").alias("word"), F.lit(0).cast("long").alias("mask"))
+    rows = marks.union(empty).groupBy("block", "word").agg(F.bit_or("mask").alias("mask"))
+    rows = rows.groupBy(F.col("block").alias("__block")).agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("__words"))
+    rows = rows.select("__block", F.transform("__words", lambda x: x["mask"]).alias("__words"))
+    there = F.getbit(F.get("__words", word("__at")), F.col("__at").bitwiseAND(63).cast("int")) == 1
+    return (cand.withColumn("__at", place).join(F.broadcast(rows), block("__at") == F.col("__block"))
+            .where(there).select(*cand.columns))
+
+
 def hit_rows(df: DataFrame, key_cols: list[str], text_col: str, terms: DataFrame,
              max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """key_cols + entry (as written): one row per input row and entry that it holds."""
     entries = entry_table(terms)
     shapes = sorted(tuple(r) for r in entries.select("n", "word_first").distinct().collect())  # run counts, not entries
     table = entries.select("gram", "entry")
+    cand = df.select(*key_cols, F.explode(windows(F.col(text_col), shapes)).alias("gram"))
     if small(table, "gram", "entry", limit=max_broadcast_bytes):
         table = F.broadcast(table)
-    cand = df.select(*key_cols, F.explode(windows(F.col(text_col), shapes)).alias("gram"))
+    else:
+        table = scratch_table(table, "entries")  # counted, marked and joined
+        cand = possible(cand, table)
     return cand.join(table, "gram").select(*key_cols, "entry")
 
 
@@ -132,11 +161,13 @@ def category_keywords(df: DataFrame, id_col: str, title_col: str, text_col: str,
     subs = F.broadcast(spark.createDataFrame([(*ms, i) for ms, i in sub_place.items()], "main string, sub string, _s int"))
     order = F.coalesce("_m", F.lit(999)) * 1000 + F.when(F.col("sub").isNull(), 0).otherwise(F.coalesce("_s", F.lit(999)))
     table = keys.join(mains, "main", "left").join(subs, ["main", "sub"], "left").select("gram", "main", "sub", order.alias("order"))
-    if small(table, "gram", "main", "sub", limit=max_broadcast_bytes):
-        table = F.broadcast(table)
+    near = small(table, "gram", "main", "sub", limit=max_broadcast_bytes)
+    if not near:
+        table = scratch_table(table, "keywords")
     weighed = F.concat(*[F.transform(windows(F.col(c), shapes), lambda g: F.struct(g.alias("gram"), F.lit(w).alias("w")))  # noqa: B023
                          for c, w in ((title_col, title_weight), (text_col, text_weight))])
-    hits = df.select(id_col, F.explode(weighed).alias("x")).select(id_col, "x.gram", "x.w").join(table, "gram")
+    cand = df.select(id_col, F.explode(weighed).alias("x")).select(id_col, "x.gram", "x.w")
+    hits = cand.join(F.broadcast(table), "gram") if near else possible(cand, table).join(table, "gram")
     scope = hits.groupBy(id_col, "main", "sub", "order").agg(F.sum("w").alias("own"))
     # a sub adds its main's own weight
     of_main = F.coalesce(F.max(F.when(F.col("sub").isNull(), F.col("own"))).over(Window.partitionBy(id_col, "main")), F.lit(0))
