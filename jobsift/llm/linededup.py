@@ -31,10 +31,7 @@ are later documents (all their lines match); ties in order (equal doc_ids) are
 broken by the row; an empty table gives an empty result.
 """
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,32 +47,91 @@ THRESHOLD = 0.8
 HEAD = 1 << 18
 TASK_COUNT = 4  # a word that a task counts less often cannot matter to the ranks
 GROUP = 256
-BITS = 4  # bits a word in the bitmaps of the second comparison
+LISTED = 1 << 16  # codes of large groups, up to which each task holds them
+BITS = 2  # bits a word in the bitmaps of the second comparison
 SKETCHED = 64  # least shingle hashes of a sketch, their upper 32 bits
 COPY_AT = 0.7  # similarity of a copy by sketches, whose error is about 0.05
 CHUNK = 1 << 20  # words handled together (whole texts)
+PART = 1 << 18  # prefix rows grouped together, about (whole groups)
 
 _TOP = np.uint64(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of 8 bytes
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _ODD
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def hashed_words(lines: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Lines joined by line feeds -> (words of each line, 63-bit hash of every word).
+    A word of 64 bytes or less is mixed in steps of 8, all words at once."""
+    data = b"\n" + lines + b"\n" + bytes(8)
+    a = np.frombuffer(data, np.uint8)[:-8]
+    blank = (a == 32) | (a - np.uint8(9) < 5)
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
+    h = _mixed((eights[start] & _LOW[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ODD))
+    at = np.flatnonzero(size > 8)
+    for k in range(8, 64, 8):
+        if not len(at):
+            break
+        h[at] = _mixed(h[at] ^ _mixed(eights[start[at] + k] & _LOW[np.minimum(size[at] - k, 8)]) + _ODD)
+        at = at[size[at] > k + 8]
+    for i in at.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i]:start[i] + size[i]])
+    return np.diff(np.searchsorted(start, np.flatnonzero(a == 10))), h >> np.uint64(1)
 
 
 def _hash(w: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(w) >> 1
+    return int(hashed_words(w)[1][0])
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(c):
-        c = {w: k for w, k in c.items() if k >= TASK_COUNT}
-        return pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in c], pa.int64()), pa.array(list(c.values()), pa.int64())],
-                                          names=["h", "c"])
-    counts = Counter()
+def _text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
+    """(batch, number of the first row, whole texts) of about CHUNK words."""
     for b in batches:
-        for t in b.column("text").to_pylist():
-            counts.update((t or "").encode().lower().split())
-            if len(counts) > 1 << 19:
-                yield out(counts)
-                counts = Counter()
-    yield out(counts)
+        first, texts, size = 0, [], 0
+        for i, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+            texts.append(t or b"")
+            size += len(texts[-1])
+            if size >= 6 * CHUNK:
+                yield b, first, texts
+                first, texts, size = i + 1, [], 0
+        if texts:
+            yield b, first, texts
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(h, c):
+        some = c >= TASK_COUNT
+        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(c[some])], names=["h", "c"])
+
+    def merged(held):
+        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return h[begin], np.add.reduceat(c, begin)
+
+    held, size = [], 0
+    for _, _, texts in _text_chunks(batches):
+        h = hashed_words(b"\n".join(texts).lower())[1]
+        h.sort()
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        if len(begin):
+            held.append((h[begin], np.diff(np.r_[begin, len(h)])))
+            size += len(begin)
+        if size > 1 << 20:
+            held = [merged(held)]
+            size = len(held[0][0])
+            if size > 1 << 19:
+                yield out(*held[0])
+                held, size = [], 0
+    if held:
+        yield out(*merged(held))
 
 
 def word_ranks(docs: DataFrame) -> dict[int, int]:
@@ -139,147 +195,161 @@ def unpack_prefixes(words: list[bytes], n: np.ndarray, p: np.ndarray) -> tuple[n
 def shared_words(x: bytes, y: bytes, n: int, m: int) -> int:
     """Words that two packed sets share."""
     a, b = len(x) - 4 * n, len(y) - 4 * m        # 4 bytes for each rare word
-    both = np.concatenate([np.frombuffer(x, np.int64, a // 4), np.frombuffer(y, np.int64, b // 4)])
-    ranks = np.concatenate([np.frombuffer(x, np.uint32, n - a // 4, 2 * a), np.frombuffer(y, np.uint32, m - b // 4, 2 * b)])
-    both.sort()
-    ranks.sort()
-    return int((both[1:] == both[:-1]).sum() + (ranks[1:] == ranks[:-1]).sum())
+    rare = set(memoryview(x)[:2 * a].cast("q")).intersection(memoryview(y)[:2 * b].cast("q"))
+    return len(rare) + len(set(memoryview(x)[2 * a:].cast("I")).intersection(memoryview(y)[2 * b:].cast("I")))
 
 
-class Codes(dict):
-    """Word -> its number in the order of first sight; ``codes`` by number."""
+class Codes:
+    """Hashes of words -> their codes: the rank of a ranked word, else the hash."""
 
     def __init__(self, ranks: dict[int, int]):
-        super().__init__()
-        self.ranks, self.codes = ranks, array("Q")
-
-    def __missing__(self, w: bytes) -> int:
-        h = _hash(w)
-        at = self.ranks.get(h)
-        self[w] = number = len(self.codes)
-        self.codes.append(h if at is None else (1 << 63) + at)
-        return number
-
-
-def line_codes(lines: list[list[bytes]], cache: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """(words of each line, codes): the distinct words of every line, rare first."""
-    size = np.array([len(x) for x in lines], np.int64)
-    numbers = np.fromiter(map(cache.__getitem__, chain.from_iterable(lines)), np.int64, size.sum())
-    of = np.array(cache.codes, np.uint64)
-    here = np.zeros(len(of), bool)
-    here[numbers] = True
-    distinct = np.flatnonzero(here)
-    code = np.sort(of[distinct])
-    rank = np.empty(len(of), np.int64)
-    rank[distinct[np.argsort(of[distinct])]] = np.arange(len(code))
-    both = (np.repeat(np.arange(len(lines)), size) << 32) | rank[numbers]
+        hashes = np.fromiter(ranks, np.uint64, len(ranks))
+        order = np.argsort(hashes)
+        self.hashes, self.ranks = hashes[order], np.fromiter(ranks.values(), np.uint64, len(ranks))[order]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return h
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.ranks[at] + _TOP, h)
+
+
+def distinct_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(h, return_inverse=True), by one sort of upper bits and places."""
+    low = np.uint64(len(h).bit_length())
+    key = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
+    key.sort()
+    at = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    found = h[at]
+    if (found[1:] < found[:-1]).any():  # hashes that differ only below
+        return np.unique(h, return_inverse=True)
+    new = np.ones(len(h), bool)
+    new[1:] = found[1:] != found[:-1]
+    of = np.empty(len(h), np.int64)
+    of[at] = np.cumsum(new) - 1
+    return found[new], of
+
+
+def set_codes(size: np.ndarray, h: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lines of ``size`` words -> (words of each line,
+    codes): the distinct words of every line, rare first."""
+    distinct, at = distinct_hashes(h)
+    code = codes(distinct)
+    order = np.argsort(code)
+    rank = np.empty(len(code), np.int64)
+    rank[order] = np.arange(len(code))
+    both = (np.repeat(np.arange(len(size)), size) << 32) | rank[at]
     both.sort()
     both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-    return np.bincount(both >> 32, minlength=len(lines)), code[both & 0xFFFFFFFF]
+    return np.bincount(both >> 32, minlength=len(size)), code[order][both & 0xFFFFFFFF]
+
+
+def line_codes(lines: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """``set_codes`` of lines given by their words."""
+    return set_codes(*hashed_words(b"\n".join(map(b" ".join, lines))), codes)
 
 
-def _set_batches(ranks: dict[int, int]):
+def _set_batches(codes: Codes):
     names = ["doc_id", "_key", "_row", "line", "set", "n", "bits", "words"]
 
-    def out(b, rows, lines, words, cache):
-        n, code = line_codes(words, cache)
+    def out(b, first, texts):
+        size, h = hashed_words(b"\n".join(texts).lower())
+        held = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+        lines = np.arange(len(size)) - np.repeat(np.cumsum(held) - held, held)
+        rows = np.repeat(np.arange(first, first + len(texts)), held)
+        n, code = set_codes(size, h, codes)
         take = n >= MIN_TOKENS
-        code, n = code[np.repeat(take, n)], n[take]
-        rows, lines = np.array(rows, np.int64)[take], np.array(lines, np.int64)[take]
+        code, n, rows, lines = code[np.repeat(take, n)], n[take], rows[take], lines[take]
         starts = np.cumsum(n) - n
-        mixed = (code ^ (code >> np.uint64(31))) * _ODD
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = _mixed(code)
         some = len(n) > 0
-        ids = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), starts) if some else np.zeros(0, np.uint64)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts) if some else ids
+        ids = np.add.reduceat(mixed, starts) if some else np.zeros(0, np.uint64)
+        bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), starts) if some else ids
         doc = b.column("doc_id").take(pa.array(rows))
         ids_of = b.column("doc_id").to_pylist()  # in the order of documents: nulls last
         place = np.empty(len(ids_of), np.int64)
         place[sorted(range(len(ids_of)), key=lambda i: (ids_of[i] is None, ids_of[i]))] = np.arange(len(ids_of))
-        first, seen = np.zeros(len(n), bool), {}
-        for j in np.lexsort((lines, place[rows])).tolist():
-            if (s := int(ids[j])) not in seen:
-                seen[s] = first[j] = True
-        packed = [w if u else None for w, u in zip(pack(code, n), first.tolist(), strict=True)] if some else []
+        order = np.lexsort((lines, place[rows]))
+        new = np.zeros(len(n), bool)
+        new[order[np.unique(ids[order], return_index=True)[1]]] = True
+        packed = np.full(len(n), None, object)
+        packed[new] = pack(code[np.repeat(new, n)], n[new])
         return pa.RecordBatch.from_arrays(
             [doc, *[b.column(c).take(pa.array(rows)) for c in ("_key", "_row")], pa.array(lines.astype(np.int32)),
              pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)),
              pa.array(packed, pa.binary())], names=names)
 
     def run(batches):
-        cache = Codes(ranks)
-        for b in batches:
-            rows, lines, words, size = [], [], [], 0
-            for r, text in enumerate(b.column("text").to_pylist()):
-                for i, line in enumerate((text or "").encode().lower().split(b"\n")):
-                    w = line.split()
-                    if len(w) >= MIN_TOKENS:
-                        rows.append(r)
-                        lines.append(i)
-                        words.append(w)
-                        size += len(w)
-                if size >= CHUNK:
-                    yield out(b, rows, lines, words, cache)
-                    rows, lines, words, size = [], [], [], 0
-                    if len(cache) > 1_000_000:
-                        cache = Codes(ranks)
-            if rows:
-                yield out(b, rows, lines, words, cache)
+        for chunk in _text_chunks(batches):
+            yield out(*chunk)
     return run
 
 
 def _pair_batches(t: float, group: int):
-    """Rows sorted by (code, document) -> candidate pairs (a, b); rows of large
+    """Blocks of prefix rows, sorted by part -> candidate pairs (a, b); rows of large
     groups that met only the earliest: (null, b)."""
-    def pairs_of(code, set_, n, k, bits):
-        found = []
-
-        def passes(i, j):
-            least = least_overlap(n[i], n[j], t)
-            ok = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
-            ok &= 1 + np.minimum(n[i] - k[i], n[j] - k[j]) - 1 >= least
-            ok &= (n[i] + n[j] - np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64))) // 2 >= least
-            return ok & (set_[i] != set_[j])
-        new = np.r_[True, code[1:] != code[:-1]]
-        begin = np.flatnonzero(new)
+    share = t / (1 + t)
+
+    def near(n, rest, bits, i, j):
+        """Of pairs of rows, those that pass the positional filter and the bitmaps."""
+        both = n[i] + n[j]
+        least = share * both - 1e-9
+        ok = np.flatnonzero((rest[i] >= least) & (rest[j] >= least))
+        i, j = i[ok], j[ok]
+        ok = (both[ok] - np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64))) // 2 >= least[ok]
+        return i[ok], j[ok]
+
+    def pairs_of(code, set_, n, k, bits, place):
+        rest, found = n - k, []
+        begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         size = np.diff(np.r_[begin, len(code)])
         start = np.repeat(begin, size)
         large = np.repeat(size > group, size)
-        i = np.flatnonzero(large & ~new)  # the earliest of a large group meets the others
-        ok = passes(start[i], i)
-        found.append((set_[start[i]][ok], set_[i][ok]))
-        deferred, codes = set_[i], code[i]
-        i = np.flatnonzero(~large & ~new)
+        lone = np.zeros(len(code), bool)
+        for x, y in zip(begin[size > group].tolist(), (begin + size)[size > group].tolist(), strict=True):
+            at = x + np.lexsort((set_[x:y], place[x:y]))[0]  # the earliest of a large group meets the others
+            lone[x:y] = True
+            lone[at] = False
+            i = x + np.flatnonzero(np.minimum(n[x:y], n[at]) >= t * np.maximum(n[x:y], n[at]) - 1e-9)
+            found.append(near(n, rest, bits, np.full(len(i), at), i))
+        i = np.flatnonzero(~large)
         d = 1
-        while len(i):  # of a small group, all pairs that pass: the d-th row before
-            ok = passes(i - d, i)
-            found.append((set_[i - d][ok], set_[i][ok]))
-            d += 1
+        while len(i):  # of a small group, all pairs that pass: the d-th row before, as long as it is not too short
             i = i[i - d >= start[i]]
-        a = np.concatenate([f[0] for f in found])
-        b = np.concatenate([f[1] for f in found])
+            i = i[n[i - d] >= t * n[i] - 1e-9]
+            found.append(near(n, rest, bits, i - d, i))
+            d += 1
+        a, b = (set_[np.concatenate([f[x] for f in found] or [begin[:0]])] for x in (0, 1))
+        a, b = a[a != b], b[a != b]
+        deferred, codes = set_[lone], code[lone]
         return pa.RecordBatch.from_arrays(
             [pa.array(np.r_[a, np.zeros(len(deferred), np.int64)], mask=np.r_[np.zeros(len(a), bool), np.ones(len(deferred), bool)]),
              pa.array(np.r_[b, deferred]),
              pa.array(np.r_[np.zeros(len(a), np.int64), codes])], names=["a", "b", "code"])
 
     def run(batches):
-        cols, held = ("code", "set", "n", "k", "bits"), None
+        of, held = None, []
+
+        def pairs():
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.lexsort((rows[2], rows[0]))
+            return pairs_of(*[x[order] for x in rows])
         for b in batches:
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in cols]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last code may go on
-            if cut:
-                yield pairs_of(*[x[:cut] for x in now])
-            held = [x[cut:] for x in now]
-        if held is not None and len(held[0]):
-            yield pairs_of(*held)
+            for part, blob, size in zip(*(b.column(c).to_pylist() for c in ("part", "rows", "size")), strict=True):
+                if held and part != of:
+                    yield pairs()
+                    held = []
+                of = part
+                held.append(from_planes(blob, size))
+        if held:
+            yield pairs()
     return run
 
 
 def bitmaps(words: list[bytes], n: np.ndarray) -> list[bytes]:
-    """A bitmap of each packed set, of a power of two of bits (64 at least)."""
+    """A bitmap of each packed set, of a power of two of bits (64 at least), a bit
+    set if an odd number of words fall on it: two sets whose maps differ in d bits
+    differ in d words at least."""
     out, n = [], np.asarray(n, np.int64)
     cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(n) // CHUNK)) + 1, len(n)] if len(n) else [0]
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -288,9 +358,8 @@ def bitmaps(words: list[bytes], n: np.ndarray) -> list[bytes]:
         ends = np.cumsum(size)
         mixed = (code ^ (code >> np.uint64(31))) * _ODD
         place = ((mixed ^ (mixed >> np.uint64(32))) & (size[at] - 1).astype(np.uint64)).astype(np.int64)
-        bits = np.zeros(ends[-1], bool)
-        bits[(ends - size)[at] + place] = True
-        packed = np.packbits(bits, bitorder="little").tobytes()
+        bits = np.bincount((ends - size)[at] + place, minlength=ends[-1]) & 1
+        packed = np.packbits(bits.astype(bool), bitorder="little").tobytes()
         out += [packed[a:b] for a, b in zip(((ends - size) // 8).tolist(), (ends // 8).tolist(), strict=True)]
     return out
 
@@ -303,7 +372,7 @@ def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
     size = 8 * len(x)
     while size > 8 * len(y):  # the larger one's halves on each other
         size //= 2
-        a = (a >> size) | (a & ((1 << size) - 1))
+        a = (a >> size) ^ (a & ((1 << size) - 1))
     return (n + m - (a ^ b).bit_count()) // 2
 
 
@@ -333,14 +402,22 @@ def _verify_batches(t: float):
     return run
 
 
-def _prefix_batches(t: float):
-    def run(batches):
-        for b in batches:
-            b = b.filter(pa.array(~only_equal(b.column("n").to_numpy().astype(np.int64), t)))
-            if not b.num_rows:
-                continue
+def _prefixes(batches: Iterator[pa.RecordBatch], t: float):
+    """(batch of sets that can match others, n, row number, position, code) of their prefix words."""
+    for b in batches:
+        b = b.filter(pa.array(~only_equal(b.column("n").to_numpy().astype(np.int64), t)))
+        if b.num_rows:
             n = b.column("n").to_numpy().astype(np.int64)
-            at, k, code = unpack_prefixes(b.column("words").to_pylist(), n, prefix_length(n, t))
+            yield b, n, *unpack_prefixes(b.column("words").to_pylist(), n, prefix_length(n, t))
+
+
+def _prefix_batches(t: float, wanted: np.ndarray | None = None):
+    """Prefix rows, of the wanted codes if given (sorted)."""
+    def run(batches):
+        for b, _, at, k, code in _prefixes(batches, t):
+            if wanted is not None:
+                some = wanted[np.minimum(np.searchsorted(wanted, code.view(np.int64)), len(wanted) - 1)] == code.view(np.int64)
+                at, k, code = at[some], k[some], code[some]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(code.view(np.int64)), *[b.column(c).take(pa.array(at)) for c in ("doc_id", "set", "n")],
                  pa.array(k.astype(np.int32)), b.column("bits").take(pa.array(at))],
@@ -348,6 +425,56 @@ def _prefix_batches(t: float):
     return run
 
 
+_ROW = [np.dtype(x) for x in ("<i8", "<i8", "<u4", "<u4", "<i8", "<i8")]  # code, set, n, k, bits, order
+
+
+def to_planes(cols: list[np.ndarray]) -> bytes:
+    """Columns of prefix rows, first bytes together, then second bytes, ...: a block that compresses."""
+    return b"".join(np.ascontiguousarray(c.astype(d).view(np.uint8).reshape(-1, d.itemsize).T).tobytes()
+                    for c, d in zip(cols, _ROW, strict=True))
+
+
+def from_planes(block: bytes, size: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for d in _ROW:
+        planes = np.frombuffer(block, np.uint8, size * d.itemsize, at).reshape(d.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(d).ravel())
+        at += size * d.itemsize
+    return [x.astype(np.int64) if x.dtype.itemsize == 4 else x for x in out]
+
+
+def about_order(ids: pa.Array) -> np.ndarray:
+    """Numbers that never fall in the order of documents, nulls last; large groups
+    begin with the least.  (Ties only cost comparisons.)"""
+    kind = ids.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        found = np.array([int.from_bytes((x or "").encode()[:7].ljust(7, b"\0"), "big") for x in ids.to_pylist()], np.int64)
+    elif pa.types.is_integer(kind):
+        found = np.array(ids.cast(pa.int64()).fill_null(0))
+    else:
+        found = np.zeros(len(ids), np.int64)
+    found[ids.is_null().to_numpy(zero_copy_only=False)] = np.iinfo(np.int64).max
+    return found
+
+
+def _prefix_blocks(t: float, parts: int):
+    """Prefix rows dealt by their word to parts; a block holds a part's rows of one batch."""
+    def run(batches):
+        for b, n, at, k, code in _prefixes(batches, t):
+            part = (_mixed(code) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((code, part))
+            set_, bits, place = (np.asarray(x)[at] for x in (b.column("set"), b.column("bits"), about_order(b.column("doc_id"))))
+            rows = [x[order] for x in (code, set_, n[at], k, bits, place)]
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            here = np.flatnonzero(np.diff(cuts))
+            for some in np.array_split(here, max(1, len(order) >> 18)):
+                blocks = [to_planes([x[cuts[p]:cuts[p + 1]] for x in rows]) for p in some.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array(blocks, pa.binary()), pa.array(np.diff(cuts)[some], pa.int32())],
+                    names=["part", "rows", "size"])
+    return run
+
+
 def document_order():
     """Order of lines: doc_id (nulls last; any type that has an order), then line."""
     return F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "line")
@@ -363,12 +490,13 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
     keyed = (docs.select("doc_id", "text", row_key("doc_id", "text").alias("_key"))
              .withColumn("_row", F.monotonically_increasing_id()))
     raw = materialise(keyed.mapInArrow(
-        _set_batches(ranks),
+        _set_batches(Codes(ranks)),
         f"doc_id {kind}, _key long, _row long, line int, set long, n int, bits long, words binary")).withColumn("ord", document_order())
     first = materialise(raw.groupBy("set").agg(F.min(F.struct("ord", "_row", "line")).alias("f")))  # used by each verification
     given = raw.where("words is not null").select("doc_id", "set", "n", "bits", "words")  # a set's words, once a chunk
-    prefix = given.mapInArrow(_prefix_batches(threshold), f"code long, doc_id {kind}, set long, n int, k int, bits long")
-    found = materialise(prefix.repartition("code").sortWithinPartitions("code", F.asc_nulls_last("doc_id"), "set")
+    rows = given.agg(F.sum(F.col("n") * (1 - threshold) + 1)).first()[0] or 0
+    blocks = given.mapInArrow(_prefix_blocks(threshold, 1 + int(rows) // PART), "part int, rows binary, size int")
+    found = materialise(blocks.repartition("part").sortWithinPartitions("part")
                         .mapInArrow(_pair_batches(threshold, group), "a long, b long, code long")
                         .select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.col("a").isNull().alias("lone"),
                                 "code")
@@ -401,7 +529,11 @@ def line_matches(docs: DataFrame, threshold: float = THRESHOLD, group: int = GRO
         need = F.ceil((n + m) * threshold / (1 + threshold) - 1e-9)
         # only the rows of the large groups are dealt again
         codes = materialise(found.where("lone").select("code").distinct())
-        large = materialise(prefix.join(broadcast_if_small(codes, codes.count(), 24), "code"))
+        n_codes = codes.count()
+        wanted = np.array(sorted(r["code"] for r in codes.collect()), np.int64) if n_codes <= LISTED else None
+        prefix = given.mapInArrow(_prefix_batches(threshold, wanted),
+                                  f"code long, doc_id {kind}, set long, n int, k int, bits long")
+        large = materialise(prefix if wanted is not None else prefix.join(broadcast_if_small(codes, n_codes, 24), "code"))
         left = large.join(open_.distinct(), "set")
         right = large.select(F.col("code").alias("c2"), F.col("doc_id").alias("d2"), F.col("set").alias("s2"),
                               F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("bits").alias("b2"))
