@@ -17,7 +17,9 @@ line number).
 3. Two sets that match share one of the first n - ceil(t n) + 1 words.  The
    rows (prefix word, set) are grouped by word; pairs must pass the length
    filter, the positional filter (words left behind the shared one) and a
-   64-bit bitmap bound on the overlap, none of which loses a match.
+   bound on the overlap by bitmaps of 64 bits, the parities of the words that
+   fall on each; none of them loses a match.  The rows are dealt to parts by
+   word and go there in blocks, a part's rows of a batch each.
 4. What is left is compared by bitmaps that grow with the sets (``BITS`` a
    word at least), the same bound without loss; the words go only with the
    pairs that pass, which are verified by exact Jaccard on the whole sets.
