@@ -35,7 +35,7 @@ gives an empty result.
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,26 +59,56 @@ PART_BYTES = 16 << 20 # bytes of text of them, on average
 POSSIBLE, SURE = 0.6, 0.9
 NEAR = POSSIBLE + SURE - 1  # samples do not agree where either pair of a text between them does not
 
-_WORDS = re.compile(r"\w+").findall
+# words are runs of letters, digits and _ (what \w matches): all other bytes become blanks
+_OTHER = re.compile(r"[^\w\x00-\x7f]+")
+_BLANKED = bytes(c if c > 127 or chr(c).isalnum() or c == ord("_") else 32 for c in range(256))
+_CHUNK = 1 << 23  # characters of text whose words are hashed at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SAMPLED = 1 << 16  # shingles that are sampled at once: their columns stay in the CPU's cache
 _TABLE = 1 << 16  # tabulated random variates, indexed by 16 bits of a sample's hash
 
 
-class Words:
-    """Hashes of a text's words, cached."""
+def _slices(sizes: list[int], limit: int) -> Iterator[slice]:
+    """Slices of ``sizes`` of at most ``limit`` in all, or one that is larger."""
+    i, n = 0, 0
+    for j, size in enumerate(sizes):
+        if j > i and n + size > limit:
+            yield slice(i, j)
+            i, n = j, 0
+        n += size
+    if i < len(sizes):
+        yield slice(i, len(sizes))
+
 
-    def __init__(self, limit: int = 500_000):
-        self.cache: dict[str, int] = {}
-        self.limit = limit
+class Words:
+    """Hashes of texts' words, in order; a word is hashed once a chunk."""
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORDS((text or "").lower())
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        return next(self.of([text]))
+
+    def of(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+        for x in _slices([len(t or "") for t in texts], _CHUNK):
+            yield from self._chunk([self._plain(t) for t in texts[x]])
+
+    @staticmethod
+    def _plain(text: str | None) -> bytes:
+        text = (text or "").lower()
+        return (text if text.isascii() else _OTHER.sub(" ", text)).encode()
+
+    @staticmethod
+    def _chunk(texts: list[bytes]) -> list[np.ndarray]:
+        text = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_BLANKED), np.uint8)
+        inside = text != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the first and last bytes are blanks
+        starts, lengths = edges[::2], edges[1::2] - edges[::2]
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(lengths, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text[inside])])
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[words.indices.to_numpy()]
+        ends = np.cumsum([len(t) + 1 for t in texts])  # of each text, with its blank
+        return np.split(h, np.searchsorted(starts, ends[:-1], side="right"))
 
 
 def buckets_of(h: np.ndarray) -> np.ndarray:
@@ -128,16 +158,24 @@ class Sampler:
         """(texts, SAMPLES) sample bits; texts are slices beginning at starts, none empty."""
         ln_s = np.log(weights).astype(np.float32)
         out = np.empty((SAMPLES, len(starts)), np.float32)
-        shift = np.uint64(48)
+        shift, n = np.uint64(48), len(keys)
+        at, other = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        t, x = np.empty(n, np.float32), np.empty(n, np.float32)
         for k in range(SAMPLES):
-            i = (keys * self.odd[k, 0] >> shift).astype(np.int64)
-            j = (keys * self.odd[k, 1] >> shift).astype(np.int64)
-            beta = self.beta[i]
-            t = np.floor(ln_s * self.over[i] + beta)
-            t -= beta
+            np.right_shift(np.multiply(keys, self.odd[k, 0], out=at), shift, out=at)
+            np.right_shift(np.multiply(keys, self.odd[k, 1], out=other), shift, out=other)
+            i, j = at.view(np.int64), other.view(np.int64)  # under _TABLE, so clip changes nothing
+            self.beta.take(i, out=x, mode="clip")
+            self.over.take(i, out=t, mode="clip")
+            t *= ln_s
+            t += x
+            np.floor(t, out=t)
+            t -= x
             t += np.float32(1)
-            t *= self.r[i]
-            out[k] = np.minimum.reduceat(self.ln_c[j] - t, starts)
+            t *= self.r.take(i, out=x, mode="clip")
+            self.ln_c.take(j, out=x, mode="clip")
+            x -= t
+            out[k] = np.minimum.reduceat(x, starts)
         return np.ascontiguousarray(out.T).view(np.uint32)
 
 
@@ -156,8 +194,8 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 def _df_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, count, n = Words(), np.zeros(BUCKETS, np.int64), 0
     for b in batches:
-        for t in b.column("text").to_pylist():
-            count[np.unique(buckets_of(words(t)))] += 1
+        for h in words.of(b.column("text").to_pylist()):
+            count[np.unique(buckets_of(h))] += 1
             n += 1
     at = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[count[at], n])], names=["bucket", "n"])
@@ -181,25 +219,18 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         words, sampler, idf = Words(), Sampler(), small.astype(float)
         for b in batches:
             texts = b.column("text").to_pylist()
-            marks, node, parts, n = [], {}, [], 0
-            for t in texts:
-                h = words(t)
+            marks, node, parts = [], {}, []
+            for h in words.of(texts):
                 d = xxhash.xxh3_128_digest(h.tobytes())
                 marks.append(d)
                 if d not in node and len(h):  # copies of this batch are sampled once
                     node[d] = len(parts)
                     parts.append(weighted_shingles(h, idf))
-            bands, i = [], 0
-            while i < len(parts):  # chunks of bounded size
-                j, n = i, 0
-                while j < len(parts) and (j == i or n + len(parts[j][0]) <= 1 << 20):
-                    n += len(parts[j][0])
-                    j += 1
-                lens = [len(p[0]) for p in parts[i:j]]
-                starts = np.r_[0, np.cumsum(lens)[:-1]]
-                s = sampler(np.concatenate([p[0] for p in parts[i:j]]), np.concatenate([p[1] for p in parts[i:j]]), starts)
+            bands, lens = [], [len(p[0]) for p in parts]
+            for x in _slices(lens, _SAMPLED):
+                s = sampler(np.concatenate([p[0] for p in parts[x]]), np.concatenate([p[1] for p in parts[x]]),
+                            np.r_[0, np.cumsum(lens[x])[:-1]])
                 bands.extend(zip(band_keys(s), map(bytes, s), strict=True))
-                i = j
             both = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("_key"), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]),
@@ -352,7 +383,7 @@ def _exact_batches(idf: np.ndarray, threshold: float):
     def run(batches):
         words, idf = Words(), small.astype(float)
         for (_, p, q), (node, part, text) in _cell_groups(batches, ["comp", "p", "q"], ["node", "part", "text"]):
-            sets = [weighted_shingles(words(t), idf) for t in text]
+            sets = [weighted_shingles(h, idf) for h in words.of(text)]
             forest, a, b = Forest(len(node)), [], []
             home, guests = (np.flatnonzero(np.array(part) == x) for x in (p, q))
             if len(home):
