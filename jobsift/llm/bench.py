@@ -138,8 +138,9 @@ def find_leaks(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD)
     prints = content_w.groupBy("content", "size").agg(*fingerprint(F.col("w"), F.col("s")), F.sum("w").alias("total"))
     prints = materialise(prints.select(F.col("content").alias("l"), "size", fold_bits().alias("fp"), "total"))
     item_prints = item_w.groupBy("item", "size").agg(*fingerprint(F.col("w"), F.col("s")), F.sum("w").alias("total"))
-    item_prints = item_prints.select(F.col("item").alias("r"), "size", fold_bits().alias("fp"), "total")
-    pairs = hamming_candidates(prints, item_prints)
+    # tables of their own: the sums of 64 bits would be planned anew, twice, with each step of what follows
+    item_prints = materialise(item_prints.select(F.col("item").alias("r"), "size", fold_bits().alias("fp"), "total"))
+    pairs = materialise(hamming_candidates(prints, item_prints))
     # exact weighted Jaccard: sum of the least weights over sum of the greatest
     left = content_w.groupBy(F.col("content").alias("l"), "s").agg(F.sum("w").alias("wl"))
     right = item_w.groupBy(F.col("item").alias("r"), "s").agg(F.sum("w").alias("wr"))
