@@ -31,7 +31,6 @@ from jobsift.sources.sinks import scratch_table
 
 HOT = 4096      # jobs of a block, on average at most
 CV_BLOCK = 256  # CVs of a block
-OVERLAP_CELLS = 8  # pairs of blocks a task counts
 
 
 def _pair_batches(min_score: int):
@@ -58,7 +57,7 @@ def overlap_pairs(cvs: DataFrame, jobs: DataFrame, min_score: int = 80, bypass:
     j = scratch_table(jobs.select("seq", F.col("main_category").alias("main"), names).where(held).where("seq is not null"), "overlap")
     cvb = scratch_table(B.skill_blocks(c, ["star", "main"], CV_BLOCK, ["cv_id"], "cb"), "overlap")
     jobb = scratch_table(B.skill_blocks(j, ["main"], HOT, ["seq"], "jb"), "overlap")
-    met = B._met_blocks(scratch_table(B.category_cells(cvb, jobb), "overlap"), cvb, jobb, ["cv_id"], ["seq"], OVERLAP_CELLS)
+    met = B._met_blocks(scratch_table(B.category_cells(cvb, jobb), "overlap"), cvb, jobb, ["cv_id"], ["seq"])
     kind = {n: dict(t.dtypes)[n] for t, n in ((c, "cv_id"), (j, "seq"))}
     found = met.mapInArrow(_pair_batches(min_score), f"cv_id {kind['cv_id']}, seq {kind['seq']}, n_matched int, n_required int")
     return found.select("*", F.round(S.skill_score(F.col("n_matched"), F.col("n_required")), 1).alias("score_skills"))
